@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: White space between words, in Java, RE2 and Python regular expressions alike.
 SPACES = r"[\x20\x09-\x0D]+"
 
-#: Rows a Python worker receives at once.  Texts can be long, so batches are small.
-BATCH_ROWS = 256
+#: Rows and bytes a Python worker receives at once, whichever is reached first; texts can be long.
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bounds what Spark hands to a Python worker at once, whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
