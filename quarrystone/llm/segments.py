@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.llm.common import written
-from quarrystone.llm.winnow import gram_hashes, runs
+from quarrystone.llm.winnow import anchor_places, gram_hashes, runs
 
 #: Bytes of text that are cut at once.
 PIECE_BYTES = 1 << 20
@@ -76,15 +76,15 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def row_anchors(rows: DataFrame, cutter: Cutter) -> DataFrame:
-    """key, doc_id, anchor, n: the distinct anchors of each row and how many runs have them."""
+    """key, doc_id, anchor, n: the distinct anchors of each row and in how many places they stand."""
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             key, ids = batch["key"].to_numpy(), batch["doc_id"].astype("Int64")
             for owner, _, symbols, bounds, _ in cutter.pieces(batch["text"]):
-                first, _, anchor = runs(symbols, bounds, cutter.window, cutter.gram)
-                if len(first):
-                    row = owner[np.searchsorted(bounds, first, side="right") - 1]
+                place, anchor = anchor_places(symbols, bounds, cutter.window, cutter.gram)
+                if len(place):
+                    row = owner[np.searchsorted(bounds, place, side="right") - 1]
                     order = np.lexsort((anchor, row))
                     row, anchor = row[order], anchor[order]
                     fresh = np.ones(len(row), bool)

@@ -13,7 +13,6 @@ remove each other; an empty table gives an empty result; other columns are ignor
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

@@ -41,14 +41,37 @@ def gram_hashes(symbols: np.ndarray, gram: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each width consecutive values, by doubling."""
+def sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """best (np.minimum or np.maximum) of each width consecutive values, by doubling."""
     span, least = 1, values
     while 2 * span <= width:
-        least = np.minimum(least[:-span], least[span:])
+        least = best(least[:-span], least[span:])
         span *= 2
     rest = width - span
-    return np.minimum(least[:-rest], least[rest:]) if rest else least
+    return best(least[:-rest], least[rest:]) if rest else least
+
+
+def window_minima(symbols: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gram hashes, the least of each window, and the windows that lie in one piece."""
+    hashes = gram_hashes(symbols, gram)
+    least = sliding(hashes, window - gram + 1, np.minimum)
+    inside = np.ones(len(least), bool)
+    for bound in bounds[1:-1]:
+        inside[max(0, bound - window + 1) : bound] = False
+    return hashes, least, np.flatnonzero(inside)
+
+
+def anchor_places(symbols: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each place where an anchor stands, and the anchor.  Two windows that are equal, also within one run, have
+    two places of their anchor, so an anchor with one place in all texts has no repeated window."""
+    if len(symbols) < window:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    hashes, least, valid = window_minima(symbols, bounds, window, gram)
+    width = window - gram + 1
+    padded = np.zeros(len(least) + 2 * (width - 1), np.uint64)
+    padded[valid + width - 1] = least[valid]
+    at = np.flatnonzero(sliding(padded, width, np.maximum) == hashes)
+    return at, hashes[at].view(np.int64)
 
 
 def runs(symbols: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,15 +82,12 @@ def runs(symbols: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tup
     none = np.empty(0, np.int64)
     if len(symbols) < window:
         return none, none, none
-    least = sliding_min(gram_hashes(symbols, gram), window - gram + 1)
-    at = np.arange(len(least))
-    piece = np.searchsorted(bounds, at, side="right") if len(bounds) > 2 else np.ones(len(least), np.int64)
-    valid = np.flatnonzero(at + window <= bounds[piece])
+    _, least, valid = window_minima(symbols, bounds, window, gram)
     if not len(valid):
         return none, none, none
-    values, owner = least[valid], piece[valid]
+    values = least[valid]
     fresh = np.ones(len(valid), bool)
-    fresh[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    fresh[1:] = (values[1:] != values[:-1]) | (valid[1:] != valid[:-1] + 1)
     first = np.flatnonzero(fresh)
     length = np.diff(np.append(first, len(valid)))
     if length.max() > LONGEST_RUN:
