@@ -2,6 +2,7 @@
 
 from quarrystone.llm.bpe import op5_bpe
 from quarrystone.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from quarrystone.llm.html_extract import op8_html_extract
 from quarrystone.llm.lattice import op10_lattice_links
 from quarrystone.llm.mixing import op3_mixing
 from quarrystone.llm.sharding import op7_sharding
@@ -10,6 +11,6 @@ from quarrystone.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 from quarrystone.llm.suffix_dedup import op9_suffix_dedup
 from quarrystone.llm.toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_mixing, op4_exact_dedup, op5_bpe, op6_simhash, op7_sharding, op9_suffix_dedup, op10_lattice_links)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_mixing, op4_exact_dedup, op5_bpe, op6_simhash, op7_sharding, op8_html_extract, op9_suffix_dedup, op10_lattice_links)}
 
 ORACLES = {"op2_substring_dedup": OP2_SQL, "op4_exact_dedup": OP4_SQL}
