@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.operators import graph
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from quarrystone.operators.gates import gate, report
+from quarrystone.plans.tables import table
 
 
 def case_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +33,86 @@ def relation_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.catalog(relation_fact(spark, sf_dir), case_nodes(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (relation_fact, relation_catalog)}
+def node_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return case_nodes(spark, sf_dir)
+
+
+def orphan_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges whose product is not registered: the registry holds parts up to size 40 only."""
+    parts = table(spark, sf_dir, "part").filter("p_size <= 40")
+    known = graph.nodes(
+        ("company", table(spark, sf_dir, "customer"), F.col("c_custkey"), F.lit("customer")),
+        ("order", table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.lit("orders")),
+        ("product", parts, F.col("p_partkey"), F.lit("part")),
+    )
+    return graph.orphans(case_edges(spark, sf_dir), known).groupBy("relation").agg(F.count("*").alias("orphans"), F.countDistinct("to_id").alias("missing_nodes"))
+
+
+def unreferenced_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.unreferenced(case_edges(spark, sf_dir), case_nodes(spark, sf_dir)).select("node_id", "node_type", "value")
+
+
+def relation_time_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence count and first and last time key of each relation; relations without dated evidence stay."""
+    lines = table(spark, sf_dir, "lineitem")
+    evidence = lines.select(F.col("l_orderkey").alias("subject"), F.col("l_partkey").alias("object"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("key"))
+    bounds = evidence.groupBy("subject", "object").agg(F.count("*").alias("evidence_count"), F.min("key").alias("first_event_sort_key"), F.max("key").alias("last_event_sort_key"))
+    relations = lines.select(F.col("l_orderkey").alias("subject"), F.col("l_partkey").alias("object")).distinct()
+    return relations.join(bounds, ["subject", "object"], "left")
+
+
+def multiparent_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that several orders hold."""
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.groupBy(F.col("l_partkey").alias("object")).agg(F.countDistinct("l_orderkey").alias("parents"), F.count("*").alias("occurrences")).filter("parents > 1")
+
+
+def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = case_nodes(spark, sf_dir)
+    return nodes.groupBy("node_type").agg(F.count("*").alias("nodes"), F.countDistinct("value").alias("distinct_values"))
+
+
+def relation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts and occurrences of each relation, merged from both sides so neither hides the other."""
+    edges = case_edges(spark, sf_dir)
+    by_fact = graph.facts(edges.filter("relation <> 'order_has_product'")).groupBy("relation").agg(F.count("*").alias("facts"))
+    by_occurrence = edges.groupBy("relation").agg(F.count("*").alias("occurrences"), F.countDistinct("source_rel").alias("sources"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return by_fact.join(by_occurrence, "relation", "full").select("relation", zero("facts"), zero("occurrences"), zero("sources"))
+
+
+def node_evidence_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence at either end of a node, and its first source."""
+    facts = relation_fact(spark, sf_dir)
+    ends = facts.select(F.col("from_id").alias("node_id"), "evidence_count", "first_source").union(facts.select("to_id", "evidence_count", "first_source"))
+    return ends.groupBy("node_id").agg(F.sum("evidence_count").alias("evidence"), F.min("first_source").alias("first_source"))
+
+
+def node_pairs_by_company(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products seen with a company, through two joins on the node dimension."""
+    edges = case_edges(spark, sf_dir)
+    owned = edges.filter("relation = 'company_has_order'").select(F.col("from_id").alias("company_id"), F.col("to_id").alias("order_id"))
+    held = edges.filter("relation = 'order_has_product'").select(F.col("from_id").alias("order_id"), F.col("to_id").alias("product_id"))
+    names = case_nodes(spark, sf_dir).select("node_id", "value")
+    pairs = owned.join(held, "order_id").groupBy("company_id", "product_id").agg(F.countDistinct("order_id").alias("orders"))
+    left, right = names.toDF("company_id", "company"), names.toDF("product_id", "product")
+    return pairs.join(left, "company_id").join(right, "product_id").select("company", "product", "orders")
+
+
+def graph_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consistency of the graph: one row for each gate."""
+    edges, nodes, facts = case_edges(spark, sf_dir), case_nodes(spark, sf_dir), relation_fact(spark, sf_dir)
+    evidence = facts.agg(F.sum("evidence_count").alias("n")).select(F.col("n"))
+    return report(
+        gate("ORPHAN_ENDPOINTS", graph.orphans(edges, nodes)),
+        gate("UNREFERENCED_ORDERS", graph.unreferenced(edges, nodes).filter("node_type = 'order'")),
+        gate("EVIDENCE_SUM", evidence.join(edges.agg(F.count("*").alias("m")), F.col("n") != F.col("m"))),
+        gate("SELF_LOOPS", edges.filter("from_id = to_id")),
+        gate("DUPLICATE_NODES", nodes.groupBy("node_id").count().filter("count > 1")),
+    )
+
+
+QUERIES = {f.__name__: f for f in (node_registry, relation_fact, relation_catalog, orphan_endpoints, unreferenced_nodes, relation_time_bounds, multiparent_objects, entity_counts, relation_stats, node_evidence_totals, node_pairs_by_company, graph_gates)}
 
 EDGES_SQL = """
 edges AS (
@@ -61,4 +138,37 @@ SELECT upper(substr(sha256(from_id || chr(0) || relation || chr(0) || to_id), 1,
        s.node_type AS from_type, s.value AS from_value, relation, o.node_type AS to_type, o.value AS to_value,
        evidence_count, first_source, last_source
 FROM facts LEFT JOIN nodes s ON s.node_id = from_id LEFT JOIN nodes o ON o.node_id = to_id""",
+    "node_registry": f"WITH {NODES_SQL} SELECT * FROM nodes",
+    "orphan_endpoints": f"""WITH {EDGES_SQL}
+SELECT relation, count(*) AS orphans, count(DISTINCT to_id) AS missing_nodes FROM edges
+WHERE relation = 'order_has_product' AND to_id NOT IN (SELECT 'product:' || sha256(p_partkey::varchar) FROM part WHERE p_size <= 40) GROUP BY relation""",
+    "unreferenced_nodes": f"""WITH {EDGES_SQL}, {NODES_SQL}
+SELECT node_id, node_type, value FROM nodes WHERE node_id NOT IN (SELECT from_id FROM edges UNION SELECT to_id FROM edges)""",
+    "relation_time_bounds": """
+SELECT l_orderkey AS subject, l_partkey AS object, count(*) AS evidence_count,
+       min(epoch_us(l_shipdate)) AS first_event_sort_key, max(epoch_us(l_shipdate)) AS last_event_sort_key
+FROM lineitem GROUP BY ALL""",
+    "multiparent_objects": """
+SELECT l_partkey AS object, count(DISTINCT l_orderkey) AS parents, count(*) AS occurrences FROM lineitem
+GROUP BY ALL HAVING count(DISTINCT l_orderkey) > 1""",
+    "entity_counts": f"WITH {NODES_SQL} SELECT node_type, count(*) AS nodes, count(DISTINCT value) AS distinct_values FROM nodes GROUP BY ALL",
+    "relation_stats": f"""WITH {EDGES_SQL}, {FACTS_SQL},
+f AS (SELECT relation, count(*) AS facts FROM facts WHERE relation <> 'order_has_product' GROUP BY ALL),
+o AS (SELECT relation, count(*) AS occurrences, count(DISTINCT source_rel) AS sources FROM edges GROUP BY ALL)
+SELECT coalesce(f.relation, o.relation) AS relation, coalesce(facts, 0) AS facts, coalesce(occurrences, 0) AS occurrences, coalesce(sources, 0) AS sources
+FROM f FULL JOIN o ON f.relation = o.relation""",
+    "node_evidence_totals": f"""WITH {EDGES_SQL}, {FACTS_SQL},
+ends AS (SELECT from_id AS node_id, evidence_count, first_source FROM facts UNION ALL SELECT to_id, evidence_count, first_source FROM facts)
+SELECT node_id, sum(evidence_count)::bigint AS evidence, min(first_source) AS first_source FROM ends GROUP BY ALL""",
+    "node_pairs_by_company": """
+SELECT o_custkey::varchar AS company, l_partkey::varchar AS product, count(DISTINCT o_orderkey) AS orders
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey GROUP BY ALL""",
+    "graph_gates": f"""WITH {EDGES_SQL}, {FACTS_SQL}, {NODES_SQL},
+v AS (
+  SELECT 'ORPHAN_ENDPOINTS' AS gate_id, (SELECT count(*) FROM edges WHERE from_id NOT IN (SELECT node_id FROM nodes) OR to_id NOT IN (SELECT node_id FROM nodes)) AS violations
+  UNION ALL SELECT 'UNREFERENCED_ORDERS', (SELECT count(*) FROM nodes WHERE node_type = 'order' AND node_id NOT IN (SELECT from_id FROM edges UNION SELECT to_id FROM edges))
+  UNION ALL SELECT 'EVIDENCE_SUM', ((SELECT sum(evidence_count) FROM facts) <> (SELECT count(*) FROM edges))::bigint
+  UNION ALL SELECT 'SELF_LOOPS', (SELECT count(*) FROM edges WHERE from_id = to_id)
+  UNION ALL SELECT 'DUPLICATE_NODES', (SELECT count(*) FROM (SELECT node_id FROM nodes GROUP BY 1 HAVING count(*) > 1)))
+SELECT gate_id, violations::bigint AS violations, CASE WHEN violations = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM v""",
 }
