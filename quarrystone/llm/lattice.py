@@ -31,8 +31,8 @@ from quarrystone.llm.components import components, local_roots
 LEAST_COSINE = 0.93
 TABLES, PROBES, SCALE, SEED = 12, 16, 1.5, 2024
 #: With these, at least 0.93 of the pairs of cosine 0.93 share a cell, and over 0.99 of those of 0.95 (64 dimensions).
-#: Entries of one chunk of a cell.
-CHUNK = 1024
+#: Entries of one chunk of a cell, and pairs whose cells are looked at together.
+CHUNK, PAIRS = 512, 1 << 16
 
 
 def nearest_e8(x: np.ndarray) -> np.ndarray:
@@ -108,6 +108,23 @@ def cell_members(entries: DataFrame, tables: int, probes: int) -> DataFrame:
     return entries.select("node", "label", F.size("embedding").alias("dims"), "embedding").mapInPandas(filed, "cell long, node long, own boolean")
 
 
+def first_cell(keys: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The first cell, over tables and then by number, that both of each pair share and one of them owns."""
+    none = np.iinfo(np.int64).max
+    first = np.full(len(left), none)
+    open_ = np.arange(len(left))
+    for at in keys:
+        a, b = at[left[open_]], at[right[open_]]
+        one = np.where((b == a[:, :1]).any(1), a[:, 0], none)
+        two = np.where((a == b[:, :1]).any(1), b[:, 0], none)
+        best = np.minimum(one, two)
+        first[open_] = best
+        open_ = open_[best == none]
+        if not len(open_):
+            break
+    return first
+
+
 def linked_counts(tables: int, probes: int, least: float):
     def group(key, rows: pd.DataFrame) -> pd.DataFrame:
         """Rows of one pair of chunks of one cell: cell, low, high, chunk, own, node, label, dims, copies, embedding."""
@@ -126,21 +143,8 @@ def linked_counts(tables: int, probes: int, least: float):
         meets &= (chunk[left] != chunk[right]) if low != high else True
         left, right = left[meets], right[meets]
         if len(left):
-            # the first cell, over tables and then by number, that both share and one of them owns
-            first = np.full(len(left), np.iinfo(np.int64).max)
-            open_ = np.arange(len(left))
-            for table in range(tables):
-                at = cells(unit, table, probes) ^ salt
-                a, b = at[left[open_]], at[right[open_]]
-                one = np.where((b == a[:, :1]).any(1), a[:, 0], np.iinfo(np.int64).max)
-                two = np.where((a == b[:, :1]).any(1), b[:, 0], np.iinfo(np.int64).max)
-                best = np.minimum(one, two)
-                met = best != np.iinfo(np.int64).max
-                first[open_[met]] = best[met]
-                open_ = open_[~met]
-                if not len(open_):
-                    break
-            here = first == cell
+            keys = [cells(unit, table, probes) ^ salt for table in range(tables)]
+            here = np.concatenate([first_cell(keys, left[k : k + PAIRS], right[k : k + PAIRS]) == cell for k in range(0, len(left), PAIRS)])
             left, right = left[here], right[here]
         links = np.bincount(left, copies[right], len(node)) + np.bincount(right, copies[left], len(node))
         root = local_roots(len(node), left, right)
