@@ -1,8 +1,8 @@
 """All registered queries of the engine proper and their SQL twins."""
 
-from quarrystone.plans import content_queries, graph_queries, mail_queries, timeline_queries
+from quarrystone.plans import content_queries, corpus_queries, graph_queries, mail_queries, text_queries, timeline_queries, walk_queries
 
-_MODULES = (graph_queries, timeline_queries, content_queries, mail_queries)
+_MODULES = (graph_queries, timeline_queries, content_queries, mail_queries, text_queries, corpus_queries, walk_queries)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
