@@ -76,35 +76,53 @@ def block_masks(bits: list[int], parts: int, shared: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def near(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: Pairs that a task holds before it joins them.
+HELD_PAIRS = 1 << 18
+
+
+def roots_of(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """local_roots() of pairs that come bit by bit; no more than HELD_PAIRS and one bit are held."""
+    root = np.arange(n)
+    left, right, size = [], [], 0
+
+    def joined() -> np.ndarray:
+        moved = np.flatnonzero(root != np.arange(n))
+        return local_roots(n, np.concatenate([moved, *left]), np.concatenate([root[moved], *right]))
+
+    for a, b in pairs:
+        apart = root[a] != root[b]
+        left.append(a[apart])
+        right.append(b[apart])
+        size += int(apart.sum())
+        if size >= HELD_PAIRS:
+            root = joined()
+            left, right, size = [], [], 0
+    return joined()
+
+
+def near(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of places within NEAR_BITS, in blocks of rows."""
     u = fps.view(np.uint64)
-    left, right = [], []
-    step = max(1, (1 << 20) // max(1, len(u)))
+    step = max(1, (1 << 18) // max(1, len(u)))
     for k in range(0, len(u), step):
         a, b = np.nonzero(np.bitwise_count(u[k : k + step, None] ^ u[None, k:]) <= NEAR_BITS)
         keep = a < b
-        left.append(a[keep] + k)
-        right.append(b[keep] + k)
-    return np.concatenate(left), np.concatenate(right)
+        yield a[keep] + k, b[keep] + k
 
 
-def near_in_cube(fps: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
+def near_in_cube(fps: np.ndarray, mask: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The same for fingerprints that agree in all bits of mask, by a table of the free bits."""
     free = [b for b in range(64) if not (mask >> b) & 1]
     u = fps.view(np.uint64)
     place = sum((((u >> np.uint64(b)) & np.uint64(1)) << np.uint64(k)).astype(np.int64) for k, b in enumerate(free))
     table = np.full(1 << len(free), -1, np.int64)
     table[place] = np.arange(len(u))
-    left, right = [], []
     for n in range(1, NEAR_BITS + 1):
         for flips in combinations(range(len(free)), n):
             other = table[place ^ sum(1 << f for f in flips)]
             at = np.flatnonzero(other >= 0)
             at = at[at < other[at]]
-            left.append(at)
-            right.append(other[at])
-    return np.concatenate(left), np.concatenate(right)
+            yield at, other[at]
 
 
 def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,8 +131,7 @@ def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def edges(group: pd.DataFrame) -> pd.DataFrame:
         fps, node = group["fp"].to_numpy(np.int64), group["node"].to_numpy(np.int64)
-        left, right = near(fps) if len(fps) <= DENSE else near_in_cube(fps, int(group["mask"].iloc[0]))
-        root = local_roots(len(fps), left, right)
+        root = roots_of(len(fps), near(fps) if len(fps) <= DENSE else near_in_cube(fps, int(group["mask"].iloc[0])))
         at = np.flatnonzero(root != np.arange(len(fps)))
         return pd.DataFrame({"a": node[at], "b": node[root[at]]})
 
