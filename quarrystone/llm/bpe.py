@@ -155,7 +155,7 @@ def bpe_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_c
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(raw.tobytes()).hexdigest())
                 text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInPandas(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -167,7 +167,7 @@ def bpe_ids(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col:
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = coder(vocab_path)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [list(bpe.encode(t)) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": [list(bpe.encode(t)) for t in batch["text"]]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInPandas(encoded, "doc_id long, ids array<int>")
@@ -179,7 +179,7 @@ def bpe_texts(encoded: DataFrame, vocab_path: str) -> DataFrame:
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = coder(vocab_path)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": ["" if ids is None else bpe.decode(map(int, ids)) for ids in batch["ids"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text": pd.Series(["" if ids is None else bpe.decode(map(int, ids)) for ids in batch["ids"]], dtype=object)})
 
     return encoded.select("doc_id", "ids").mapInPandas(texts, "doc_id long, text string")
 

@@ -255,7 +255,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     def extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [main_text(h) for h in batch["html"]]
-            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"].astype(object), "text": pd.Series(texts, dtype=object), "n_chars": [len(t) for t in texts]})
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     return rows.mapInPandas(extracted, "page_id long, url string, text string, n_chars long")
