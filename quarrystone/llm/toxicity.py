@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 from quarrystone.llm.common import read_table, small_batches
 
 #: Bounds of fitting: labelled rows, features for each category, rows that hold a feature and its chi-square at least.
-SAMPLE_ROWS, FEATURES, LEAST_ROWS, LEAST_CHI = 12_000, 1_000, 4, 25.0
+SAMPLE_ROWS, FEATURES, LEAST_ROWS, LEAST_CHI = 10_000, 1_000, 4, 25.0
 #: Features are told apart by a hash of so many values.
-BUCKETS = 1 << 22
+BUCKETS = 1 << 20
 FOLDS, RIDGE, STEPS = 4, 3e-6, 120
 REJECT_AT = 0.3
 #: Words whose features a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Categories in order, by conditions on the columns of labels.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"), ("severe", "toxic = 1 AND quality = 0"))
 _CAPITALS = bytes(range(65, 91))
@@ -166,7 +166,7 @@ def informative(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray) -> di
         ones = int(y.sum())
         if not 0 < ones < total:
             continue
-        a = np.bincount(buckets, y[rows], BUCKETS)[often]
+        a = np.bincount(buckets[y[rows] > 0], minlength=BUCKETS)[often]
         expected = n * ones / total
         chi = (a - expected) ** 2 / expected + (a - expected) ** 2 / np.maximum(n - expected, 1e-9)
         for i in np.argsort(-chi, kind="stable")[: min(FEATURES, int((chi >= LEAST_CHI).sum()))]:
@@ -180,8 +180,9 @@ def fit_chain(texts: list[str], labels: np.ndarray, names: list[str]) -> Chain:
     if not len(texts):
         return fitted
     known = Known()
-    held = [np.fromiter(known.text(t), np.int64) for t in texts]
-    rows, buckets = np.repeat(np.arange(len(held)), [len(h) for h in held]), np.concatenate(held)
+    held = [np.fromiter(known.text(t), np.int32) for t in texts]
+    rows, buckets = np.repeat(np.arange(len(held), dtype=np.int32), [len(h) for h in held]), np.concatenate(held)
+    del held, known
     fitted.number = number = informative(rows, buckets, labels)
     place = np.full(BUCKETS, -1)
     place[list(number)] = list(number.values())
@@ -213,8 +214,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     wanted = wanted.select(F.col(id_col).cast("long").alias("id"), *flags).filter("id IS NOT NULL")
     sample = wanted.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "id").toArrow()
-    table = rows.to_pandas().sort_values(["id", "text"]).reset_index(drop=True)
-    return fit_chain(table["text"].tolist(), table[[f"c{i}" for i in range(len(categories))]].to_numpy(), [name for name, _ in categories])
+    rows = rows.sort_by([("id", "ascending"), ("text", "ascending")])
+    flags = np.array([rows.column(f"c{i}").to_numpy() for i in range(len(categories))]).T.reshape(len(rows), len(categories))
+    texts = rows.column("text").to_pylist()
+    del rows
+    return fit_chain(texts, flags, [name for name, _ in categories])
 
 
 def probabilities(chain: Chain, text: Column) -> Column:
