@@ -111,9 +111,11 @@ def cell_members(entries: DataFrame, tables: int, probes: int) -> DataFrame:
 def first_cell(keys: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The first cell, over tables and then by number, that both of each pair share and one of them owns."""
     none = np.iinfo(np.int64).max
-    first = np.full(len(left), none)
-    open_ = np.arange(len(left))
-    for at in keys:
+    own = keys[0][:, 0]
+    # most near pairs own one cell of the first table, which is then their first
+    first = np.where(own[left] == own[right], own[left], none)
+    open_ = np.flatnonzero(first == none)
+    for at in keys if len(open_) else []:
         a, b = at[left[open_]], at[right[open_]]
         one = np.where((b == a[:, :1]).any(1), a[:, 0], none)
         two = np.where((a == b[:, :1]).any(1), b[:, 0], none)
