@@ -15,6 +15,10 @@ SPACES = r"[\x20\x09-\x0D]+"
 BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 
 
+#: Whether Spark drops the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,7 +46,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage ends here, and the
-    files outlive any executor."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    files outlive any executor.  The shuffle files behind it serve no one any more, so Spark is told to
+    drop them when the write ends."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -10,20 +10,15 @@ import numpy as np
 
 
 def depth_order(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions ordered by their first depth symbols (circular), and whether each begins a new group."""
-    n = len(tokens)
-    _, rank = np.unique(tokens, return_inverse=True)
-    rank = rank.astype(np.int64)
+    """Positions ordered by their first depth symbols (circular), and the rank of each position: equal for equal symbols."""
+    rank = tokens.astype(np.int64)
     reach = 1
     while reach < depth:
         step = min(reach, depth - reach)
         pair = rank * np.int64(rank.max() + 1) + np.roll(rank, -step)
         _, rank = np.unique(pair, return_inverse=True)
         reach += step
-    order = np.argsort(rank, kind="stable")
-    fresh = np.ones(n, bool)
-    fresh[1:] = rank[order[1:]] != rank[order[:-1]]
-    return order, fresh
+    return np.argsort(rank, kind="stable"), rank
 
 
 class WaveletMatrix:
@@ -40,18 +35,18 @@ class WaveletMatrix:
             packed[:n] = bit
             plane = np.packbits(packed, bitorder="little").view(np.uint64)
             self.planes.append(plane)
-            self.counts.append(np.concatenate(([0], np.cumsum(np.bitwise_count(plane), dtype=np.int64))))
+            self.counts.append(np.concatenate(([0], np.cumsum(np.bitwise_count(plane)))).astype(np.int32))
             ones = bit.astype(bool)
-            self.zeros.append(int(n - ones.sum()))
+            self.zeros.append(np.int32(n - ones.sum()))
             current = np.concatenate((current[~ones], current[ones]))
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often symbol[i] stands before position at[i], plus where its block begins: see begin()."""
         for k in range(self.bits):
             word = at >> 6
-            ones = self.counts[k][word] + np.bitwise_count(self.planes[k][word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
-            up = (symbol >> (self.bits - 1 - k)) & 1
-            at = np.where(up == 1, self.zeros[k] + ones, at - ones)
+            ones = self.counts[k][word] + np.bitwise_count(self.planes[k][word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))).astype(np.int32)
+            up = ((symbol >> (self.bits - 1 - k)) & 1).astype(bool)
+            at = np.where(up, self.zeros[k] + ones, at - ones)
         return at
 
 
@@ -60,10 +55,10 @@ class FmIndex:
 
     def __init__(self, tokens: np.ndarray, sigma: int, depth: int):
         self.depth = depth
-        self.order, self.fresh = depth_order(tokens, depth)
-        self.first = np.concatenate(([0], np.cumsum(np.bincount(tokens, minlength=sigma))))
-        self.matrix = WaveletMatrix(tokens[self.order - 1], max(1, int(sigma - 1).bit_length()))
-        self.begin = self.matrix.rank(np.arange(sigma), np.zeros(sigma, np.int64))
+        self.order, self.rank = depth_order(tokens, depth)
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(tokens, minlength=sigma)))).astype(np.int32)
+        self.matrix = WaveletMatrix(tokens[self.order - 1].astype(np.int32), max(1, int(sigma - 1).bit_length()))
+        self.begin = self.matrix.rank(np.arange(sigma, dtype=np.int32), np.zeros(sigma, np.int32))
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The suffix intervals after one more symbol to the left."""
@@ -74,6 +69,7 @@ class FmIndex:
 
     def search(self, tokens: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of tokens[s : s + length] for each s in starts; empty (low == high) where there is no match."""
+        tokens = tokens.astype(np.int32)
         last = tokens[starts + length - 1]
         low, high = self.first[last].copy(), self.first[last + 1].copy()
         live = np.arange(len(starts))
@@ -86,7 +82,7 @@ class FmIndex:
 
     def matching_statistics(self, tokens: np.ndarray) -> np.ndarray:
         """For each position the length, up to depth, of the longest match that ends there."""
-        n = len(tokens)
+        n, tokens = len(tokens), tokens.astype(np.int32)
         best = np.zeros(n, np.int64)
         ends = np.flatnonzero(tokens > 0)
         low, high = self.first[tokens[ends]].copy(), self.first[tokens[ends] + 1].copy()

@@ -9,7 +9,8 @@
    bounded size, where an index over the batch (FM-index or radix sort) finds the repeated windows.
 5. What it finds goes back to the rows that hold the segments, and from there to the documents.
 
-Rows are keyed by (key, tid): the id, or a hash of the text where the id is null, and a hash of the text.
+Rows are keyed by (key, tag): the id, or a hash of the text where the id is null, and 16 bits of a hash of the
+text, which tell rows apart that share an id but not a text.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ PIECE_BYTES = 1 << 20
 #: An anchor in more rows than this has its runs cut into single windows.
 HOT_ROWS = 10_000
 #: Bytes of segments that one index holds, but for the last anchor group.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 
 class Cutter:
@@ -46,12 +47,12 @@ class Cutter:
         """Pieces of one text and the number of the first symbol of each; they overlap by window - 1 symbols."""
         raise NotImplementedError
 
-    def symbols(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, Callable[[int, int], bytes]]:
-        """Of joined pieces: symbols, bounds of the pieces, and the bytes of symbols a to b."""
+    def symbols(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+        """Of joined pieces: symbols, bounds of the pieces, the bytes, and where in them each symbol starts and ends."""
         raise NotImplementedError
 
-    def pieces(self, texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Callable[[int, int], bytes]]]:
-        """Row number and first symbol of each piece, symbols, bounds, and the slicing function."""
+    def pieces(self, texts) -> Iterator[tuple]:
+        """Row number and first symbol of each piece, then what symbols() returns."""
         held: list[tuple[int, int, bytes]] = []
         size = 0
         for row, text in enumerate(texts):
@@ -65,23 +66,22 @@ class Cutter:
             yield self._ready(held)
 
     def _ready(self, held):
-        symbols, bounds, cut = self.symbols([p for _, _, p in held])
-        return np.array([r for r, _, _ in held]), np.array([b for _, b, _ in held]), symbols, bounds, cut
+        return np.array([r for r, _, _ in held]), np.array([b for _, b, _ in held]), *self.symbols([p for _, _, p in held])
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    return rows.select(F.coalesce("doc_id", F.xxhash64("text")).alias("key"), F.xxhash64("text").alias("tid"), "doc_id", "text")
+    return rows.select(F.coalesce("doc_id", F.xxhash64("text")).alias("key"), F.xxhash64("text").bitwiseAND(0xFFFF).cast("int").alias("tag"), "doc_id", "text")
 
 
 def row_anchors(rows: DataFrame, cutter: Cutter) -> DataFrame:
-    """key, doc_id, anchor, n: the distinct anchors of each row and in how many places they stand."""
+    """key, anchor, n: the distinct anchors of each row and in how many places they stand."""
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            key, ids = batch["key"].to_numpy(), batch["doc_id"].astype("Int64")
-            for owner, _, symbols, bounds, _ in cutter.pieces(batch["text"]):
+            key = batch["key"].to_numpy()
+            for owner, _, symbols, bounds, *_ in cutter.pieces(batch["text"]):
                 place, anchor = anchor_places(symbols, bounds, cutter.window, cutter.gram)
                 if len(place):
                     row = owner[np.searchsorted(bounds, place, side="right") - 1]
@@ -90,54 +90,54 @@ def row_anchors(rows: DataFrame, cutter: Cutter) -> DataFrame:
                     fresh = np.ones(len(row), bool)
                     fresh[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])
                     at = np.flatnonzero(fresh)
-                    yield pd.DataFrame({"key": key[row[at]], "doc_id": ids.array[row[at]], "anchor": anchor[at], "n": np.diff(np.append(at, len(row)))})
+                    yield pd.DataFrame({"key": key[row[at]], "anchor": anchor[at], "n": np.diff(np.append(at, len(row)))})
 
-    return rows.select("key", "doc_id", "text").mapInPandas(found, "key long, doc_id long, anchor long, n long")
+    return rows.select("key", "text").mapInPandas(found, "key long, anchor long, n int")
 
 
 def segments(rows: DataFrame, cutter: Cutter, repeats: DataFrame) -> DataFrame:
-    """anchor, skey, seg, key, tid, doc_id, start: the segments of every row whose anchor is in repeats (anchor, hot)."""
+    """anchor, skey (a hash that with the anchor stands for the segment), seg, key, tag, start: the segments of every row whose anchor is in repeats (anchor, hot)."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            wanted = [np.sort(np.asarray(a, np.int64)) for a in batch["anchors"]]
-            hot = [frozenset(h) for h in batch["hot"]]
-            out: list[tuple] = []
-            for owner, base, symbols, bounds, slice_of in cutter.pieces(batch["text"]):
+            sizes = [len(a) for a in batch["anchors"]]
+            wanted = np.concatenate([np.asarray(a, np.int64) for a in batch["anchors"]])
+            crowded = np.unique(np.concatenate([np.asarray(h, np.int64) for h in batch["hot"]]))
+            # (row, anchor) pairs are looked up as one number; a false match only adds a segment that repeats nothing
+            pairs = np.unique(wanted * np.int64(0x2545F4914F6CDD1D | 1) + np.repeat(np.arange(len(batch)), sizes))
+            for owner, base, symbols, bounds, buffer, begins, ends in cutter.pieces(batch["text"]):
                 first, length, anchor = runs(symbols, bounds, cutter.window, cutter.gram)
                 if not len(first):
                     continue
                 piece = np.searchsorted(bounds, first, side="right") - 1
-                row = owner[piece]
-                edge = np.searchsorted(row, np.arange(len(wanted) + 1))
-                keep = np.zeros(len(first), bool)
-                for r in np.unique(row):
-                    a, b = edge[r], edge[r + 1]
-                    keep[a:b] = np.isin(anchor[a:b], wanted[r])
-                whole = gram_hashes(symbols, cutter.window).view(np.int64) if any(hot[r] for r in np.unique(row)) else None
-                for i in np.flatnonzero(keep):
-                    f, n, p, r, a = int(first[i]), int(length[i]), int(piece[i]), int(row[i]), int(anchor[i])
-                    start = int(base[p]) + f - int(bounds[p])
-                    if a in hot[r]:
-                        out += [(int(whole[f + k]), slice_of(f + k, f + k + cutter.window), r, start + k) for k in range(n)]
-                    else:
-                        out.append((a, slice_of(f, f + n - 1 + cutter.window), r, start))
-                if len(out) >= 20_000:
-                    yield frame(batch, out)
-                    out = []
-            if out:
-                yield frame(batch, out)
-
-    def frame(batch: pd.DataFrame, out: list[tuple]) -> pd.DataFrame:
-        anchor, seg, row, start = zip(*out)
-        row = np.array(row)
-        return pd.DataFrame({
-            "anchor": anchor, "skey": [xxhash.xxh3_128_digest(s) for s in seg], "seg": seg, "key": batch["key"].to_numpy()[row],
-            "tid": batch["tid"].to_numpy()[row], "doc_id": batch["doc_id"].astype("Int64").array[row], "start": start,
-        })
+                keep = among(pairs, anchor * np.int64(0x2545F4914F6CDD1D | 1) + owner[piece])
+                first, length, anchor, piece = first[keep], length[keep], anchor[keep], piece[keep]
+                if len(crowded) and len(first):
+                    each = among(crowded, anchor)
+                    if each.any():
+                        n = np.where(each, length, 1)
+                        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                        first, piece, each = np.repeat(first, n) + inside, np.repeat(piece, n), np.repeat(each, n)
+                        length = np.where(each, 1, np.repeat(length, n))
+                        whole = gram_hashes(symbols, cutter.window).view(np.int64)
+                        anchor = np.where(each, whole[first], np.repeat(anchor, n))
+                if len(first):
+                    row = owner[piece]
+                    seg = [buffer[a:b] for a, b in zip(begins[first].tolist(), ends[first + length + cutter.window - 2].tolist())]
+                    yield pd.DataFrame({
+                        "anchor": anchor, "skey": np.fromiter(map(xxhash.xxh3_64_intdigest, seg), np.uint64, len(seg)).view(np.int64), "seg": pd.Series(seg, dtype=object),
+                        "key": batch["key"].to_numpy()[row], "tag": batch["tag"].to_numpy()[row], "start": base[piece] + first - bounds[piece],
+                    })
 
     lists = row_anchors(rows, cutter).join(repeats, "anchor").groupBy("key").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
-    return rows.join(lists, "key").select("key", "tid", "doc_id", "text", "anchors", "hot").mapInPandas(cut, "anchor long, skey binary, seg binary, key long, tid long, doc_id long, start long")
+    return rows.join(lists, "key").select("key", "tag", "text", "anchors", "hot").mapInPandas(cut, "anchor long, skey long, seg binary, key long, tag int, start int")
+
+
+def among(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the values are in the ordered array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
 def by_shard(distinct: DataFrame, find: Callable[[list[bytes], pd.DataFrame], list], schema: str) -> DataFrame:
@@ -177,7 +177,7 @@ def by_shard(distinct: DataFrame, find: Callable[[list[bytes], pd.DataFrame], li
         return pd.DataFrame({"anchor": whole["anchor"], "skey": whole["skey"], "found": find(list(whole["seg"]), whole)})
 
     dealt = distinct.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInPandas(shards, f"anchor long, skey binary, found {schema}")
+    return dealt.mapInPandas(shards, f"anchor long, skey long, found {schema}")
 
 
 def repeated_anchors(counted: DataFrame, condition: str) -> DataFrame:

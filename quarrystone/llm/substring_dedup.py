@@ -74,7 +74,7 @@ class WordCutter(Cutter):
         h = (sums[ends] - sums[starts]) * self.inverses[starts]
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
         bounds = np.concatenate(([0], np.cumsum([p.count(b" ") + 1 for p in pieces])))
-        return h ^ (h >> np.uint64(29)), bounds, lambda a, b: buffer[starts[a] : ends[b - 1]]
+        return h ^ (h >> np.uint64(29)), bounds, buffer, starts, ends
 
 
 def shard_minima(window: int):
@@ -89,13 +89,14 @@ def shard_minima(window: int):
         index = FmIndex(flat, len(number) + 1, window)
         counts = lengths - window + 1
         starts = np.repeat(begins, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        low, high = index.search(flat, starts, window)
+        _, one, same = np.unique(index.rank[starts], return_index=True, return_inverse=True)  # equal windows are searched once
+        low, high = index.search(flat, starts[one], window)
         holder = np.repeat(rows["least"].to_numpy(np.int64), lengths + 1)[index.order]
         opened, which = np.unique(low, return_inverse=True)
         closed = np.zeros(len(opened), np.int64)
         closed[which] = high
         marks = np.stack((opened, closed), 1).ravel()
-        least = np.minimum.reduceat(np.append(holder, np.iinfo(np.int64).max), marks)[::2][which]
+        least = np.minimum.reduceat(np.append(holder, np.iinfo(np.int64).max), marks)[::2][which][same]
         return np.split(least, np.cumsum(counts)[:-1])
 
     return find
@@ -105,13 +106,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of docs: doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
     rows, cutter = keyed(docs, id_col, text_col), WordCutter(window, gram)
     known = rows.filter("doc_id IS NOT NULL")
-    counted = row_anchors(known, cutter).groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("rows"))
-    held = written(segments(known, cutter, repeated_anchors(counted, "low < high")), "segments")
+    counted = row_anchors(known, cutter).groupBy("anchor").agg(F.count("*").alias("rows"))
+    held = written(segments(known, cutter, repeated_anchors(counted, "rows > 1")), "segments")
 
-    distinct = held.groupBy("anchor", "skey", "seg").agg(F.min("doc_id").alias("least"))
-    found = by_shard(distinct, shard_minima(window), "array<long>")
-    hits = held.drop("seg").join(found, ["anchor", "skey"]).select("key", "tid", F.expr("filter(transform(found, (x, i) -> if(x < doc_id, int(start + i), null)), p -> p IS NOT NULL)").alias("at"))
-    marks = hits.filter("size(at) > 0").groupBy("key", "tid").agg(F.flatten(F.collect_list("at")).alias("marks"))
+    distinct = held.groupBy("anchor", "skey", "seg").agg(F.min("key").alias("least"))
+    found = written(by_shard(distinct, shard_minima(window), "array<long>"), "segment-minima")
+    hits = held.drop("seg").join(found, ["anchor", "skey"]).select("key", "tag", F.expr("filter(transform(found, (x, i) -> if(x < key, int(start + i), null)), p -> p IS NOT NULL)").alias("at"))
+    marks = hits.filter("size(at) > 0").groupBy("key", "tag").agg(F.flatten(F.collect_list("at")).alias("marks"))
 
     def removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -128,7 +129,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out.append((doc, n, gone, raw))
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept"]).astype({"doc_id": "Int64"})
 
-    marked = rows.join(marks, ["key", "tid"], "left").select("doc_id", "text", "marks")
+    marked = rows.join(marks, ["key", "tag"], "left").select("doc_id", "text", "marks")
     return marked.mapInPandas(removed, "doc_id long, n_words long, n_removed long, kept binary")
 
 

@@ -46,7 +46,8 @@ class ByteCutter(Cutter):
 
     def symbols(self, pieces):
         buffer = b"".join(pieces)
-        return np.frombuffer(buffer, np.uint8), np.concatenate(([0], np.cumsum([len(p) for p in pieces]))), lambda a, b: buffer[a:b]
+        place = np.arange(len(buffer) + 1)
+        return np.frombuffer(buffer, np.uint8), np.concatenate(([0], np.cumsum([len(p) for p in pieces]))), buffer, place[:-1], place[1:]
 
 
 def repeated_suffixes(raw: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
@@ -107,9 +108,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held = written(segments(rows, cutter, repeated_anchors(counted, "places > 1")), "segments")
 
     distinct = held.groupBy("anchor", "skey", "seg").agg(F.count("*").alias("copies"))
-    found = by_shard(distinct, shard_repeats(window), "array<int>")
-    hits = held.drop("seg").join(found.filter("size(found) > 0"), ["anchor", "skey"]).select("key", "tid", F.expr("transform(found, (x, i) -> if(i % 2 = 0, int(start + x), x))").alias("spans"))
-    marks = hits.groupBy("key", "tid").agg(F.flatten(F.collect_list("spans")).alias("marks"))
+    found = written(by_shard(distinct, shard_repeats(window), "array<int>").filter("size(found) > 0"), "segment-repeats")
+    hits = held.drop("seg").join(found, ["anchor", "skey"]).select("key", "tag", F.expr("transform(found, (x, i) -> if(i % 2 = 0, int(start + x), x))").alias("spans"))
+    marks = hits.groupBy("key", "tag").agg(F.flatten(F.collect_list("spans")).alias("marks"))
 
     def removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -128,7 +129,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out.append((doc, len(raw), gone, spans, kept))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]).astype({"doc_id": "Int64"})
 
-    marked = rows.join(marks, ["key", "tid"], "left").select("doc_id", "text", "marks")
+    marked = rows.join(marks, ["key", "tag"], "left").select("doc_id", "text", "marks")
     return marked.mapInPandas(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
