@@ -1,95 +1,127 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source is cut into blocks of rows.  With integer shares n_s of a period P, the j-th block of a source in a
-period is released at floor((j - 1) P / n_s) and due at ceil(j P / n_s); earliest deadline first fills one slot
-after another.  At any slot every source is less than one block away from its target.  Deviation is nought at
-the end of a period, so one period is planned and every later one repeats it: the slot of a block is
-arithmetic, and the plan does not grow with the corpus.
+Each source is cut into blocks of rows.  With its exact weight w (a rational number, all of them summing to 1), the j-th
+block of a source is released at floor((j - 1) / w) and due at ceil(j / w); earliest deadline first fills one slot
+after another.  At any slot every source is less than one block away from its target, however many slots went before:
+weights are not rounded, so nothing adds up.
 
-When a source runs out, a new phase begins: the others share the slots in the same proportions.  No row is
-dropped and none repeats.
+When a source runs out, a new phase begins: the others share the slots in the same proportions, and releases and deadlines
+count from its first slot.  No row is dropped and none repeats.
 
-The plan is made on the driver from one count for each source (at most MOST_SOURCES); rows are numbered inside a source by (source, bucket of
+The plan is made on the driver from one count for each source (at most MOST_SOURCES), block by block, and goes to a table in
+the shared folder with PERIOD blocks of a source in a row; rows are numbered inside a source by (source, bucket of
 the id's hash), so a source with most rows is spread over many tasks.
 
 Defined cases: a null source is a source of its own; rows with a null id or repeated rows get places of
 their own; a source without a weight gets the square root of its share of rows; weights of sources that are absent count
-for nothing; an empty table gives an empty result; other columns are kept by mix() and ignored by the query.
+for nothing; a source of weight nought follows when those with a weight have run out; a negative weight is an error; an empty table gives an empty result; other columns are kept by mix() and ignored by the query.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrystone.llm.common import read_table, written
+from quarrystone.llm.common import read_table, scratch_path, written
 
 BLOCK_ROWS, PERIOD, BUCKETS, MOST_SOURCES = 32, 1000, 4096, 1000
 NO_SOURCE = "\0"
-
-
-def integer_shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Shares of at least 1 that sum to period (or the number of sources), by largest remainder."""
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    shares = {s: max(1, int(x)) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s)):
-        if sum(shares.values()) >= period:
-            break
-        shares[s] += 1
-    return shares
-
-
-def earliest_deadline_first(shares: dict[str, int]) -> list[str]:
-    """The source of each slot of one period."""
-    period = sum(shares.values())
-    window = lambda s, j: ((j - 1) * period // shares[s], -(-j * period // shares[s]))
-    later = [(0, s, 1) for s in sorted(shares)]
-    heapq.heapify(later)
-    ready: list[tuple[int, str, int]] = []
-    slots = []
-    for slot in range(period):
-        while later and later[0][0] <= slot:
-            _, s, j = heapq.heappop(later)
-            heapq.heappush(ready, (window(s, j)[1], s, j))
-        _, s, j = heapq.heappop(ready)
-        slots.append(s)
-        if j < shares[s]:
-            heapq.heappush(later, (window(s, j + 1)[0], s, j + 1))
-    return slots
-
-
-def plan(rows: dict[str, int], shares: dict[str, int], block_rows: int) -> list[tuple]:
-    """(source, first_block, end_block, share, period, base, offsets): the slot of block k is
-    base + (k - first_block) // share * period + offsets[(k - first_block) % share]."""
+#: Slots whose plan the driver writes at once.
+PLAN_SLOTS = 1_000_000
+PLAN = "_mix_source string, _mix_piece long, slots array<long>"
+
+
+def exact_shares(weights: dict[str, float | Fraction]) -> dict[str, int]:
+    """Integers in exactly the proportions of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    if any(w < 0 for w in exact.values()):
+        raise ValueError("a weight is negative")
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * scale) for s, w in exact.items()}
+
+
+def earliest_deadline_first(left: dict[str, int], shares: dict[str, int]) -> Iterator[str]:
+    """The source of each slot until every source has placed its left blocks.
+
+    At the start of a phase all sources wait for their first block, in the order of their shares, which is that of the deadlines; only
+    those that got a slot enter the heaps, so a new phase costs nothing for the others."""
+    left = dict(left)
+    place = lambda s: (-shares[s], s)
+    order = sorted(left, key=place)
+    total = sum(shares[s] for s in order)
+    while order:
+        fresh, slot = 0, 0
+        later: list[tuple[int, str, int]] = []
+        ready: list[tuple[int, str, int]] = []
+        while True:
+            while later and later[0][0] <= slot:
+                _, s, j = heapq.heappop(later)
+                heapq.heappush(ready, (-(-j * total // shares[s]), s, j))
+            if fresh < len(order) and (not ready or -(-total // shares[order[fresh]]) <= ready[0][0]):
+                s, j = order[fresh], 1
+                fresh += 1
+            else:
+                _, s, j = heapq.heappop(ready)
+            yield s
+            slot += 1
+            left[s] -= 1
+            if not left[s]:
+                break
+            heapq.heappush(later, (j * total // shares[s], s, j + 1))
+        del order[bisect_left(order, place(s), key=place)]
+        total -= shares[s]
+
+
+def plan(rows: dict[str, int], weights: dict[str, float | Fraction], block_rows: int, period: int) -> Iterator[tuple[str, int, array]]:
+    """(source, piece, slots): block k of a source has the slot slots[k % period] in piece k // period."""
     left = {s: -(-n // block_rows) for s, n in rows.items() if n}
-    done = dict.fromkeys(left, 0)
-    base, found = 0, []
-    while left:
-        active = {s: shares[s] for s in left}
-        slots = earliest_deadline_first(active)
-        period = len(slots)
-        offsets: dict[str, list[int]] = {s: [] for s in active}
-        for slot, s in enumerate(slots):
-            offsets[s].append(slot)
-        # a source ends the phase in the slot of its last block
-        end = min((left[s] - 1) // n * period + offsets[s][(left[s] - 1) % n] + 1 for s, n in active.items())
-        whole, part = divmod(end, period)
-        for s, n in active.items():
-            used = whole * n + sum(o < part for o in offsets[s])
-            found.append((s, done[s], done[s] + used, n, period, base, offsets[s]))
-            done[s] += used
-            left[s] -= used
-        left = {s: n for s, n in left.items() if n}
-        base += end
-    return found
-
-
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+    shares = exact_shares({s: weights[s] for s in left})
+    first = {s: n for s, n in left.items() if shares[s]}
+    last = {s: n for s, n in left.items() if not shares[s]}
+    pieces = {s: (0, array("q")) for s in left}
+    slot = 0
+    for part, of in ((first, shares), (last, dict.fromkeys(last, 1))):
+        for s in earliest_deadline_first(part, of):
+            piece, slots = pieces[s]
+            slots.append(slot)
+            slot += 1
+            if len(slots) == period:
+                yield s, piece, slots
+                pieces[s] = piece + 1, array("q")
+    yield from ((s, piece, slots) for s, (piece, slots) in pieces.items() if slots)
+
+
+def plan_table(spark: SparkSession, steps: Iterator[tuple[str, int, array]]) -> DataFrame:
+    """The plan in the shared folder, written by parts as it is made."""
+    path = scratch_path(spark, "mix-plan")
+    schema = spark.createDataFrame([], PLAN).schema
+    sources, pieces, slots, held = [], [], [], 0
+
+    def write() -> None:
+        columns = pa.array(sources, pa.string()), pa.array(pieces, pa.int64()), pa.array([memoryview(x) for x in slots], pa.list_(pa.int64()))
+        spark.createDataFrame(pa.table(columns, names=schema.names), schema).coalesce(1).write.mode("append").parquet(path)
+        sources.clear(), pieces.clear(), slots.clear()
+
+    for s, piece, at in steps:
+        sources.append(s), pieces.append(piece), slots.append(at)
+        held += len(at)
+        if held >= PLAN_SLOTS:
+            write()
+            held = 0
+    write()
+    return spark.read.schema(schema).parquet(path)
+
+
+def mix(docs: DataFrame, weights: dict[str, float | Fraction] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
     """docs with _mix: struct(source, block, slot, within).  slot and within order the mixture."""
     spark = docs.sparkSession
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))
@@ -101,18 +133,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
         raise ValueError(f"more than {MOST_SOURCES} sources: give coarser ones")
     all_rows = sum(totals.values())
     wanted = {s: (weights or {}).get(s, math.sqrt(n / all_rows)) for s, n in totals.items()}
-    steps = plan(totals, integer_shares(wanted, max(period, len(wanted))), block_rows) if totals else []
-    schedule = spark.createDataFrame(steps, "_mix_source string, first long, end long, share long, period long, base long, offsets array<long>")
+    schedule = plan_table(spark, plan(totals, wanted, block_rows, period))
 
     offsets = counts.select("_mix_source", "_mix_bucket", F.coalesce(F.sum("n").over(Window.partitionBy("_mix_source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_mix_offset"))
     inside = named.withColumn("_mix_rank", F.row_number().over(Window.partitionBy("_mix_source", "_mix_bucket").orderBy(id_col)))
     ranked = inside.join(offsets, ["_mix_source", "_mix_bucket"]).withColumn("_mix_rank", F.col("_mix_offset") + F.col("_mix_rank") - 1)
     block = F.floor(F.col("_mix_rank") / block_rows)
-    s = schedule.alias("s")
-    placed = ranked.withColumn("_mix_block", block).join(F.broadcast(s), (F.col("s._mix_source") == ranked["_mix_source"]) & (F.col("_mix_block") >= F.col("s.first")) & (F.col("_mix_block") < F.col("s.end")))
-    at = F.col("_mix_block") - F.col("s.first")
-    slot = F.col("s.base") + F.floor(at / F.col("s.share")) * F.col("s.period") + F.get("s.offsets", (at % F.col("s.share")).cast("int"))
-    return placed.select(*(ranked[c] for c in docs.columns), F.struct(ranked["_mix_source"].alias("source"), F.col("_mix_block").alias("block"), slot.alias("slot"), (F.col("_mix_rank") % block_rows).alias("within")).alias("_mix"))
+    blocks = ranked.withColumn("_mix_block", block).withColumn("_mix_piece", F.floor(F.col("_mix_block") / period))
+    placed = blocks.join(schedule, ["_mix_source", "_mix_piece"])
+    slot = F.get("slots", (F.col("_mix_block") % period).cast("int"))
+    return placed.select(*docs.columns, F.struct(F.col("_mix_source").alias("source"), F.col("_mix_block").alias("block"), slot.alias("slot"), (F.col("_mix_rank") % block_rows).alias("within")).alias("_mix"))
 
 
 def in_mixed_order(mixed: DataFrame) -> DataFrame:

@@ -287,6 +287,25 @@ def test_mixing_keeps_rows_and_stays_within_a_block(docs, spark):
     assert mixing.in_mixed_order(mixing.mix(docs)).columns == docs.columns
 
 
+@pytest.mark.parametrize("weights", [{"a": 1 / 3, "b": 2 / 3}, {"a": 1.0, "b": 1 / 5000}, None])
+def test_mixing_does_not_drift_over_many_periods(spark, weights):
+    n = {"a": 12_000, "b": 24_000} if weights else {"hot": 20_000} | {f"s{k}": 2_000 for k in range(20)}
+    ids = spark.createDataFrame([(i, s) for s in n for i in range(n[s])], "id long, source string")
+    got = mixing.mix(ids, weights, "id", block_rows=1).select("id", "_mix.*").toPandas().sort_values("slot")
+    assert list(got["slot"]) == list(range(sum(n.values())))
+    wanted = weights or {s: k**0.5 for s, k in n.items()}
+    first_end = got.groupby("source")["slot"].max().min()
+    for s, w in wanted.items():
+        placed = (got["source"] == s).to_numpy().cumsum()[: first_end + 1]
+        assert np.abs(placed - w / sum(wanted.values()) * np.arange(1, first_end + 2)).max() < 1 + 1e-9
+
+
+def test_mixing_of_weight_nought(spark):
+    ids = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(40)], "id long, source string")
+    got = mixing.mix(ids, {"a": 1, "b": 0}, "id", block_rows=1).select("source", "_mix.slot").toPandas().sort_values("slot")
+    assert list(got["source"]) == ["a"] * 20 + ["b"] * 20
+
+
 def test_html():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><a href=x>menu</a></nav><div class="ad">buy</div>
     <article class=post><header><h1>Head &amp; line</h1></header><p><b>One<br>two</b> <i>three</i><p>Four &lt;tag&gt;<ul><li>five<li>six</ul><div id=comments><p>spam</p></div></article>
