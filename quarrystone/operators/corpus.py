@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Characters of a packed shard and of a split record.
 SHARD_CHARS, CHUNK_CHARS = 24_000, 60_000
+#: A long as 64 bits, whatever its sign.
+ALL_BITS = (1 << 64) - 1
 
 
 def packed(records: DataFrame, group: str, order: str, size: str, capacity: int = SHARD_CHARS) -> DataFrame:
@@ -53,19 +55,55 @@ def union_balance(union: DataFrame, field: str) -> DataFrame:
     return union.groupBy(field).agg(F.sum("records").alias("records_in"), F.count("*").alias("values_out")).withColumn("duplicates", F.col("records_in") - F.col("values_out"))
 
 
+def sign_bits(vector: Column) -> Column:
+    """The signs of all components (at most 64) as one long."""
+    return F.aggregate(vector, F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR((x > 0).cast("long")))
+
+
+def block_edges(blocks: int) -> list[tuple[int, int]]:
+    """The first bit of each of so many blocks of 64 bits, and the one after its last."""
+    return [(64 * i // blocks, 64 * (i + 1) // blocks) for i in range(blocks)]
+
+
+def near_pairs(frames: DataFrame, group: str, order: str, bits: str, most: int = 3) -> DataFrame:
+    """Pairs of frames of a group whose 64 bits differ in at most most bits.
+
+    Bits that differ in at most most places agree in one of most + 1 blocks, so frames meet by block and value; a pair
+    that agrees in several blocks is made in the first of them only."""
+    edges = block_edges(most + 1)
+    block_of = lambda c, low, high: F.shiftrightunsigned(c, low).bitwiseAND(F.lit((1 << high - low) - 1).cast("long"))
+    values = [block_of(F.col("b"), low, high) for low, high in edges]
+    rows = frames.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(bits).alias("b"))
+    keyed = rows.select("g", "o", "b", F.posexplode(F.array(*values)).alias("place", "value"))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    joined = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.place") == F.col("b.place")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.o") < F.col("b.o")))
+    differ = F.col("a.b").bitwiseXOR(F.col("b.b"))
+    earlier = F.lit(False)
+    for place, (low, high) in enumerate(edges):
+        earlier |= (F.col("a.place") > place) & (block_of(differ, low, high) == 0)
+    apart = F.bit_count(differ)
+    return joined.filter((apart <= most) & ~earlier).select(F.col("a.o").alias("left_id"), F.col("b.o").alias("right_id"), apart.cast("int").alias("bits"))
+
+
 def kept_frames(frames: DataFrame, group: str, order: str, bits: str, least: int = 3) -> DataFrame:
-    """Frames of each group in order that differ in more than least bits from every frame kept before."""
+    """Frames of each group in order that differ in more than least bits from every frame kept before.
+
+    A frame is compared with those kept that agree with it in one of least + 1 blocks of bits; no other can be within least bits."""
+    edges = [(low, (1 << high - low) - 1) for low, high in block_edges(least + 1)]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held = None, []
+        now, held = None, {}
         for batch in batches:
             keep = []
-            for g, b in zip(batch["g"], batch["b"]):
+            for g, b in zip(batch["g"], batch["b"].tolist()):
                 if g != now:
-                    now, held = g, []
-                new = all((b ^ h).bit_count() > least for h in held)
+                    now, held = g, {}
+                b &= ALL_BITS
+                keys = [(place, b >> low & mask) for place, (low, mask) in enumerate(edges)]
+                new = all((b ^ h).bit_count() > least for key in keys for h in held.get(key, ()))
                 if new:
-                    held.append(b)
+                    for key in keys:
+                        held.setdefault(key, []).append(b)
                 keep.append(new)
             yield pd.DataFrame({"g": batch["g"], "o": batch["o"], "kept": keep})
 

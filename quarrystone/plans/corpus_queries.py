@@ -154,11 +154,23 @@ def frames_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.kept_frames(table(spark, sf_dir, "embeddings").select("label", "vec_id", bits.alias("bits")), "label", "vec_id", "bits", 2)
 
 
+def frame_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a label whose 64 signs differ in at most three bits, as the reference compares its hashes; frame_pairs and its SQL judge 16."""
+    v = table(spark, sf_dir, "embeddings").select("label", "vec_id", corpus.sign_bits(F.col("embedding")).alias("bits"))
+    return corpus.near_pairs(v, "label", "vec_id", "bits")
+
+
+def frames_kept_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold of frames_kept over all 64 signs with the reference's threshold of three bits; frames_kept judges 12."""
+    v = table(spark, sf_dir, "embeddings").select("label", "vec_id", corpus.sign_bits(F.col("embedding")).alias("bits"))
+    return corpus.kept_frames(v, "label", "vec_id", "bits")
+
+
 def size_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.human_bytes(F.octet_length(F.coalesce("text", F.lit(""))).cast("double")).alias("size"))
 
 
-QUERIES = {f.__name__: f for f in (invoice_classify, money_parse, id_infer, field_route, greedy_pack, record_fragments, exact_union, union_balance, pagination_summary, multiset_fingerprint, summed_fingerprint, page_stability, bijection, path_difference, resource_resolution, failure_coverage, repair_merge, metric_diff, capped_payload, frame_pairs, frames_kept, size_labels)}
+QUERIES = {f.__name__: f for f in (invoice_classify, money_parse, id_infer, field_route, greedy_pack, record_fragments, exact_union, union_balance, pagination_summary, multiset_fingerprint, summed_fingerprint, page_stability, bijection, path_difference, resource_resolution, failure_coverage, repair_merge, metric_diff, capped_payload, frame_pairs, frames_kept, frame_pairs_whole, frames_kept_whole, size_labels)}
 
 _CANON = r"""
 q AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS base, list_sort(list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\?(.*)$', 1), '&'), lambda p: p <> '')) AS pairs, url FROM pages),
@@ -209,5 +221,7 @@ SELECT coalesce(o.source, n.source) AS metric, coalesce(o.n, 0) AS old, coalesce
     "capped_payload": "SELECT c_custkey, c_name, (SELECT count(*) FROM customer) AS total_rows FROM customer ORDER BY c_custkey LIMIT 100",
     "frame_pairs": """WITH v AS (SELECT vec_id, label, list_reduce(list_prepend(0, list_transform(embedding[1:16], lambda x: (x > 0)::int)), lambda a, x: a * 2 + x) AS b FROM embeddings)
 SELECT a.vec_id AS left_id, b.vec_id AS right_id, bit_count(xor(a.b, b.b))::int AS bits FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND bit_count(xor(a.b, b.b)) <= 1""",
+    "frame_pairs_whole": """WITH v AS (SELECT vec_id, label, list_reduce(list_prepend(0::hugeint, list_transform(embedding, lambda x: (x > 0)::hugeint)), lambda a, x: a * 2 + x) AS b FROM embeddings)
+SELECT a.vec_id AS left_id, b.vec_id AS right_id, bit_count(xor(a.b, b.b))::int AS bits FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND bit_count(xor(a.b, b.b)) <= 3""",
     "size_labels": """WITH s AS (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents) SELECT doc_id, CASE WHEN n >= 1048576 THEN printf('%.1f MiB', n / 1048576.0) WHEN n >= 1024 THEN printf('%.1f KiB', n / 1024.0) ELSE printf('%d B', n) END AS size FROM s""",
 }

@@ -1,3 +1,6 @@
+import random
+
+import duckdb
 import pytest
 
 from tests.compare import assert_same
@@ -40,3 +43,30 @@ def test_frames_kept_against_a_loop(spark):
             new = all((bits ^ h).bit_count() > 2 for h in held)
             assert r.kept == new
             held += [bits] * new
+
+
+def test_whole_frames_use_all_components(spark, tmp_path):
+    r = random.Random(11)
+    frames = []
+    for label in range(3):
+        seeds = [[r.choice((-1.0, 1.0)) for _ in range(64)] for _ in range(4)]
+        for k in range(60):
+            signs = list(r.choice(seeds))
+            for place in r.sample(range(64) if k % 2 else range(16, 64), r.randrange(8)):
+                signs[place] *= -1
+            frames.append((label * 1000 + k, label, [x * r.uniform(0.1, 2) for x in signs]))
+    spark.createDataFrame(frames, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    bits = {i: int("".join("1" if x > 0 else "0" for x in v), 2) for i, _, v in frames}
+    want = {(a, b, (bits[a] ^ bits[b]).bit_count()) for a, la, _ in frames for b, lb, _ in frames if la == lb and a < b and (bits[a] ^ bits[b]).bit_count() <= 3}
+    found = catalogue.QUERIES["frame_pairs_whole"](spark, str(tmp_path)).collect()
+    assert len(found) == len(want) > 0 and {tuple(x) for x in found} == want
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert_same(catalogue.QUERIES["frame_pairs_whole"](spark, str(tmp_path)), con.sql(catalogue.ORACLES["frame_pairs_whole"]).df())
+    kept = {x.vec_id: x.kept for x in catalogue.QUERIES["frames_kept_whole"](spark, str(tmp_path)).collect()}
+    held: dict[int, list[int]] = {}
+    for i, label, _ in frames:
+        new = all((bits[i] ^ h).bit_count() > 3 for h in held.setdefault(label, []))
+        held[label] += [bits[i]] * new
+        assert kept[i] == new
+    assert len(set(kept.values())) == 2
