@@ -1,7 +1,9 @@
 """Main text of web pages by composite text density.
 
 The page becomes a tree.  Subtrees that are no article text whatever their density (scripts, styles, menus, headers, footers, sidebars,
-notices, adverts, forms, reader comments) are set aside.  For every other node the composite
+notices, adverts, forms, reader comments) are set aside.  An element that only its class or id sets aside must be named so as a whole
+(sidebar, cookie-notice; not has-comments or widget-content), and it stays if it holds the main element, all articles of the page or, on a page without
+an article, most of its text; reader comments then stay only if they hold all of it.  For every other node the composite
 density relates its characters to its tags and corrects for link text; a node's density sum adds up its
 children's densities.  The node with the greatest sum leads; the least density on its path to the body is the
 threshold, and every subtree that reaches it gives its own node of greatest sum.  If a chosen node lies in an article
@@ -38,12 +40,15 @@ ASIDE_TAGS = frozenset(
     "script style noscript template iframe object embed applet canvas svg audio video map head title nav footer aside form button select textarea input "
     "option datalist dialog menu noembed noframes".split()
 )
-#: Words of a class or id that say the same, and roles.
+#: A class or id made up of such words only says the same, and roles.
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising advertisment adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices "
     "popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar masthead footer comment comments disqus reply replies respond social share sharing "
     "related recommended recommendations widget widgets newsletter subscribe subscription signup login toolbar pagination pager skip".split()
 )
+COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
+#: What an article element of a reader is called.
+COMMENT_NAMES = frozenset("comment comments comment-body comment-item comment-content comment-entry comment-wrapper".split())
 ASIDE_NAMES = frozenset("header site-header page-header top-header siteheader pageheader".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 KEPT_TAGS = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
@@ -53,6 +58,8 @@ STOPS = frozenset("ul ol dl table select article section div body main aside nav
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body", "legend"}
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""", re.S)
+#: What sets an element aside: nothing, its name, its name as that of reader comments, or itself.
+NOT_ASIDE, NAMED, COMMENTS, ASIDE = range(4)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -61,7 +68,7 @@ class Page:
     """A parsed page: nodes in document order with their parents, and pieces of text."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.aside = ["#root"], [-1], [False]
+        self.tag, self.parent, self.aside, self.named = ["#root"], [-1], [False], [NOT_ASIDE]
         self.texts: list[tuple[int, int, str]] = []  # node, block, text
         self._stack, self._block = [0], 0
         at = 0
@@ -88,6 +95,8 @@ class Page:
                 close = re.compile(f"</{name}(?=[\\s/>]|\\Z)", re.I).search(html, at)
                 self._text(html[at : close.start() if close else size])
                 at = close.start() if close else size
+        if any(self.named):
+            self._set_aside_by_name()
 
     def _text(self, text: str) -> None:
         self.texts.append((self._stack[-1], self._block, text))
@@ -122,7 +131,9 @@ class Page:
         above = self._stack[-1]
         self.tag.append(name)
         self.parent.append(above)
-        self.aside.append(self.aside[above] or self._is_aside(name, attributes))
+        kind = self._kind(name, attributes)
+        self.aside.append(self.aside[above] or kind == ASIDE)
+        self.named.append(kind if kind != ASIDE else NOT_ASIDE)
         if name not in VOID and not (attributes.endswith("/") and name not in BLOCK and name not in RAW and name not in ("a", "b", "i", "span", "em", "strong")):
             self._stack.append(len(self.tag) - 1)
 
@@ -135,29 +146,58 @@ class Page:
             if name not in BLOCK and tag in STOPS:
                 return
 
-    def _is_aside(self, name: str, attributes: str) -> bool:
+    def _kind(self, name: str, attributes: str) -> int:
         if name in ASIDE_TAGS:
-            return True
+            return ASIDE
         inside = any(self.tag[n] in ("article", "main") for n in self._stack)
         if name == "header" and not inside:
-            return True
+            return ASIDE
         if not attributes or name in KEPT_TAGS:
-            return False
+            return NOT_ASIDE
+        found = NOT_ASIDE
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), unescape((m[2] or "").strip("\"'"))
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                return True
+                return ASIDE
             if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return ASIDE
             if key == "role" and value.lower() in ASIDE_ROLES:
-                return True
+                return ASIDE
             if key in ("class", "id"):
-                words = {w.lower() for w in _WORDS.findall(value)}
-                if name == "article":
-                    words &= {"comment", "comments"}
-                if words & ASIDE_WORDS or not inside and any(part.lower() in ASIDE_NAMES for part in value.split()):
-                    return True
-        return False
+                for part in value.split():
+                    words = {w.lower() for w in _WORDS.findall(part)}
+                    if name == "article":
+                        if part.lower() in COMMENT_NAMES:
+                            found = COMMENTS
+                    elif words and words <= ASIDE_WORDS:
+                        found = max(found, COMMENTS if words & COMMENT_WORDS else NAMED)
+                    if not inside and part.lower() in ASIDE_NAMES:
+                        found = max(found, NAMED)
+        return found
+
+    def _set_aside_by_name(self) -> None:
+        """Sets aside what is named so, unless the page would lose its article by it."""
+        n, parent, tag, named = len(self.tag), self.parent, self.tag, self.named
+        chars, mains, articles, below = [0] * n, [0] * n, [0] * n, [False] * n
+        for node, _, text in self.texts:
+            if not self.aside[node]:
+                chars[node] += len(text.strip())
+        for i in range(n - 1, 0, -1):
+            if not self.aside[i]:
+                if chars[i] and not named[i]:
+                    mains[i] += tag[i] == "main"
+                    articles[i] += tag[i] == "article"
+                for of in (chars, mains, articles):
+                    of[parent[i]] += of[i]
+        article_outside = False
+        for i in range(1, n):
+            below[i] = below[parent[i]] or named[i] != NOT_ASIDE
+            article_outside |= not below[i] and not self.aside[i] and chars[i] > 0 and tag[i] in ("article", "main")
+        for i in range(1, n):
+            if named[i] and not self.aside[i]:
+                much = chars[i] == chars[0] if named[i] == COMMENTS else 2 * chars[i] > chars[0]
+                self.aside[i] = not (mains[i] or not article_outside and (articles[i] or much))
+            self.aside[i] |= self.aside[parent[i]]
 
     def main_text(self) -> str:
         chosen = self._chosen()

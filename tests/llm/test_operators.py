@@ -316,6 +316,23 @@ def test_html():
     assert html_extract.main_text(blog).startswith("long text") and "link" not in html_extract.main_text(blog)
 
 
+@pytest.mark.parametrize("wrapper", ['class="content no-sidebar"', 'class="layout with-sidebar"', 'class="has-comments"', 'id="widget-content"', 'class="sidebar"', 'id="comments"'])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_html_wrappers_named_after_side_matter(wrapper, tag):
+    text = "Long sentences of the article. " * 20
+    page = f'<body><div {wrapper}><{tag}><p>{text}</p><p>{text}</p></{tag}><div class="cookie-notice">We use cookies</div></div></body>'
+    assert html_extract.main_text(page) == "\n".join([text.strip()] * 2)
+
+
+def test_html_side_matter_by_name():
+    text, more = "Long sentences of the article. " * 20, "Much more that readers say. " * 90
+    for side in ('<div id="comments"><article class="comment-body"><p>{}</p></article></div>', '<ul class="commentReplies"><li><p>{}</p></ul>', '<section class="x comments"><p>{}</p></section>'):
+        assert html_extract.main_text(f"<body><div><p>{text}</p></div>{side.format(more)}</body>") == text.strip()
+    assert html_extract.main_text('<body><div class="ad">An advert that is longer than the article.</div><article><p>Short.</p></article></body>') == "Short."
+    card = '<div class="related"><article><p>Another page</p></article></div>'
+    assert html_extract.main_text(f"<body><article><p>{text}</p></article>{card}</body>") == text.strip()
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", 3), (1, "u", "<p>a</p>", 3), (None, None, None, 3)], "page_id long, url string, html string, text int")
     assert pairs(html_extract.extract_pages(pages), "page_id", "url", "text", "n_chars") == expect([(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0)])
