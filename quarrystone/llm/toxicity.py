@@ -12,7 +12,8 @@ Models are fitted on the driver from at most SAMPLE_ROWS labelled rows, taken in
 reads every row and whole texts.
 
 Defined cases: a null or empty text holds no words; rows without labels are scored as all others; labels
-for unknown ids and null labels are left out; a category without both classes in the sample has the constant
+for unknown ids and null labels are left out; repeated labels of an id count as one, set if any of them is, and of the texts of a
+repeated id the least is fitted, so no more than SAMPLE_ROWS texts reach the driver; a category without both classes in the sample has the constant
 probability 0 or 1 that it shows, 0 with no labels at all; an empty table gives an empty result;
 other columns are ignored.
 """
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 from quarrystone.llm.common import read_table, small_batches
 
 #: Bounds of fitting: labelled rows, features for each category, rows that hold a feature and its chi-square at least.
-SAMPLE_ROWS, FEATURES, LEAST_ROWS, LEAST_CHI = 10_000, 1_000, 4, 25.0
+SAMPLE_ROWS, FEATURES, LEAST_ROWS, LEAST_CHI = 12_000, 1_000, 4, 25.0
 #: Features are told apart by a hash of so many values.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 22
 FOLDS, RIDGE, STEPS = 4, 3e-6, 120
 REJECT_AT = 0.3
 #: Words whose features a worker remembers.
@@ -184,7 +185,7 @@ def fit_chain(texts: list[str], labels: np.ndarray, names: list[str]) -> Chain:
     rows, buckets = np.repeat(np.arange(len(held), dtype=np.int32), [len(h) for h in held]), np.concatenate(held)
     del held, known
     fitted.number = number = informative(rows, buckets, labels)
-    place = np.full(BUCKETS, -1)
+    place = np.full(BUCKETS, -1, np.int32)
     place[list(number)] = list(number.values())
     chosen = place[buckets] >= 0
     rows, cols = rows[chosen], place[buckets[chosen]]
@@ -212,8 +213,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     flags = [F.coalesce(F.expr(condition), F.lit(False)).cast("int").alias(f"c{i}") for i, (_, condition) in enumerate(categories)]
     wanted = labels.filter("quality IS NOT NULL AND toxic IS NOT NULL") if {"quality", "toxic"} <= set(labels.columns) else labels
     wanted = wanted.select(F.col(id_col).cast("long").alias("id"), *flags).filter("id IS NOT NULL")
+    wanted = wanted.groupBy("id").agg(*(F.max(f"c{i}").alias(f"c{i}") for i in range(len(categories))))
     sample = wanted.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "id").toArrow()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "id")
+    rows = rows.groupBy("id", *(f"c{i}" for i in range(len(categories)))).agg(F.min("text").alias("text")).toArrow()
     rows = rows.sort_by([("id", "ascending"), ("text", "ascending")])
     flags = np.array([rows.column(f"c{i}").to_numpy() for i in range(len(categories))]).T.reshape(len(rows), len(categories))
     texts = rows.column("text").to_pylist()

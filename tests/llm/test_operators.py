@@ -380,3 +380,13 @@ def test_toxicity_chain(spark):
     none = toxicity.train(docs, labels.limit(0))
     assert toxicity.without_toxic(docs, none).count() == len(texts)
     assert toxicity.without_toxic(docs.limit(0), chain).count() == 0
+
+
+def test_toxicity_fits_at_most_the_sample(spark, monkeypatch):
+    assert toxicity.SAMPLE_ROWS == 12_000 and toxicity.BUCKETS == 1 << 22
+    fitted = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda texts, flags, names: fitted.extend(texts))
+    texts = spark.createDataFrame([(i % 10, f"text {i}") for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 10, 1, i % 2) for i in range(30)], "doc_id long, quality int, toxic int")
+    toxicity.train(texts, labels, sample_rows=7)
+    assert len(fitted) == 7
