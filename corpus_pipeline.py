@@ -8,8 +8,8 @@ written as Parquet and read again as the docs of the next.  All but the last ret
    first document of each SimHash component (whole texts, three words to a shingle, three bits).  4. mix lays the rows out
    in the order of the Pfair schedule; it drops none.  5. bpe encodes and decodes every text that is left.
 
-Rows without an id are judged by stage 1 and 2 as all others and pass stage 3; rows that share an id but not a text stay or go
-together in stage 3.
+Rows without an id, and rows that share one, are judged as all others: exactly one row of a group stays in stage 3, the
+one with the least id; rows without an id come last.
 """
 
 from __future__ import annotations
@@ -44,9 +44,12 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    found = simhash_components(docs)
-    kept = found.filter("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    found = simhash_components(keyed, "__row").select(F.col("doc_id").alias("__row"), F.coalesce("component_id", "doc_id").alias("__component"))
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.col("__row").alias("row"))
+    ranked = keyed.select("__row", place.alias("__place")).join(found, "__row")
+    kept = ranked.groupBy("__component").agg(F.min("__place")["row"].alias("__row")).select("__row")
+    return keyed.join(kept, "__row", "left_semi").drop("__row")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,3 +39,13 @@ def test_pipeline_against_plain_python(spark):
     coder = bpe.PrefixBpe(bpe.byte_bpe_path())
     want = {(i, len(coder.encode(left[i])), hashlib.sha256(left[i].encode()).hexdigest()) for i in near}
     assert {(r.doc_id, r.n_tokens, r.decoded_sha256) for r in corpus_pipeline.run(spark, SMALL).collect()} == want
+
+
+def test_near_keeps_one_row_of_each_group(spark):
+    small_batches(spark)
+    base, other, third = (" ".join(f"{w}{k}" for k in range(60)) for w in "abc")
+    rows = [(None, base), (3, base), (None, base), (None, other), (None, other), (5, third), (5, other + " x y z quite another end of it " + base[::-1]), (4, third)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[1], rows[3], rows[6], rows[7]]))
