@@ -8,7 +8,7 @@ weights are not rounded, so nothing adds up.
 When a source runs out, a new phase begins: the others share the slots in the same proportions, and releases and deadlines
 count from its first slot.  No row is dropped and none repeats.
 
-The plan is made on the driver from one count for each source (at most MOST_SOURCES), block by block, and goes to a table in
+The plan is made on the driver from one count for each source, block by block, and goes to a table in
 the shared folder with PERIOD blocks of a source in a row; rows are numbered inside a source by (source, bucket of
 the id's hash), so a source with most rows is spread over many tasks.
 
@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 
 from quarrystone.llm.common import read_table, scratch_path, written
 
-BLOCK_ROWS, PERIOD, BUCKETS, MOST_SOURCES = 32, 1000, 4096, 1000
+BLOCK_ROWS, PERIOD, BUCKETS = 32, 1000, 4096
 NO_SOURCE = "\0"
 #: Slots whose plan the driver writes at once.
 PLAN_SLOTS = 1_000_000
@@ -128,9 +128,7 @@ def mix(docs: DataFrame, weights: dict[str, float | Fraction] | None = None, id_
     bucket = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(BUCKETS))
     named = docs.withColumn("_mix_source", source).withColumn("_mix_bucket", F.when(F.col(id_col).isNull(), F.pmod(F.xxhash64(*docs.columns), F.lit(BUCKETS))).otherwise(bucket))
     counts = written(named.groupBy("_mix_source", "_mix_bucket").agg(F.count("*").alias("n")), "mix-counts")
-    totals = {r[0]: r[1] for r in counts.groupBy("_mix_source").agg(F.sum("n")).limit(MOST_SOURCES + 1).collect()}
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: give coarser ones")
+    totals = dict(counts.groupBy("_mix_source").agg(F.sum("n")).toLocalIterator())
     all_rows = sum(totals.values())
     wanted = {s: (weights or {}).get(s, math.sqrt(n / all_rows)) for s, n in totals.items()}
     schedule = plan_table(spark, plan(totals, wanted, block_rows, period))

@@ -300,6 +300,13 @@ def test_mixing_does_not_drift_over_many_periods(spark, weights):
         assert np.abs(placed - w / sum(wanted.values()) * np.arange(1, first_end + 2)).max() < 1 + 1e-9
 
 
+def test_mixing_of_more_than_a_thousand_sources(spark):
+    ids = spark.range(9000).select("id", F.concat(F.lit("site "), F.expr("id % 1500")).alias("source"))
+    got = mixing.mix(ids, id_col="id", block_rows=1).select("id", "source", "_mix.slot").toPandas().sort_values("slot")
+    assert sorted(got["id"]) == list(range(9000)) and list(got["slot"]) == list(range(9000))
+    assert got["source"][:1500].nunique() == 1500
+
+
 def test_mixing_of_weight_nought(spark):
     ids = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(40)], "id long, source string")
     got = mixing.mix(ids, {"a": 1, "b": 0}, "id", block_rows=1).select("source", "_mix.slot").toPandas().sort_values("slot")
