@@ -79,6 +79,15 @@ def test_parents_and_cycles(spark):
     assert {r.mail_id for r in without_cycles(checked, "thread", 3).filter("broken").collect()} == {"c"}
 
 
+def test_long_chains_and_several_cycles(spark):
+    chain = [(1, f"m{k:03}", f"m{k - 1:03}" if k else None, "1") for k in range(100)]
+    rings = [(1, f"{name}{k:02}", f"{name}{(k + 1) % n:02}", "1") for name, n in (("p", 2), ("q", 37)) for k in range(n)]
+    checked = checked_parents(spark.createDataFrame(chain + rings + [(1, "r", "q05", "1")], "thread long, mail_id string, parent_id string, local_key string"))
+    found = {r.mail_id: r.cycle for r in cycle_members(checked, 3).collect()}
+    assert found == {m: m[0] + "00" for _, m, _, _ in rings}
+    assert {r.mail_id for r in without_cycles(checked, "thread", 3).filter("broken").collect()} == {"p01", "q36"}
+
+
 def test_gates_fail_closed(spark):
     ok, bad = gate("A", spark.range(0)), gate("B", spark.range(3))
     enforce(report(ok))
