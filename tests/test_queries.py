@@ -13,7 +13,7 @@ from quarrystone.plans import catalogue
 def test_query_matches_sql(spark, duck, name):
     df = catalogue.QUERIES[name](spark, SMALL)
     if name in catalogue.ORACLES:
-        assert_same(df, duck.sql(catalogue.ORACLES[name]).df())
+        assert_same(df, duck.sql(catalogue.ORACLES[name]))
     else:
         assert df.count() > 0
 
@@ -28,7 +28,7 @@ def test_partitions_do_not_change_results(spark, duck, partitions):
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
         for name in ("timeline_sequence", "attachment_numbering", "greedy_pack"):
-            assert_same(catalogue.QUERIES[name](spark, SMALL), duck.sql(catalogue.ORACLES[name]).df())
+            assert_same(catalogue.QUERIES[name](spark, SMALL), duck.sql(catalogue.ORACLES[name]))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
@@ -62,7 +62,7 @@ def test_whole_frames_use_all_components(spark, tmp_path):
     assert len(found) == len(want) > 0 and {tuple(x) for x in found} == want
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
-    assert_same(catalogue.QUERIES["frame_pairs_whole"](spark, str(tmp_path)), con.sql(catalogue.ORACLES["frame_pairs_whole"]).df())
+    assert_same(catalogue.QUERIES["frame_pairs_whole"](spark, str(tmp_path)), con.sql(catalogue.ORACLES["frame_pairs_whole"]))
     kept = {x.vec_id: x.kept for x in catalogue.QUERIES["frames_kept_whole"](spark, str(tmp_path)).collect()}
     held: dict[int, list[int]] = {}
     for i, label, _ in frames:
