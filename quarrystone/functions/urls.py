@@ -6,7 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Query names whose values are secret, and those of signatures that expire.
-SECRET_KEYS = ("signature", "token", "access_token", "authorization", "auth", "api_key")
+SECRET_KEYS = (
+    "signature", "token", "access_token", "authorization", "auth", "api_key", "expires", "ossaccesskeyid", "awsaccesskeyid", "googleaccessid", "key-pair-id", "policy",
+    "x-amz-algorithm", "x-amz-credential", "x-amz-date", "x-amz-expires", "x-amz-security-token", "x-amz-signature", "x-amz-signedheaders", "x-goog-algorithm", "x-goog-credential",
+    "x-goog-date", "x-goog-expires", "x-goog-signature", "x-goog-signedheaders", "x-goog-security-token", "x-oss-access-key-id", "x-oss-credential", "x-oss-date", "x-oss-expires",
+    "x-oss-security-token", "x-oss-signature", "x-oss-signature-version", "security-token",
+)
 VOLATILE_KEYS = (
     "expires", "ossaccesskeyid", "signature", "awsaccesskeyid", "googleaccessid", "key-pair-id", "policy", "x-amz-algorithm", "x-amz-credential", "x-amz-date", "x-amz-expires",
     "x-amz-security-token", "x-amz-signature", "x-amz-signedheaders", "x-goog-algorithm", "x-goog-credential", "x-goog-date", "x-goog-expires", "x-goog-signature",

@@ -30,10 +30,10 @@ def html_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page urls, every other one with a secret and a signature added."""
+    """Page urls, every other one with secrets and signatures of several kinds added."""
     p = table(spark, sf_dir, "pages")
     bare, fragment = urls.without_fragment(F.col("url")), F.regexp_extract("url", "(#.*)$", 1)
-    more = F.concat(bare, F.when(bare.contains("?"), "&").otherwise("?"), F.lit("token=s"), F.col("page_id").cast("string"), F.lit("&Expires=9&b=2&a=1"), fragment)
+    more = F.concat(bare, F.when(bare.contains("?"), "&").otherwise("?"), F.lit("token=s"), F.col("page_id").cast("string"), F.lit("&Expires=9&b=2&X-Amz-Signature=5f&security-token=q&policy=&a=1"), fragment)
     return p.select("page_id", F.when(F.col("page_id") % 2 == 0, more).otherwise(F.col("url")).alias("url"))
 
 
@@ -101,12 +101,12 @@ _BARE = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)
 _FOLD = "' ' || trim(regexp_replace(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
 _WORDS = "list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '')"
 SIGNED_SQL = r"""
-s AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN b || CASE WHEN contains(b, '?') THEN '&' ELSE '?' END || 'token=s' || page_id || '&Expires=9&b=2&a=1' || f ELSE url END AS url
+s AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN b || CASE WHEN contains(b, '?') THEN '&' ELSE '?' END || 'token=s' || page_id || '&Expires=9&b=2&X-Amz-Signature=5f&security-token=q&policy=&a=1' || f ELSE url END AS url
   FROM (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS b, regexp_extract(url, '(#.*)$', 1) AS f FROM pages)),
 q AS (SELECT page_id, url, regexp_replace(url, '[?#].*$', '') AS base, regexp_extract(url, '(#.*)$', 1) AS frag,
   list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\?(.*)$', 1), '&'), lambda p: p <> '') AS pairs FROM s),
-r AS (SELECT *, list_transform(pairs, lambda p: CASE WHEN lower(split_part(p, '=', 1)) = 'token' THEN 'token=<redacted:sha256:' || substr(sha256(substr(p, 7)), 1, 16) || '>' ELSE p END) AS hidden,
-  list_sort(pairs) AS sorted, list_sort(list_filter(pairs, lambda p: lower(split_part(p, '=', 1)) <> 'expires')) AS unsigned, list_contains(list_transform(pairs, lambda p: lower(split_part(p, '=', 1))), 'expires') AS signed FROM q),
+r AS (SELECT *, list_transform(pairs, lambda p: CASE WHEN lower(split_part(p, '=', 1)) IN ('token', 'expires', 'x-amz-signature', 'security-token', 'policy') THEN split_part(p, '=', 1) || '=<redacted:sha256:' || substr(sha256(substr(p, length(split_part(p, '=', 1)) + 2)), 1, 16) || '>' ELSE p END) AS hidden,
+  list_sort(pairs) AS sorted, list_sort(list_filter(pairs, lambda p: lower(split_part(p, '=', 1)) NOT IN ('expires', 'x-amz-signature', 'policy'))) AS unsigned, list_contains(list_transform(pairs, lambda p: lower(split_part(p, '=', 1))), 'expires') AS signed FROM q),
 u AS (SELECT page_id, url, CASE WHEN len(hidden) > 0 THEN base || '?' || array_to_string(hidden, '&') ELSE base END || frag AS redacted,
   CASE WHEN len(sorted) > 0 THEN base || '?' || array_to_string(sorted, '&') ELSE base END AS canonical,
   CASE WHEN signed THEN CASE WHEN len(unsigned) > 0 THEN base || '?' || array_to_string(unsigned, '&') ELSE base END END AS signed_variant, regexp_extract(base, '^[a-z]+://[^/]*(.*)$', 1) AS alias FROM r)"""
