@@ -14,7 +14,7 @@ from quarrystone.llm.common import small_batches
 
 def test_queries_with_sql(spark, duck):
     for name, sql in queries.ORACLES.items():
-        assert_same(queries.QUERIES[name](spark, SMALL), duck.sql(sql).df())
+        assert_same(queries.QUERIES[name](spark, SMALL), duck.sql(sql))
 
 
 def test_names_and_sizes(spark):
