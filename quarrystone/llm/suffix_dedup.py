@@ -2,7 +2,7 @@
 
 Every byte is removed that a 400-byte string covers which also starts anywhere else, in the same
 document or another.  Segments that can hold such strings meet in shards of bounded size (see
-``segments``).  There, suffixes are ordered through 400 bytes only, most significant digit first, eight
+``segments``).  There, suffixes are ordered through 400 bytes only, most significant digit first, 64
 bytes a digit; a pass regroups the suffixes that are still equal, and suffixes that stand
 alone drop out.  What is left after the last pass are exactly the repeated strings.
 
@@ -24,7 +24,8 @@ from quarrystone.llm.common import read_table, small_batches, written
 from quarrystone.llm.segments import PIECE_BYTES, Cutter, by_shard, keyed, repeated_anchors, row_anchors, segments
 
 WINDOW_BYTES, GRAM_BYTES = 400, 32
-DIGIT = 8
+#: Bytes of a digit at most.
+DIGIT = 64
 
 
 class ByteCutter(Cutter):
@@ -50,25 +51,35 @@ class ByteCutter(Cutter):
         return np.frombuffer(buffer, np.uint8), np.concatenate(([0], np.cumsum([len(p) for p in pieces]))), buffer, place[:-1], place[1:]
 
 
+def digits(raw: np.ndarray, depth: int) -> tuple[np.ndarray, int]:
+    """The number of the digit that begins at each place, equal for equal bytes and in their order, and its width: the widest
+    power of two up to DIGIT that fits the depth.  A digit is numbered from the two halves that were numbered before."""
+    number, width = raw.astype(np.int64), 1
+    while 2 * width <= min(depth, DIGIT):
+        after = np.zeros(len(number), np.int64)
+        after[:-width] = number[width:]
+        pair = number * (number.max(initial=0) + 1) + after
+        width *= 2
+        number = pair if width <= 2 else np.unique(pair, return_inverse=True)[1]
+    return number, width
+
+
 def repeated_suffixes(raw: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
-    """Which of the suffixes at starts share their first depth bytes with another of their group; most significant digit first."""
+    """Which of the suffixes at starts share their first depth bytes with another of their group; most significant digit first.
+    If the depth is no multiple of a digit, the last digit overlaps the one before, which all suffixes still grouped share."""
     repeated = np.zeros(len(starts), bool)
-    padded = np.concatenate((raw, np.zeros(DIGIT, np.uint8)))
-    digit = np.zeros(len(raw), np.uint64)
-    for k in range(DIGIT):
-        digit = (digit << np.uint64(8)) | padded[k : k + len(raw)]
+    digit, width = digits(raw, depth)
+    radix = int(digit.max(initial=0)) + 1
     live = np.arange(len(starts))
     group = np.unique(group, return_inverse=True)[1]
-    for at in range(0, depth, DIGIT):
+    for at in [*range(0, depth - width, width), depth - width]:
         if not len(live):
             return repeated
-        value = digit[starts[live] + at]
-        if depth - at < DIGIT:
-            value = value >> np.uint64(8 * (DIGIT - depth + at))
-        order = np.lexsort((value, group))
-        live, group, value = live[order], group[order], value[order]
+        value = group * radix + digit[starts[live] + at]
+        order = np.argsort(value)
+        live, value = live[order], value[order]
         fresh = np.ones(len(live) + 1, bool)
-        fresh[1:-1] = (group[1:] != group[:-1]) | (value[1:] != value[:-1])
+        fresh[1:-1] = value[1:] != value[:-1]
         shared = ~(fresh[:-1] & fresh[1:])
         group = np.cumsum(fresh[:-1])[shared]
         live = live[shared]
@@ -86,8 +97,14 @@ def shard_repeats(window: int):
         counts = lengths - window + 1
         owner = np.repeat(np.arange(len(segs)), counts)
         inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        hit = repeated_suffixes(raw, begins[owner] + inside, rows["anchor"].to_numpy()[owner], window)
-        hit |= (rows["copies"].to_numpy() > 1)[owner]
+        anchor, copied = rows["anchor"].to_numpy(), rows["copies"].to_numpy() > 1
+        alone = np.ones(len(segs), bool)
+        alone[1:] &= anchor[1:] != anchor[:-1]
+        alone[:-1] &= anchor[1:] != anchor[:-1]
+        # a copied segment repeats as a whole; it is ordered only where others of its anchor can repeat it in part
+        ordered = np.flatnonzero(~(alone & copied)[owner])
+        hit = copied[owner]
+        hit[ordered] |= repeated_suffixes(raw, (begins[owner] + inside)[ordered], anchor[owner[ordered]], window)
         edge = np.ones(len(hit) + 1, bool)
         edge[1:-1] = (hit[1:] != hit[:-1]) | (owner[1:] != owner[:-1])
         cut = np.flatnonzero(edge)
