@@ -31,9 +31,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where nothing is set (tests)."""
+    """The folder named by spark.checkpoint.dir; a local one only where nothing is set and all runs on this machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), f"quarrystone-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -56,4 +58,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing will read again."""
+    for table in tables:
+        session = table.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(table._scratch)
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)

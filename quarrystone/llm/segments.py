@@ -1,7 +1,7 @@
 """The Spark side of repeated-string operators: which segments of which rows can hold repeats.
 
-1. Each row yields its distinct anchors (see ``winnow``); anchors are counted with a map-side combine.
-2. Anchors that repeat are joined back, and each row gets the list of its own that repeat.
+1. Each row yields its distinct anchors (see ``winnow``), which are written once; they are counted with a map-side combine.
+2. Anchors that repeat are joined with them, and each row gets the list of its own that repeat.
 3. Rows are cut: every run with a repeated anchor becomes a segment row.  Runs whose anchor is held by
    very many rows are cut into single windows instead, so that no group of different segments that
    must meet in one place can grow with the corpus.
@@ -9,8 +9,9 @@
    bounded size, where an index over the batch (FM-index or radix sort) finds the repeated windows.
 5. What it finds goes back to the rows that hold the segments, and from there to the documents.
 
-Rows are keyed by (key, tag): the id, or a hash of the text where the id is null, and 16 bits of a hash of the
-text, which tell rows apart that share an id but not a text.
+Rows are keyed by (key, tag): the id, or a hash of the text where the id is null, and a 64-bit hash of the
+text, which tells rows apart that share an id but not a text.  What is compared is compared as text; results find their way
+back to the rows by (anchor, hash of the segment, its length).
 """
 
 from __future__ import annotations
@@ -72,11 +73,11 @@ class Cutter:
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    return rows.select(F.coalesce("doc_id", F.xxhash64("text")).alias("key"), F.xxhash64("text").bitwiseAND(0xFFFF).cast("int").alias("tag"), "doc_id", "text")
+    return rows.select(F.coalesce("doc_id", F.xxhash64("text")).alias("key"), F.xxhash64("text").alias("tag"), "doc_id", "text")
 
 
 def row_anchors(rows: DataFrame, cutter: Cutter) -> DataFrame:
-    """key, anchor, n: the distinct anchors of each row and in how many places they stand."""
+    """key, anchors, places: the distinct anchors of a row, or of a piece of it, and in how many places each stands; a written table."""
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -90,13 +91,23 @@ def row_anchors(rows: DataFrame, cutter: Cutter) -> DataFrame:
                     fresh = np.ones(len(row), bool)
                     fresh[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])
                     at = np.flatnonzero(fresh)
-                    yield pd.DataFrame({"key": key[row[at]], "anchor": anchor[at], "n": np.diff(np.append(at, len(row)))})
+                    n = np.diff(np.append(at, len(row))).astype(np.int32)
+                    row, anchor = row[at], anchor[at]
+                    cut = np.flatnonzero(row[1:] != row[:-1]) + 1
+                    firsts = np.concatenate(([0], cut))
+                    yield pd.DataFrame({"key": key[row[firsts]], "anchors": pd.Series(np.split(anchor, cut), dtype=object), "places": pd.Series(np.split(n, cut), dtype=object)})
 
-    return rows.select("key", "text").mapInPandas(found, "key long, anchor long, n int")
+    return written(rows.select("key", "text").mapInPandas(found, "key long, anchors array<long>, places array<int>"), "anchors")
 
 
-def segments(rows: DataFrame, cutter: Cutter, repeats: DataFrame) -> DataFrame:
-    """anchor, skey (a hash that with the anchor stands for the segment), seg, key, tag, start: the segments of every row whose anchor is in repeats (anchor, hot)."""
+def counted_anchors(anchors: DataFrame) -> DataFrame:
+    """anchor, places, rows of the anchors of row_anchors()."""
+    each = anchors.select(F.explode(F.arrays_zip("anchors", "places")).alias("a"))
+    return each.groupBy(F.col("a.anchors").alias("anchor")).agg(F.sum("a.places").alias("places"), F.count("*").alias("rows"))
+
+
+def segments(rows: DataFrame, cutter: Cutter, anchors: DataFrame, repeats: DataFrame) -> DataFrame:
+    """anchor, skey, size (hash and length that with the anchor stand for the segment), seg, key, tag, start: the segments of every row whose anchor is in repeats (anchor, hot)."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -125,12 +136,14 @@ def segments(rows: DataFrame, cutter: Cutter, repeats: DataFrame) -> DataFrame:
                     row = owner[piece]
                     seg = [buffer[a:b] for a, b in zip(begins[first].tolist(), ends[first + length + cutter.window - 2].tolist())]
                     yield pd.DataFrame({
-                        "anchor": anchor, "skey": np.fromiter(map(xxhash.xxh3_64_intdigest, seg), np.uint64, len(seg)).view(np.int64), "seg": pd.Series(seg, dtype=object),
+                        "anchor": anchor, "skey": np.fromiter(map(xxhash.xxh3_64_intdigest, seg), np.uint64, len(seg)).view(np.int64),
+                        "size": np.fromiter(map(len, seg), np.int32, len(seg)), "seg": pd.Series(seg, dtype=object),
                         "key": batch["key"].to_numpy()[row], "tag": batch["tag"].to_numpy()[row], "start": base[piece] + first - bounds[piece],
                     })
 
-    lists = row_anchors(rows, cutter).join(repeats, "anchor").groupBy("key").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
-    return rows.join(lists, "key").select("key", "tag", "text", "anchors", "hot").mapInPandas(cut, "anchor long, skey long, seg binary, key long, tag int, start int")
+    held = anchors.select("key", F.explode("anchors").alias("anchor")).join(repeats, "anchor")
+    lists = held.groupBy("key").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    return rows.join(lists, "key").select("key", "tag", "text", "anchors", "hot").mapInPandas(cut, "anchor long, skey long, size int, seg binary, key long, tag long, start int")
 
 
 def among(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -141,7 +154,7 @@ def among(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def by_shard(distinct: DataFrame, find: Callable[[list[bytes], pd.DataFrame], list], schema: str) -> DataFrame:
-    """Calls find(segments, rows) on batches of whole anchor groups; returns anchor, skey and found."""
+    """Calls find(segments, rows) on batches of whole anchor groups; returns anchor, skey, size and found."""
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -174,10 +187,10 @@ def by_shard(distinct: DataFrame, find: Callable[[list[bytes], pd.DataFrame], li
 
     def answer(held: list[pd.DataFrame]) -> pd.DataFrame:
         whole = pd.concat(held, ignore_index=True)
-        return pd.DataFrame({"anchor": whole["anchor"], "skey": whole["skey"], "found": find(list(whole["seg"]), whole)})
+        return pd.DataFrame({"anchor": whole["anchor"], "skey": whole["skey"], "size": whole["size"], "found": find(list(whole["seg"]), whole)})
 
     dealt = distinct.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInPandas(shards, f"anchor long, skey long, found {schema}")
+    return dealt.mapInPandas(shards, f"anchor long, skey long, size int, found {schema}")
 
 
 def repeated_anchors(counted: DataFrame, condition: str) -> DataFrame:

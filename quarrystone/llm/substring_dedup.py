@@ -4,7 +4,7 @@ A word is removed if a window of 13 words that covers it also starts in a docume
 Documents are cut into segments that meet, with all segments that could match them, in shards of bounded size
 (see ``segments``).  Each shard builds an FM-index over its distinct segments: backward search over a
 wavelet matrix takes every streamed window to the interval of its occurrences, and the least document
-id in the interval decides.  Words are compared as they are, so hashes only route.
+id in the interval decides.  Words are compared as they are; hashes route, and name a segment when results go back to its rows.
 
 Defined cases: a null, empty or blank text has no words; a text shorter than the window loses nothing;
 rows with a null id keep all their words and remove none elsewhere; repeated rows of one id do not
@@ -20,9 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import read_table, small_batches, written
+from quarrystone.llm.common import discard, read_table, small_batches, written
 from quarrystone.llm.fm_index import FmIndex
-from quarrystone.llm.segments import PIECE_BYTES, Cutter, by_shard, keyed, repeated_anchors, row_anchors, segments
+from quarrystone.llm.segments import PIECE_BYTES, Cutter, by_shard, counted_anchors, keyed, repeated_anchors, row_anchors, segments
 
 WINDOW_WORDS, GRAM_WORDS = 13, 4
 
@@ -106,12 +106,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of docs: doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
     rows, cutter = keyed(docs, id_col, text_col), WordCutter(window, gram)
     known = rows.filter("doc_id IS NOT NULL")
-    counted = row_anchors(known, cutter).groupBy("anchor").agg(F.count("*").alias("rows"))
-    held = written(segments(known, cutter, repeated_anchors(counted, "rows > 1")), "segments")
+    anchors = row_anchors(known, cutter)
+    repeats = repeated_anchors(counted_anchors(anchors), "rows > 1")
+    held = written(segments(known, cutter, anchors, repeats), "segments")
+    discard(anchors, repeats)
 
-    distinct = held.groupBy("anchor", "skey", "seg").agg(F.min("key").alias("least"))
+    distinct = held.groupBy("anchor", "skey", "size", "seg").agg(F.min("key").alias("least"))
     found = written(by_shard(distinct, shard_minima(window), "array<long>"), "segment-minima")
-    hits = held.drop("seg").join(found, ["anchor", "skey"]).select("key", "tag", F.expr("filter(transform(found, (x, i) -> if(x < key, int(start + i), null)), p -> p IS NOT NULL)").alias("at"))
+    hits = held.drop("seg").join(found, ["anchor", "skey", "size"]).select("key", "tag", F.expr("filter(transform(found, (x, i) -> if(x < key, int(start + i), null)), p -> p IS NOT NULL)").alias("at"))
     marks = hits.filter("size(at) > 0").groupBy("key", "tag").agg(F.flatten(F.collect_list("at")).alias("marks"))
 
     def removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -20,8 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import read_table, small_batches, written
-from quarrystone.llm.segments import PIECE_BYTES, Cutter, by_shard, keyed, repeated_anchors, row_anchors, segments
+from quarrystone.llm.common import discard, read_table, small_batches, written
+from quarrystone.llm.segments import PIECE_BYTES, Cutter, by_shard, counted_anchors, keyed, repeated_anchors, row_anchors, segments
 
 WINDOW_BYTES, GRAM_BYTES = 400, 32
 #: Bytes of a digit at most.
@@ -121,12 +121,14 @@ def shard_repeats(window: int):
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_BYTES, gram: int = GRAM_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay)."""
     rows, cutter = keyed(docs, id_col, text_col), ByteCutter(window, gram)
-    counted = row_anchors(rows, cutter).groupBy("anchor").agg(F.sum("n").alias("places"), F.count("*").alias("rows"))
-    held = written(segments(rows, cutter, repeated_anchors(counted, "places > 1")), "segments")
+    anchors = row_anchors(rows, cutter)
+    repeats = repeated_anchors(counted_anchors(anchors), "places > 1")
+    held = written(segments(rows, cutter, anchors, repeats), "segments")
+    discard(anchors, repeats)
 
-    distinct = held.groupBy("anchor", "skey", "seg").agg(F.count("*").alias("copies"))
+    distinct = held.groupBy("anchor", "skey", "size", "seg").agg(F.count("*").alias("copies"))
     found = written(by_shard(distinct, shard_repeats(window), "array<int>").filter("size(found) > 0"), "segment-repeats")
-    hits = held.drop("seg").join(found, ["anchor", "skey"]).select("key", "tag", F.expr("transform(found, (x, i) -> if(i % 2 = 0, int(start + x), x))").alias("spans"))
+    hits = held.drop("seg").join(found, ["anchor", "skey", "size"]).select("key", "tag", F.expr("transform(found, (x, i) -> if(i % 2 = 0, int(start + x), x))").alias("spans"))
     marks = hits.groupBy("key", "tag").agg(F.flatten(F.collect_list("spans")).alias("marks"))
 
     def removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
