@@ -3,11 +3,15 @@
 The page becomes a tree.  Subtrees that are no article text whatever their density (scripts, styles, menus, headers, footers, sidebars,
 notices, adverts, forms, reader comments) are set aside.  An element that only its class or id sets aside must be named so as a whole
 (sidebar, cookie-notice; not has-comments or widget-content), and it stays if it holds the main element, all articles of the page or, on a page without
-an article, most of its text; reader comments then stay only if they hold all of it.  For every other node the composite
-density relates its characters to its tags and corrects for link text; a node's density sum adds up its
-children's densities.  The node with the greatest sum leads; the least density on its path to the body is the
-threshold, and every subtree that reaches it gives its own node of greatest sum.  If a chosen node lies in an article
-or main element, that whole element is taken.
+an article, most of its text; reader comments then stay only if they hold all of it.
+
+Density decides among what is left.  The composite density of a block relates its characters to its tags and corrects for link text;
+marks inside a line (bold, links, breaks) belong to the block around them.  A block's density sum adds up the densities of its child blocks
+and of its own text; the block with the greatest sum leads.  From there the path to the body is climbed while density holds: a
+block around the lead joins as long as it keeps CLIMB of the lead's density, so headings and short paragraphs come along and
+link lists do not.  The least density on the path is the threshold: any other block that reaches it gives its own block of greatest
+sum, and own text of path blocks that reaches it stays too.  An article or main element around the lead ends the path there instead of
+at the body; it chooses nothing.
 
 Text leaves in blocks: white space inside a block becomes one space, blocks are joined by newlines.
 
@@ -19,6 +23,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from math import e, log
@@ -58,6 +63,8 @@ STOPS = frozenset("ul ol dl table select article section div body main aside nav
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body", "legend"}
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""", re.S)
+#: Share of the lead's density that a block around it must keep to join.
+CLIMB = 0.5
 #: What sets an element aside: nothing, its name, its name as that of reader comments, or itself.
 NOT_ASIDE, NAMED, COMMENTS, ASIDE = range(4)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -70,7 +77,7 @@ class Page:
     def __init__(self, html: str):
         self.tag, self.parent, self.aside, self.named = ["#root"], [-1], [False], [NOT_ASIDE]
         self.texts: list[tuple[int, int, str]] = []  # node, block, text
-        self._stack, self._block = [0], 0
+        self._stack, self._block, self._open = [0], 0, Counter()
         at = 0
         size = len(html)
         while at < size:
@@ -102,14 +109,16 @@ class Page:
         self.texts.append((self._stack[-1], self._block, text))
 
     def _pop_to(self, place: int) -> None:
-        if any(self.tag[n] in BLOCK for n in self._stack[place:]):
+        closed = [self.tag[n] for n in self._stack[place:]]
+        if any(tag in BLOCK for tag in closed):
             self._block += 1
+        self._open.subtract(closed)
         del self._stack[place:]
 
     def _start(self, name: str, attributes: str) -> None:
         if name == "br":
             self.texts.append((self._stack[-1], self._block, " "))
-        if name in CLOSES_P:
+        if name in CLOSES_P and self._open["p"]:
             for place in range(len(self._stack) - 1, 0, -1):
                 tag = self.tag[self._stack[place]]
                 if tag == "p":
@@ -117,7 +126,7 @@ class Page:
                     break
                 if tag in STOPS or tag in ("td", "th", "li", "dd", "button", "blockquote"):
                     break
-        if name in CLOSES:
+        if name in CLOSES and any(self._open[tag] for tag in CLOSES[name]):
             for place in range(len(self._stack) - 1, 0, -1):
                 tag = self.tag[self._stack[place]]
                 if tag in CLOSES[name]:
@@ -136,8 +145,11 @@ class Page:
         self.named.append(kind if kind != ASIDE else NOT_ASIDE)
         if name not in VOID and not (attributes.endswith("/") and name not in BLOCK and name not in RAW and name not in ("a", "b", "i", "span", "em", "strong")):
             self._stack.append(len(self.tag) - 1)
+            self._open[name] += 1
 
     def _end(self, name: str) -> None:
+        if not self._open[name]:
+            return
         for place in range(len(self._stack) - 1, 0, -1):
             tag = self.tag[self._stack[place]]
             if tag == name:
@@ -149,7 +161,7 @@ class Page:
     def _kind(self, name: str, attributes: str) -> int:
         if name in ASIDE_TAGS:
             return ASIDE
-        inside = any(self.tag[n] in ("article", "main") for n in self._stack)
+        inside = self._open["article"] + self._open["main"] > 0
         if name == "header" and not inside:
             return ASIDE
         if not attributes or name in KEPT_TAGS:
@@ -215,66 +227,97 @@ class Page:
     def _chosen(self) -> list[bool]:
         """Whether each node's own text belongs to the article."""
         n, parent, tag, aside = len(self.tag), self.parent, self.tag, self.aside
-        chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-        in_link = [False] * n
+        block = [0] * n  # the block that holds each node, itself if it is one
+        above = [0] * n  # the block around it
+        in_link, whole, own = [False] * n, [Amounts() for _ in range(n)], [Amounts() for _ in range(n)]
         for i in range(1, n):
+            above[i] = block[parent[i]]
+            block[i] = i if tag[i] in BLOCK else above[i]
             in_link[i] = tag[i] == "a" or in_link[parent[i]]
+            if not aside[i]:
+                whole[parent[i]].tag(tag[i])
+                if block[i] != i:
+                    own[block[i]].tag(tag[i])
         for node, _, text in self.texts:
             if not aside[node]:
                 size = len(text.strip())
-                chars[node] += size
-                links[node] += size if in_link[node] else 0
+                whole[node].text(size, in_link[node])
+                own[block[node]].text(size, in_link[node])
         for i in range(n - 1, 0, -1):
             if not aside[i]:
-                p = parent[i]
-                chars[p] += chars[i]
-                links[p] += links[i]
-                tags[p] += tags[i] + 1
-                link_tags[p] += link_tags[i] + (tag[i] == "a")
-        body = next((i for i in range(n) if tag[i] == "body"), 0)
-        if not chars[body]:
-            body = 0
-        if not chars[0]:
+                whole[parent[i]].add(whole[i])
+        body = next((i for i in range(n) if tag[i] == "body" and whole[i].chars), 0)
+        if not whole[0].chars:
             return [False] * n
-        ratio = links[body] / chars[body]
-        density = [composite_density(chars[i], tags[i], links[i], link_tags[i], ratio) if not aside[i] else 0.0 for i in range(n)]
-        total, best = [0.0] * n, list(range(n))
+        ratio = whole[body].links / whole[body].chars
+        density, alone = [0.0] * n, [0.0] * n
+        for i in range(n):
+            if not aside[i] and block[i] == i:
+                density[i], alone[i] = whole[i].density(ratio), own[i].density(ratio)
+        total, best = alone.copy(), list(range(n))
         for i in range(n - 1, 0, -1):
-            if not aside[i]:
-                total[parent[i]] += density[i]
+            total[above[i]] += density[i]
         for i in range(n - 1, 0, -1):
-            p = parent[i]
-            if not aside[i] and total[best[i]] >= total[best[p]] and total[best[i]] > 0:
-                best[p] = best[i]
-        lead = best[body]
-        threshold, i = density[lead], lead
-        while i not in (body, -1):
-            i = parent[i]
-            threshold = min(threshold, density[i])
-        marked = [False] * n
-        if not total[lead]:
-            marked[body] = True  # text without any markup inside
+            if block[i] == i and not aside[i] and total[best[i]] > total[best[above[i]]]:
+                best[above[i]] = best[i]
+        lead = best[0]
+        path, i = [lead], lead
+        top = next((k for k in self._ancestors(lead)[::-1] if tag[k] in ("article", "main")), 0)
+        while i != top:
+            i = above[i]
+            path.append(i)
+        joined = next((k for k, i in enumerate(path) if density[i] < CLIMB * density[lead]), len(path)) - 1
+        threshold = min(density[i] for i in path)
+        taken, lines = [False] * n, [False] * n  # whole subtrees, and own text only
+        taken[path[joined]] = True
+        for i in path[joined + 1 :]:
+            lines[i] = alone[i] >= threshold
+        along, inside = set(path), [False] * n
         for i in range(n):
-            if not aside[i] and chars[i] and density[i] >= threshold and (i == body or self._under(i, body)):
-                marked[self._landmark(best[i] if total[best[i]] else i)] = True
+            inside[i] = i == top or i > 0 and inside[parent[i]]
+            if inside[i] and i not in along and density[i] >= threshold and whole[i].chars:
+                taken[best[i]] = True
         chosen = [False] * n
         for i in range(n):
-            chosen[i] = not aside[i] and (marked[i] or i > 0 and chosen[parent[i]])
+            taken[i] = not aside[i] and (taken[i] or i > 0 and taken[parent[i]])
+            chosen[i] = not aside[i] and (taken[i] or lines[block[i]])
         return chosen
 
-    def _under(self, node: int, top: int) -> bool:
-        """Documents put all content under the body; whatever follows a closed body counts too."""
-        return top == 0 or node > top
-
-    def _landmark(self, node: int) -> int:
-        found, i = node, node
-        while i > 0:
-            if self.tag[i] in ("article", "main"):
-                found = i
-            i = self.parent[i]
+    def _ancestors(self, node: int) -> list[int]:
+        """node and the nodes around it, from within."""
+        found = []
+        while node > 0:
+            found.append(node)
+            node = self.parent[node]
         return found
 
 
+class Amounts:
+    """Characters and tags of some text, and how many of them are links."""
+
+    __slots__ = ("chars", "tags", "links", "link_tags")
+
+    def __init__(self):
+        self.chars = self.tags = self.links = self.link_tags = 0
+
+    def text(self, chars: int, linked: bool) -> None:
+        self.chars += chars
+        self.links += chars if linked else 0
+
+    def tag(self, name: str) -> None:
+        self.tags += 1
+        self.link_tags += name == "a"
+
+    def add(self, other: Amounts) -> None:
+        self.chars += other.chars
+        self.tags += other.tags
+        self.links += other.links
+        self.link_tags += other.link_tags
+
+    def density(self, body_ratio: float) -> float:
+        return composite_density(self.chars, self.tags, self.links, self.link_tags, body_ratio)
+
+
 def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, body_ratio: float) -> float:
     """Characters for each tag, made smaller by links: C/T log_b((C/LC)(T/LT)), b = ln(C LC/(C - LC) + C LCb/Cb + e); a zero count stands as 1."""
     if not chars:
