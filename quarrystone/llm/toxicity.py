@@ -38,7 +38,7 @@ SAMPLE_ROWS, FEATURES, LEAST_ROWS, LEAST_CHI = 12_000, 1_000, 4, 25.0
 BUCKETS = 1 << 22
 FOLDS, RIDGE, STEPS = 4, 3e-6, 120
 REJECT_AT = 0.3
-#: Words whose features a worker remembers.
+#: Words whose features a chain remembers.
 REMEMBERED = 100_000
 #: Categories in order, by conditions on the columns of labels.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"), ("severe", "toxic = 1 AND quality = 0"))
@@ -136,12 +136,19 @@ class Chain:
     number: dict[int, int] = field(default_factory=dict)
     models: list[Linear] = field(default_factory=list)
     held_out: dict[str, float] = field(default_factory=dict)
+    _known: Known | None = field(default=None, repr=False, compare=False)
+
+    def __getstate__(self):
+        """What a worker gets: the words that this copy has met stay here."""
+        return self.__dict__ | {"_known": None}
 
     def probabilities(self, texts) -> np.ndarray:
         """One row for each text, one column for each category."""
         if not self.models:
             return np.zeros((len(texts), len(self.names)))
-        known = _remembered.setdefault(id(self), Known(self.number))
+        if self._known is None:
+            self._known = Known(self.number)
+        known = self._known
         rows, cols = [], []
         for text in texts:
             held = known.text(text)
@@ -154,9 +161,6 @@ class Chain:
         return sigmoid(scores)
 
 
-_remembered: dict[int, dict] = {}
-
-
 def informative(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray) -> dict[int, int]:
     """Features that set a category's rows apart most, by chi-square, for each category: bucket -> number."""
     total, chosen = len(labels), {}
