@@ -126,7 +126,8 @@ def near_in_cube(fps: np.ndarray, mask: int) -> Iterator[tuple[np.ndarray, np.nd
 
 
 def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (choice, mask, key, fp, node) come in order of key; leaves edges (a, b) that span each key's near pairs."""
+    """Rows (choice, mask, key, fp, node) come in order of key; leaves edges (a, b) that span each key's near pairs.
+    Held are the rows of one key and one batch at most."""
     held: list[pd.DataFrame] = []
 
     def edges(group: pd.DataFrame) -> pd.DataFrame:
@@ -144,11 +145,17 @@ def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if found:
             yield pd.concat(found, ignore_index=True)
 
+    def of_row(rows: pd.DataFrame, at: int) -> tuple[int, int]:
+        return rows["choice"].iloc[at], rows["key"].iloc[at]
+
     for batch in batches:
-        if held and (held[-1]["choice"].iloc[-1], held[-1]["key"].iloc[-1]) != (batch["choice"].iloc[0], batch["key"].iloc[0]):
-            yield from ready(pd.concat(held, ignore_index=True))
-            held = []
         held.append(batch)
+        if of_row(held[0], 0) != of_row(batch, -1):  # all but the last key are whole
+            rows = pd.concat(held, ignore_index=True)
+            same = (rows["choice"] == rows["choice"].iloc[-1]) & (rows["key"] == rows["key"].iloc[-1])
+            begin = int(np.argmax(same.to_numpy()))
+            yield from ready(rows.iloc[:begin])
+            held = [rows.iloc[begin:]]
     if held:
         yield from ready(pd.concat(held, ignore_index=True))
 
