@@ -2,8 +2,8 @@
 
 A large-star step links every larger neighbour of a node to the least node in its neighbourhood, a small-star step does so for
 the smaller ones.  Both keep connectivity, never make more edges than there were, and end with stars whose
-centres are the least ids.  Every round is written to the shared folder, so lineage stays short; nothing is
-collected but two sums a round.
+centres are the least ids.  Every round is written to the shared folder, so lineage stays short, and takes the place of the one
+before; nothing is collected but two sums a round.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import written
+from quarrystone.llm.common import discard, written
 
 
 def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -51,7 +51,8 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     now = written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct(), f"{label}-edges")
     seen = None
     while True:
-        now = written(_small_star(_large_star(now)), f"{label}-stars")
+        before, now = now, written(_small_star(_large_star(now)), f"{label}-stars")
+        discard(before)
         check = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if check == seen or check[0] == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component_id")).union(now.select("b", "b").distinct())
