@@ -1,13 +1,16 @@
 """Exact deduplication with a log-structured merge index of text digests.
 
-Each task of the scan is a memtable: it flushes its (digest, id) entries as a sorted Parquet run
-that carries a Bloom filter of its digests.  No text and no row is shuffled for that.  Compaction
+Each task of the scan is a memtable, bounded by what a task reads: it flushes its (digest, id) entries as a sorted
+Parquet run that carries a Bloom filter of its digests.  No text and no row is shuffled for that.  Compaction
 merges runs by digest, keeps the smallest identifier and the number of rows, and writes a sorted
 run of the next level.  Digests held by more than one row are hits; their whole texts are compared
 byte by byte (grouping by digest *and* text), so two texts that share a digest stay apart.
 
+A batch of documents flushes once and compacts once; an index that lives on takes further flushes, compacts a level
+when it is full, and answers lookup() of a few digests from the row groups whose filters may hold them.
+
 Only DataFrame functions are used.  Copies are combined before every shuffle of texts, and the one
-join with a hot key (entries with the merged run) has no aggregate above it, so Spark can split it.
+join with a hot key (rows with the merged run) has no aggregate above it, so Spark can split it.
 
 Defined cases: a null text counts as the empty text; rows with a null id follow the rest of their
 group (null only if the whole group has no id); of repeated rows with the smallest id one stays;
@@ -17,6 +20,7 @@ an empty table gives an empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,35 +49,53 @@ class DigestIndex:
         self.levels: list[list[str]] = [[]]
         self.made = 0
 
-    def _write(self, entries: DataFrame, level: int) -> None:
+    def _write(self, entries: DataFrame, level: int) -> str:
         path = f"{self.root}/level={level}/run={self.made}"
         entries.sortWithinPartitions("digest", "id").write.options(**self.FILTER).option("compression", "zstd").parquet(path)
         self.made += 1
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(path)
+        return path
 
-    def flush(self, entries: DataFrame) -> None:
-        """Adds (digest, id) rows as level-0 runs, one for each task; merges a level that is full."""
-        self._write(entries.select("digest", "id", F.lit(1).cast("long").alias("rows")), 0)
+    def flush(self, entries: DataFrame) -> DataFrame:
+        """Adds (digest, id) rows as level-0 runs, one for each task, and merges a level that is full; returns the rows as written."""
+        entries = entries.select("digest", "id", F.lit(1).cast("long").alias("rows"))
+        path = self._write(entries, 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             self.compact(level)
             level += 1
+        return self._read(path)
 
-    def runs(self, level: int | None = None) -> DataFrame:
-        paths = [p for k, level_paths in enumerate(self.levels) for p in level_paths if level in (None, k)]
+    def _read(self, *paths: str) -> DataFrame:
         return self.spark.read.schema("digest binary, id long, rows long").parquet(*paths)
 
+    def runs(self, level: int | None = None) -> DataFrame:
+        return self._read(*(p for k, level_paths in enumerate(self.levels) for p in level_paths if level in (None, k)))
+
     def compact(self, level: int) -> None:
-        """Merges the runs of a level into one of the next: equal (digest, id) become one entry."""
-        merged = self.runs(level).groupBy("digest", "id").agg(F.sum("rows").alias("rows"))
-        self._write(merged, level + 1)
+        """Merges the runs of a level into one of the next, where each digest has its smallest id and its number of rows.
+        The files of merged runs stay: a flush may still be read."""
+        self._write(self._least(self.runs(level)), level + 1)
         self.levels[level] = []
 
+    @staticmethod
+    def _least(runs: DataFrame) -> DataFrame:
+        return runs.groupBy("digest").agg(F.min("id").alias("id"), F.sum("rows").alias("rows"))
+
     def merged(self) -> DataFrame:
-        """Over all runs: the smallest id of each digest and its number of rows."""
-        return self.runs().groupBy("digest").agg(F.min("id").alias("keep_id"), F.sum("rows").alias("group_size"))
+        """Over all runs: the smallest id of each digest and its number of rows.  One run above level 0 needs no merge."""
+        runs = self.runs()
+        single = not self.levels[0] and sum(map(len, self.levels)) == 1
+        return (runs if single else self._least(runs)).select("digest", F.col("id").alias("keep_id"), F.col("rows").alias("group_size"))
+
+    def lookup(self, digests: list[bytes]) -> DataFrame:
+        """merged() of the given digests.  Parquet skips the row groups whose filter or bounds rule a digest out: each is asked for
+        by an equality that reaches the scan."""
+        asked = [self._least(self.runs().filter(F.col("digest") == F.lit(d))) for d in dict.fromkeys(digests)]
+        found = reduce(DataFrame.unionByName, asked, self.runs().limit(0))
+        return found.select("digest", F.col("id").alias("keep_id"), F.col("rows").alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -82,10 +104,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("norm")).withColumn("digest", digest(F.col("norm")))
 
     index = DigestIndex(spark)
-    index.flush(texts)
+    entries = index.flush(texts)
     index.compact(0)
-    entries = index.runs()
-    merged = written(index.merged(), "merged")
+    merged = index.merged()
 
     hits = merged.filter("group_size > 1").select("digest")
     if hits.count() <= BROADCAST_DIGESTS:
@@ -93,7 +114,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = texts.join(hits, "digest", "left_semi").groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
     shared = written(groups.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest"), "shared-digests")
 
-    found = entries.join(merged, "digest").select("digest", "id", "rows", "keep_id", "group_size")
+    alike = entries.groupBy("digest", "id").agg(F.sum("rows").alias("rows"))
+    found = alike.join(merged, "digest").select("digest", "id", "rows", "keep_id", "group_size")
     if not shared.isEmpty():
         apart = texts.join(shared, "digest", "left_semi").groupBy("digest", "norm", "id").agg(F.count("*").alias("rows"))
         firsts = texts.join(shared, "digest", "left_semi").groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
