@@ -74,7 +74,50 @@ def test_digest_index_compacts_levels(spark):
     for k in range(5):
         index.flush(spark.createDataFrame([(bytes([i % 7]), i) for i in range(k, 20, 5)], "digest binary, id long"))
     assert [len(level) for level in index.levels] == [1, 0, 1]
-    assert {bytes(r.digest)[0]: (r.keep_id, r.group_size) for r in index.merged().collect()} == {d: (d, len(range(d, 20, 7))) for d in range(7)}
+    want = {d: (d, len(range(d, 20, 7))) for d in range(7)}
+    as_dict = lambda df: {bytes(r.digest)[0]: (r.keep_id, r.group_size) for r in df.collect()}
+    assert as_dict(index.merged()) == want
+    assert index.runs(2).count() == 7  # a merged run holds each digest once
+    asked = index.lookup([b"\x03", b"\x06", b"\x09", b"\x03"])
+    assert as_dict(asked) == {3: want[3], 6: want[6]}
+    assert "EqualTo(digest" in asked._jdf.queryExecution().toString()
+
+
+def test_toxicity_chains_keep_their_words_apart():
+    """Two chains in one process, the second made where the first was."""
+    def fitted(word):
+        texts = [f"plain words number {i} " + (word if i % 3 == 0 else "") for i in range(120)]
+        return toxicity.fit_chain(texts, np.array([[int(i % 3 == 0)] for i in range(120)]), ["toxic"])
+
+    first = fitted("poison")
+    assert first.probabilities(["poison", "flower"])[:, 0].argmax() == 0
+    import pickle
+
+    assert pickle.loads(pickle.dumps(first))._known is None
+    place = id(first)
+    del first
+    for _ in range(20):
+        other = fitted("flower")
+        assert other.probabilities(["poison", "flower"])[:, 0].argmax() == 1
+        if id(other) == place:
+            break
+
+
+def test_forest_holds_one_key_and_one_batch(monkeypatch):
+    """Keys that straddle batches are cut off as soon as the next one begins."""
+    import pandas as pd
+
+    r = random.Random(9)
+    keys = sorted([k for k in range(40) for _ in range(r.randrange(2, 12))])
+    rows = pd.DataFrame({"choice": 1, "mask": 0, "key": keys, "fp": [r.choice((0, 1, 3, 255)) for _ in keys], "node": range(len(keys))})
+    rows = rows.drop_duplicates(["key", "fp"]).reset_index(drop=True)
+    rows["node"] = range(len(rows))
+    held, concat = [], pd.concat
+    monkeypatch.setattr(simhash.pd, "concat", lambda parts, **k: held.append(sum(map(len, parts))) or concat(parts, **k))
+    found = concat(list(simhash.forest(rows.iloc[k : k + 7] for k in range(0, len(rows), 7))))
+    assert max(held) <= 7 + 12
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if rows["key"][a] == rows["key"][b] and (int(rows["fp"][a]) ^ int(rows["fp"][b])).bit_count() <= 3]
+    assert least_reachable(range(len(rows)), list(zip(found["a"], found["b"]))) == least_reachable(range(len(rows)), near)
 
 
 def brute_substring(window):
@@ -340,9 +383,68 @@ def test_html_side_matter_by_name():
     assert html_extract.main_text(f"<body><article><p>{text}</p></article>{card}</body>") == text.strip()
 
 
+def labelled_page(r):
+    """A page without article or main element and without telling names, and its article: paragraphs short and long, lists,
+    quotes and links in lines, wrapped up to two times among link lists."""
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9)))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    link = lambda: f'<a href="/{word()}">{word()} {word()}</a>'
+    many = lambda part, low, high: "".join(part() for _ in range(r.randrange(low, high)))
+    side = [
+        lambda: "<div>" + many(lambda: link() + " ", 3, 9) + "</div>",
+        lambda: "<ul>" + many(lambda: f"<li>{link()}</li>", 4, 20) + "</ul>",
+        lambda: "<div><ul>" + many(lambda: f"<li>{link()} <span>{r.randrange(99)}</span></li>", 4, 12) + "</ul></div>",
+        lambda: "<table>" + many(lambda: f"<tr><td>{link()}</td><td>{link()}</td></tr>", 3, 9) + "</table>",
+    ]
+    blocks, lines = [f"<h1>{(title := sentence(6))}</h1>"], [title]
+    for kind in [*(r.randrange(8) for _ in range(r.randrange(3, 9))), 9]:
+        if kind == 1:
+            items = [sentence(r.randrange(4, 15)) for _ in range(r.randrange(2, 6))]
+            blocks.append("<ul>" + "".join(f"<li>{i}" for i in items) + "</ul>")
+            lines += items
+        elif kind == 2:
+            a, b = sentence(12), sentence(9)
+            blocks.append(f'<p>{a} <a href="#">note</a> {b}</p>')
+            lines.append(f"{a} note {b}")
+        else:
+            lines.append(sentence(2 if kind == 0 else 20 if kind == 3 else r.randrange(25, 80)))
+            blocks.append(f"<blockquote>{lines[-1]}</blockquote>" if kind == 3 else f"<p>{lines[-1]}</p>")
+    page = "<div>" + "".join(blocks) + "</div>"
+    for depth in range(r.randrange(3) + 1):
+        around = [r.choice(side)() for _ in range(r.randrange(0 if depth else 1, 4))]
+        around.insert(r.randrange(len(around) + 1), page)
+        page = "<div>" + "".join(around) + "</div>"
+    return f"<html><body>{page}</body></html>", "\n".join(lines)
+
+
+def test_html_density_finds_the_article(monkeypatch):
+    pages = [labelled_page(random.Random(k)) for k in range(200)]
+    assert [k for k, (page, text) in enumerate(pages) if html_extract.main_text(page) != text] == []
+    monkeypatch.setattr(html_extract, "composite_density", lambda *amounts: 1.0)
+    assert sum(html_extract.main_text(page) != text for page, text in pages) > 150
+
+
+def test_html_density_values():
+    assert html_extract.composite_density(100, 4, 20, 1, 0.3) == pytest.approx(18.467, abs=1e-2)
+    assert html_extract.composite_density(5, 1, 5, 1, 0.3) == 0 == html_extract.composite_density(0, 3, 0, 0, 0.3)
+    assert html_extract.composite_density(80, 0, 0, 0, 0.0) > html_extract.composite_density(80, 4, 0, 0, 0.0) > html_extract.composite_density(80, 4, 60, 3, 0.5)
+
+
+def test_html_deep_and_long_pages_in_linear_time():
+    import time
+
+    start = time.perf_counter()
+    deep = "<div>" * 20_000 + "<span>" * 20_000 + "<p>deep</b></i></p>" * 200
+    assert html_extract.main_text(deep) == "\n".join(["deep"] * 200)
+    long = "<body>" + "<p>some words here</p></em>" * 20_000
+    assert html_extract.main_text(long).count("\n") == 19_999
+    assert time.perf_counter() - start < 20
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", 3), (1, "u", "<p>a</p>", 3), (None, None, None, 3)], "page_id long, url string, html string, text int")
     assert pairs(html_extract.extract_pages(pages), "page_id", "url", "text", "n_chars") == expect([(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0)])
+    assert html_extract.extract_pages(pages.limit(0)).count() == 0
 
 
 def test_lattice_links(spark):
