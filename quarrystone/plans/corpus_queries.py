@@ -97,8 +97,9 @@ def bijection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def path_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    return reconcile.symmetric_difference(d.filter("doc_id % 10 <> 3"), d.filter("doc_id % 15 <> 4"), "doc_id")
+    """Documents are expected; labels and pages are there."""
+    there = table(spark, sf_dir, "labels").select("doc_id").union(table(spark, sf_dir, "pages").select("page_id"))
+    return reconcile.symmetric_difference(table(spark, sf_dir, "documents").select("doc_id"), there, "doc_id")
 
 
 def _resources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -126,9 +127,12 @@ def repair_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metric_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each source before and after equal texts became one; a source of labelled documents is a metric of its own."""
     d = table(spark, sf_dir, "documents")
-    old = d.filter("doc_id % 2 = 0").groupBy("source").agg(F.count("*").alias("n"))
-    return reconcile.metric_diff(old, d.filter("doc_id % 3 = 0").groupBy("source").agg(F.count("*").alias("n")))
+    old = d.groupBy("source").agg(F.count("*").alias("n"))
+    new = d.groupBy("source").agg(F.countDistinct(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("n"))
+    labelled = table(spark, sf_dir, "labels").join(d, "doc_id").groupBy(F.concat(F.lit("labelled "), "source").alias("source")).agg(F.count("*").alias("n"))
+    return reconcile.metric_diff(old, new.unionByName(labelled))
 
 
 def capped_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,42 +140,27 @@ def capped_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.capped(c, [F.col("c_custkey")], 100)
 
 
-def frame_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as frames: pairs of a label whose 16 leading signs differ in at most one bit."""
-    bits = F.aggregate(F.slice("embedding", 1, 16), F.lit(0), lambda a, x: a * 2 + (x > 0).cast("int"))
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", bits.alias("bits"))
-    # two values within one bit agree in one of their halves
-    halves = F.explode(F.array(F.struct(F.lit(0).alias("h"), F.shiftright("bits", 8).alias("k")), F.struct(F.lit(1).alias("h"), F.col("bits").bitwiseAND(255).alias("k"))))
-    keyed = v.select("vec_id", "label", "bits", halves.alias("s")).select("vec_id", "label", "bits", "s.h", "s.k")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    joined = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.vec_id") < F.col("b.vec_id")))
-    apart = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
-    return joined.filter(apart <= 1).select(F.col("a.vec_id").alias("left_id"), F.col("b.vec_id").alias("right_id"), apart.cast("int").alias("bits")).distinct()
-
-
-def frames_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bits = F.aggregate(F.slice("embedding", 1, 12), F.lit(0), lambda a, x: a * 2 + (x > 0).cast("int"))
-    return corpus.kept_frames(table(spark, sf_dir, "embeddings").select("label", "vec_id", bits.alias("bits")), "label", "vec_id", "bits", 2)
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("label", "vec_id", corpus.sign_bits(F.col("embedding")).alias("bits"))
 
 
-def frame_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a label whose 64 signs differ in at most three bits, as the reference compares its hashes; frame_pairs and its SQL judge 16."""
-    v = table(spark, sf_dir, "embeddings").select("label", "vec_id", corpus.sign_bits(F.col("embedding")).alias("bits"))
-    return corpus.near_pairs(v, "label", "vec_id", "bits")
+def frame_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as frames: pairs of a label whose 64 signs differ in at most three bits."""
+    return corpus.near_pairs(_frames(spark, sf_dir), "label", "vec_id", "bits")
 
 
-def frames_kept_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fold of frames_kept over all 64 signs with the reference's threshold of three bits; frames_kept judges 12."""
-    v = table(spark, sf_dir, "embeddings").select("label", "vec_id", corpus.sign_bits(F.col("embedding")).alias("bits"))
-    return corpus.kept_frames(v, "label", "vec_id", "bits")
+def frames_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of a label that differ in more than three of 64 signs from every frame kept before."""
+    return corpus.kept_frames(_frames(spark, sf_dir), "label", "vec_id", "bits")
 
 
 def size_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.human_bytes(F.octet_length(F.coalesce("text", F.lit(""))).cast("double")).alias("size"))
 
 
-QUERIES = {f.__name__: f for f in (invoice_classify, money_parse, id_infer, field_route, greedy_pack, record_fragments, exact_union, union_balance, pagination_summary, multiset_fingerprint, summed_fingerprint, page_stability, bijection, path_difference, resource_resolution, failure_coverage, repair_merge, metric_diff, capped_payload, frame_pairs, frames_kept, frame_pairs_whole, frames_kept_whole, size_labels)}
+QUERIES = {f.__name__: f for f in (invoice_classify, money_parse, id_infer, field_route, greedy_pack, record_fragments, exact_union, union_balance, pagination_summary, multiset_fingerprint, summed_fingerprint, page_stability, bijection, path_difference, resource_resolution, failure_coverage, repair_merge, metric_diff, capped_payload, frame_pairs, frames_kept, size_labels)}
 
+_SIGNS = "v AS (SELECT vec_id, label, list_reduce(list_prepend(0::hugeint, list_transform(embedding, lambda x: (x > 0)::hugeint)), lambda a, x: a * 2 + x) AS b FROM embeddings)"
 _CANON = r"""
 q AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS base, list_sort(list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\?(.*)$', 1), '&'), lambda p: p <> '')) AS pairs, url FROM pages),
 k AS (SELECT page_id, url, CASE WHEN len(pairs) > 0 THEN base || '?' || array_to_string(pairs, '&') ELSE base END AS canonical, regexp_extract(base, '^[a-z]+://[^/]*(.*)$', 1) AS alias FROM q)"""
@@ -203,7 +192,8 @@ SELECT *, rows - with_id AS without_id, with_id - distinct_ids AS duplicates, ex
     "page_stability": "SELECT stable, count(*) AS orders FROM (SELECT l_orderkey, NOT coalesce(bool_or(l_orderkey % 7 = 0 AND l_linenumber = 3), false) AS stable FROM lineitem GROUP BY 1) GROUP BY 1",
     "bijection": """WITH a AS (SELECT count(*) AS left_keys, count(*) FILTER (WHERE n > 1) AS left_conflicts FROM (SELECT count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_partkey)), b AS (SELECT count(*) AS right_keys, count(*) FILTER (WHERE n > 1) AS right_conflicts FROM (SELECT count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY l_suppkey))
 SELECT *, left_conflicts = 0 AND right_conflicts = 0 AS bijective FROM a, b""",
-    "path_difference": "SELECT doc_id, CASE WHEN doc_id % 15 = 4 THEN 'missing' ELSE 'unexpected' END AS side FROM documents WHERE (doc_id % 10 <> 3) <> (doc_id % 15 <> 4)",
+    "path_difference": """WITH a AS (SELECT doc_id FROM labels UNION SELECT page_id FROM pages)
+SELECT doc_id, 'missing' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM a) UNION SELECT doc_id, 'unexpected' FROM a WHERE doc_id NOT IN (SELECT doc_id FROM documents)""",
     "resource_resolution": f"""WITH {_CANON}, p AS (SELECT page_id, sha256(url) AS identity, alias FROM k), a AS (SELECT * FROM p WHERE page_id % 3 = 0),
 e AS (SELECT identity, min(page_id) AS exact_id FROM a GROUP BY 1), u AS (SELECT alias, min(page_id) AS alias_id FROM a GROUP BY 1 HAVING count(DISTINCT identity) = 1), g AS (SELECT DISTINCT identity FROM p WHERE page_id % 3 = 1)
 SELECT page_id AS resource_id, CASE WHEN exact_id IS NOT NULL THEN 'exact' WHEN alias_id IS NOT NULL THEN 'alias' WHEN g.identity IS NOT NULL THEN 'source_unavailable' ELSE 'unresolved' END AS resolution, coalesce(exact_id, alias_id) AS artifact_id
@@ -216,12 +206,16 @@ m AS (SELECT coalesce(q.entry, s.entry) AS entry, greatest(q.severity, s.severit
   greatest(q.recorded, CASE WHEN s.entry IS NOT NULL THEN 110 END)::bigint AS last_recorded, resolved_at, s.entry IS NOT NULL AS seen, q.entry IS NOT NULL AS known, q.severity AS old, coalesce(resolved_at >= CASE WHEN s.entry IS NOT NULL THEN 110 ELSE resolved_at END, false) AS resolved FROM q FULL JOIN s ON q.entry = s.entry)
 SELECT entry, severity, attempts, first_recorded, last_recorded, CASE WHEN resolved THEN 'resolved' ELSE 'open' END AS status,
   CASE WHEN NOT known THEN 'added' WHEN NOT seen OR resolved THEN 'unchanged' WHEN resolved_at IS NOT NULL THEN 'reopened' WHEN severity > old THEN 'updated' ELSE 'unchanged' END AS change FROM m""",
-    "metric_diff": """WITH o AS (SELECT source, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY 1), n AS (SELECT source, count(*) AS n FROM documents WHERE doc_id % 3 = 0 GROUP BY 1)
+    "metric_diff": """WITH o AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), n AS (SELECT source, count(DISTINCT sha256(coalesce(text, ''))) AS n FROM documents GROUP BY 1
+  UNION ALL SELECT 'labelled ' || source, count(*) FROM labels JOIN documents USING (doc_id) GROUP BY 1)
 SELECT coalesce(o.source, n.source) AS metric, coalesce(o.n, 0) AS old, coalesce(n.n, 0) AS new, coalesce(n.n, 0) - coalesce(o.n, 0) AS difference FROM o FULL JOIN n ON o.source = n.source""",
     "capped_payload": "SELECT c_custkey, c_name, (SELECT count(*) FROM customer) AS total_rows FROM customer ORDER BY c_custkey LIMIT 100",
-    "frame_pairs": """WITH v AS (SELECT vec_id, label, list_reduce(list_prepend(0, list_transform(embedding[1:16], lambda x: (x > 0)::int)), lambda a, x: a * 2 + x) AS b FROM embeddings)
-SELECT a.vec_id AS left_id, b.vec_id AS right_id, bit_count(xor(a.b, b.b))::int AS bits FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND bit_count(xor(a.b, b.b)) <= 1""",
-    "frame_pairs_whole": """WITH v AS (SELECT vec_id, label, list_reduce(list_prepend(0::hugeint, list_transform(embedding, lambda x: (x > 0)::hugeint)), lambda a, x: a * 2 + x) AS b FROM embeddings)
+    "frame_pairs": f"""WITH {_SIGNS}
 SELECT a.vec_id AS left_id, b.vec_id AS right_id, bit_count(xor(a.b, b.b))::int AS bits FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND bit_count(xor(a.b, b.b)) <= 3""",
+    "frames_kept": f"""WITH RECURSIVE {_SIGNS}, n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM v),
+f AS (SELECT label, vec_id, n, true AS kept, [b] AS held FROM n WHERE n = 1
+  UNION ALL SELECT label, vec_id, n, k, CASE WHEN k THEN list_append(held, b) ELSE held END FROM (
+    SELECT n.label, n.vec_id, n.n, n.b, f.held, len(list_filter(f.held, lambda h: bit_count(xor(h, n.b)) <= 3)) = 0 AS k FROM f JOIN n ON n.label IS NOT DISTINCT FROM f.label AND n.n = f.n + 1))
+SELECT label, vec_id, kept FROM f""",
     "size_labels": """WITH s AS (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents) SELECT doc_id, CASE WHEN n >= 1048576 THEN printf('%.1f MiB', n / 1048576.0) WHEN n >= 1024 THEN printf('%.1f KiB', n / 1024.0) ELSE printf('%d B', n) END AS size FROM s""",
 }

@@ -33,18 +33,6 @@ def test_partitions_do_not_change_results(spark, duck, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def test_frames_kept_against_a_loop(spark):
-    pdf = catalogue.QUERIES["frames_kept"](spark, SMALL).toPandas()
-    vectors = {r.vec_id: r for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()}
-    for label, group in pdf.sort_values("vec_id").groupby("label"):
-        held = []
-        for r in group.itertuples():
-            bits = int("".join("1" if x > 0 else "0" for x in vectors[r.vec_id].embedding[:12]), 2)
-            new = all((bits ^ h).bit_count() > 2 for h in held)
-            assert r.kept == new
-            held += [bits] * new
-
-
 def test_whole_frames_use_all_components(spark, tmp_path):
     r = random.Random(11)
     frames = []
@@ -58,12 +46,13 @@ def test_whole_frames_use_all_components(spark, tmp_path):
     spark.createDataFrame(frames, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     bits = {i: int("".join("1" if x > 0 else "0" for x in v), 2) for i, _, v in frames}
     want = {(a, b, (bits[a] ^ bits[b]).bit_count()) for a, la, _ in frames for b, lb, _ in frames if la == lb and a < b and (bits[a] ^ bits[b]).bit_count() <= 3}
-    found = catalogue.QUERIES["frame_pairs_whole"](spark, str(tmp_path)).collect()
+    found = catalogue.QUERIES["frame_pairs"](spark, str(tmp_path)).collect()
     assert len(found) == len(want) > 0 and {tuple(x) for x in found} == want
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
-    assert_same(catalogue.QUERIES["frame_pairs_whole"](spark, str(tmp_path)), con.sql(catalogue.ORACLES["frame_pairs_whole"]))
-    kept = {x.vec_id: x.kept for x in catalogue.QUERIES["frames_kept_whole"](spark, str(tmp_path)).collect()}
+    assert_same(catalogue.QUERIES["frame_pairs"](spark, str(tmp_path)), con.sql(catalogue.ORACLES["frame_pairs"]))
+    assert_same(catalogue.QUERIES["frames_kept"](spark, str(tmp_path)), con.sql(catalogue.ORACLES["frames_kept"]))
+    kept = {x.vec_id: x.kept for x in catalogue.QUERIES["frames_kept"](spark, str(tmp_path)).collect()}
     held: dict[int, list[int]] = {}
     for i, label, _ in frames:
         new = all((bits[i] ^ h).bit_count() > 3 for h in held.setdefault(label, []))
