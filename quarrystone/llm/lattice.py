@@ -4,10 +4,11 @@ Each table projects unit vectors at random to eight dimensions and files them un
 lattice.  A vector is filed in its own cell and visits the PROBES neighbouring cells it lies closest to; whoever shares a cell, as
 owner or visitor, is verified by cosine in double precision.  Every vector is filed in every table: no sample, no cap.
 
-Equal vectors of one label are one entry with a count.  A cell with very many entries is cut into chunks and each
-pair of chunks is a group of its own, so no task holds a whole cell.  Inside a group pairs are counted at once as they
-are found; a pair that shares several cells is counted in the first of them alone.  What leaves a group is a count for each entry
-and a spanning forest, so the rows stay in proportion to the entries.
+Equal vectors of one label are one entry with a count.  Visits to cells that nobody owns end before anything is shuffled twice.
+A cell with very many entries is cut into chunks and each pair of chunks is a group of its own, so no task holds a whole
+cell.  Groups are taken many at a time; pairs are counted as they are found, and a pair that shares several cells is counted in the
+first of them alone.  What leaves a batch of groups is a count for each entry and a spanning forest, so the rows stay in proportion
+to the entries.
 
 Defined cases: a null, empty or zero vector, one with null or non-finite components, and one without a label link
 with nothing, as do vectors of different lengths; rows with a null id are returned without links (component null);
@@ -25,14 +26,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import read_table, small_batches, written
+from quarrystone.llm.common import discard, read_table, small_batches, written
 from quarrystone.llm.components import components, local_roots
 
 LEAST_COSINE = 0.93
 TABLES, PROBES, SCALE, SEED = 12, 16, 1.5, 2024
-#: With these, at least 0.93 of the pairs of cosine 0.93 share a cell, and over 0.99 of those of 0.95 (64 dimensions).
-#: Entries of one chunk of a cell, and pairs whose cells are looked at together.
-CHUNK, PAIRS = 512, 1 << 16
+#: With these, 0.92 of the pairs of cosine 0.93 share a cell, and over 0.99 of those of 0.95 (64 dimensions, measured on independent pairs).
+#: Entries of one chunk of a cell, rows of groups taken together, cosines held at once, and pairs whose cells are looked at together.
+CHUNK, ROWS, COSINES, PAIRS = 512, 1 << 13, 1 << 20, 1 << 16
 
 
 def nearest_e8(x: np.ndarray) -> np.ndarray:
@@ -93,17 +94,21 @@ def units(vectors) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def salt_of(label: int, dims: int) -> np.int64:
+    """Keeps the cells of labels and lengths apart."""
+    return np.int64(hash((int(label), int(dims))))
+
+
 def cell_members(entries: DataFrame, tables: int, probes: int) -> DataFrame:
-    """cell, node, own: every entry in its own cells and in those it visits, of all tables; labels and lengths apart."""
+    """cell, node: every entry in its own cells and in those it visits, of all tables, with own; labels and lengths apart."""
 
     def filed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for (label, dims), rows in batch.groupby(["label", "dims"]):
                 unit, node = units(rows["embedding"]), rows["node"].to_numpy(np.int64)
-                salt = np.int64(hash((int(label), int(dims))))
                 for table in range(tables):
                     found = cells(unit, table, probes)
-                    yield pd.DataFrame({"cell": (found ^ salt).ravel(), "node": np.repeat(node, found.shape[1]), "own": np.tile(np.arange(found.shape[1]) == 0, len(node))})
+                    yield pd.DataFrame({"cell": (found ^ salt_of(label, dims)).ravel(), "node": np.repeat(node, found.shape[1]), "own": np.tile(np.arange(found.shape[1]) == 0, len(node))})
 
     return entries.select("node", "label", F.size("embedding").alias("dims"), "embedding").mapInPandas(filed, "cell long, node long, own boolean")
 
@@ -127,33 +132,77 @@ def first_cell(keys: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> n
     return first
 
 
+def close_pairs(unit: np.ndarray, begin: np.ndarray, size: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (left < right) of one group with a cosine of at least least; groups of one size are multiplied together."""
+    for n in np.unique(size[size > 1]).tolist():
+        first = begin[size == n]
+        step = max(1, COSINES // (n * max(n, unit.shape[1])))
+        for k in range(0, len(first), step):
+            rows = first[k : k + step, None] + np.arange(n)
+            held = unit[rows]
+            g, a, b = np.nonzero(np.triu(held @ held.transpose(0, 2, 1) >= least, 1))
+            if len(g):
+                yield rows[g, a], rows[g, b]
+
+
 def linked_counts(tables: int, probes: int, least: float):
-    def group(key, rows: pd.DataFrame) -> pd.DataFrame:
-        """Rows of one pair of chunks of one cell: cell, low, high, chunk, own, node, label, dims, copies, embedding."""
-        cell, low, high = (int(k) for k in key)
-        found = []
-        for _, part in rows.groupby(["label", "dims"]):
-            found.append(pairs(cell, low, high, part.sort_values("node").reset_index(drop=True)))
-        return pd.concat(found, ignore_index=True)
-
-    def pairs(cell: int, low: int, high: int, part: pd.DataFrame) -> pd.DataFrame:
-        unit, node, own, chunk = units(part["embedding"]), part["node"].to_numpy(np.int64), part["own"].to_numpy(bool), part["chunk"].to_numpy()
-        copies = part["copies"].to_numpy(np.int64)
-        salt = np.int64(hash((int(part["label"].iloc[0]), int(part["dims"].iloc[0]))))
-        left, right = np.nonzero(np.triu(unit @ unit.T >= least, 1))
-        meets = own[left] | own[right]
-        meets &= (chunk[left] != chunk[right]) if low != high else True
-        left, right = left[meets], right[meets]
-        if len(left):
-            keys = [cells(unit, table, probes) ^ salt for table in range(tables)]
-            here = np.concatenate([first_cell(keys, left[k : k + PAIRS], right[k : k + PAIRS]) == cell for k in range(0, len(left), PAIRS)])
-            left, right = left[here], right[here]
-        links = np.bincount(left, copies[right], len(node)) + np.bincount(right, copies[left], len(node))
-        root = local_roots(len(node), left, right)
-        at = np.flatnonzero((links > 0) | (root != np.arange(len(node))))
-        return pd.DataFrame({"node": node[at], "root": node[root[at]], "links": links[at].astype(np.int64)})
-
-    return group
+    """For mapInPandas: rows (cell, low, high, chunk, own, node, label, dims, copies, embedding) in the order of their groups
+    (cell, low, high) become node, root, links."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size >= ROWS:
+                rows = pd.concat(held, ignore_index=True)
+                last = rows[["cell", "low", "high"]].to_numpy()
+                begin = int(np.argmax((last == last[-1]).all(1)))
+                yield from found(rows.iloc[:begin])
+                held = [rows.iloc[begin:]]
+                size = len(held[0])
+        if held:
+            yield from found(pd.concat(held, ignore_index=True))
+
+    def found(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for dims, part in rows.groupby("dims"):
+            part = part.sort_values(["cell", "low", "high", "label", "node"]).reset_index(drop=True)
+            yield from pairs(int(dims), part)
+
+    def pairs(dims: int, part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        keys = part[["cell", "low", "high", "label"]].to_numpy(np.int64)
+        begin = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
+        own, chunk, cell, node, label = (part[c].to_numpy() for c in ("own", "chunk", "cell", "node", "label"))
+        one_chunk, copies = keys[:, 1] == keys[:, 2], part["copies"].to_numpy(np.int64)
+        unit = units(part["embedding"])
+        lefts, rights = [], []
+        for left, right in close_pairs(unit, begin, np.diff(np.append(begin, len(part))), least):
+            meets = (own[left] | own[right]) & (one_chunk[left] | (chunk[left] != chunk[right]))
+            lefts.append(left[meets])
+            rights.append(right[meets])
+        if not lefts:
+            return
+        left, right = np.concatenate(lefts), np.concatenate(rights)
+        # an entry stands in several groups: its cells are worked out once, and only if it is in a pair
+        used, at = np.unique(np.concatenate((left, right)), return_inverse=True)
+        _, row, entry = np.unique(node[used], return_index=True, return_inverse=True)
+        rep = used[row]
+        salt = np.zeros(len(rep), np.int64)
+        for each in np.unique(label[rep]):
+            salt[label[rep] == each] = salt_of(each, dims)
+        a, b = entry[at[: len(left)]], entry[at[len(left) :]]
+        places = [cells(unit[rep], table, probes) ^ salt[:, None] for table in range(tables)]
+        here = np.concatenate([np.zeros(0, bool)] + [first_cell(places, a[k : k + PAIRS], b[k : k + PAIRS]) == cell[left[k : k + PAIRS]] for k in range(0, len(a), PAIRS)])
+        a, b = a[here], b[here]
+        n = copies[rep]
+        links = np.bincount(a, n[b], len(rep)) + np.bincount(b, n[a], len(rep))
+        root = local_roots(len(rep), a, b)
+        out = np.flatnonzero(links > 0)
+        if len(out):
+            yield pd.DataFrame({"node": node[rep[out]], "root": node[rep[root[out]]], "links": links[out].astype(np.int64)})
+
+    return counted
 
 
 def lattice_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = LEAST_COSINE, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
@@ -164,13 +213,16 @@ def lattice_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     keyed = written(rows.withColumn("ok", F.coalesce(sound, F.lit(False))).withColumn("digest", F.when(F.col("ok"), F.sha2(F.to_binary(F.concat_ws(",", F.transform(e, lambda x: x.cast("string"))), F.lit("utf-8")), 256))), "vectors")
     entries = written(keyed.filter("ok").groupBy("label", "digest").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.min("embedding").alias("embedding")), "vector-entries")
 
-    members = written(cell_members(entries, tables, probes), "cell-members")
-    sizes = members.groupBy("cell").agg(F.count("*").alias("n"), F.max("own").alias("owned")).filter("n > 1 AND owned")
-    met = members.join(written(sizes, "cell-sizes"), "cell").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    owned = written(cell_members(entries, tables, 0).select("cell").distinct(), "owned-cells")
+    met = written(cell_members(entries, tables, probes).join(owned, "cell"), "cell-members")
+    sizes = written(met.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "cell-sizes")
+    crowd = met.join(sizes, "cell").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
     each = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("chunk")).alias("low"), F.greatest(c, F.col("chunk")).alias("high"))))
-    dealt = met.withColumn("p", each).select("cell", "p.low", "p.high", "chunk", "own", "node")
+    dealt = crowd.withColumn("p", each).select("cell", "p.low", "p.high", "chunk", "own", "node")
     full = dealt.join(entries.select("node", "label", F.size("embedding").alias("dims"), "copies", "embedding"), "node")
-    found = written(full.groupBy("cell", "low", "high").applyInPandas(linked_counts(tables, probes, least), "node long, root long, links long"), "vector-links")
+    grouped = full.repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high")
+    found = written(grouped.mapInPandas(linked_counts(tables, probes, least), "node long, root long, links long"), "vector-links")
+    discard(owned, met, sizes)
 
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     linked = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), "vectors")
