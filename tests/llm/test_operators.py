@@ -465,6 +465,42 @@ def test_lattice_links(spark):
     assert lattice.lattice_links(df.limit(0)).count() == 0
 
 
+def test_lattice_recall_at_64_dimensions(spark):
+    """Independent pairs at the threshold and a little above, among random vectors, with production parameters."""
+    small_batches(spark)
+    r = np.random.default_rng(8)
+    table, cosines = [], {}
+    for k in range(3000):
+        a, b = r.standard_normal((2, 64))
+        a /= np.linalg.norm(a)
+        b -= (b @ a) * a
+        cosine = (0.9302, 0.94, 0.96)[k % 3]
+        cosines[2 * k] = cosine
+        table += [(2 * k, a.tolist(), k % 5), (2 * k + 1, (cosine * a + (1 - cosine**2) ** 0.5 * b / np.linalg.norm(b)).tolist(), k % 5)]
+    got = {x.vec_id: x for x in lattice.lattice_links(spark.createDataFrame(table, "vec_id long, embedding array<double>, label int")).collect()}
+    assert len(got) == len(table) and all(x.component_id in (i, i - i % 2) for i, x in got.items())
+    found = {c: np.mean([got[i].n_links == 1 == got[i + 1].n_links for i, x in cosines.items() if x == c]) for c in set(cosines.values())}
+    assert found[0.9302] >= 0.9 and found[0.94] >= 0.93 and found[0.96] >= 0.99
+
+
+def test_lattice_crowded_cells(spark, monkeypatch):
+    """A cluster in which all are near, over many chunks and batches, with names of columns that the operator uses."""
+    small_batches(spark)
+    monkeypatch.setattr(lattice, "CHUNK", 16)
+    monkeypatch.setattr(lattice, "ROWS", 64)
+    r = np.random.default_rng(4)
+    centre = r.standard_normal(64)
+    near = [centre + 0.12 * r.standard_normal(64) for _ in range(150)] + [r.standard_normal(64) for _ in range(50)]
+    names = ("n", "chunk", "chunks", "label_", "digest", "own", "low", "high", "root", "links", "ok", "p", "copies", "dims", "n_links", "component_id")
+    df = spark.createDataFrame([(i, v.tolist(), 3) for i, v in enumerate(near)], "vec_id long, embedding array<double>, label int").select("*", *(F.lit("x").alias(c) for c in names))
+    unit = np.array(near) / np.linalg.norm(near, axis=1, keepdims=True)
+    linked = np.triu(unit @ unit.T >= 0.93, 1)
+    assert linked.sum() > 5000
+    degree = linked.sum(0) + linked.sum(1)
+    got = {x.vec_id: x.n_links for x in lattice.lattice_links(df).collect()}
+    assert sum(got.values()) >= 0.99 * degree.sum() and all(got[i] <= degree[i] for i in got)
+
+
 def test_lattice_points_are_nearest():
     x = np.random.default_rng(2).standard_normal((300, 8)) * 2
     found = lattice.nearest_e8(x) / 2
