@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,3 +95,53 @@ def page_url(url: Column, name: str, page: Column, obsolete: tuple[str, ...] = (
 def urls_in(text: Column) -> Column:
     """All http urls of a text."""
     return F.regexp_extract_all(text, F.lit(r"((?:http|HTTP)[sS]?://[^\s<>\"'`}\]]+)"), F.lit(1))
+
+
+#: Hosts and paths of telemetry, and paths that read only although they are posted to.
+TELEMETRY_HOSTS = ("hm.baidu.com", "google-analytics.com", "googletagmanager.com")
+TELEMETRY_WORDS = ("sensorsdata", "arms-retcode")
+TELEMETRY_PATHS = r"^/sa\.gif$|/logstores/|/trace/track"
+READ_ONLY_PATH = r"^/api/[^/]*Read/[^/]+$"
+
+
+def host_of(url: Column) -> Column:
+    """Lower-case host without port; empty for what is no absolute url."""
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+
+
+def path_of(url: Column) -> Column:
+    return F.regexp_extract(base_of(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/]*(.*)$", 1)
+
+
+def on_hosts(url: Column, hosts: tuple[str, ...]) -> Column:
+    """Whether the host is one of hosts or stands below one."""
+    host = host_of(url)
+    return reduce(Column.__or__, [(host == h) | host.endswith("." + h) for h in hosts], F.lit(False))
+
+
+def is_telemetry(url: Column) -> Column:
+    host = host_of(url)
+    words = reduce(Column.__or__, [host.contains(w) for w in TELEMETRY_WORDS])
+    return on_hosts(url, TELEMETRY_HOSTS) | words | host.endswith("log.aliyuncs.com") | F.rlike(F.lower(path_of(url)), F.lit(TELEMETRY_PATHS))
+
+
+def under_paths(url: Column, paths: tuple[str, ...]) -> Column:
+    """Whether the path, in lower case and without closing slashes, is one of paths or below one."""
+    path = F.regexp_replace(F.lower(path_of(url)), "/+$", "")
+    return reduce(Column.__or__, [(path == p) | path.startswith(p + "/") for p in paths], F.lit(False))
+
+
+def is_read_only_api(url: Column, more: tuple[str, ...] = ()) -> Column:
+    return path_of(url).isin(*more) | F.rlike(path_of(url), F.lit(READ_ONLY_PATH)) if more else F.rlike(path_of(url), F.lit(READ_ONLY_PATH))
+
+
+def url_class(url: Column, excluded: tuple[str, ...], blocked: tuple[str, ...], allowed: tuple[str, ...]) -> Column:
+    """What a request is, by the first rule that holds."""
+    cases = ((F.coalesce(host_of(url), F.lit("")) == "", "invalid"), (on_hosts(url, blocked), "blocked"), (is_telemetry(url), "telemetry"), (under_paths(url, excluded), "excluded"), (is_read_only_api(url), "read_only_api"), (on_hosts(url, allowed), "allowed"))
+    return reduce(lambda rest, c: F.when(c[0], c[1]).otherwise(rest), reversed(cases), F.lit("other"))
+
+
+def read_only_post_key(method: Column, url: Column, body_sha256: Column, excluded: tuple[str, ...]) -> Column:
+    """What two exact read-only posts share: method, canonical url and the hash of the body; null for any other request."""
+    holds = (F.upper(method) == "POST") & (F.coalesce(body_sha256, F.lit("")) != "") & ~under_paths(url, excluded) & is_read_only_api(url)
+    return F.when(holds, F.concat_ws("\n", F.lit("POST"), canonical(url), body_sha256))
