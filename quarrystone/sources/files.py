@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import sqlite3
 import stat
 import zipfile
@@ -89,7 +90,10 @@ def identified(files: DataFrame) -> DataFrame:
     magic = F.when(F.col("_zip").isNotNull(), F.col("_zip")).otherwise(spot(1, F.when(printable, sniffed).otherwise("binary")))
     by_name = F.when(image, "image").when(audio, "audio").when(video, "video").otherwise("other")
     category = F.when(F.col("_zip") == "zip", "archive").when(F.col("_zip") == "bad-zip", "other").when(F.col("_zip").isNotNull(), "office").otherwise(spot(2, F.when(printable, "text").otherwise(by_name)))
-    return typed.withColumn("magic", magic).withColumn("category", category).drop("_zip")
+    office = F.when(F.col("_zip") == "ooxml-word", "application/vnd.openxmlformats-officedocument.wordprocessingml.document").when(F.col("_zip") == "ooxml-excel", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet").when(F.col("_zip") == "ooxml-powerpoint", "application/vnd.openxmlformats-officedocument.presentationml.presentation")
+    by_look = F.when(sniffed == "json-text", "application/json").when(sniffed == "markup-text", "text/markup").otherwise("text/plain")
+    mime = F.when(F.col("_zip").isNotNull(), F.coalesce(office, F.lit("application/zip"))).otherwise(spot(3, F.when(printable, by_look).otherwise("application/octet-stream")))
+    return typed.withColumn("magic", magic).withColumn("category", category).withColumn("mime", mime).drop("_zip")
 
 
 def jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -180,6 +184,11 @@ def sqlite_table(spark: SparkSession, path: str, table: str, parts: int = 1) ->
     return spark.read.format("sqlite").option("path", path).option("table", table).option("parts", str(parts)).load()
 
 
+def make_local_folder(path: str) -> None:
+    """The folder of a local file, where it is not there yet."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+
+
 MEMBERS = "path string, member_index int, member_path string, compressed_bytes long, uncompressed_bytes long, crc32 long, encrypted boolean, is_directory boolean, is_link boolean, sha256 string, content binary"
 
 

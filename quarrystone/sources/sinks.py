@@ -10,7 +10,7 @@ from collections.abc import Iterable
 from pathlib import Path
 from xml.sax.saxutils import quoteattr
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.operators.gates import GateError, enforce, report
@@ -105,6 +105,23 @@ def verify_checksums(folder: Path, name: str = "SHA256SUMS") -> None:
         raise GateError(f"CHECKSUM_COVERAGE: {sorted(there ^ seen)[:3]}")
 
 
+def checksum_rows(spark: SparkSession, folder: str, name: str = "SHA256SUMS") -> DataFrame:
+    """rel and sha256 of all files under a folder in any store that Spark reads; hidden files and the list itself are left out."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    inside = F.regexp_replace("path", r"^.*?\Q" + folder.split("://")[-1].rstrip("/") + r"\E/", "")
+    rows = read.select(inside.alias("rel"), F.sha2("content", 256).alias("sha256"))
+    return rows.filter((F.col("rel") != name) & ~F.rlike("rel", F.lit(r"(^|/)[._]")))
+
+
+def checksum_faults(listed: DataFrame, there: DataFrame) -> DataFrame:
+    """rel and fault of checksum rows that do not hold: listed twice, leading out of the folder, another hash, not there, or not listed."""
+    once = listed.groupBy("rel").agg(F.count("*").alias("n"), F.min("sha256").alias("sha256"))
+    joined = once.join(there.select("rel", F.col("sha256").alias("found")), "rel", "full")
+    escapes = F.col("rel").startswith("/") | F.array_contains(F.split("rel", "/"), "..")
+    fault = F.when(escapes, "CHECKSUM_PATH_ESCAPES").when(F.col("n") > 1, "CHECKSUM_DUPLICATE").when(F.col("n").isNull(), "CHECKSUM_COVERAGE").when(F.col("found").isNull(), "CHECKSUM_MISSING").when(F.col("found") != F.col("sha256"), "CHECKSUM_MISMATCH")
+    return joined.select("rel", fault.alias("fault")).filter("fault IS NOT NULL")
+
+
 def publish(spark: SparkSession, tables: dict[str, DataFrame], gates: list[DataFrame], target: str, graph: tuple[DataFrame, DataFrame] | None = None) -> dict[str, int]:
     """A package at target: gates first, then tables in a staging folder beside it, their counts read back, checksums, one rename.
 
@@ -115,9 +132,10 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], gates: list[DataF
     enforce(report(*gates))
     staging = final.with_name(f"{final.name}.staging-{os.getpid()}")
     try:
-        counts = write_tables(tables, f"{staging}/parquet")
-        for name, df in tables.items():
-            if counts[name] != df.count():
+        seen = {name: Observation(f"rows {name}") for name in tables}
+        counts = write_tables({name: df.observe(seen[name], F.count("*").alias("n")) for name, df in tables.items()}, f"{staging}/parquet")
+        for name in tables:
+            if counts[name] != seen[name].get["n"]:
                 raise GateError(f"PARQUET_COUNT: {name}")
         if graph:
             write_graphml(*graph, f"{staging}/graph.graphml.gz")

@@ -49,6 +49,8 @@ def repair_queue(stream: DataFrame, state_path: str, checkpoint: str) -> Streami
             known = old.select("entry", "severity", F.col("last_recorded").alias("recorded"), "attempts", "resolved_at")
         merged = merged_repairs(known, batch.select(*columns))
         resolved = batch.select("entry", "resolved_at").unionByName(known.select("entry", "resolved_at")).groupBy("entry").agg(F.max("resolved_at").alias("resolved_at"))
-        merged.join(resolved, "entry", "left").write.mode("overwrite").parquet(f"{state_path}/version={epoch}")
+        # an entry that was seen again after it was resolved is open, and stays so in later batches
+        kept = F.when(F.col("status") == "resolved", F.col("resolved_at")).alias("resolved_at")
+        merged.join(resolved, "entry", "left").select(*merged.columns, kept).write.mode("overwrite").parquet(f"{state_path}/version={epoch}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
