@@ -8,18 +8,19 @@ A text is described by which informative features it holds: whole words, word be
 letters (so inflected and compounded words share evidence), and a few of its shape.  Presence, not frequency,
 counts: one hit weighs the same in a long text as in a short one.
 
-Models are fitted on the driver from at most SAMPLE_ROWS labelled rows, taken in order of a hash of the id; scoring
-reads every row and whole texts.
+Models are fitted on the driver from the features of at most SAMPLE_ROWS labelled rows, taken in order of a hash of the id;
+texts are described where they lie.  Scoring reads every row and whole texts.
 
 Defined cases: a null or empty text holds no words; rows without labels are scored as all others; labels
 for unknown ids and null labels are left out; repeated labels of an id count as one, set if any of them is, and of the texts of a
-repeated id the least is fitted, so no more than SAMPLE_ROWS texts reach the driver; a category without both classes in the sample has the constant
+repeated id the least is fitted, so no more than SAMPLE_ROWS rows, and of each its distinct features only, reach the driver; a category without both classes in the sample has the constant
 probability 0 or 1 that it shows, 0 with no labels at all; an empty table gives an empty result;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -136,19 +137,14 @@ class Chain:
     number: dict[int, int] = field(default_factory=dict)
     models: list[Linear] = field(default_factory=list)
     held_out: dict[str, float] = field(default_factory=dict)
-    _known: Known | None = field(default=None, repr=False, compare=False)
-
-    def __getstate__(self):
-        """What a worker gets: the words that this copy has met stay here."""
-        return self.__dict__ | {"_known": None}
+    #: Names this chain and its copies, and no other.
+    token: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def probabilities(self, texts) -> np.ndarray:
         """One row for each text, one column for each category."""
         if not self.models:
             return np.zeros((len(texts), len(self.names)))
-        if self._known is None:
-            self._known = Known(self.number)
-        known = self._known
+        known = words_of(self)
         rows, cols = [], []
         for text in texts:
             held = known.text(text)
@@ -161,6 +157,17 @@ class Chain:
         return sigmoid(scores)
 
 
+_words: tuple[str, Known] | None = None
+
+
+def words_of(chain: Chain) -> Known:
+    """The words that this process has met for the chain; those of the chain before are let go."""
+    global _words
+    if _words is None or _words[0] != chain.token:
+        _words = chain.token, Known(chain.number)
+    return _words[1]
+
+
 def informative(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray) -> dict[int, int]:
     """Features that set a category's rows apart most, by chi-square, for each category: bucket -> number."""
     total, chosen = len(labels), {}
@@ -179,15 +186,19 @@ def informative(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray) -> di
     return chosen
 
 
-def fit_chain(texts: list[str], labels: np.ndarray, names: list[str]) -> Chain:
-    """labels: 0 or 1 for each text and category."""
+def features(texts) -> list[np.ndarray]:
+    """The distinct features of each text."""
+    known = Known()
+    return [np.sort(np.fromiter(known.text(t), np.int32)) for t in texts]
+
+
+def fit_chain(held: list[np.ndarray], labels: np.ndarray, names: list[str]) -> Chain:
+    """held: the features of each text; labels: 0 or 1 for each text and category."""
     fitted = Chain(names)
-    if not len(texts):
+    if not len(held):
         return fitted
-    known = Known()
-    held = [np.fromiter(known.text(t), np.int32) for t in texts]
+    texts = range(len(held))
     rows, buckets = np.repeat(np.arange(len(held), dtype=np.int32), [len(h) for h in held]), np.concatenate(held)
-    del held, known
     fitted.number = number = informative(rows, buckets, labels)
     place = np.full(BUCKETS, -1, np.int32)
     place[list(number)] = list(number.values())
@@ -220,12 +231,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     wanted = wanted.groupBy("id").agg(*(F.max(f"c{i}").alias(f"c{i}") for i in range(len(categories))))
     sample = wanted.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "id")
-    rows = rows.groupBy("id", *(f"c{i}" for i in range(len(categories)))).agg(F.min("text").alias("text")).toArrow()
-    rows = rows.sort_by([("id", "ascending"), ("text", "ascending")])
+    rows = rows.groupBy("id", *(f"c{i}" for i in range(len(categories)))).agg(F.min("text").alias("text"))
+
+    def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.drop(columns="text").assign(held=pd.Series(features(batch["text"]), dtype=object))
+
+    columns = ", ".join(f"c{i} int" for i in range(len(categories)))
+    rows = rows.mapInPandas(described, f"id long, {columns}, held array<int>").toArrow().sort_by("id")
     flags = np.array([rows.column(f"c{i}").to_numpy() for i in range(len(categories))]).T.reshape(len(rows), len(categories))
-    texts = rows.column("text").to_pylist()
+    held = [x.values.to_numpy() for x in rows.column("held")]
     del rows
-    return fit_chain(texts, flags, [name for name, _ in categories])
+    return fit_chain(held, flags, [name for name, _ in categories])
 
 
 def probabilities(chain: Chain, text: Column) -> Column:
