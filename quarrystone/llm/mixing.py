@@ -14,7 +14,7 @@ the id's hash), so a source with most rows is spread over many tasks.
 
 Defined cases: a null source is a source of its own; rows with a null id or repeated rows get places of
 their own; a source without a weight gets the square root of its share of rows; weights of sources that are absent count
-for nothing; a source of weight nought follows when those with a weight have run out; a negative weight is an error; an empty table gives an empty result; other columns are kept by mix() and ignored by the query.
+for nothing; a source of weight nought follows when those with a weight have run out; a negative weight is an error; an empty table gives an empty result; other columns are kept by mix(), but for one named _mix, and ignored by the query.
 """
 
 from __future__ import annotations
@@ -124,9 +124,11 @@ def plan_table(spark: SparkSession, steps: Iterator[tuple[str, int, array]]) ->
 def mix(docs: DataFrame, weights: dict[str, float | Fraction] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
     """docs with _mix: struct(source, block, slot, within).  slot and within order the mixture."""
     spark = docs.sparkSession
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))
-    bucket = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(BUCKETS))
-    named = docs.withColumn("_mix_source", source).withColumn("_mix_bucket", F.when(F.col(id_col).isNull(), F.pmod(F.xxhash64(*docs.columns), F.lit(BUCKETS))).otherwise(bucket))
+    row = docs.select(F.struct(*(c for c in docs.columns if c != "_mix")).alias("row"))
+    ident = F.col(f"row.{id_col}")
+    source = F.coalesce(F.col(f"row.{source_col}").cast("string"), F.lit(NO_SOURCE))
+    bucket = F.pmod(F.when(ident.isNull(), F.xxhash64("row")).otherwise(F.xxhash64(ident.cast("long"))), F.lit(BUCKETS))
+    named = row.select("row", source.alias("_mix_source"), bucket.alias("_mix_bucket"))
     counts = written(named.groupBy("_mix_source", "_mix_bucket").agg(F.count("*").alias("n")), "mix-counts")
     totals = dict(counts.groupBy("_mix_source").agg(F.sum("n")).toLocalIterator())
     all_rows = sum(totals.values())
@@ -134,13 +136,13 @@ def mix(docs: DataFrame, weights: dict[str, float | Fraction] | None = None, id_
     schedule = plan_table(spark, plan(totals, wanted, block_rows, period))
 
     offsets = counts.select("_mix_source", "_mix_bucket", F.coalesce(F.sum("n").over(Window.partitionBy("_mix_source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_mix_offset"))
-    inside = named.withColumn("_mix_rank", F.row_number().over(Window.partitionBy("_mix_source", "_mix_bucket").orderBy(id_col)))
+    inside = named.withColumn("_mix_rank", F.row_number().over(Window.partitionBy("_mix_source", "_mix_bucket").orderBy(ident)))
     ranked = inside.join(offsets, ["_mix_source", "_mix_bucket"]).withColumn("_mix_rank", F.col("_mix_offset") + F.col("_mix_rank") - 1)
     block = F.floor(F.col("_mix_rank") / block_rows)
     blocks = ranked.withColumn("_mix_block", block).withColumn("_mix_piece", F.floor(F.col("_mix_block") / period))
     placed = blocks.join(schedule, ["_mix_source", "_mix_piece"])
     slot = F.get("slots", (F.col("_mix_block") % period).cast("int"))
-    return placed.select(*docs.columns, F.struct(F.col("_mix_source").alias("source"), F.col("_mix_block").alias("block"), slot.alias("slot"), (F.col("_mix_rank") % block_rows).alias("within")).alias("_mix"))
+    return placed.select("row.*", F.struct(F.col("_mix_source").alias("source"), F.col("_mix_block").alias("block"), slot.alias("slot"), (F.col("_mix_rank") % block_rows).alias("within")).alias("_mix"))
 
 
 def in_mixed_order(mixed: DataFrame) -> DataFrame:
