@@ -34,26 +34,32 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_toxic(docs, train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """docs as one column, row: what a stage adds clashes with no column of docs."""
+    return docs.select(F.struct("*").alias("row"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__kept_id"), F.col("digest").alias("__kept_digest"))
-    marked = docs.withColumn("__digest", sha256(normalised(F.col("text"))))
-    firsts = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("__digest") == F.col("__kept_digest")), "left_semi")
-    again = F.row_number().over(Window.partitionBy("doc_id", "__digest").orderBy("text"))
-    return firsts.withColumn("__again", again).filter("__again = 1").drop("__digest", "__again")
+    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
+    marked = packed(docs).withColumn("digest", sha256(normalised(F.col("row.text"))))
+    firsts = marked.join(kept, F.col("row.doc_id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")), "left_semi")
+    again = F.row_number().over(Window.partitionBy("row.doc_id", "digest").orderBy("row.text"))
+    return firsts.withColumn("again", again).filter("again = 1").select("row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
-    found = simhash_components(keyed, "__row").select(F.col("doc_id").alias("__row"), F.coalesce("component_id", "doc_id").alias("__component"))
-    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.col("__row").alias("row"))
-    ranked = keyed.select("__row", place.alias("__place")).join(found, "__row")
-    kept = ranked.groupBy("__component").agg(F.min("__place")["row"].alias("__row")).select("__row")
-    return keyed.join(kept, "__row", "left_semi").drop("__row")
+    keyed = written(packed(docs).withColumn("key", F.monotonically_increasing_id()), "near-rows")
+    found = simhash_components(keyed, "key", "row.text").select(F.col("doc_id").alias("key"), F.coalesce("component_id", "doc_id").alias("component"))
+    place = F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.xxhash64("row.text"), F.col("key").alias("key"))
+    ranked = keyed.select("key", place.alias("place")).join(found, "key")
+    kept = ranked.groupBy("component").agg(F.min("place")["key"].alias("key")).select("key")
+    return keyed.join(kept, "key", "left_semi").select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return in_mixed_order(mix(docs))
+    rows = packed(docs).select("row", "row.doc_id", "row.source")
+    return in_mixed_order(mix(rows)).select("row.*")
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
