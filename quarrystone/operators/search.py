@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +35,93 @@ def with_preview(docs: DataFrame, text: str, limit: int = PREVIEW) -> DataFrame:
     return docs.withColumns({text: head, f"{text}_truncated": cut})
 
 
+def without_marks(text: Column) -> Column:
+    """Latin letters without their diacritics: each letter of the Latin blocks that is a base and marks becomes the base."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x250)]
+    plain = [(c, d[0]) for c, d in pairs if len(d) > 1 and all(map(unicodedata.combining, d[1:]))]
+    return F.regexp_replace(F.translate(text, "".join(c for c, _ in plain), "".join(d for _, d in plain)), r"\p{M}", "")
+
+
+def words_of(text: Column) -> Column:
+    """Lower-case words without diacritics: runs of letters and digits."""
+    folded = F.regexp_replace(without_marks(F.lower(F.coalesce(text, F.lit("")))), r"[^\p{L}\p{N}]+", " ")
+    return F.filter(F.split(folded, " "), lambda w: w != "")
+
+
 def word_index(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(word, key, place): an index that phrase searches of many phrases join with."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
-    return docs.select(key, F.posexplode(words).alias("place", "word"))
+    """(word, key, places): where each document holds each word; written once, it answers searches without the texts."""
+    words = docs.select(key, F.posexplode(words_of(F.col(text))).alias("place", "word"))
+    return words.groupBy("word", key).agg(F.sort_array(F.collect_list("place")).alias("places"))
+
+
+def parsed_query(query: str) -> list[tuple[str, list[str]]]:
+    """A boolean query in postfix form: words and "phrases" as ("phrase", words), joined by AND (also unsaid), OR and NOT, which binds
+    AND and leaves the documents that the left side has and the right side lacks; parentheses group."""
+    if len(query) > MOST_QUERY:
+        raise GateError("QUERY_TOO_LONG")
+    fold = lambda t: "".join(c for c in unicodedata.normalize("NFD", t.lower()) if not unicodedata.combining(c))
+    split = lambda t: re.findall(r"[^\W_]+", fold(t))
+    tokens = re.findall(r'"[^"]*"|\(|\)|[^\s()"]+', query)
+    binds, out, held, ready = {"OR": 1, "AND": 2, "NOT": 2}, [], [], False
+
+    def operator(name: str) -> None:
+        while held and held[-1] != "(" and binds[held[-1]] >= binds[name]:
+            out.append((held.pop(), []))
+        held.append(name)
+
+    for token in tokens:
+        if token in binds and ready:
+            operator(token)
+            ready = False
+        elif token == ")":
+            while held and held[-1] != "(":
+                out.append((held.pop(), []))
+            if not held or not ready:
+                raise GateError("QUERY_SYNTAX")
+            held.pop()
+        elif token in binds:
+            raise GateError("QUERY_SYNTAX")
+        else:
+            words = [] if token == "(" else split(token)
+            if token != "(" and not words:
+                continue
+            if ready:
+                operator("AND")
+            if token == "(":
+                held.append("(")
+            else:
+                out.append(("phrase", words))
+            ready = token != "("
+    while held:
+        if held[-1] == "(" or not ready:
+            raise GateError("QUERY_SYNTAX")
+        out.append((held.pop(), []))
+    if not out:
+        raise GateError("QUERY_SYNTAX")
+    return out
+
+
+def boolean_hits(index: DataFrame, key: str, query: str) -> DataFrame:
+    """The keys of word_index() that a boolean query finds.  Only the words of the query are read from the index, a phrase needs its words
+    in places that follow each other, and the parts meet by key."""
+    steps = parsed_query(query)
+    words = sorted({w for _, phrase in steps for w in phrase})
+    held = index.filter(F.col("word").isin(*words)).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("at"))
+    stack: list[Column] = []
+    places = lambda word: F.element_at(F.col("at"), word)
+
+    def stands(phrase: list[str]) -> Column:
+        """Whether the words of a phrase stand one after another somewhere."""
+        later = lambda begin: reduce(Column.__and__, [F.coalesce(F.array_contains(places(w), begin + n), F.lit(False)) for n, w in enumerate(phrase)])
+        return F.coalesce(F.exists(places(phrase[0]), later), F.lit(False))
+
+    for kind, phrase in steps:
+        if kind == "phrase":
+            stack.append(stands(phrase))
+        else:
+            right, left = stack.pop(), stack.pop()
+            stack.append(left & right if kind == "AND" else left | right if kind == "OR" else left & ~right)
+    return held.filter(stack.pop()).select(key)
 
 
 def phrases_in_docs(docs: DataFrame, doc_key: str, phrases: DataFrame, phrase_key: str, text: str, width: int = 5) -> DataFrame:

@@ -56,6 +56,20 @@ def fts_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.phrase_hits(table(spark, sf_dir, "documents"), "text", PHRASE).select("doc_id")
 
 
+BOOLEAN = 'the AND (of OR "for the") NOT "of the" der OR éra'
+
+
+def fts_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A boolean search over the word index: diacritics do not count, NOT takes away, unsaid AND binds as AND does."""
+    return search.boolean_hits(search.word_index(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", BOOLEAN)
+
+
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and places of each word of the index."""
+    index = search.word_index(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return index.groupBy("word").agg(F.count("*").alias("documents"), F.sum(F.size("places")).cast("long").alias("places"))
+
+
 def like_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.filter(text.like_any([F.col("text"), F.col("source"), F.col("doc_id")], NEEDLE)).select("doc_id", "source")
@@ -94,11 +108,12 @@ def evidence_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.excerpt(F.col("text"), NEEDLE).alias("excerpt")).filter("excerpt IS NOT NULL")
 
 
-QUERIES = {f.__name__: f for f in (normalise_key, html_chunks_text, html_visible_text, html_block_text, url_identity, url_pages, latest_per_url, fts_phrase, like_any, search_page, document_slice, preview_flag, phrase_intersection, secret_scan, safe_cells, evidence_excerpt)}
+QUERIES = {f.__name__: f for f in (normalise_key, html_chunks_text, html_visible_text, html_block_text, url_identity, url_pages, latest_per_url, fts_phrase, fts_boolean, word_counts, like_any, search_page, document_slice, preview_flag, phrase_intersection, secret_scan, safe_cells, evidence_excerpt)}
 
 _ENT = "replace(replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
 _BARE = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\\b.*?</script>', '', 'g'), '(?is)<style\\b.*?</style>', '', 'g'), '(?is)<noscript\\b.*?</noscript>', '', 'g')"
 _FOLD = "' ' || trim(regexp_replace(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+_PLAIN = "' ' || trim(regexp_replace(strip_accents(lower(coalesce(text, ''))), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' '"
 _WORDS = "list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '')"
 SIGNED_SQL = r"""
 s AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN b || CASE WHEN contains(b, '?') THEN '&' ELSE '?' END || 'token=s' || page_id || '&Expires=9&b=2&X-Amz-Signature=5f&security-token=q&policy=&a=1' || f ELSE url END AS url
@@ -125,6 +140,9 @@ SELECT page_id, base || '?' || array_to_string(list_append(pairs, 'page=' || pag
     "latest_per_url": r"""WITH q AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS base, list_sort(list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\?(.*)$', 1), '&'), lambda p: p <> '')) AS pairs FROM pages)
 SELECT CASE WHEN len(pairs) > 0 THEN base || '?' || array_to_string(pairs, '&') ELSE base END AS canonical, max(page_id) AS page_id, count(*) AS captures FROM q GROUP BY 1""",
     "fts_phrase": f"SELECT doc_id FROM documents WHERE contains({_FOLD.format('text')}, ' of the ')",
+    "fts_boolean": f"""WITH f AS (SELECT doc_id, {_PLAIN} AS t FROM documents)
+SELECT doc_id FROM f WHERE (contains(t, ' the ') AND (contains(t, ' of ') OR contains(t, ' for the ')) AND NOT contains(t, ' of the ') AND contains(t, ' der ')) OR contains(t, ' era ')""",
+    "word_counts": f"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split({_PLAIN}, ' '), lambda x: x <> '')) AS word FROM documents) SELECT word, count(DISTINCT doc_id) AS documents, count(*) AS places FROM w GROUP BY 1""",
     "like_any": "SELECT doc_id, source FROM documents WHERE text ILIKE '%idiot%' OR source ILIKE '%idiot%' OR doc_id::varchar ILIKE '%idiot%'",
     "search_page": f"""WITH h AS (SELECT doc_id, source, text FROM documents WHERE contains({_FOLD.format('text')}, ' of the '))
 SELECT doc_id, source, substr(text, 1, 40) AS text, length(text) > 40 AS text_truncated, (SELECT count(*) FROM h) AS total, greatest(1, ceil((SELECT count(*) FROM h) / 25))::bigint AS pages FROM h ORDER BY doc_id LIMIT 25 OFFSET 25""",
