@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -110,3 +111,84 @@ def kept_frames(frames: DataFrame, group: str, order: str, bits: str, least: int
     rows = frames.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(bits).alias("b"))
     kinds = dict(rows.dtypes)
     return rows.repartition("g").sortWithinPartitions("g", "o").mapInPandas(fold, f"g {kinds['g']}, o {kinds['o']}, kept boolean").toDF(group, order, "kept")
+
+
+PART_SCHEMA = "part int, parts int, method string, json_path string, first_item int, body string"
+
+
+def compact(value) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def lists_in(value) -> Iterator[tuple[tuple, list]]:
+    """Every list of two items or more inside a value, with its path, outer ones first."""
+    todo = [((), value)]
+    while todo:
+        path, at = todo.pop(0)
+        if isinstance(at, list) and len(at) > 1:
+            yield path, at
+        if isinstance(at, list | dict):
+            todo += [((*path, k), v) for k, v in (at.items() if isinstance(at, dict) else enumerate(at)) if isinstance(v, list | dict)]
+
+
+def largest_list(value) -> tuple[tuple, list] | None:
+    """The list that takes most characters when written; of equals, the one found first."""
+    return max(lists_in(value), key=lambda found: len(compact(found[1])), default=None)
+
+
+def with_list(value, path: tuple, items: list):
+    """value with the list at path replaced; nothing else is copied."""
+    if not path:
+        return items
+    inner = with_list(value[path[0]], path[1:], items)
+    if isinstance(value, dict):
+        return {k: inner if k == path[0] else v for k, v in value.items()}
+    return [inner if k == path[0] else v for k, v in enumerate(value)]
+
+
+def split_record(value, most: int) -> list[tuple[str, str, int, str]]:
+    """(method, json_path, first_item, body) of the parts of a record that is too long: its largest list is shared out in runs that
+    fit, again and again; what has no list to share is cut as text.  A single item may stay above most until it is cut itself."""
+    body = compact(value)
+    if len(body) <= most:
+        return [("whole", "", 0, body)]
+    found = largest_list(value)
+    if found is None:
+        return [("text", "", at, body[at : at + most]) for at in range(0, len(body), most)]
+    path, items = found
+    room = most - len(compact(with_list(value, path, [])))
+    runs, begin, size = [], 0, 0
+    for k, item in enumerate(items):
+        length = len(compact(item)) + 1
+        if k > begin and size + length > room + 1:
+            runs.append((begin, k))
+            begin, size = k, 0
+        size += length
+    runs.append((begin, len(items)))
+    if len(runs) == 1:
+        return [("text", "", at, body[at : at + most]) for at in range(0, len(body), most)]
+    name = "".join(f"/{step}" for step in path)
+    parts = []
+    for first, end in runs:
+        part = with_list(value, path, items[first:end])
+        text = compact(part)
+        if len(text) <= most:
+            parts.append(("list", name, first, text))
+        else:
+            parts += [("text", name, first, text[at : at + most]) for at in range(0, len(text), most)]
+    return parts
+
+
+def record_parts(records: DataFrame, key: str, text: str, most: int) -> DataFrame:
+    """key, part, parts, method, json_path, first_item, body: JSON records in parts of at most most characters, nothing lost."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, body in zip(batch["k"], batch["body"]):
+                parts = split_record(json.loads(body), most)
+                rows += [(k, n + 1, len(parts), *part) for n, part in enumerate(parts)]
+            yield pd.DataFrame(rows, columns=["k", "part", "parts", "method", "json_path", "first_item", "body"])
+
+    rows = records.select(F.col(key).alias("k"), F.col(text).alias("body")).filter("body IS NOT NULL")
+    return rows.mapInPandas(split, f"k {dict(rows.dtypes)['k']}, {PART_SCHEMA}").withColumnRenamed("k", key)

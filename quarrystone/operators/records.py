@@ -69,6 +69,16 @@ def receipts_bound(receipts: DataFrame, artifacts: DataFrame, key: str, checks:
     return joined.select(F.coalesce(key, "_key").alias(key), status.alias("binding"))
 
 
+def receipt_totals(receipts: DataFrame, artifacts: DataFrame, key: str) -> DataFrame:
+    """What a receipt (key, announced, announced_bytes) says against the artifacts (key, bytes) that are there: counts, bytes, and what does not close."""
+    found = artifacts.groupBy(key).agg(F.count("*").alias("artifacts"), F.sum("bytes").cast("long").alias("bytes"))
+    joined = receipts.join(found, key, "full").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("artifacts", "bytes")})
+    status = rules(
+        (F.col("announced").isNull(), "no_receipt"), (F.col("announced") != F.col("artifacts"), "count_differs"), (F.col("announced_bytes") != F.col("bytes"), "bytes_differ"), otherwise="closed",
+    )
+    return joined.withColumn("coverage", status)
+
+
 def next_action(status: DataFrame, steps: list[tuple[str, Column]], otherwise: str) -> DataFrame:
     """The first step whose condition holds for a status row."""
     return status.withColumn("next_action", rules(*((condition, name) for name, condition in steps), otherwise=otherwise))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.operators import records
+from quarrystone.operators import corpus, records
+from quarrystone.plans import package_queries
 from quarrystone.plans.tables import table
+from quarrystone.plans.walk_queries import NESTED_SQL, nested_orders
 
 
 def cooccurrence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +71,47 @@ def multi_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.multi_root_union(roots)
 
 
-QUERIES = {f.__name__: f for f in (cooccurrence_pairs, most_common_source, first_known_user, page_text_merge, recognised_lines, window_anchors, receipt_binding, next_action, multi_root)}
+def record_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their lines as JSON, in parts of 300 characters by their largest list; put together again, each is what it was."""
+    parts = corpus.record_parts(nested_orders(spark, sf_dir), "source_rel", "json", 300)
+    # all of a part but its list is the same in every part, so items in order and one frame make the record again
+    frame, items = F.regexp_extract("body", r"^(.*\"products\":)\[.*\]\}$", 1), F.regexp_extract("body", r"\"products\":\[(.*)\]\}$", 1)
+    whole = parts.groupBy("source_rel").agg(
+        F.max("parts").cast("long").alias("parts"), F.max(F.length("body")).cast("long").alias("longest"), F.count_if(F.col("method") == "text").alias("cut_as_text"),
+        F.min(frame).alias("frame"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", items.alias("items")))), lambda p: p["items"]), ",").alias("items"),
+    )
+    return whole.select("source_rel", (F.col("longest") <= 300).alias("fits"), "cut_as_text", F.sha2(F.concat("frame", F.lit("["), "items", F.lit("]}")), 256).alias("sha256"))
+
+
+def receipt_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as receipts of their lines: every twelfth announces one more, every thirteenth other bytes, and lines of every eleventh order have none."""
+    size = (F.col("l_partkey") % 100 + 1).cast("long").alias("bytes")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session"), size)
+    told = lines.groupBy("session").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).filter("session % 11 <> 0")
+    receipts = told.select("session", (F.col("n") + (F.col("session") % 12 == 0).cast("int")).alias("announced"), (F.col("b") + (F.col("session") % 13 == 0).cast("int")).alias("announced_bytes"))
+    return records.receipt_totals(receipts, lines, "session")
+
+
+def package_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by type of node, predicate, kind of relation, axis and record type of a relation package."""
+    profile = lambda name, df, column: df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).select(F.lit(name).alias("profile"), "value", "n")
+    relation = package_queries.pkg_explicit_relation(spark, sf_dir)
+    found = [
+        profile("node_type", package_queries.pkg_nodes(spark, sf_dir), "node_type"), profile("predicate", relation, "predicate"), profile("relation_kind", relation, "relation_kind"),
+        profile("axis", package_queries.pkg_timeline_event(spark, sf_dir), "axis"), profile("record_type", package_queries.pkg_record_occurrence(spark, sf_dir), "record_type"),
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+QUERIES = {f.__name__: f for f in (cooccurrence_pairs, most_common_source, first_known_user, page_text_merge, recognised_lines, window_anchors, receipt_binding, next_action, multi_root, record_parts, receipt_totals, package_profiles)}
 
 ORACLES = {
+    "record_parts": f"""WITH {NESTED_SQL} SELECT rel AS source_rel, true AS fits, 0 AS cut_as_text, sha256('{{"order_id":"O' || o_orderkey || '","company_id":"C' || o_custkey || '","order_time":"' || t || '","products":' || products || '}}') AS sha256 FROM o""",
+    "receipt_totals": """WITH l AS (SELECT l_orderkey AS session, count(*) AS n, sum(l_partkey % 100 + 1)::bigint AS b FROM lineitem GROUP BY 1)
+SELECT session, CASE WHEN session % 11 <> 0 THEN n + (session % 12 = 0)::int END AS announced, CASE WHEN session % 11 <> 0 THEN b + (session % 13 = 0)::int END AS announced_bytes, n AS artifacts, b AS bytes,
+  CASE WHEN session % 11 = 0 THEN 'no_receipt' WHEN session % 12 = 0 THEN 'count_differs' WHEN session % 13 = 0 THEN 'bytes_differ' ELSE 'closed' END AS coverage FROM l""",
+    "package_profiles": f"WITH {package_queries.PACKAGE_SQL} "
+    + " UNION ALL ".join(f"SELECT '{c}' AS profile, {c} AS value, count(*) AS n FROM {t} GROUP BY ALL" for c, t in (("node_type", "nodes"), ("predicate", "explicit_relation"), ("relation_kind", "explicit_relation"), ("axis", "timeline_event"), ("record_type", "record_occurrence"))),
     "cooccurrence_pairs": """SELECT a.l_partkey AS left_id, b.l_partkey AS right_id, count(*) AS evidence_count, min(a.l_orderkey) AS first_record
 FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND (a.l_linenumber, a.l_partkey) < (b.l_linenumber, b.l_partkey) AND a.l_partkey <> b.l_partkey GROUP BY 1, 2""",
     "most_common_source": """WITH c AS (SELECT lang, source, count(*) AS n, min(doc_id) AS f FROM documents GROUP BY 1, 2)

@@ -194,3 +194,47 @@ def test_repair_stream_keeps_resolved_entries(spark, tmp_path):
     paths.repair_queue(read(), str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination(120)
     got = {r.entry: (r.severity, r.attempts, r.status, r.change) for r in spark.read.parquet(str(tmp_path / "state/version=1")).collect()}
     assert got == {1: (2, 3, "open", "updated"), 2: (0, 1, "resolved", "unchanged")}
+
+
+def test_split_records_lose_nothing():
+    import json
+    import random
+
+    from quarrystone.operators.corpus import compact, largest_list, split_record
+
+    r = random.Random(12)
+
+    def value(depth):
+        kind = r.randrange(5 if depth else 2)
+        if kind == 0:
+            return "é" * r.randrange(30)
+        if kind == 1:
+            return r.randrange(10**6)
+        if kind == 2:
+            return [value(depth - 1) for _ in range(r.randrange(12))]
+        return {f"k{i}": value(depth - 1) for i in range(r.randrange(5))}
+
+    for _ in range(300):
+        record = {"a": value(3), "b": value(2), "list": [value(2) for _ in range(r.randrange(30))]}
+        most = r.choice((80, 300, 2000))
+        parts = split_record(record, most)
+        assert all(len(body) <= most for *_, body in parts)
+        if len(parts) == 1:
+            assert json.loads(parts[0][3]) == record
+            continue
+        # text pieces of one run come first together, then runs of the list follow each other
+        runs: dict[int, str] = {}
+        for _, _, first, body in parts:
+            runs[first] = runs.get(first, "") + body if parts[0][1] else runs.get(0, "") + body
+        if not parts[0][1]:
+            assert "".join(body for *_, body in parts) == compact(record)
+            continue
+        path, items = largest_list(record)
+        found = []
+        for first in sorted(runs):
+            at = json.loads(runs[first])
+            for step in path:
+                at = at[step]
+            assert first == len(found)
+            found += at
+        assert found == items
