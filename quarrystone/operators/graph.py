@@ -28,6 +28,15 @@ def facts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("from_id", "relation", "to_id").agg(F.count("*").alias("evidence_count"), F.min("source_rel").alias("first_source"), F.max("source_rel").alias("last_source"))
 
 
+def facts_of(df: DataFrame, left: tuple[str, Column], relation: str, right: tuple[str, Column], source: Column) -> DataFrame:
+    """facts() of occurrences(), combined by the plain values of both ends before these are hashed: one hash for a fact instead of one for each row."""
+    rows = df.select(left[1].alias("_left"), right[1].alias("_right"), source.alias("_source"))
+    if left[0] == right[0]:
+        rows = rows.filter(F.col("_left").cast("string") != F.col("_right").cast("string"))
+    found = rows.filter("_left IS NOT NULL AND _right IS NOT NULL").groupBy("_left", "_right").agg(F.count("*").alias("evidence_count"), F.min("_source").alias("first_source"), F.max("_source").alias("last_source"))
+    return found.select(node_id(left[0], F.col("_left")).alias("from_id"), F.lit(relation).alias("relation"), node_id(right[0], F.col("_right")).alias("to_id"), "evidence_count", "first_source", "last_source")
+
+
 def catalog(fact_rows: DataFrame, node_rows: DataFrame) -> DataFrame:
     """Facts with the type and value of both ends (null where an end is unknown) and a fact id."""
     ends = node_rows.select("node_id", "node_type", "value")

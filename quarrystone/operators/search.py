@@ -125,7 +125,17 @@ def boolean_hits(index: DataFrame, key: str, query: str) -> DataFrame:
 
 
 def phrases_in_docs(docs: DataFrame, doc_key: str, phrases: DataFrame, phrase_key: str, text: str, width: int = 5) -> DataFrame:
-    """Pairs (doc, phrase) that share a run of width words, by a join on the run: no phrase is held against every document."""
+    """Pairs (doc, phrase) that share runs of width words, and how many different ones; keys are unique on either side.
+
+    Runs meet by a 64-bit hash, so eight bytes a run are shuffled and no phrase is held against every document; the words themselves
+    are compared for the pairs that met."""
     words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
-    shaped = lambda df, key: df.withColumn("_w", words(F.col(text))).filter(F.size("_w") >= width).select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - width + 1), lambda i: F.array_join(F.slice("_w", i, width), " ")))).alias("run"))
-    return shaped(docs, doc_key).join(shaped(phrases, phrase_key), "run").groupBy(doc_key, phrase_key).agg(F.count("*").alias("shared_runs"))
+    places = lambda w: F.sequence(F.lit(1), F.size(w) - width + 1)
+    shaped = lambda df, key: df.select(key, words(F.col(text)).alias("_w")).filter(F.size("_w") >= width)
+    hashed = lambda df, key: df.select(key, F.explode(F.array_distinct(F.transform(places("_w"), lambda i: F.xxhash64(F.slice("_w", i, width))))).alias("_h"))
+    runs = lambda c: F.array_distinct(F.transform(places(c), lambda i: F.array_join(F.slice(c, i, width), " ")))
+    d, p = shaped(docs, doc_key), shaped(phrases, phrase_key)
+    met = hashed(d, doc_key).join(hashed(p, phrase_key), "_h").select(doc_key, phrase_key).distinct()
+    both = met.join(d, doc_key).join(p.withColumnRenamed("_w", "_p"), phrase_key)
+    shared = F.size(F.array_intersect(runs(F.col("_w")), runs(F.col("_p")))).cast("long")
+    return both.select(doc_key, phrase_key, shared.alias("shared_runs")).filter("shared_runs > 0")

@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.operators import graph
 from quarrystone.operators.gates import gate, report
 from quarrystone.plans.tables import table
+from quarrystone.sources.scratch import kept
 
 
-def case_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _relations(spark: SparkSession, sf_dir: str) -> list[tuple]:
+    """Arguments of graph.occurrences() and graph.facts_of() for the relations of the case."""
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    owned = graph.occurrences(orders, ("company", F.col("o_custkey")), "company_has_order", ("order", F.col("o_orderkey")), F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string")))
-    held = graph.occurrences(lines, ("order", F.col("l_orderkey")), "order_has_product", ("product", F.col("l_partkey")), F.concat_ws("/", F.lit("lineitem"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
-    return owned.unionByName(held)
+    return [
+        (orders, ("company", F.col("o_custkey")), "company_has_order", ("order", F.col("o_orderkey")), F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string"))),
+        (lines, ("order", F.col("l_orderkey")), "order_has_product", ("product", F.col("l_partkey")), F.concat_ws("/", F.lit("lineitem"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))),
+    ]
+
+
+def case_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [graph.occurrences(*r) for r in _relations(spark, sf_dir)])
 
 
 def case_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +35,7 @@ def case_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relation_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.facts(case_edges(spark, sf_dir))
+    return reduce(DataFrame.unionByName, [graph.facts_of(*r) for r in _relations(spark, sf_dir)])
 
 
 def relation_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +110,7 @@ def node_pairs_by_company(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consistency of the graph: one row for each gate."""
-    edges, nodes, facts = case_edges(spark, sf_dir), case_nodes(spark, sf_dir), relation_fact(spark, sf_dir)
+    edges, nodes, facts = kept(case_edges(spark, sf_dir), "gate-edges"), kept(case_nodes(spark, sf_dir), "gate-nodes"), relation_fact(spark, sf_dir)
     evidence = facts.agg(F.sum("evidence_count").alias("n")).select(F.col("n"))
     return report(
         gate("ORPHAN_ENDPOINTS", graph.orphans(edges, nodes)),
