@@ -3,7 +3,8 @@
 A large-star step links every larger neighbour of a node to the least node in its neighbourhood, a small-star step does so for
 the smaller ones.  Both keep connectivity, never make more edges than there were, and end with stars whose
 centres are the least ids.  Every round is written to the shared folder, so lineage stays short, and takes the place of the one
-before; nothing is collected but two sums a round.
+before; nothing is collected but two sums a round.  A centre with very many leaves is the hot key of a join that stands below
+a shuffle of its own, so adaptive execution splits it where its partition is large.
 """
 
 from __future__ import annotations
