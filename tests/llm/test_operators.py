@@ -272,17 +272,13 @@ def test_components_of_a_long_chain(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "none").count() == 0
 
 
-def test_components_with_hot_centres(spark, monkeypatch):
-    """Stars, whose centres are not the least ids, and chains between them, with and without the way for hot nodes."""
+def test_components_with_hot_centres(spark):
+    """Stars whose centres are not the least ids, and chains between them."""
     r = random.Random(6)
     edges = [(5_000, i) for i in range(400)] + [(6_000, i) for i in range(1_000, 1_300)] + [(i, i + 1) for i in range(1_299, 1_400)] + [(9_000, 9_001), (7, 9_500)]
     label = least_reachable({n for e in edges for n in e}, edges)
-    for hot in (100, 1, 10**6):
-        r.shuffle(edges)
-        monkeypatch.setattr("quarrystone.llm.components.LEAST_HOT", hot)
-        monkeypatch.setattr("quarrystone.llm.components.HOT_SHARE", 10**6 if hot == 1 else 200)
-        got = {x.node: x.component_id for x in components(spark.createDataFrame(edges, "a long, b long"), "hot").collect()}
-        assert got == label
+    r.shuffle(edges)
+    assert {x.node: x.component_id for x in components(spark.createDataFrame(edges, "a long, b long"), "hot").collect()} == label
 
 
 def test_bpe_matches_the_library(docs):
