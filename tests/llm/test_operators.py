@@ -134,13 +134,17 @@ def test_forest_holds_one_key_and_one_batch(monkeypatch):
 
 def brute_substring(window):
     words = [(r[0], (r[1] or "").encode().split()) for r in rows()]
-    rank = lambda i: (i is not None) and i
+    least: dict[tuple, int] = {}
+    for i, w in words:
+        for k in range(len(w) - window + 1):
+            if i is not None:
+                key = tuple(w[k : k + window])
+                least[key] = min(i, least.get(key, i))
     out = []
     for i, w in words:
         gone = set()
         for k in range(len(w) - window + 1):
-            s = w[k : k + window]
-            if i is not None and any(j is not None and rank(j) < i and any(v[m : m + window] == s for m in range(len(v) - window + 1)) for j, v in words):
+            if i is not None and least[tuple(w[k : k + window])] < i:
                 gone.update(range(k, k + window))
         kept = b" ".join(x for n, x in enumerate(w) if n not in gone)
         out.append((i, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
@@ -150,9 +154,8 @@ def brute_substring(window):
 @pytest.mark.parametrize("hot", [1, 10_000])
 def test_substring_dedup(docs, spark, monkeypatch, hot):
     monkeypatch.setattr(segments, "HOT_ROWS", hot)
-    keep = F.col("doc_id").isNull() | (F.col("doc_id") != 42)
-    got = substring_dedup.substring_dedup(docs.filter(keep)).withColumn("h", F.sha2("kept", 256))
-    assert pairs(got, "doc_id", "n_words", "n_removed", "h") == expect(r for r in brute_substring(13) if r[0] != 42)
+    got = substring_dedup.substring_dedup(docs).withColumn("h", F.sha2("kept", 256))
+    assert pairs(got, "doc_id", "n_words", "n_removed", "h") == expect(brute_substring(13))
     assert substring_dedup.substring_dedup(empty(spark)).count() == 0
 
 
@@ -205,14 +208,50 @@ def brute_suffix(window):
     return out
 
 
-@pytest.mark.parametrize(("window", "hot"), [(400, 10_000), (50, 1), (50, 10_000)])
-def test_suffix_dedup(docs, spark, monkeypatch, window, hot):
+@pytest.mark.parametrize(("window", "gram", "hot"), [(400, 32, 10_000), (400, 32, 1), (50, 20, 1), (50, 20, 10_000)])
+def test_suffix_dedup(docs, spark, monkeypatch, window, gram, hot):
     monkeypatch.setattr(segments, "HOT_ROWS", hot)
-    got = suffix_dedup.suffix_dedup(docs, window=window, gram=20).withColumn("h", F.sha2("kept", 256))
+    got = suffix_dedup.suffix_dedup(docs, window=window, gram=gram).withColumn("h", F.sha2("kept", 256))
     assert pairs(got, "doc_id", "n_bytes", "n_removed", "n_spans", "h") == expect(brute_suffix(window))
     assert suffix_dedup.suffix_dedup(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("depth", [3, 8, 50, 64, 400])
+def test_radix_sort_finds_equal_beginnings(depth):
+    """Against a set of byte strings, for depths that are and are not multiples of a digit, within groups."""
+    r = np.random.default_rng(depth)
+    raw = r.integers(97, 99, 4000, dtype=np.uint8)
+    raw[1500:2500] = raw[200:1200]
+    starts = r.choice(len(raw) - depth, 1500, replace=False)
+    group = r.integers(0, 3, len(starts)) * 10**12
+    seen: dict[tuple, int] = {}
+    keys = [(int(g), raw[s : s + depth].tobytes()) for s, g in zip(starts, group)]
+    for key in keys:
+        seen[key] = seen.get(key, 0) + 1
+    assert suffix_dedup.repeated_suffixes(raw, starts, group, depth).tolist() == [seen[key] > 1 for key in keys]
+
+
+def test_very_long_texts_and_empty_tables(spark):
+    """A text of some megabytes and its copy, beside short ones, through every operator on documents; then no rows at all."""
+    small_batches(spark)
+    r = random.Random(21)
+    long = " ".join(r.choice(WORDS) + str(r.randrange(10**6)) for _ in range(200_000))
+    table = [(1, long), (2, long), (3, "short"), (4, None)]
+    docs = spark.createDataFrame([(*row, "s", "c") for row in table], "doc_id long, text string, source string, digest string")
+    assert sorted((x.doc_id, x.keep_id, x.kept) for x in exact_dedup.exact_dedup(docs).collect()) == [(1, 1, True), (2, 1, False), (3, 3, True), (4, 4, True)]
+    assert sorted((x.doc_id, x.component_id) for x in simhash.simhash_components(docs).collect()) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    assert {x.doc_id: x["size"] for x in sharding.shard_rows(docs, sharding.Tree(24)).collect()} == {i: len((t or "").encode()) + 8 for i, t in table}
+    found = {x.doc_id: x for x in bpe.bpe_digests(docs, bpe.byte_bpe_path()).collect()}
+    assert found[1].decoded_sha256 == hashlib.sha256(long.encode()).hexdigest() and found[1].ids_sha256 == found[2].ids_sha256
+    assert {x.doc_id: (x.n_words, x.n_removed) for x in substring_dedup.substring_dedup(docs).collect()} == {1: (200_000, 0), 2: (200_000, 200_000), 3: (1, 0), 4: (0, 0)}
+    size = len(long.encode())
+    assert {x.doc_id: (x.n_removed, x.n_spans) for x in suffix_dedup.suffix_dedup(docs).collect()} == {1: (size, 1), 2: (size, 1), 3: (0, 0), 4: (0, 0)}
+    assert mixing.mix(docs, {}).count() == 4
+    none = docs.limit(0)
+    for empty_result in (bpe.bpe_digests(none, bpe.byte_bpe_path()), bpe.bpe_ids(none, bpe.byte_bpe_path()), mixing.mix(none, {}), simhash.simhash_components(none), sharding.shard_rows(none, sharding.Tree(24))):
+        assert empty_result.count() == 0
+
+
 def brute_fingerprint(text):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", low)
@@ -317,6 +356,36 @@ def test_sharding(docs, spark):
     assert sharding.shard_rows(empty(spark), sharding.Tree(24)).count() == 0
 
 
+def brute_shard(key, shards, base=24, regions=2, racks=3):
+    """The leaf of a tree that is built from the list of its leaves, each (generation, region, rack): exponential draws by level."""
+    from math import log
+
+    def draw(node, weight):
+        bits = int(hashlib.md5(f"{key}|{'.'.join(map(str, node))}".encode()).hexdigest()[:12], 16)
+        return -log((bits + 0.5) / 2**48) / weight
+
+    leaves = {}
+    for shard in range(shards):
+        spot = shard // (base // (regions * racks)) if shard < base else (shard - base) % (regions * racks)
+        leaves[shard] = (0 if shard < base else shard - base + 1, spot // racks, spot % racks)
+    for depth in (2, 3):
+        names = sorted({(g, *rest)[:depth] for g, *rest in leaves.values()})
+        if len(names) > 1:
+            best = min(names, key=lambda name: draw(name, sum(p[:depth] == name for p in leaves.values())))
+            leaves = {s: p for s, p in leaves.items() if p[:depth] == best}
+        else:
+            leaves = {s: p for s, p in leaves.items() if p[:depth] == names[0]}
+    return min(leaves, key=lambda s: draw((s,), 1))
+
+
+def test_shards_against_a_plain_tree(docs, spark):
+    ids = spark.range(1500).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).unionByName(spark.createDataFrame([(None, "t"), (-5, "t")], "doc_id long, text string"))
+    for shards in (24, 25, 31):
+        for x in sharding.shard_rows(ids, sharding.Tree(shards)).collect():
+            key = "null" if x.doc_id is None else str(x.doc_id)
+            assert (x.shard, x.grown_shard) == (brute_shard(key, shards), brute_shard(key, shards + 1))
+
+
 def test_growing_moves_rows_into_the_new_shard_only(spark):
     ids = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     before = sharding.Tree(24)
