@@ -179,7 +179,10 @@ def bpe_texts(encoded: DataFrame, vocab_path: str) -> DataFrame:
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = coder(vocab_path)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text": pd.Series(["" if ids is None else bpe.decode(map(int, ids)) for ids in batch["ids"]], dtype=object)})
+            yield pd.DataFrame({
+                "doc_id": batch["doc_id"].astype("Int64"),
+                "text": pd.Series(["" if ids is None else bpe.decode(map(int, ids)) for ids in batch["ids"]], dtype=object)
+            })
 
     return encoded.select("doc_id", "ids").mapInPandas(texts, "doc_id long, text string")
 

@@ -62,7 +62,9 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 STOPS = frozenset("ul ol dl table select article section div body main aside nav".split())
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body", "legend"}
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""", re.S)
+_MARKUP = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""", re.S
+)
 #: Share of the lead's density that a block around it must keep to join.
 CLIMB = 0.5
 #: What sets an element aside: nothing, its name, its name as that of reader comments, or itself.
@@ -338,7 +340,10 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     def extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [main_text(h) for h in batch["html"]]
-            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"].astype(object), "text": pd.Series(texts, dtype=object), "n_chars": [len(t) for t in texts]})
+            yield pd.DataFrame({
+                "page_id": batch["page_id"].astype("Int64"), "url": batch["url"].astype(object), "text": pd.Series(texts, dtype=object),
+                "n_chars": [len(t) for t in texts]
+            })
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     return rows.mapInPandas(extracted, "page_id long, url string, text string, n_chars long")

@@ -108,7 +108,10 @@ def cell_members(entries: DataFrame, tables: int, probes: int) -> DataFrame:
                 unit, node = units(rows["embedding"]), rows["node"].to_numpy(np.int64)
                 for table in range(tables):
                     found = cells(unit, table, probes)
-                    yield pd.DataFrame({"cell": (found ^ salt_of(label, dims)).ravel(), "node": np.repeat(node, found.shape[1]), "own": np.tile(np.arange(found.shape[1]) == 0, len(node))})
+                    yield pd.DataFrame({
+                        "cell": (found ^ salt_of(label, dims)).ravel(), "node": np.repeat(node, found.shape[1]),
+                        "own": np.tile(np.arange(found.shape[1]) == 0, len(node))
+                    })
 
     return entries.select("node", "label", F.size("embedding").alias("dims"), "embedding").mapInPandas(filed, "cell long, node long, own boolean")
 
@@ -193,7 +196,10 @@ def linked_counts(tables: int, probes: int, least: float):
             salt[label[rep] == each] = salt_of(each, dims)
         a, b = entry[at[: len(left)]], entry[at[len(left) :]]
         places = [cells(unit[rep], table, probes) ^ salt[:, None] for table in range(tables)]
-        here = np.concatenate([np.zeros(0, bool)] + [first_cell(places, a[k : k + PAIRS], b[k : k + PAIRS]) == cell[left[k : k + PAIRS]] for k in range(0, len(a), PAIRS)])
+        here = np.concatenate([np.zeros(0, bool)] + [
+            first_cell(places, a[k : k + PAIRS], b[k : k + PAIRS]) == cell[left[k : k + PAIRS]]
+            for k in range(0, len(a), PAIRS)
+        ])
         a, b = a[here], b[here]
         n = copies[rep]
         links = np.bincount(a, n[b], len(rep)) + np.bincount(b, n[a], len(rep))
@@ -205,19 +211,30 @@ def linked_counts(tables: int, probes: int, least: float):
     return counted
 
 
-def lattice_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = LEAST_COSINE, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def lattice_links(
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = LEAST_COSINE, tables: int = TABLES,
+    probes: int = PROBES
+) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept."""
     e = F.col("embedding")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"), F.col(label_col).cast("long").alias("label"))
     sound = e.isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-    keyed = written(rows.withColumn("ok", F.coalesce(sound, F.lit(False))).withColumn("digest", F.when(F.col("ok"), F.sha2(F.to_binary(F.concat_ws(",", F.transform(e, lambda x: x.cast("string"))), F.lit("utf-8")), 256))), "vectors")
-    entries = written(keyed.filter("ok").groupBy("label", "digest").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.min("embedding").alias("embedding")), "vector-entries")
+    keyed = written(
+        rows.withColumn("ok", F.coalesce(sound, F.lit(False))).withColumn("digest", F.when(F.col("ok"), F.sha2(F.to_binary(F.concat_ws(",", F.transform(e, lambda x: x.cast("string"))), F.lit("utf-8")), 256))),
+        "vectors"
+    )
+    entries = written(
+        keyed.filter("ok").groupBy("label", "digest").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.min("embedding").alias("embedding")),
+        "vector-entries"
+    )
 
     owned = written(cell_members(entries, tables, 0).select("cell").distinct(), "owned-cells")
     met = written(cell_members(entries, tables, probes).join(owned, "cell"), "cell-members")
     sizes = written(met.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "cell-sizes")
     crowd = met.join(sizes, "cell").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
-    each = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("chunk")).alias("low"), F.greatest(c, F.col("chunk")).alias("high"))))
+    each = F.explode(F.transform(
+        F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("chunk")).alias("low"), F.greatest(c, F.col("chunk")).alias("high"))
+    ))
     dealt = crowd.withColumn("p", each).select("cell", "p.low", "p.high", "chunk", "own", "node")
     full = dealt.join(entries.select("node", "label", F.size("embedding").alias("dims"), "copies", "embedding"), "node")
     grouped = full.repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high")
@@ -227,10 +244,16 @@ def lattice_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     linked = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), "vectors")
     named = entries.select("label", "digest", "node", "copies").join(counts, "node", "left").join(linked, "node", "left")
-    named = written(named.select("label", "digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "node").alias("component_id")), "vector-classes")
+    named = written(
+        named.select("label", "digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "node").alias("component_id")),
+        "vector-classes"
+    )
     result = keyed.drop("embedding").join(named, ["label", "digest"], "left")
     component = F.coalesce("component_id", "vec_id")
-    return result.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return result.select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+        F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept")
+    )
 
 
 def op10_lattice_links(spark: SparkSession, sf_dir: str) -> DataFrame:

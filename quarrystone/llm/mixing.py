@@ -121,7 +121,10 @@ def plan_table(spark: SparkSession, steps: Iterator[tuple[str, int, array]]) ->
     return spark.read.schema(schema).parquet(path)
 
 
-def mix(docs: DataFrame, weights: dict[str, float | Fraction] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+def mix(
+    docs: DataFrame, weights: dict[str, float | Fraction] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS,
+    period: int = PERIOD
+) -> DataFrame:
     """docs with _mix: struct(source, block, slot, within).  slot and within order the mixture."""
     spark = docs.sparkSession
     row = docs.select(F.struct(*(c for c in docs.columns if c != "_mix")).alias("row"))
@@ -135,14 +138,20 @@ def mix(docs: DataFrame, weights: dict[str, float | Fraction] | None = None, id_
     wanted = {s: (weights or {}).get(s, math.sqrt(n / all_rows)) for s, n in totals.items()}
     schedule = plan_table(spark, plan(totals, wanted, block_rows, period))
 
-    offsets = counts.select("_mix_source", "_mix_bucket", F.coalesce(F.sum("n").over(Window.partitionBy("_mix_source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_mix_offset"))
+    offsets = counts.select(
+        "_mix_source", "_mix_bucket",
+        F.coalesce(F.sum("n").over(Window.partitionBy("_mix_source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_mix_offset")
+    )
     inside = named.withColumn("_mix_rank", F.row_number().over(Window.partitionBy("_mix_source", "_mix_bucket").orderBy(ident)))
     ranked = inside.join(offsets, ["_mix_source", "_mix_bucket"]).withColumn("_mix_rank", F.col("_mix_offset") + F.col("_mix_rank") - 1)
     block = F.floor(F.col("_mix_rank") / block_rows)
     blocks = ranked.withColumn("_mix_block", block).withColumn("_mix_piece", F.floor(F.col("_mix_block") / period))
     placed = blocks.join(schedule, ["_mix_source", "_mix_piece"])
     slot = F.get("slots", (F.col("_mix_block") % period).cast("int"))
-    return placed.select("row.*", F.struct(F.col("_mix_source").alias("source"), F.col("_mix_block").alias("block"), slot.alias("slot"), (F.col("_mix_rank") % block_rows).alias("within")).alias("_mix"))
+    return placed.select(
+        "row.*",
+        F.struct(F.col("_mix_source").alias("source"), F.col("_mix_block").alias("block"), slot.alias("slot"), (F.col("_mix_rank") % block_rows).alias("within")).alias("_mix")
+    )
 
 
 def in_mixed_order(mixed: DataFrame) -> DataFrame:

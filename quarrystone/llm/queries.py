@@ -11,6 +11,9 @@ from quarrystone.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 from quarrystone.llm.suffix_dedup import op9_suffix_dedup
 from quarrystone.llm.toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_mixing, op4_exact_dedup, op5_bpe, op6_simhash, op7_sharding, op8_html_extract, op9_suffix_dedup, op10_lattice_links)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_substring_dedup, op3_mixing, op4_exact_dedup, op5_bpe, op6_simhash, op7_sharding, op8_html_extract, op9_suffix_dedup, op10_lattice_links)
+}
 
 ORACLES = {"op2_substring_dedup": OP2_SQL, "op4_exact_dedup": OP4_SQL}

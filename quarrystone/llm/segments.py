@@ -95,7 +95,9 @@ def row_anchors(rows: DataFrame, cutter: Cutter) -> DataFrame:
                     row, anchor = row[at], anchor[at]
                     cut = np.flatnonzero(row[1:] != row[:-1]) + 1
                     firsts = np.concatenate(([0], cut))
-                    yield pd.DataFrame({"key": key[row[firsts]], "anchors": pd.Series(np.split(anchor, cut), dtype=object), "places": pd.Series(np.split(n, cut), dtype=object)})
+                    yield pd.DataFrame({
+                        "key": key[row[firsts]], "anchors": pd.Series(np.split(anchor, cut), dtype=object), "places": pd.Series(np.split(n, cut), dtype=object)
+                    })
 
     return written(rows.select("key", "text").mapInPandas(found, "key long, anchors array<long>, places array<int>"), "anchors")
 
@@ -143,7 +145,9 @@ def segments(rows: DataFrame, cutter: Cutter, anchors: DataFrame, repeats: DataF
 
     held = anchors.select("key", F.explode("anchors").alias("anchor")).join(repeats, "anchor")
     lists = held.groupBy("key").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
-    return rows.join(lists, "key").select("key", "tag", "text", "anchors", "hot").mapInPandas(cut, "anchor long, skey long, size int, seg binary, key long, tag long, start int")
+    return rows.join(lists, "key").select("key", "tag", "text", "anchors", "hot").mapInPandas(
+        cut, "anchor long, skey long, size int, seg binary, key long, tag long, start int"
+    )
 
 
 def among(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:

@@ -87,7 +87,9 @@ def shard_of(key: Column, tree: Tree) -> Column:
             return descend(children[0][0])
         best = F.least(*(F.struct(draw(key, c, w).alias("d"), F.lit(i).alias("i")) for i, (c, w) in enumerate(children)))["i"]
         leaves = [F.lit(c[0]) if len(at) == 3 else descend(c) for c, _ in children]
-        return F.element_at(F.array(*leaves), best + 1) if len(at) == 3 else reduce(lambda rest, x: F.when(best == x[0], x[1]).otherwise(rest), list(enumerate(leaves))[:-1], leaves[-1])
+        return F.element_at(F.array(*leaves), best + 1) if len(at) == 3 else reduce(
+            lambda rest, x: F.when(best == x[0], x[1]).otherwise(rest), list(enumerate(leaves))[:-1], leaves[-1]
+        )
 
     return descend(())
 
@@ -110,7 +112,10 @@ def shard_rows(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: st
     before = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     inside = alike.withColumn("inside", F.coalesce(F.sum("rows").over(before), F.lit(0)))
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    offsets = counts.select(
+        "shard", "bucket",
+        F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset")
+    )
     return inside.join(F.broadcast(offsets), ["shard", "bucket"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
         F.explode(F.sequence(F.col("offset") + F.col("inside"), F.col("offset") + F.col("inside") + F.col("rows") - 1)).alias("slot"),

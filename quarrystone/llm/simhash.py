@@ -180,7 +180,9 @@ def near_edges(nodes: DataFrame, dense: int = DENSE) -> DataFrame:
     if not crowded.isEmpty():
         spark = nodes.sparkSession
         sub = F.broadcast(spark.createDataFrame(finer, "choice int, sub int, mask long"))
-        divided = crowded.join(sub, "choice").select((F.col("choice") * 100 + F.col("sub") + 100).alias("choice"), "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "node")
+        divided = crowded.join(sub, "choice").select(
+            (F.col("choice") * 100 + F.col("sub") + 100).alias("choice"), "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "node"
+        )
         found = usual.unionByName(divided)
     dealt = found.repartition("choice", "key").sortWithinPartitions("choice", "key")
     return dealt.mapInPandas(forest, "a long, b long")

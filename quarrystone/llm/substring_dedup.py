@@ -113,7 +113,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     distinct = held.groupBy("anchor", "skey", "size", "seg").agg(F.min("key").alias("least"))
     found = written(by_shard(distinct, shard_minima(window), "array<long>"), "segment-minima")
-    hits = held.drop("seg").join(found, ["anchor", "skey", "size"]).select("key", "tag", F.expr("filter(transform(found, (x, i) -> if(x < key, int(start + i), null)), p -> p IS NOT NULL)").alias("at"))
+    hits = held.drop("seg").join(found, ["anchor", "skey", "size"]).select(
+        "key", "tag", F.expr("filter(transform(found, (x, i) -> if(x < key, int(start + i), null)), p -> p IS NOT NULL)").alias("at")
+    )
     marks = hits.filter("size(at) > 0").groupBy("key", "tag").agg(F.flatten(F.collect_list("at")).alias("marks"))
 
     def removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

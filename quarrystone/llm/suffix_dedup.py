@@ -128,7 +128,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     distinct = held.groupBy("anchor", "skey", "size", "seg").agg(F.count("*").alias("copies"))
     found = written(by_shard(distinct, shard_repeats(window), "array<int>").filter("size(found) > 0"), "segment-repeats")
-    hits = held.drop("seg").join(found, ["anchor", "skey", "size"]).select("key", "tag", F.expr("transform(found, (x, i) -> if(i % 2 = 0, int(start + x), x))").alias("spans"))
+    hits = held.drop("seg").join(found, ["anchor", "skey", "size"]).select(
+        "key", "tag", F.expr("transform(found, (x, i) -> if(i % 2 = 0, int(start + x), x))").alias("spans")
+    )
     marks = hits.groupBy("key", "tag").agg(F.flatten(F.collect_list("spans")).alias("marks"))
 
     def removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -58,7 +58,10 @@ def shape_features(text: str, words: int, distinct: int) -> list[str]:
     capitals = (len(raw) - len(raw.translate(None, _CAPITALS))) / size
     marks = (len(raw) - len(raw.translate(None, b"!?#$%*&"))) / size
     digits = (len(raw) - len(raw.translate(None, b"0123456789"))) / size
-    return [f"capitals {min(9, int(capitals * 20))}", f"marks {min(9, int(marks * 40))}", f"digits {min(9, int(digits * 40))}", f"distinct {int(distinct / max(1, words) * 10)}", f"words {min(12, int(words).bit_length())}"]
+    return [
+        f"capitals {min(9, int(capitals * 20))}", f"marks {min(9, int(marks * 40))}", f"digits {min(9, int(digits * 40))}",
+        f"distinct {int(distinct / max(1, words) * 10)}", f"words {min(12, int(words).bit_length())}"
+    ]
 
 
 def bucket(feature: str) -> int:

@@ -27,8 +27,14 @@ def rows():
     text = lambda n: " ".join(r.choice(WORDS) + str(r.randrange(40)) for _ in range(n))
     passage, base, long = text(30), text(60), text(4000)
     out = [(i, text(r.randrange(1, 80))) for i in range(1, 25)]
-    out += [(30, base), (31, base), (29, base.replace(" ", "\n", 3)), (32, base + " tail"), (33, "head " + base), (40, "ab " * 400), (41, "x" * 1500), (42, long), (43, text(20) + " " + passage), (44, passage + " " + text(20)), (45, "a  b\tc"), (46, "a b c")]
-    out += [(50, None), (51, ""), (52, " \n "), (53, None), (None, base), (None, "a b c"), (None, None), (60, "same row twice " * 5), (60, "same row twice " * 5), (61, "one id"), (61, "two texts"), (-7, passage)]
+    out += [
+        (30, base), (31, base), (29, base.replace(" ", "\n", 3)), (32, base + " tail"), (33, "head " + base), (40, "ab " * 400), (41, "x" * 1500), (42, long),
+        (43, text(20) + " " + passage), (44, passage + " " + text(20)), (45, "a  b\tc"), (46, "a b c")
+    ]
+    out += [
+        (50, None), (51, ""), (52, " \n "), (53, None), (None, base), (None, "a b c"), (None, None), (60, "same row twice " * 5), (60, "same row twice " * 5),
+        (61, "one id"), (61, "two texts"), (-7, passage)
+    ]
     return [(i, t, ["s1", "s2", None][n % 3] if n % 2 else "hot", "clash", 1, "a", 2) for n, (i, t) in enumerate(out)]
 
 
@@ -106,7 +112,9 @@ def test_toxicity_of_odd_rows(spark):
     """Null, blank and very long texts, repeated rows and ids, and columns with the names the operator uses."""
     small_batches(spark)
     long = "plain words " * 200_000
-    texts = [(i, f"text {i} " + ("venom" if i % 5 == 0 else "honey")) for i in range(100)] + [(170, None), (171, " "), (172, long + "venom"), (172, long + "venom"), (None, "venom"), (1, "another text of an id")]
+    texts = [(i, f"text {i} " + ("venom" if i % 5 == 0 else "honey")) for i in range(100)] + [
+        (170, None), (171, " "), (172, long + "venom"), (172, long + "venom"), (None, "venom"), (1, "another text of an id")
+    ]
     docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("p", F.lit(1)).withColumn("c0", F.lit("x")).withColumn("id", F.lit(3)).withColumn("held", F.lit(4))
     labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(100)] * 2, "doc_id long, quality int, toxic int")
     chain = toxicity.train(docs, labels)
@@ -128,7 +136,10 @@ def test_forest_holds_one_key_and_one_batch(monkeypatch):
     monkeypatch.setattr(simhash.pd, "concat", lambda parts, **k: held.append(sum(map(len, parts))) or concat(parts, **k))
     found = concat(list(simhash.forest(rows.iloc[k : k + 7] for k in range(0, len(rows), 7))))
     assert max(held) <= 7 + 12
-    near = [(a, b) for a in range(len(rows)) for b in range(a) if rows["key"][a] == rows["key"][b] and (int(rows["fp"][a]) ^ int(rows["fp"][b])).bit_count() <= 3]
+    near = [
+        (a, b)
+        for a in range(len(rows)) for b in range(a) if rows["key"][a] == rows["key"][b] and (int(rows["fp"][a]) ^ int(rows["fp"][b])).bit_count() <= 3
+    ]
     assert least_reachable(range(len(rows)), list(zip(found["a"], found["b"]))) == least_reachable(range(len(rows)), near)
 
 
@@ -243,12 +254,18 @@ def test_very_long_texts_and_empty_tables(spark):
     assert {x.doc_id: x["size"] for x in sharding.shard_rows(docs, sharding.Tree(24)).collect()} == {i: len((t or "").encode()) + 8 for i, t in table}
     found = {x.doc_id: x for x in bpe.bpe_digests(docs, bpe.byte_bpe_path()).collect()}
     assert found[1].decoded_sha256 == hashlib.sha256(long.encode()).hexdigest() and found[1].ids_sha256 == found[2].ids_sha256
-    assert {x.doc_id: (x.n_words, x.n_removed) for x in substring_dedup.substring_dedup(docs).collect()} == {1: (200_000, 0), 2: (200_000, 200_000), 3: (1, 0), 4: (0, 0)}
+    assert {
+        x.doc_id: (x.n_words, x.n_removed)
+        for x in substring_dedup.substring_dedup(docs).collect()
+    } == {1: (200_000, 0), 2: (200_000, 200_000), 3: (1, 0), 4: (0, 0)}
     size = len(long.encode())
     assert {x.doc_id: (x.n_removed, x.n_spans) for x in suffix_dedup.suffix_dedup(docs).collect()} == {1: (size, 1), 2: (size, 1), 3: (0, 0), 4: (0, 0)}
     assert mixing.mix(docs, {}).count() == 4
     none = docs.limit(0)
-    for empty_result in (bpe.bpe_digests(none, bpe.byte_bpe_path()), bpe.bpe_ids(none, bpe.byte_bpe_path()), mixing.mix(none, {}), simhash.simhash_components(none), sharding.shard_rows(none, sharding.Tree(24))):
+    for empty_result in (
+        bpe.bpe_digests(none, bpe.byte_bpe_path()), bpe.bpe_ids(none, bpe.byte_bpe_path()), mixing.mix(none, {}), simhash.simhash_components(none),
+        sharding.shard_rows(none, sharding.Tree(24))
+    ):
         assert empty_result.count() == 0
 
 
@@ -456,7 +473,9 @@ def test_html():
     assert html_extract.main_text(blog).startswith("long text") and "link" not in html_extract.main_text(blog)
 
 
-@pytest.mark.parametrize("wrapper", ['class="content no-sidebar"', 'class="layout with-sidebar"', 'class="has-comments"', 'id="widget-content"', 'class="sidebar"', 'id="comments"'])
+@pytest.mark.parametrize(
+    "wrapper", ['class="content no-sidebar"', 'class="layout with-sidebar"', 'class="has-comments"', 'id="widget-content"', 'class="sidebar"', 'id="comments"']
+)
 @pytest.mark.parametrize("tag", ["article", "main", "div"])
 def test_html_wrappers_named_after_side_matter(wrapper, tag):
     text = "Long sentences of the article. " * 20
@@ -466,7 +485,10 @@ def test_html_wrappers_named_after_side_matter(wrapper, tag):
 
 def test_html_side_matter_by_name():
     text, more = "Long sentences of the article. " * 20, "Much more that readers say. " * 90
-    for side in ('<div id="comments"><article class="comment-body"><p>{}</p></article></div>', '<ul class="commentReplies"><li><p>{}</p></ul>', '<section class="x comments"><p>{}</p></section>'):
+    for side in (
+        '<div id="comments"><article class="comment-body"><p>{}</p></article></div>', '<ul class="commentReplies"><li><p>{}</p></ul>',
+        '<section class="x comments"><p>{}</p></section>'
+    ):
         assert html_extract.main_text(f"<body><div><p>{text}</p></div>{side.format(more)}</body>") == text.strip()
     assert html_extract.main_text('<body><div class="ad">An advert that is longer than the article.</div><article><p>Short.</p></article></body>') == "Short."
     card = '<div class="related"><article><p>Another page</p></article></div>'
@@ -543,10 +565,16 @@ def test_lattice_links(spark):
     centres = r.standard_normal((40, 16))
     near = [(c + 0.12 * r.standard_normal(16)).tolist() for c in centres for _ in range(4)]
     table = [(i, v, i % 2 if i % 9 else None) for i, v in enumerate(near)]
-    table += [(500, near[1], 1), (501, near[1], 1), (501, near[1], 1), (502, None, 1), (503, [0.0] * 16, 1), (504, [float("nan")] * 16, 1), (505, [], 1), (506, [1.0, 2.0], 1), (507, [None] * 16, 1), (None, near[1], 1)]
+    table += [
+        (500, near[1], 1), (501, near[1], 1), (501, near[1], 1), (502, None, 1), (503, [0.0] * 16, 1), (504, [float("nan")] * 16, 1), (505, [], 1),
+        (506, [1.0, 2.0], 1), (507, [None] * 16, 1), (None, near[1], 1)
+    ]
     df = spark.createDataFrame(table, "vec_id long, embedding array<double>, label int").withColumn("node", F.lit(1)).withColumn("cell", F.lit(2))
     sound = [(n, i, np.array(v), l) for n, (i, v, l) in enumerate(table) if i is not None and l is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]  # noqa: E741
-    linked = [(a, b) for a in sound for b in sound if a[0] != b[0] and a[3] == b[3] and len(a[2]) == len(b[2]) and a[2] @ b[2] / np.linalg.norm(a[2]) / np.linalg.norm(b[2]) >= 0.93]
+    linked = [
+        (a, b)
+        for a in sound for b in sound if a[0] != b[0] and a[3] == b[3] and len(a[2]) == len(b[2]) and a[2] @ b[2] / np.linalg.norm(a[2]) / np.linalg.norm(b[2]) >= 0.93
+    ]
     label = least_reachable({s[1] for s in sound}, [(a[1], b[1]) for a, b in linked])
     want = {n: (i, sum(a[0] == n for a, _ in linked), label.get(i, i)) for n, (i, *_) in enumerate(table)}
     got = lattice.lattice_links(df)
@@ -582,7 +610,9 @@ def test_lattice_crowded_cells(spark, monkeypatch):
     centre = r.standard_normal(64)
     near = [centre + 0.12 * r.standard_normal(64) for _ in range(150)] + [r.standard_normal(64) for _ in range(50)]
     names = ("n", "chunk", "chunks", "label_", "digest", "own", "low", "high", "root", "links", "ok", "p", "copies", "dims", "n_links", "component_id")
-    df = spark.createDataFrame([(i, v.tolist(), 3) for i, v in enumerate(near)], "vec_id long, embedding array<double>, label int").select("*", *(F.lit("x").alias(c) for c in names))
+    df = spark.createDataFrame(
+        [(i, v.tolist(), 3) for i, v in enumerate(near)], "vec_id long, embedding array<double>, label int"
+    ).select("*", *(F.lit("x").alias(c) for c in names))
     unit = np.array(near) / np.linalg.norm(near, axis=1, keepdims=True)
     linked = np.triu(unit @ unit.T >= 0.93, 1)
     assert linked.sum() > 5000
@@ -604,7 +634,10 @@ def test_toxicity_chain(spark):
     small_batches(spark)
     r = random.Random(3)
     clean = lambda: " ".join(r.choice("the of and word other text plain time house tree".split()) for _ in range(30))
-    texts = [(i, clean() + (" grumbash" + r.choice(["", "en", "ung", "heit"]) if i % 5 == 0 else ""), i) for i in range(400)] + [(900, None, 0), (901, "", 0), (None, "grumbashig " + clean(), 0)]
+    texts = [
+        (i, clean() + (" grumbash" + r.choice(["", "en", "ung", "heit"]) if i % 5 == 0 else ""), i)
+        for i in range(400)
+    ] + [(900, None, 0), (901, "", 0), (None, "grumbashig " + clean(), 0)]
     docs = spark.createDataFrame(texts, "doc_id long, text string, p int")
     labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(300)] + [(5000, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
     chain = toxicity.train(docs, labels)

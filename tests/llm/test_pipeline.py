@@ -45,20 +45,28 @@ def test_pipeline_against_plain_python(spark):
 def test_near_keeps_one_row_of_each_group(spark):
     small_batches(spark)
     base, other, third = (" ".join(f"{w}{k}" for k in range(60)) for w in "abc")
-    rows = [(None, base), (3, base), (None, base), (None, other), (None, other), (5, third), (5, other + " x y z quite another end of it " + base[::-1]), (4, third)]
+    rows = [
+        (None, base), (3, base), (None, base), (None, other), (None, other), (5, third), (5, other + " x y z quite another end of it " + base[::-1]), (4, third)
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = corpus_pipeline.near(spark, docs, SMALL)
     assert kept.columns == docs.columns
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[1], rows[3], rows[6], rows[7]]))
 
 
-CLASHES = ("__digest", "__again", "__kept_id", "__kept_digest", "__row", "__component", "__place", "_mix_source", "_mix_bucket", "_mix_rank", "_mix_piece", "slots", "digest", "id", "norm", "key", "fp", "node", "p")
+CLASHES = (
+    "__digest", "__again", "__kept_id", "__kept_digest", "__row", "__component", "__place", "_mix_source", "_mix_bucket", "_mix_rank", "_mix_piece", "slots",
+    "digest", "id", "norm", "key", "fp", "node", "p"
+)
 
 
 def odd_rows(spark):
     """Null and repeated ids, null, empty and very long texts, repeated rows, a missing source, and columns with the names the stages use."""
     long = " ".join(f"w{i % 997}x{i % 13}" for i in range(120_000))
-    rows = [(1, "one text here", "a"), (1, "one text here", "a"), (2, "one  text\there", "b"), (3, None, "a"), (4, "", None), (None, "one text here", "a"), (None, None, None), (5, long, "a"), (6, long + " tail", "b"), (7, " \n", "a"), (8, "quite another text of eight words or so", "c")]
+    rows = [
+        (1, "one text here", "a"), (1, "one text here", "a"), (2, "one  text\there", "b"), (3, None, "a"), (4, "", None), (None, "one text here", "a"),
+        (None, None, None), (5, long, "a"), (6, long + " tail", "b"), (7, " \n", "a"), (8, "quite another text of eight words or so", "c")
+    ]
     return rows, spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *(F.lit(k).alias(c) for k, c in enumerate(CLASHES)))
 
 
@@ -94,7 +102,10 @@ def test_mixed_order_of_the_pipeline(spark, tmp_path):
     """The rows of the mix stage, file after file, follow the plan: every stretch of whole blocks holds each source in its share."""
     docs = spark.createDataFrame([(i, "t", "hot" if i % 4 else "rare") for i in range(4000)], "doc_id long, text string, source string")
     corpus_pipeline.mixing(spark, docs, SMALL).write.parquet(f"{tmp_path}/mixed")
-    order = [r.source for r in spark.read.parquet(f"{tmp_path}/mixed").withColumn("f", F.input_file_name()).withColumn("n", F.monotonically_increasing_id()).orderBy("f", "n").collect()]
+    order = [
+        r.source
+        for r in spark.read.parquet(f"{tmp_path}/mixed").withColumn("f", F.input_file_name()).withColumn("n", F.monotonically_increasing_id()).orderBy("f", "n").collect()
+    ]
     share = 0.75**0.5 / (0.75**0.5 + 0.25**0.5)
     blocks = [order[k] for k in range(0, len(order), 32)]
     first_end = 31 * (1 / (1 - share))  # slots until the rare source, of 32 blocks, runs out
