@@ -37,7 +37,9 @@ def decoded_entities(text: Column) -> Column:
 
 def chunks_text(html: Column) -> Column:
     """Every text between tags, scripts too, trimmed and joined by newlines."""
-    parts = F.transform(F.split(F.regexp_replace(html, "(?s)<!--.*?-->", "<>"), "<[^>]*>"), lambda p: F.trim(F.regexp_replace(decoded_entities(p), r"\s+", " ")))
+    parts = F.transform(
+        F.split(F.regexp_replace(html, "(?s)<!--.*?-->", "<>"), "<[^>]*>"), lambda p: F.trim(F.regexp_replace(decoded_entities(p), r"\s+", " "))
+    )
     return F.array_join(F.filter(parts, lambda p: p != ""), "\n")
 
 

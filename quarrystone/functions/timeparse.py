@@ -12,7 +12,10 @@ EPOCH_LOW, EPOCH_HIGH = 946684800, 4102444800
 TIME_NAMES = ("date", "time", "timestamp", "datetime")
 TIME_ENDINGS = ("_time", "_date", "_timestamp", "_datetime", "_at")
 NOT_TIME_ENDINGS = ("_flag", "_status", "_timezone", "_times")
-NOT_TIME_NAMES = ("timezone", "time_zone", "time_flag", "times_flag", "send_status", "sender", "receive_origin_sender", "delay_send_flag", "stat_open_times_flag", "stat_open_times_unreply_flag")
+NOT_TIME_NAMES = (
+    "timezone", "time_zone", "time_flag", "times_flag", "send_status", "sender", "receive_origin_sender", "delay_send_flag", "stat_open_times_flag",
+    "stat_open_times_unreply_flag"
+)
 
 ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?)?$"
 ISO_ZONED = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?)(Z|z|[+-]\d{2}:?\d{2})$"
@@ -39,7 +42,10 @@ def _local_micros(text: Column) -> Column:
     """Microseconds of a local time, as if it were UTC; null where it is no valid time."""
     iso = F.regexp_replace(F.regexp_replace(text, ",", "."), "T", " ")
     parts = F.split(F.get(F.split(text, " "), 0), "/")
-    slashed = F.concat(F.get(parts, 0), F.lit("-"), F.lpad(F.get(parts, 1), 2, "0"), F.lit("-"), F.lpad(F.get(parts, 2), 2, "0"), F.when(F.contains(text, F.lit(" ")), F.concat(F.lit(" "), F.lpad(F.get(F.split(text, " "), 1), 8, "0"))).otherwise(""))
+    slashed = F.concat(
+        F.get(parts, 0), F.lit("-"), F.lpad(F.get(parts, 1), 2, "0"), F.lit("-"), F.lpad(F.get(parts, 2), 2, "0"),
+        F.when(F.contains(text, F.lit(" ")), F.concat(F.lit(" "), F.lpad(F.get(F.split(text, " "), 1), 8, "0"))).otherwise("")
+    )
     cast = lambda c: F.unix_micros(c.try_cast("timestamp_ntz").cast("timestamp"))
     return F.when(F.rlike(text, F.lit(ISO)), cast(iso)).when(F.rlike(text, F.lit(SLASHED)), cast(slashed))
 

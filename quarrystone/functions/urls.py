@@ -137,7 +137,10 @@ def is_read_only_api(url: Column, more: tuple[str, ...] = ()) -> Column:
 
 def url_class(url: Column, excluded: tuple[str, ...], blocked: tuple[str, ...], allowed: tuple[str, ...]) -> Column:
     """What a request is, by the first rule that holds."""
-    cases = ((F.coalesce(host_of(url), F.lit("")) == "", "invalid"), (on_hosts(url, blocked), "blocked"), (is_telemetry(url), "telemetry"), (under_paths(url, excluded), "excluded"), (is_read_only_api(url), "read_only_api"), (on_hosts(url, allowed), "allowed"))
+    cases = (
+        (F.coalesce(host_of(url), F.lit("")) == "", "invalid"), (on_hosts(url, blocked), "blocked"), (is_telemetry(url), "telemetry"),
+        (under_paths(url, excluded), "excluded"), (is_read_only_api(url), "read_only_api"), (on_hosts(url, allowed), "allowed")
+    )
     return reduce(lambda rest, c: F.when(c[0], c[1]).otherwise(rest), reversed(cases), F.lit("other"))
 
 

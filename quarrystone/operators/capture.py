@@ -50,7 +50,9 @@ def repair_order(entries: DataFrame, open_states: tuple[str, ...], most_attempts
     waiting = entries.filter(F.col("state").isin(*open_states) & (F.col("attempts") < max(low, min(high, most_attempts))))
     dealt = waiting.withColumn("_hour", F.date_trunc("hour", "updated_at"))
     before = Window.orderBy("attempts", "_hour").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy("attempts", "_hour").agg(F.count("*").alias("_n")).select("attempts", "_hour", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    offsets = dealt.groupBy("attempts", "_hour").agg(F.count("*").alias("_n")).select(
+        "attempts", "_hour", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o")
+    )
     inside = F.row_number().over(Window.partitionBy("attempts", "_hour").orderBy("updated_at", "entry"))
     numbered = dealt.withColumn("_i", inside).join(offsets, ["attempts", "_hour"])
     return numbered.withColumn("place", F.col("_o") + F.col("_i")).drop("_hour", "_o", "_i")
@@ -73,7 +75,9 @@ def hash_index(objects: DataFrame, explicit: DataFrame) -> DataFrame:
     it, the last one written."""
     found = objects.groupBy("sha256").agg(F.min("path").alias("_object"))
     told = explicit.groupBy("sha256").agg(F.max_by("path", "position").alias("_told"))
-    return found.join(told, "sha256", "full").select("sha256", F.coalesce("_told", "_object").alias("path"), F.when(F.col("_told").isNotNull(), "index").otherwise("object").alias("origin"))
+    return found.join(told, "sha256", "full").select(
+        "sha256", F.coalesce("_told", "_object").alias("path"), F.when(F.col("_told").isNotNull(), "index").otherwise("object").alias("origin")
+    )
 
 
 def reuse(responses: DataFrame, index: DataFrame, sources: DataFrame) -> DataFrame:
@@ -89,7 +93,9 @@ def listing_changes(now: DataFrame, before: DataFrame) -> tuple[DataFrame, DataF
     """Of folders (folder, name): whose listing is as before, by a fingerprint of sorted names, and the names to scan anew in the others."""
     mark = lambda df: df.groupBy("folder").agg(F.sha2(F.array_join(F.sort_array(F.collect_set("name")), "\n"), 256).alias("fingerprint"), F.countDistinct("name").alias("names"))
     a, b = mark(now), mark(before).select("folder", F.col("fingerprint").alias("_before"))
-    states = a.join(b, "folder", "left").select("folder", "names", F.when(F.col("_before").isNull(), "new").when(F.col("_before") == F.col("fingerprint"), "cached").otherwise("changed").alias("state"))
+    states = a.join(b, "folder", "left").select(
+        "folder", "names", F.when(F.col("_before").isNull(), "new").when(F.col("_before") == F.col("fingerprint"), "cached").otherwise("changed").alias("state")
+    )
     fresh = now.select("folder", "name").distinct().join(before.select("folder", "name"), ["folder", "name"], "left_anti")
     return states, fresh
 
@@ -110,13 +116,18 @@ def related_resources(texts: DataFrame, key: str, text: str, denied: tuple[str,
     found = texts.select(key, F.posexplode(urls.urls_in(F.coalesce(F.col(text), F.lit("")))).alias("place", "url"))
     allowed = found.filter(~urls.on_hosts(F.col("url"), denied)) if denied else found
     first = F.min(F.struct("place", "url"))
-    return allowed.groupBy(key, urls.identity(F.col("url")).alias("identity")).agg(first.alias("f")).select(key, "identity", F.col("f.url").alias("url"), F.col("f.place").cast("long").alias("place"))
+    return allowed.groupBy(key, urls.identity(F.col("url")).alias("identity")).agg(first.alias("f")).select(
+        key, "identity", F.col("f.url").alias("url"), F.col("f.place").cast("long").alias("place")
+    )
 
 
 def attempts(rows: DataFrame, group: str, status: str) -> DataFrame:
     """Counters of each group: available and deleted must make up the attempted, and nothing may stay unavailable."""
     state = F.col(status)
-    counted = rows.groupBy(group).agg(F.count("*").alias("attempted"), F.count_if(state == "available").alias("available"), F.count_if(state == "deleted").alias("deleted"), F.count_if(state == "unavailable").alias("unavailable"))
+    counted = rows.groupBy(group).agg(
+        F.count("*").alias("attempted"), F.count_if(state == "available").alias("available"), F.count_if(state == "deleted").alias("deleted"),
+        F.count_if(state == "unavailable").alias("unavailable")
+    )
     return counted.withColumn("closed", (F.col("available") + F.col("deleted") == F.col("attempted")) & (F.col("unavailable") == 0))
 
 
@@ -140,8 +151,14 @@ def written_back(tasks: DataFrame, results: DataFrame) -> DataFrame:
     r = results.withColumn("_r", F.lit(True))
     joined = tasks.join(r, "task_id", "full")
     takes = (F.col("state") == "running") & F.col("_r")
-    state = rules((F.col("state").isNull(), "unknown_task"), (takes & F.col("ok"), "completed"), (takes & F.col("error_code").startswith("SOURCE_"), "source_gap"), (takes, "failed"), otherwise=F.col("state"))
-    return joined.select("task_id", state.alias("state"), F.when(takes & ~F.col("ok"), F.col("error_code")).alias("error_code"), F.when(takes & F.col("ok"), F.col("output_sha256")).alias("output_sha256"))
+    state = rules(
+        (F.col("state").isNull(), "unknown_task"), (takes & F.col("ok"), "completed"), (takes & F.col("error_code").startswith("SOURCE_"), "source_gap"),
+        (takes, "failed"), otherwise=F.col("state")
+    )
+    return joined.select(
+        "task_id", state.alias("state"), F.when(takes & ~F.col("ok"), F.col("error_code")).alias("error_code"),
+        F.when(takes & F.col("ok"), F.col("output_sha256")).alias("output_sha256")
+    )
 
 
 def boxes_in_cells(boxes: DataFrame, cells: DataFrame) -> DataFrame:
@@ -155,9 +172,13 @@ def boxes_in_cells(boxes: DataFrame, cells: DataFrame) -> DataFrame:
     area = (F.col("c_x1") - F.col("c_x0")) * (F.col("c_y1") - F.col("c_y0"))
     side = lambda a: F.greatest(F.least(a + "1", f"c_{a}1") - F.greatest(a + "0", f"c_{a}0"), F.lit(0))
     overlap = side("x") * side("y")
-    best = F.min(F.when(inside, F.struct(F.lit(0).alias("rank"), area.cast("double").alias("size"), "cell_id")).when(overlap > 0, F.struct(F.lit(1).alias("rank"), (-overlap).cast("double").alias("size"), "cell_id")))
+    best = F.min(F.when(inside, F.struct(F.lit(0).alias("rank"), area.cast("double").alias("size"), "cell_id")).when(
+        overlap > 0, F.struct(F.lit(1).alias("rank"), (-overlap).cast("double").alias("size"), "cell_id")
+    ))
     found = joined.groupBy("box_id").agg(best.alias("b"))
-    return found.select("box_id", F.col("b.cell_id").alias("cell_id"), rules((F.col("b.rank") == 0, "centre"), (F.col("b.rank") == 1, "overlap"), otherwise="none").alias("how"))
+    return found.select(
+        "box_id", F.col("b.cell_id").alias("cell_id"), rules((F.col("b.rank") == 0, "centre"), (F.col("b.rank") == 1, "overlap"), otherwise="none").alias("how")
+    )
 
 
 def matched_sources(messages: DataFrame, sources: DataFrame, key: str) -> DataFrame:

@@ -22,12 +22,18 @@ TASKS_BY_CATEGORY = {
 
 def content_objects(files: DataFrame) -> DataFrame:
     """One row for each distinct content of files (rel, sha256, bytes): the path that sorts first stands for it."""
-    return files.groupBy("sha256").agg(F.min("bytes").alias("bytes"), F.min_by("rel", F.struct(F.lower("rel"), "rel")).alias("representative_rel"), F.count("*").alias("occurrences"), (F.countDistinct("bytes") > 1).alias("size_conflict"))
+    return files.groupBy("sha256").agg(
+        F.min("bytes").alias("bytes"), F.min_by("rel", F.struct(F.lower("rel"), "rel")).alias("representative_rel"), F.count("*").alias("occurrences"),
+        (F.countDistinct("bytes") > 1).alias("size_conflict")
+    )
 
 
 def occurrences(files: DataFrame, scope: str) -> DataFrame:
     """Every appearance of a content, never merged, by a key of where it is."""
-    return files.select(stable_key(F.lit(scope), F.col("rel"), F.col("sha256")).alias("occurrence_id"), F.lit(scope).alias("source_scope"), F.col("rel").alias("source_rel"), F.col("sha256").alias("content_sha256"))
+    return files.select(
+        stable_key(F.lit(scope), F.col("rel"), F.col("sha256")).alias("occurrence_id"), F.lit(scope).alias("source_scope"), F.col("rel").alias("source_rel"),
+        F.col("sha256").alias("content_sha256")
+    )
 
 
 def planned_tasks(objects: DataFrame) -> DataFrame:

@@ -43,12 +43,16 @@ def packed(records: DataFrame, group: str, order: str, size: str, capacity: int
 def fragments(records: DataFrame, key: str, text: str, width: int = CHUNK_CHARS) -> DataFrame:
     """Fixed-width pieces of long texts, in order; a short or empty text is one piece."""
     n = F.greatest(F.lit(1), F.ceil(F.length(text) / width).cast("int"))
-    return records.select(key, F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(text), i * width + 1, F.lit(width)))).alias("piece", "fragment"))
+    return records.select(
+        key, F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(text), i * width + 1, F.lit(width)))).alias("piece", "fragment")
+    )
 
 
 def exact_union(records: DataFrame, field: str, value: Column, position: str, source: str) -> DataFrame:
     """Distinct values of each field with their first position, how many records had them and how many sources."""
-    return records.groupBy(field, F.sha2(value, 256).alias("value_sha256")).agg(F.min(position).alias("first_position"), F.count("*").alias("records"), F.countDistinct(source).alias("sources"))
+    return records.groupBy(field, F.sha2(value, 256).alias("value_sha256")).agg(
+        F.min(position).alias("first_position"), F.count("*").alias("records"), F.countDistinct(source).alias("sources")
+    )
 
 
 def union_balance(union: DataFrame, field: str) -> DataFrame:
@@ -77,7 +81,9 @@ def near_pairs(frames: DataFrame, group: str, order: str, bits: str, most: int =
     rows = frames.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(bits).alias("b"))
     keyed = rows.select("g", "o", "b", F.posexplode(F.array(*values)).alias("place", "value"))
     a, b = keyed.alias("a"), keyed.alias("b")
-    joined = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.place") == F.col("b.place")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.o") < F.col("b.o")))
+    joined = a.join(
+        b, (F.col("a.g") == F.col("b.g")) & (F.col("a.place") == F.col("b.place")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.o") < F.col("b.o"))
+    )
     differ = F.col("a.b").bitwiseXOR(F.col("b.b"))
     earlier = F.lit(False)
     for place, (low, high) in enumerate(edges):

@@ -41,7 +41,10 @@ def expected_counts(expected: dict[str, int], actual: dict[str, DataFrame]) -> D
     rows = []
     for name, df in actual.items():
         counted = df.agg(F.count("*").alias("actual"))
-        rows.append(counted.select(F.lit(name).alias("gate_id"), F.abs(F.col("actual") - expected[name]).alias("violations"), F.when(F.col("actual") == expected[name], "PASS").otherwise("FAIL").alias("status")))
+        rows.append(counted.select(
+            F.lit(name).alias("gate_id"), F.abs(F.col("actual") - expected[name]).alias("violations"),
+            F.when(F.col("actual") == expected[name], "PASS").otherwise("FAIL").alias("status")
+        ))
     return report(*rows)
 
 

@@ -13,8 +13,13 @@ from quarrystone.functions.keys import fact_id, node_id
 def nodes(*typed: tuple[str, DataFrame, Column, Column]) -> DataFrame:
     """Distinct nodes of (type, rows, value column, source column); of a repeated node the entry
     with the least source stays.  Combines before the shuffle."""
-    rows = [df.select(node_id(kind, value).alias("node_id"), F.lit(kind).alias("node_type"), value.cast("string").alias("value"), source.alias("source_rel")) for kind, df, value, source in typed]
-    return reduce(DataFrame.unionByName, rows).groupBy("node_id").agg(F.min("node_type").alias("node_type"), F.min("value").alias("value"), F.min("source_rel").alias("source_rel"))
+    rows = [
+        df.select(node_id(kind, value).alias("node_id"), F.lit(kind).alias("node_type"), value.cast("string").alias("value"), source.alias("source_rel"))
+        for kind, df, value, source in typed
+    ]
+    return reduce(DataFrame.unionByName, rows).groupBy("node_id").agg(
+        F.min("node_type").alias("node_type"), F.min("value").alias("value"), F.min("source_rel").alias("source_rel")
+    )
 
 
 def occurrences(df: DataFrame, left: tuple[str, Column], relation: str, right: tuple[str, Column], source: Column) -> DataFrame:
@@ -25,7 +30,9 @@ def occurrences(df: DataFrame, left: tuple[str, Column], relation: str, right: t
 
 def facts(edges: DataFrame) -> DataFrame:
     """Aggregates edge occurrences: evidence count and the first and last source."""
-    return edges.groupBy("from_id", "relation", "to_id").agg(F.count("*").alias("evidence_count"), F.min("source_rel").alias("first_source"), F.max("source_rel").alias("last_source"))
+    return edges.groupBy("from_id", "relation", "to_id").agg(
+        F.count("*").alias("evidence_count"), F.min("source_rel").alias("first_source"), F.max("source_rel").alias("last_source")
+    )
 
 
 def facts_of(df: DataFrame, left: tuple[str, Column], relation: str, right: tuple[str, Column], source: Column) -> DataFrame:
@@ -33,8 +40,13 @@ def facts_of(df: DataFrame, left: tuple[str, Column], relation: str, right: tupl
     rows = df.select(left[1].alias("_left"), right[1].alias("_right"), source.alias("_source"))
     if left[0] == right[0]:
         rows = rows.filter(F.col("_left").cast("string") != F.col("_right").cast("string"))
-    found = rows.filter("_left IS NOT NULL AND _right IS NOT NULL").groupBy("_left", "_right").agg(F.count("*").alias("evidence_count"), F.min("_source").alias("first_source"), F.max("_source").alias("last_source"))
-    return found.select(node_id(left[0], F.col("_left")).alias("from_id"), F.lit(relation).alias("relation"), node_id(right[0], F.col("_right")).alias("to_id"), "evidence_count", "first_source", "last_source")
+    found = rows.filter("_left IS NOT NULL AND _right IS NOT NULL").groupBy("_left", "_right").agg(
+        F.count("*").alias("evidence_count"), F.min("_source").alias("first_source"), F.max("_source").alias("last_source")
+    )
+    return found.select(
+        node_id(left[0], F.col("_left")).alias("from_id"), F.lit(relation).alias("relation"), node_id(right[0], F.col("_right")).alias("to_id"),
+        "evidence_count", "first_source", "last_source"
+    )
 
 
 def catalog(fact_rows: DataFrame, node_rows: DataFrame) -> DataFrame:
@@ -43,7 +55,10 @@ def catalog(fact_rows: DataFrame, node_rows: DataFrame) -> DataFrame:
     left = ends.toDF("from_id", "from_type", "from_value")
     right = ends.toDF("to_id", "to_type", "to_value")
     joined = fact_rows.join(left, "from_id", "left").join(right, "to_id", "left")
-    return joined.select(fact_id(F.col("from_id"), F.col("relation"), F.col("to_id")).alias("fact_id"), "from_type", "from_value", "relation", "to_type", "to_value", "evidence_count", "first_source", "last_source")
+    return joined.select(
+        fact_id(F.col("from_id"), F.col("relation"), F.col("to_id")).alias("fact_id"), "from_type", "from_value", "relation", "to_type", "to_value",
+        "evidence_count", "first_source", "last_source"
+    )
 
 
 def orphans(edges: DataFrame, node_rows: DataFrame) -> DataFrame:

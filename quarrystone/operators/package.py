@@ -29,7 +29,10 @@ def record_id(source_rel: Column, pointer: Column) -> Column:
 def artifacts(files: DataFrame) -> DataFrame:
     """files: source_rel, source_scope, content, category, mime.  One row for each, with the identity of its content."""
     content = F.coalesce(F.col("content"), F.lit(""))
-    return files.select(artifact_id(F.col("source_rel")).alias("artifact_id"), "source_rel", "source_scope", F.sha2(content, 256).alias("source_sha256"), F.octet_length(content).cast("long").alias("source_bytes"), "category", "mime")
+    return files.select(
+        artifact_id(F.col("source_rel")).alias("artifact_id"), "source_rel", "source_scope", F.sha2(content, 256).alias("source_sha256"),
+        F.octet_length(content).cast("long").alias("source_bytes"), "category", "mime"
+    )
 
 
 def records(found: DataFrame) -> DataFrame:
@@ -45,7 +48,10 @@ def records(found: DataFrame) -> DataFrame:
 def events(found: DataFrame) -> DataFrame:
     """found: axis, source_rel, json_pointer, field_name, sort_key.  Adds keys, a stable order and its numbers."""
     record = record_id(F.col("source_rel"), F.col("json_pointer"))
-    keyed = found.select(stable_key(F.lit("event"), record, F.col("field_name")).alias("event_id"), artifact_id(F.col("source_rel")).alias("artifact_id"), record.alias("record_id"), "axis", "field_name", "source_rel", "json_pointer", "sort_key", F.lit(None).cast("string").alias("local_key"))
+    keyed = found.select(
+        stable_key(F.lit("event"), record, F.col("field_name")).alias("event_id"), artifact_id(F.col("source_rel")).alias("artifact_id"),
+        record.alias("record_id"), "axis", "field_name", "source_rel", "json_pointer", "sort_key", F.lit(None).cast("string").alias("local_key")
+    )
     return timeline.with_sequence(timeline.with_order_key(keyed))
 
 
@@ -54,19 +60,27 @@ def evidence(found: DataFrame) -> DataFrame:
     record = record_id(F.col("source_rel"), F.col("json_pointer"))
     relation = stable_key(F.col("subject"), F.col("predicate"), F.col("object"))
     event = F.when(F.col("field_name").isNotNull(), stable_key(F.lit("event"), record, F.col("field_name")))
-    return found.select(stable_key(F.lit("evidence"), relation, record).alias("evidence_id"), relation.alias("relation_id"), "subject", "predicate", "object", "relation_kind", artifact_id(F.col("source_rel")).alias("artifact_id"), record.alias("record_id"), event.alias("event_id"), "source_rel", "json_pointer")
+    return found.select(
+        stable_key(F.lit("evidence"), relation, record).alias("evidence_id"), relation.alias("relation_id"), "subject", "predicate", "object", "relation_kind",
+        artifact_id(F.col("source_rel")).alias("artifact_id"), record.alias("record_id"), event.alias("event_id"), "source_rel", "json_pointer"
+    )
 
 
 def relations(proofs: DataFrame, dated: DataFrame) -> DataFrame:
     """Each relation with the number of its proofs and the first and last time of the events that date them."""
     times = dated.select("event_id", "sort_key")
     joined = proofs.select("relation_id", "subject", "predicate", "object", "relation_kind", "event_id").join(times, "event_id", "left")
-    return joined.groupBy("relation_id", "subject", "predicate", "object", "relation_kind").agg(F.count("*").alias("evidence_count"), F.min("sort_key").alias("first_event_sort_key"), F.max("sort_key").alias("last_event_sort_key"))
+    return joined.groupBy("relation_id", "subject", "predicate", "object", "relation_kind").agg(
+        F.count("*").alias("evidence_count"), F.min("sort_key").alias("first_event_sort_key"), F.max("sort_key").alias("last_event_sort_key")
+    )
 
 
 def lineage(built: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """built: table name -> (rows with artifact_id, name of the key column).  Which row of which table came from which artifact."""
-    rows = [df.select(stable_key(F.lit("lineage"), F.lit(name), F.col(key)).alias("lineage_id"), F.col("artifact_id").alias("source_artifact_id"), F.lit(name).alias("target_table"), F.col(key).alias("target_key")) for name, (df, key) in built.items()]
+    rows = [
+        df.select(stable_key(F.lit("lineage"), F.lit(name), F.col(key)).alias("lineage_id"), F.col("artifact_id").alias("source_artifact_id"), F.lit(name).alias("target_table"), F.col(key).alias("target_key"))
+        for name, (df, key) in built.items()
+    ]
     return reduce(DataFrame.unionByName, rows)
 
 
@@ -104,11 +118,17 @@ def gates(t: dict[str, DataFrame]) -> DataFrame:
     ends = relation.select(F.col("subject").alias("node_id")).union(relation.select("object")).distinct()
     coarse = F.col("predicate").isin(*COARSE_PREDICATES)
     placed = proof.select("evidence_id", "artifact_id", "record_id", F.col("source_rel").alias("proof_rel"), F.col("json_pointer").alias("proof_pointer"))
-    whole = placed.join(artifact.select("artifact_id", F.col("source_rel").alias("artifact_rel")), "artifact_id", "left").join(record.select("record_id", F.col("artifact_id").alias("record_artifact"), F.col("json_pointer").alias("record_pointer")), "record_id", "left")
+    whole = placed.join(artifact.select("artifact_id", F.col("source_rel").alias("artifact_rel")), "artifact_id", "left").join(
+        record.select("record_id", F.col("artifact_id").alias("record_artifact"), F.col("json_pointer").alias("record_pointer")), "record_id", "left"
+    )
     attached = t["attachment_occurrence"].join(artifact.select("artifact_id", "source_rel", "source_sha256"), "artifact_id", "left")
     manifest = t["source_manifest"]
     same = ["source_rel", "source_sha256", "source_bytes"]
-    parity = {"SOURCE_DERIVED_RELATION_MISMATCH": ("derived_artifacts", "source_artifact_derived_to_output"), "SOURCE_GAP_RELATION_MISMATCH": ("source_gap_task", "source_artifact_has_source_gap"), "ARCHIVE_MEMBER_RELATION_MISMATCH": ("archive_member", "archive_contains_member")}
+    parity = {
+        "SOURCE_DERIVED_RELATION_MISMATCH": ("derived_artifacts", "source_artifact_derived_to_output"),
+        "SOURCE_GAP_RELATION_MISMATCH": ("source_gap_task", "source_artifact_has_source_gap"),
+        "ARCHIVE_MEMBER_RELATION_MISMATCH": ("archive_member", "archive_contains_member")
+    }
     counts = [
         t[name].agg(F.count("*").alias("a")).crossJoin(relation.agg(F.count_if(F.col("predicate") == predicate).alias("b"))).select(F.lit(gate).alias("gate_id"), F.abs(F.col("a") - F.col("b")).alias("violations"))
         for gate, (name, predicate) in parity.items()
@@ -136,4 +156,6 @@ def gates(t: dict[str, DataFrame]) -> DataFrame:
         *counts,
     ]
     every = reduce(DataFrame.unionByName, found)
-    return every.select("gate_id", F.col("violations").cast("long").alias("violations"), F.when(F.col("violations") == 0, "PASS").otherwise("FAIL").alias("status"))
+    return every.select(
+        "gate_id", F.col("violations").cast("long").alias("violations"), F.when(F.col("violations") == 0, "PASS").otherwise("FAIL").alias("status")
+    )

@@ -13,7 +13,9 @@ def pagination_summary(rows: DataFrame, group: str, item: str, announced: str) -
     found = rows.groupBy(group).agg(
         F.max(announced).alias("expected"), F.count("*").alias("rows"), F.count(item).alias("with_id"), F.countDistinct(item).alias("distinct_ids"),
     )
-    return found.withColumn("without_id", F.col("rows") - F.col("with_id")).withColumn("duplicates", F.col("with_id") - F.col("distinct_ids")).withColumn("complete", (F.col("expected") == F.col("distinct_ids")) & (F.col("rows") == F.col("distinct_ids")))
+    return found.withColumn("without_id", F.col("rows") - F.col("with_id")).withColumn("duplicates", F.col("with_id") - F.col("distinct_ids")).withColumn(
+        "complete", (F.col("expected") == F.col("distinct_ids")) & (F.col("rows") == F.col("distinct_ids"))
+    )
 
 
 def multiset_fingerprint(rows: DataFrame, group: str, identity: Column) -> DataFrame:
@@ -23,7 +25,9 @@ def multiset_fingerprint(rows: DataFrame, group: str, identity: Column) -> DataF
     digest = F.sha2(identity, 256)
     part = lambda k: F.sum(F.conv(F.substring(digest, 1 + 12 * k, 12), 16, 10).cast("decimal(38,0)")).alias(f"p{k}")
     sums = rows.groupBy(group).agg(F.count("*").alias("rows"), *(part(k) for k in range(5)))
-    return sums.select(group, "rows", F.sha2(F.concat_ws("|", F.col("rows").cast("string"), *(F.col(f"p{k}").cast("string") for k in range(5))), 256).alias("fingerprint"))
+    return sums.select(
+        group, "rows", F.sha2(F.concat_ws("|", F.col("rows").cast("string"), *(F.col(f"p{k}").cast("string") for k in range(5))), 256).alias("fingerprint")
+    )
 
 
 def sorted_fingerprint(rows: DataFrame, group: str, identity: Column) -> DataFrame:
@@ -39,8 +43,12 @@ def stable(first: DataFrame, second: DataFrame, group: str) -> DataFrame:
 
 def bijection(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """How far pairs are one to one: keys of either side with several partners."""
-    by_left = pairs.groupBy(left).agg(F.countDistinct(right).alias("n")).agg(F.count("*").alias("left_keys"), F.count_if(F.col("n") > 1).alias("left_conflicts"))
-    by_right = pairs.groupBy(right).agg(F.countDistinct(left).alias("n")).agg(F.count("*").alias("right_keys"), F.count_if(F.col("n") > 1).alias("right_conflicts"))
+    by_left = pairs.groupBy(left).agg(F.countDistinct(right).alias("n")).agg(
+        F.count("*").alias("left_keys"), F.count_if(F.col("n") > 1).alias("left_conflicts")
+    )
+    by_right = pairs.groupBy(right).agg(F.countDistinct(left).alias("n")).agg(
+        F.count("*").alias("right_keys"), F.count_if(F.col("n") > 1).alias("right_conflicts")
+    )
     return by_left.join(by_right).withColumn("bijective", (F.col("left_conflicts") == 0) & (F.col("right_conflicts") == 0))
 
 
@@ -54,7 +62,9 @@ def resolved_resources(resources: DataFrame, artifacts: DataFrame, unavailable:
     """Resources (resource_id, identity, alias) to artifacts (artifact_id, identity, alias, sequence): by exact identity, else by an
     alias that names one artifact only, else known to be unavailable, else unresolved."""
     exact = artifacts.groupBy("identity").agg(F.min_by("artifact_id", "sequence").alias("exact_id"))
-    unique = artifacts.groupBy("alias").agg(F.countDistinct("identity").alias("n"), F.min_by("artifact_id", "sequence").alias("alias_id")).filter("n = 1").drop("n")
+    unique = artifacts.groupBy("alias").agg(
+        F.countDistinct("identity").alias("n"), F.min_by("artifact_id", "sequence").alias("alias_id")
+    ).filter("n = 1").drop("n")
     gone = unavailable.select("identity").distinct().withColumn("gone", F.lit(True))
     joined = resources.join(exact, "identity", "left").join(unique, "alias", "left").join(gone, "identity", "left")
     how = F.when(F.col("exact_id").isNotNull(), "exact").when(F.col("alias_id").isNotNull(), "alias").when(F.col("gone"), "source_unavailable").otherwise("unresolved")
@@ -85,7 +95,10 @@ def merged_repairs(queue: DataFrame, observed: DataFrame) -> DataFrame:
     )
     resolved = F.coalesce(F.col("resolved_at") >= F.coalesce("observed", F.col("resolved_at")), F.lit(False))
     change = F.when(~F.col("was_known"), "added").when(F.col("observed").isNull(), "unchanged").when(resolved, "unchanged").when(F.col("resolved_at").isNotNull(), "reopened").when(F.col("severity") > F.col("old_severity"), "updated").otherwise("unchanged")
-    return one.select("entry", "severity", "attempts", "first_recorded", "last_recorded", F.when(resolved, "resolved").otherwise("open").alias("status"), change.alias("change"))
+    return one.select(
+        "entry", "severity", "attempts", "first_recorded", "last_recorded", F.when(resolved, "resolved").otherwise("open").alias("status"),
+        change.alias("change")
+    )
 
 
 def metric_diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -19,7 +19,9 @@ def pairs_within(rows: DataFrame, record: str, position: str, ident: str) -> Dat
     n = F.size("_ids")
     lefts = F.explode(F.sequence(F.lit(1), n - 1))
     pairs = listed.filter(n > 1).select(record, "_ids", lefts.alias("_i"))
-    return pairs.select(record, F.element_at("_ids", F.col("_i")).alias("left_id"), F.explode(F.slice("_ids", F.col("_i") + 1, n)).alias("right_id")).filter("left_id <> right_id")
+    return pairs.select(
+        record, F.element_at("_ids", F.col("_i")).alias("left_id"), F.explode(F.slice("_ids", F.col("_i") + 1, n)).alias("right_id")
+    ).filter("left_id <> right_id")
 
 
 def most_common(rows: DataFrame, group: str, value: str, position: str) -> DataFrame:

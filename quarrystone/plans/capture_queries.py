@@ -18,27 +18,42 @@ PREFIXES, LABELS = ("click__", "view__", "purchase__", "login__"), ("1", "2", "3
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page urls, seven of eight sent to another host or path."""
     p, tail = table(spark, sf_dir, "pages"), F.concat(F.lit("/"), F.col("page_id").cast("string"), F.lit("?b=2&a=1"))
-    kinds = ("https://chat.ai.example", "https://www.google-analytics.com", "https://EXAMPLE.com/Trade/Info", "https://api.example.net/api/orderRead", "https://x.sensorsdata.example", "not a url", "https://cdn.example.org:8443/api/tradedata2")
+    kinds = (
+        "https://chat.ai.example", "https://www.google-analytics.com", "https://EXAMPLE.com/Trade/Info", "https://api.example.net/api/orderRead",
+        "https://x.sensorsdata.example", "not a url", "https://cdn.example.org:8443/api/tradedata2"
+    )
     made = F.col("url")
     for k, base in enumerate(kinds):
         made = F.when(F.col("page_id") % 8 == k, F.concat(F.lit(base), tail)).otherwise(made)
-    return p.select("page_id", made.alias("url"), F.when(F.col("page_id") % 3 == 0, "post").otherwise("GET").alias("method"), F.when(F.col("page_id") % 5 != 0, F.sha2("url", 256)).alias("body_sha256"))
+    return p.select(
+        "page_id", made.alias("url"), F.when(F.col("page_id") % 3 == 0, "post").otherwise("GET").alias("method"),
+        F.when(F.col("page_id") % 5 != 0, F.sha2("url", 256)).alias("body_sha256")
+    )
 
 
 def url_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("url")
     key = urls.read_only_post_key(F.col("method"), u, F.col("body_sha256"), EXCLUDED)
-    return _requests(spark, sf_dir).select("page_id", urls.host_of(u).alias("host"), urls.path_of(u).alias("path"), urls.url_class(u, EXCLUDED, BLOCKED, ALLOWED).alias("url_class"), key.alias("post_key"))
+    return _requests(spark, sf_dir).select(
+        "page_id", urls.host_of(u).alias("host"), urls.path_of(u).alias("path"), urls.url_class(u, EXCLUDED, BLOCKED, ALLOWED).alias("url_class"),
+        key.alias("post_key")
+    )
 
 
 def allowed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    path = F.concat(F.lit("api/"), "event_type", F.lit("__"), (F.col("user_id") % 10).cast("string"), F.lit("__"), F.lpad(F.col("event_id").cast("string"), 9, "0"), F.lit(".json"))
+    path = F.concat(
+        F.lit("api/"), "event_type", F.lit("__"), (F.col("user_id") % 10).cast("string"), F.lit("__"), F.lpad(F.col("event_id").cast("string"), 9, "0"),
+        F.lit(".json")
+    )
     return capture.payloads(e.select(path.alias("path"), F.col("props").alias("content")), PREFIXES, LABELS)
 
 
 def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.concat(F.lit("mail "), F.col("doc_id").cast("string"), F.lit("."), (F.col("doc_id") % 12).cast("string")).alias("name"))
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce("source", F.lit("")).alias("source"),
+        F.concat(F.lit("mail "), F.col("doc_id").cast("string"), F.lit("."), (F.col("doc_id") % 12).cast("string")).alias("name")
+    )
     return capture.with_natural_rank(d, "source", "name").select("doc_id", "name", F.col("natural_rank").cast("long").alias("natural_rank"))
 
 
@@ -62,7 +77,9 @@ def page_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("total"))
     c = table(spark, sf_dir, "customer").select("c_custkey").join(n, F.col("c_custkey") == F.col("o_custkey"), "left")
     planned = capture.page_plan(c.select("c_custkey", F.coalesce("total", F.lit(0)).alias("total"), F.lit(10).alias("size")), "total", "size")
-    return planned.select("c_custkey", "total", "page", F.least(F.lit(10), F.greatest(F.col("total") - (F.col("page") - 1) * 10, F.lit(0))).cast("long").alias("rows"))
+    return planned.select(
+        "c_custkey", "total", "page", F.least(F.lit(10), F.greatest(F.col("total") - (F.col("page") - 1) * 10, F.lit(0))).cast("long").alias("rows")
+    )
 
 
 def top_template(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +91,9 @@ def hash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as objects; labels tell another place of those they cover, the higher id last."""
     sha = F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256")
     d = table(spark, sf_dir, "documents")
-    told = table(spark, sf_dir, "labels").join(d, "doc_id").select(sha, F.concat(F.lit("index/"), F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").alias("position"))
+    told = table(spark, sf_dir, "labels").join(d, "doc_id").select(
+        sha, F.concat(F.lit("index/"), F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").alias("position")
+    )
     return capture.hash_index(d.select(sha, F.concat(F.lit("objects/"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("path")), told)
 
 
@@ -82,12 +101,17 @@ def reuse_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages against bodies known from even shelves and sources seen before with several codes."""
     p = table(spark, sf_dir, "pages").select("page_id", F.sha2("html", 256).alias("sha256"), urls.identity(F.col("url")).alias("source_identity"))
     index = p.filter("substring(sha256, 1, 1) IN ('0', '2', '4')")
-    seen = p.select("source_identity", (F.lit(200) + F.col("page_id") % 3 * 102).cast("int").alias("status"), (F.col("page_id") % 4).alias("size"), (F.col("page_id") % 5 != 0).alias("verified"))
+    seen = p.select(
+        "source_identity", (F.lit(200) + F.col("page_id") % 3 * 102).cast("int").alias("status"), (F.col("page_id") % 4).alias("size"),
+        (F.col("page_id") % 5 != 0).alias("verified")
+    )
     return capture.reuse(p.withColumnRenamed("page_id", "response_id"), index, seen)
 
 
 def _listings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("folder"), F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("name"), "l_returnflag")
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("folder"), F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("name"), "l_returnflag"
+    )
     return lines.select("folder", "name"), lines.filter("l_returnflag <> 'R' OR folder % 2 = 0").select("folder", "name")
 
 
@@ -102,14 +126,22 @@ def folder_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frozen_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as baseline files; what is expected lacks some, names pages that are not there, and some changed since."""
-    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("baseline/"), F.col("doc_id").cast("string")).alias("rel"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), (F.octet_length(F.coalesce("text", F.lit(""))) * 50_000).cast("long").alias("bytes"), "doc_id")
-    told = files.select("rel", F.when(F.col("doc_id") % 6 == 0, F.lit("0")).otherwise(F.col("sha256")).alias("sha256"), "doc_id").filter("doc_id % 5 <> 0").drop("doc_id")
+    files = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("baseline/"), F.col("doc_id").cast("string")).alias("rel"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"),
+        (F.octet_length(F.coalesce("text", F.lit(""))) * 50_000).cast("long").alias("bytes"), "doc_id"
+    )
+    told = files.select(
+        "rel", F.when(F.col("doc_id") % 6 == 0, F.lit("0")).otherwise(F.col("sha256")).alias("sha256"), "doc_id"
+    ).filter("doc_id % 5 <> 0").drop("doc_id")
     more = table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("rel"), F.lit("1").alias("sha256"))
     return capture.frozen(files.drop("doc_id"), told.unionByName(more))
 
 
 def related_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "text", F.concat(F.lit("see https://files.example.com/"), F.col("source"), F.lit(" and http://ai.example/x?token="), F.col("doc_id").cast("string"), F.lit(" or https://files.example.com/"), F.col("source"))).alias("text"))
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.concat_ws(" ", "text", F.concat(F.lit("see https://files.example.com/"), F.col("source"), F.lit(" and http://ai.example/x?token="), F.col("doc_id").cast("string"), F.lit(" or https://files.example.com/"), F.col("source"))).alias("text")
+    )
     return capture.related_resources(d, "doc_id", "text", BLOCKED)
 
 
@@ -133,10 +165,19 @@ def advance_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def written_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents are tasks, labels their results."""
     task = lambda c: F.concat(F.lit("task-"), c.cast("string"))
-    tasks = table(spark, sf_dir, "documents").select(task(F.col("doc_id")).alias("task_id"), F.when(F.col("doc_id") % 3 == 0, "pending").otherwise("running").alias("state"))
+    tasks = table(spark, sf_dir, "documents").select(
+        task(F.col("doc_id")).alias("task_id"), F.when(F.col("doc_id") % 3 == 0, "pending").otherwise("running").alias("state")
+    )
     one = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    results = one.select(task(F.col("doc_id")).alias("task_id"), (F.col("quality") == 1).alias("ok"), F.when(F.col("quality") == 0, F.when(F.col("toxic") == 1, "SOURCE_BLOCKED").otherwise("READER_FAILED")).alias("error_code"), F.sha2(F.col("doc_id").cast("string"), 256).alias("output_sha256"))
-    strange = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation-"), F.col("n_nationkey").cast("string")).alias("task_id"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error_code"), F.lit("x").alias("output_sha256"))
+    results = one.select(
+        task(F.col("doc_id")).alias("task_id"), (F.col("quality") == 1).alias("ok"),
+        F.when(F.col("quality") == 0, F.when(F.col("toxic") == 1, "SOURCE_BLOCKED").otherwise("READER_FAILED")).alias("error_code"),
+        F.sha2(F.col("doc_id").cast("string"), 256).alias("output_sha256")
+    )
+    strange = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("nation-"), F.col("n_nationkey").cast("string")).alias("task_id"), F.lit(True).alias("ok"),
+        F.lit(None).cast("string").alias("error_code"), F.lit("x").alias("output_sha256")
+    )
     return capture.written_back(tasks, results.unionByName(strange))
 
 
@@ -144,7 +185,10 @@ def cell_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders are pages, lines are word boxes, and each page has the cells of a table that leaves a gap on the right."""
     lines = table(spark, sf_dir, "lineitem")
     x, y = F.col("l_partkey") * 37 % 130, F.col("l_suppkey") * 53 % 100
-    boxes = lines.select(F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("box_id"), F.col("l_orderkey").alias("page"), x.alias("x0"), y.alias("y0"), (x + 3 + F.col("l_linenumber") * 4).alias("x1"), (y + 5).alias("y1"))
+    boxes = lines.select(
+        F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("box_id"), F.col("l_orderkey").alias("page"),
+        x.alias("x0"), y.alias("y0"), (x + 3 + F.col("l_linenumber") * 4).alias("x1"), (y + 5).alias("y1")
+    )
     cell = F.explode(F.sequence(F.lit(0), F.lit(7)))
     cells = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), cell.alias("cell_id"))
     left, top = F.col("cell_id") % 4 * 25, F.floor(F.col("cell_id") / 4) * 40
@@ -182,7 +226,10 @@ def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents joined with their stored text on four keys, and whether the keys name one text each."""
     d = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
-    keys = (F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("source_rel"), F.sha2(text, 256).alias("source_sha256"), F.concat(F.lit("text/"), F.col("doc_id").cast("string")).alias("artifact_rel"), F.coalesce("lang", F.lit("")).alias("task_kind"))
+    keys = (
+        F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("source_rel"), F.sha2(text, 256).alias("source_sha256"),
+        F.concat(F.lit("text/"), F.col("doc_id").cast("string")).alias("artifact_rel"), F.coalesce("lang", F.lit("")).alias("task_kind")
+    )
     on = ["source_rel", "source_sha256", "artifact_rel", "task_kind"]
     documents, stored = d.select("doc_id", *keys), d.select(*keys, text.alias("text")).groupBy(*on).agg(F.min("text").alias("text"), F.count("*").alias("texts"))
     return documents.join(stored, on).select("doc_id", F.length("text").cast("long").alias("text_chars"), (F.col("texts") == 1).alias("unique"))
@@ -191,7 +238,9 @@ def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files, bytes and the largest file of each source, the heaviest first."""
     size = F.octet_length(F.coalesce("text", F.lit("")))
-    facts = table(spark, sf_dir, "documents").groupBy(F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.count("*").alias("files"), F.sum(size).cast("long").alias("total_bytes"), F.max(size).cast("long").alias("largest"))
+    facts = table(spark, sf_dir, "documents").groupBy(F.coalesce("source", F.lit("unknown")).alias("source")).agg(
+        F.count("*").alias("files"), F.sum(size).cast("long").alias("total_bytes"), F.max(size).cast("long").alias("largest")
+    )
     return facts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total_bytes"), "source")).cast("long"))
 
 
@@ -199,7 +248,9 @@ def attachment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as attachments, by kind: how many, their distinct orders and customers, and the bytes of distinct parts."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", F.octet_length("p_name").alias("bytes"))
-    each = lines.join(parts, "l_partkey").groupBy("p_brand").agg(F.count("*").alias("occurrences"), F.countDistinct("l_orderkey").alias("mails"), F.countDistinct("o_custkey").alias("customers"))
+    each = lines.join(parts, "l_partkey").groupBy("p_brand").agg(
+        F.count("*").alias("occurrences"), F.countDistinct("l_orderkey").alias("mails"), F.countDistinct("o_custkey").alias("customers")
+    )
     return each.join(parts.groupBy("p_brand").agg(F.count("*").alias("parts"), F.sum("bytes").cast("long").alias("bytes")), "p_brand")
 
 
@@ -207,9 +258,15 @@ def case_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as cases: the states of their orders as a set, the newest order and whether all are finished."""
     o = table(spark, sf_dir, "orders")
     newest = F.max(F.struct("o_orderdate", "o_orderkey"))
-    found = o.groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_set("o_orderstatus")), ",").alias("states"), newest.alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"), F.count("*").alias("orders"))
+    found = o.groupBy("o_custkey").agg(
+        F.array_join(F.sort_array(F.collect_set("o_orderstatus")), ",").alias("states"), newest.alias("n"),
+        F.count_if(F.col("o_orderstatus") == "F").alias("finished"), F.count("*").alias("orders")
+    )
     cases = table(spark, sf_dir, "customer").select("c_custkey").join(found, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return cases.select("c_custkey", F.coalesce("states", F.lit("")).alias("states"), F.col("n.o_orderkey").alias("newest_order"), F.coalesce("orders", F.lit(0)).cast("long").alias("orders"), F.coalesce(F.col("finished") == F.col("orders"), F.lit(False)).alias("complete"))
+    return cases.select(
+        "c_custkey", F.coalesce("states", F.lit("")).alias("states"), F.col("n.o_orderkey").alias("newest_order"),
+        F.coalesce("orders", F.lit(0)).cast("long").alias("orders"), F.coalesce(F.col("finished") == F.col("orders"), F.lit(False)).alias("complete")
+    )
 
 
 def configured_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,15 +279,24 @@ def section_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries of customers: orders, an empty list of missing paths and their segment, routed by the name of the section."""
     o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("orders"))
     c = table(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
-    body = F.to_json(F.struct(F.coalesce("orders", F.array().cast("array<long>")).alias("order_list"), F.array().cast("array<string>").alias("missing_paths"), F.col("c_mktsegment").alias("customer_type"), F.struct(F.col("c_nationkey").alias("nation")).alias("needs")))
+    body = F.to_json(F.struct(
+        F.coalesce("orders", F.array().cast("array<long>")).alias("order_list"), F.array().cast("array<string>").alias("missing_paths"),
+        F.col("c_mktsegment").alias("customer_type"), F.struct(F.col("c_nationkey").alias("nation")).alias("needs")
+    ))
     found = capture.section_records(c.select("c_custkey", body.alias("body")), "c_custkey", "body")
-    return found.select("c_custkey", "section", F.col("item_index").cast("long").alias("item_index"), "value", field_route(F.col("section"), F.lit("summary")).alias("route"))
+    return found.select(
+        "c_custkey", "section", F.col("item_index").cast("long").alias("item_index"), "value", field_route(F.col("section"), F.lit("summary")).alias("route")
+    )
 
 
 def resource_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What pages say of the file behind their url; the last that says something leads."""
     p = table(spark, sf_dir, "pages")
-    found = p.select(urls.base_of(F.col("url")).alias("url"), "page_id", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("f"), F.col("page_id").cast("string"))).alias("filename"), F.when(F.col("page_id") % 3 != 0, "text/html").alias("mime"), F.when(F.col("page_id") % 5 != 0, F.octet_length("html").cast("long")).alias("size"))
+    found = p.select(
+        urls.base_of(F.col("url")).alias("url"), "page_id",
+        F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("f"), F.col("page_id").cast("string"))).alias("filename"),
+        F.when(F.col("page_id") % 3 != 0, "text/html").alias("mime"), F.when(F.col("page_id") % 5 != 0, F.octet_length("html").cast("long")).alias("size")
+    )
     return capture.resource_facts(found, "url", "page_id")
 
 

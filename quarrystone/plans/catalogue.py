@@ -2,7 +2,10 @@
 
 from quarrystone.plans import capture_queries, content_queries, corpus_queries, gate_queries, graph_queries, mail_queries, package_queries, record_queries, source_queries, text_queries, timeline_queries, walk_queries
 
-_MODULES = (graph_queries, timeline_queries, content_queries, mail_queries, text_queries, corpus_queries, walk_queries, record_queries, package_queries, capture_queries, gate_queries, source_queries)
+_MODULES = (
+    graph_queries, timeline_queries, content_queries, mail_queries, text_queries, corpus_queries, walk_queries, record_queries, package_queries,
+    capture_queries, gate_queries, source_queries
+)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -15,7 +15,10 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
     category = F.when(F.col("lang") == "en", "text").when(F.col("lang") == "de", "image").when(F.col("lang") == "fr", "office").otherwise("other")
-    return d.select("doc_id", F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel"), F.sha2(text, 256).alias("sha256"), F.octet_length(text).cast("long").alias("bytes"), category.alias("category"), F.lit("text").alias("magic"), "source")
+    return d.select(
+        "doc_id", F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel"), F.sha2(text, 256).alias("sha256"),
+        F.octet_length(text).cast("long").alias("bytes"), category.alias("category"), F.lit("text").alias("magic"), "source"
+    )
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +50,10 @@ def task_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tasks(spark, sf_dir).agg(F.count("*").alias("tasks"), F.count_if(~F.col("state").isin(*content.TERMINAL)).alias("open_tasks"), F.count_if(F.col("state") == "source_gap").alias("gaps"))
+    t = tasks(spark, sf_dir).agg(
+        F.count("*").alias("tasks"), F.count_if(~F.col("state").isin(*content.TERMINAL)).alias("open_tasks"),
+        F.count_if(F.col("state") == "source_gap").alias("gaps")
+    )
     return t.withColumn("status", content.run_status(F.col("open_tasks"), F.col("gaps")))
 
 
@@ -88,7 +94,10 @@ def superseded_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.last_writes(_ledger(spark, sf_dir), "object_key", "position")[1]
 
 
-QUERIES = {f.__name__: f for f in (content_objects, content_occurrences, task_plan, task_pivot, task_state_counts, run_status, coverage_report, upsert_sync, prior_result_choice, last_write_wins, superseded_writes)}
+QUERIES = {
+    f.__name__: f
+    for f in (content_objects, content_occurrences, task_plan, task_pivot, task_state_counts, run_status, coverage_report, upsert_sync, prior_result_choice, last_write_wins, superseded_writes)
+}
 
 FILES_SQL = """
 files AS (SELECT doc_id, source || '/' || doc_id || '.txt' AS rel, sha256(coalesce(text, '')) AS sha256, strlen(coalesce(text, ''))::bigint AS bytes,

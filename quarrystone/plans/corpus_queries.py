@@ -14,9 +14,15 @@ def invoice_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts made of line items: how many groups of signs they show, and what follows."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     n = F.col("l_orderkey") % 5
-    words = F.concat_ws(" ", F.when(n >= 1, F.lit("Seller: us")), F.when(n >= 2, F.lit("Invoice No. 5")), F.when(n >= 3, F.lit("Quantity 4")), F.when(n >= 4, F.lit("Total USD 12")), F.lit("word"))
+    words = F.concat_ws(
+        " ", F.when(n >= 1, F.lit("Seller: us")), F.when(n >= 2, F.lit("Invoice No. 5")), F.when(n >= 3, F.lit("Quantity 4")),
+        F.when(n >= 4, F.lit("Total USD 12")), F.lit("word")
+    )
     rows = l.select("l_orderkey", "l_linenumber", words.alias("text"))
-    return rows.select("l_orderkey", "l_linenumber", classify.invoice_groups(F.col("text")).alias("groups"), classify.invoice_status(F.col("text"), F.col("l_linenumber") % 2 == 1).alias("status"))
+    return rows.select(
+        "l_orderkey", "l_linenumber", classify.invoice_groups(F.col("text")).alias("groups"),
+        classify.invoice_status(F.col("text"), F.col("l_linenumber") % 2 == 1).alias("status")
+    )
 
 
 def money_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,11 +34,16 @@ def money_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("l_linenumber") % 4
     raw = F.when(k == 0, F.concat(F.lit("("), amount, F.lit(")"))).when(k == 1, F.concat(F.lit("USD "), amount)).when(k == 2, F.concat(F.lit("€"), amount)).otherwise(F.lit("n/a"))
     parsed = F.round(classify.number(F.col("raw")) * 100).cast("long")
-    return l.select("l_orderkey", "l_linenumber", raw.alias("raw")).select("l_orderkey", "l_linenumber", parsed.alias("cents"), classify.currency(F.col("raw")).alias("currency"))
+    return l.select("l_orderkey", "l_linenumber", raw.alias("raw")).select(
+        "l_orderkey", "l_linenumber", parsed.alias("cents"), classify.currency(F.col("raw")).alias("currency")
+    )
 
 
 def id_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = ["mail_id", "root_mail_id", "buyer_company_id", "email_message_id", "sku_id", "id", "orderid", "reply_to", "trade_doc_id", "valid", "xyz_id", "customs_shipment_id"]
+    keys = [
+        "mail_id", "root_mail_id", "buyer_company_id", "email_message_id", "sku_id", "id", "orderid", "reply_to", "trade_doc_id", "valid", "xyz_id",
+        "customs_shipment_id"
+    ]
     paths = ["orders_0_products_1", "mails_3", "nothing_here"]
     rows = spark.createDataFrame([(k, p) for k in keys for p in paths], "key string, path string")
     context = classify.context_type(F.col("path"))
@@ -41,9 +52,14 @@ def id_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def field_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections named after what a document's number makes of it."""
-    names = F.array(*(F.lit(n) for n in ("missing_paths", "product_list", "procurement_habits", "pain_points", "timeline", "stakeholders", "order_history", "profile")))
+    names = F.array(*(
+        F.lit(n)
+        for n in ("missing_paths", "product_list", "procurement_habits", "pain_points", "timeline", "stakeholders", "order_history", "profile")
+    ))
     kinds = F.array(*(F.lit(k) for k in ("mail", "mail", "mail", "vlm", "customs")))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.get(names, (F.col("doc_id") % 8).cast("int")).alias("section"), F.get(kinds, (F.floor(F.col("doc_id") / 8) % 5).cast("int")).alias("kind"))
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", F.get(names, (F.col("doc_id") % 8).cast("int")).alias("section"), F.get(kinds, (F.floor(F.col("doc_id") / 8) % 5).cast("int")).alias("kind")
+    )
     return d.select("doc_id", "section", "kind", classify.field_route(F.col("section"), F.col("kind")).alias("route"))
 
 
@@ -68,7 +84,10 @@ def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as rows of the listing of their order; every ninth row lost its id, and totals are one too high for some orders."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     total = l.groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    return l.join(total, "l_orderkey").select("l_orderkey", F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 9 != 0, F.col("l_partkey")).alias("item"), (F.col("n") + (F.col("l_orderkey") % 10 == 0).cast("int")).alias("announced"), "l_partkey", "l_suppkey")
+    return l.join(total, "l_orderkey").select(
+        "l_orderkey", F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 9 != 0, F.col("l_partkey")).alias("item"),
+        (F.col("n") + (F.col("l_orderkey") % 10 == 0).cast("int")).alias("announced"), "l_partkey", "l_suppkey"
+    )
 
 
 def pagination_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,11 +95,15 @@ def pagination_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.sorted_fingerprint(table(spark, sf_dir, "lineitem"), "l_orderkey", F.concat_ws("/", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")))
+    return reconcile.sorted_fingerprint(
+        table(spark, sf_dir, "lineitem"), "l_orderkey", F.concat_ws("/", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
+    )
 
 
 def summed_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.multiset_fingerprint(table(spark, sf_dir, "lineitem"), "l_partkey", F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string")))
+    return reconcile.multiset_fingerprint(
+        table(spark, sf_dir, "lineitem"), "l_partkey", F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string"))
+    )
 
 
 def page_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +111,9 @@ def page_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     identity = F.col("l_partkey").cast("string")
     second = l.filter("NOT (l_orderkey % 7 = 0 AND l_linenumber = 3)")
-    found = reconcile.stable(reconcile.multiset_fingerprint(l, "l_orderkey", identity), reconcile.multiset_fingerprint(second, "l_orderkey", identity), "l_orderkey")
+    found = reconcile.stable(
+        reconcile.multiset_fingerprint(l, "l_orderkey", identity), reconcile.multiset_fingerprint(second, "l_orderkey", identity), "l_orderkey"
+    )
     return found.groupBy("stable").agg(F.count("*").alias("orders"))
 
 
@@ -120,9 +145,17 @@ def failure_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def repair_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels are repair entries: toxic is grave; a second batch observes every other one again."""
-    base = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("entry")).agg(F.max("toxic").cast("int").alias("severity"), F.max("quality").alias("quality"))
-    queue = base.select("entry", "severity", (F.col("entry") % 100).alias("recorded"), (F.col("entry") % 4).alias("attempts"), F.when(F.col("quality") == 1, F.col("entry") % 130).alias("resolved_at")).filter("entry % 3 <> 0")
-    seen = base.filter("entry % 2 = 0").select("entry", (F.col("severity") + (F.col("entry") % 4 == 0).cast("int")).alias("severity"), F.lit(110).cast("long").alias("recorded"), F.lit(1).cast("long").alias("attempts"), F.lit(None).cast("long").alias("resolved_at"))
+    base = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("entry")).agg(
+        F.max("toxic").cast("int").alias("severity"), F.max("quality").alias("quality")
+    )
+    queue = base.select(
+        "entry", "severity", (F.col("entry") % 100).alias("recorded"), (F.col("entry") % 4).alias("attempts"),
+        F.when(F.col("quality") == 1, F.col("entry") % 130).alias("resolved_at")
+    ).filter("entry % 3 <> 0")
+    seen = base.filter("entry % 2 = 0").select(
+        "entry", (F.col("severity") + (F.col("entry") % 4 == 0).cast("int")).alias("severity"), F.lit(110).cast("long").alias("recorded"),
+        F.lit(1).cast("long").alias("attempts"), F.lit(None).cast("long").alias("resolved_at")
+    )
     return reconcile.merged_repairs(queue, seen)
 
 
@@ -158,7 +191,10 @@ def size_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.human_bytes(F.octet_length(F.coalesce("text", F.lit(""))).cast("double")).alias("size"))
 
 
-QUERIES = {f.__name__: f for f in (invoice_classify, money_parse, id_infer, field_route, greedy_pack, record_fragments, exact_union, union_balance, pagination_summary, multiset_fingerprint, summed_fingerprint, page_stability, bijection, path_difference, resource_resolution, failure_coverage, repair_merge, metric_diff, capped_payload, frame_pairs, frames_kept, size_labels)}
+QUERIES = {
+    f.__name__: f
+    for f in (invoice_classify, money_parse, id_infer, field_route, greedy_pack, record_fragments, exact_union, union_balance, pagination_summary, multiset_fingerprint, summed_fingerprint, page_stability, bijection, path_difference, resource_resolution, failure_coverage, repair_merge, metric_diff, capped_payload, frame_pairs, frames_kept, size_labels)
+}
 
 _SIGNS = "v AS (SELECT vec_id, label, list_reduce(list_prepend(0::hugeint, list_transform(embedding, lambda x: (x > 0)::hugeint)), lambda a, x: a * 2 + x) AS b FROM embeddings)"
 _CANON = r"""

@@ -15,7 +15,9 @@ from quarrystone.sources.scratch import kept
 
 
 def _status(counted: DataFrame) -> DataFrame:
-    return counted.select("gate_id", F.col("violations").cast("long").alias("violations"), F.when(F.col("violations") == 0, "PASS").otherwise("FAIL").alias("status"))
+    return counted.select(
+        "gate_id", F.col("violations").cast("long").alias("violations"), F.when(F.col("violations") == 0, "PASS").otherwise("FAIL").alias("status")
+    )
 
 
 def _union(*frames: DataFrame) -> DataFrame:
@@ -24,7 +26,9 @@ def _union(*frames: DataFrame) -> DataFrame:
 
 def _two(name: str, left: DataFrame, right: DataFrame) -> DataFrame:
     """A rule that is broken by as much as two counts (one row, column n, each) differ."""
-    return left.select(F.col("n").alias("a")).crossJoin(right.select(F.col("n").alias("b"))).select(F.lit(name).alias("gate_id"), F.abs(F.coalesce("a", F.lit(0)) - F.coalesce("b", F.lit(0))).alias("violations"))
+    return left.select(F.col("n").alias("a")).crossJoin(right.select(F.col("n").alias("b"))).select(
+        F.lit(name).alias("gate_id"), F.abs(F.coalesce("a", F.lit(0)) - F.coalesce("b", F.lit(0))).alias("violations")
+    )
 
 
 def _count(df: DataFrame) -> DataFrame:
@@ -65,7 +69,9 @@ def mail_timeline_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mail_queries.mails(spark, sf_dir).withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn("category", kind)
     checked = kept(mail.checked_parents(m.drop("text", "role")), "qa-mails")
     cycles = mail.cycle_members(checked, 6)
-    order = mail.in_order(checked.filter("local_key IS NOT NULL"), "conv_id").select(F.col("conv_id").alias("c"), F.col("mail_order").alias("o"), F.col("local_key").alias("k"))
+    order = mail.in_order(checked.filter("local_key IS NOT NULL"), "conv_id").select(
+        F.col("conv_id").alias("c"), F.col("mail_order").alias("o"), F.col("local_key").alias("k")
+    )
     back = order.alias("a").join(order.select("c", (F.col("o") - 1).alias("o"), F.col("k").alias("after")).alias("b"), ["c", "o"]).filter("k > after")
     one = checked.agg(
         F.count("*").alias("mails"), F.count_if(F.col("local_key").isNotNull()).alias("timed"), F.countDistinct("mail_id", "sha").alias("pairs"), F.countDistinct("sha").alias("attachments"),
@@ -75,7 +81,10 @@ def mail_timeline_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.countDistinct(F.when(F.col("sha") == F.sha2(F.lit(""), 256), F.col("sha"))).alias("blank"), F.countDistinct(F.when(~F.col("sha").startswith("0"), F.col("sha"))).alias("named"),
     )
     found = one.crossJoin(_count(back).withColumnRenamed("n", "inversions")).crossJoin(cycles.agg(F.countDistinct("cycle").alias("cycles")))
-    expected = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text")).agg(F.count("*").alias("e_mails"), F.countDistinct(F.coalesce("text", F.lit(""))).alias("e_attachments"), F.count_if(F.col("conv_id") % 5 != 0).alias("e_timed"))
+    expected = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text")).agg(
+        F.count("*").alias("e_mails"), F.countDistinct(F.coalesce("text", F.lit(""))).alias("e_attachments"),
+        F.count_if(F.col("conv_id") % 5 != 0).alias("e_timed")
+    )
     row = lambda name, actual, want, how="equal": F.struct(F.lit(name).alias("metric"), F.col(actual).cast("long").alias("actual"), (F.lit(None) if want is None else F.col(want) if isinstance(want, str) else F.lit(want)).cast("long").alias("expected"), F.lit(how).alias("how"))
     rows = [
         row("mails", "mails", "e_mails"), row("mails_in_timeline", "timed", "e_timed"), row("time_inversions", "inversions", 0), row("mail_attachment_relations", "pairs", "e_mails"), row("attachment_occurrences", "mails", "e_mails"),
@@ -86,7 +95,10 @@ def mail_timeline_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = found.crossJoin(expected).withColumn("pending", F.col("mails") - F.col("timed")).withColumn("e_pending", F.col("e_mails") - F.col("e_timed"))
     rows.append(row("mails_time_pending", "pending", "e_pending"))
     listed = each.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    status = rules((F.col("how") == "info", "INFO"), (F.col("how") == "flag", "PASS"), (F.col("actual") != F.col("expected"), "FAIL"), (F.col("how") == "gap", "SOURCE_GAP"), otherwise="PASS")
+    status = rules(
+        (F.col("how") == "info", "INFO"), (F.col("how") == "flag", "PASS"), (F.col("actual") != F.col("expected"), "FAIL"),
+        (F.col("how") == "gap", "SOURCE_GAP"), otherwise="PASS"
+    )
     return listed.select("metric", "actual", "expected", status.alias("status"))
 
 
@@ -109,9 +121,14 @@ def capture_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def invoice_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The archive of invoices: confirmed and suspected make up all, every occurrence has a parent, bytes and hashes close."""
     text = F.coalesce("text", F.lit(""))
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(text, 256).alias("sha256"), F.octet_length(text).cast("long").alias("bytes"), invoice_groups(text).alias("groups"))
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", F.sha2(text, 256).alias("sha256"), F.octet_length(text).cast("long").alias("bytes"), invoice_groups(text).alias("groups")
+    )
     found = kept(d.filter("groups >= 1").withColumn("class", F.when(F.col("groups") >= 3, "CONFIRMED").otherwise("SUSPECTED")), "gate-invoices")
-    unique = found.groupBy("sha256").agg(F.min("class").alias("class"), F.max("class").alias("other"), F.min("bytes").alias("bytes"), F.max("bytes").alias("most"), F.countDistinct("source").alias("parents"), F.count("*").alias("occurrences"))
+    unique = found.groupBy("sha256").agg(
+        F.min("class").alias("class"), F.max("class").alias("other"), F.min("bytes").alias("bytes"), F.max("bytes").alias("most"),
+        F.countDistinct("source").alias("parents"), F.count("*").alias("occurrences")
+    )
     unique = kept(unique, "gate-invoice-objects")
     classes = unique.groupBy("class").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"))
     return _status(_union(
@@ -124,7 +141,10 @@ def invoice_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def delivery_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of gates as components of a delivery; the final one holds only if none before it fails."""
     groups = {"extraction": extraction_gates, "package": v1_gates, "capture": capture_checks, "invoices": invoice_gates}
-    each = _union(*(f(spark, sf_dir).agg(F.count("*").alias("gates"), F.count_if(F.col("status") == "FAIL").alias("failed")).withColumn("component", F.lit(name)) for name, f in groups.items()))
+    each = _union(*(
+        f(spark, sf_dir).agg(F.count("*").alias("gates"), F.count_if(F.col("status") == "FAIL").alias("failed")).withColumn("component", F.lit(name))
+        for name, f in groups.items()
+    ))
     each = kept(each, "gate-components")
     final = each.agg(F.count("*").alias("gates"), F.count_if(F.col("failed") > 0).alias("failed")).withColumn("component", F.lit("final"))
     return each.unionByName(final).select("component", "gates", "failed", F.when(F.col("failed") == 0, "PASS").otherwise("FAIL").alias("status"))
@@ -178,7 +198,10 @@ _INVOICES = {
     "CLASS_CONFLICT": "SELECT count(*) FROM uni WHERE class <> other", "BYTES_CONFLICT": "SELECT count(*) FROM uni WHERE bytes <> most", "PARENT_MISSING": "SELECT count(*) FROM uni WHERE parents = 0",
     "MULTIPARENT": "SELECT count(*) FROM uni WHERE parents > 1", "SHA_INVALID": "SELECT count(*) FROM inv WHERE length(sha) <> 64", "BYTES_EMPTY": "SELECT count(*) FROM inv WHERE bytes = 0",
 }
-_PARTS = {"extraction": (_FILES, _EXTRACTION), "package": (f"{graph_queries.EDGES_SQL}, {graph_queries.FACTS_SQL}, {graph_queries.NODES_SQL}", _V1), "capture": (_CAPTURE_SQL, _CAPTURE), "invoices": (_INVOICE_SQL, _INVOICES)}
+_PARTS = {
+    "extraction": (_FILES, _EXTRACTION), "package": (f"{graph_queries.EDGES_SQL}, {graph_queries.FACTS_SQL}, {graph_queries.NODES_SQL}", _V1),
+    "capture": (_CAPTURE_SQL, _CAPTURE), "invoices": (_INVOICE_SQL, _INVOICES)
+}
 _TEXT = "coalesce(text, '')"
 
 ORACLES = {

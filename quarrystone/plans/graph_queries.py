@@ -64,8 +64,12 @@ def unreferenced_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def relation_time_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence count and first and last time key of each relation; relations without dated evidence stay."""
     lines = table(spark, sf_dir, "lineitem")
-    evidence = lines.select(F.col("l_orderkey").alias("subject"), F.col("l_partkey").alias("object"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("key"))
-    bounds = evidence.groupBy("subject", "object").agg(F.count("*").alias("evidence_count"), F.min("key").alias("first_event_sort_key"), F.max("key").alias("last_event_sort_key"))
+    evidence = lines.select(
+        F.col("l_orderkey").alias("subject"), F.col("l_partkey").alias("object"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("key")
+    )
+    bounds = evidence.groupBy("subject", "object").agg(
+        F.count("*").alias("evidence_count"), F.min("key").alias("first_event_sort_key"), F.max("key").alias("last_event_sort_key")
+    )
     relations = lines.select(F.col("l_orderkey").alias("subject"), F.col("l_partkey").alias("object")).distinct()
     return relations.join(bounds, ["subject", "object"], "left")
 
@@ -73,7 +77,9 @@ def relation_time_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def multiparent_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that several orders hold."""
     lines = table(spark, sf_dir, "lineitem")
-    return lines.groupBy(F.col("l_partkey").alias("object")).agg(F.countDistinct("l_orderkey").alias("parents"), F.count("*").alias("occurrences")).filter("parents > 1")
+    return lines.groupBy(F.col("l_partkey").alias("object")).agg(
+        F.countDistinct("l_orderkey").alias("parents"), F.count("*").alias("occurrences")
+    ).filter("parents > 1")
 
 
 def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +127,10 @@ def graph_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (node_registry, relation_fact, relation_catalog, orphan_endpoints, unreferenced_nodes, relation_time_bounds, multiparent_objects, entity_counts, relation_stats, node_evidence_totals, node_pairs_by_company, graph_gates)}
+QUERIES = {
+    f.__name__: f
+    for f in (node_registry, relation_fact, relation_catalog, orphan_endpoints, unreferenced_nodes, relation_time_bounds, multiparent_objects, entity_counts, relation_stats, node_evidence_totals, node_pairs_by_company, graph_gates)
+}
 
 EDGES_SQL = """
 edges AS (

@@ -25,7 +25,9 @@ def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(ident(conv, turn - 1))
     )
     local = F.when(conv % 5 != 0, F.concat(F.lit("2024-01-01T"), F.lpad(F.when(n % 17 == 0, F.lit(0)).otherwise(turn).cast("string"), 6, "0")))
-    return c.join(last, "conv_id").select("conv_id", ident(conv, turn).alias("mail_id"), parent.alias("parent_id"), local.alias("local_key"), turn.alias("ordinal"), "role", "text")
+    return c.join(last, "conv_id").select(
+        "conv_id", ident(conv, turn).alias("mail_id"), parent.alias("parent_id"), local.alias("local_key"), turn.alias("ordinal"), "role", "text"
+    )
 
 
 def mail_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +61,9 @@ def participant_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attachment_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts are attachments, orders the mails that hold them."""
-    links = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("attachment"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0").alias("mail_key"))
+    links = table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("attachment"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0").alias("mail_key")
+    )
     return mail.numbered_attachments(links)
 
 

@@ -53,13 +53,18 @@ def pkg_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pkg_source_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pkg_artifacts(spark, sf_dir).filter("source_scope = 'relation_provenance_manifest'")
-    return found.select(stable_key(F.lit("manifest"), F.col("source_rel")).alias("manifest_id"), "source_rel", "source_sha256", "source_bytes", F.lit("BUILT").alias("manifest_status"))
+    return found.select(
+        stable_key(F.lit("manifest"), F.col("source_rel")).alias("manifest_id"), "source_rel", "source_sha256", "source_bytes",
+        F.lit("BUILT").alias("manifest_status")
+    )
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines with the file and the pointer of their order."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    return table(spark, sf_dir, "lineitem").join(orders, "l_orderkey").withColumn("rel", _customer_rel("o_custkey")).withColumn("order_pointer", _rel("/orders/", F.col("l_orderkey"), "")).withColumn("pointer", F.concat("order_pointer", F.lit("/products/"), F.col("l_linenumber").cast("string")))
+    return table(spark, sf_dir, "lineitem").join(orders, "l_orderkey").withColumn("rel", _customer_rel("o_custkey")).withColumn("order_pointer", _rel("/orders/", F.col("l_orderkey"), "")).withColumn(
+        "pointer", F.concat("order_pointer", F.lit("/products/"), F.col("l_linenumber").cast("string"))
+    )
 
 
 def pkg_record_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,15 +96,25 @@ def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     error = F.when(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"), "EMPTY_TEXT").when(F.col("doc_id") % 7 == 0, "READER_FAILED")
     rel = _document_rel()
-    return d.select(stable_key(F.lit("task"), rel, F.lit("text")).alias("task_id"), rel.alias("source_rel"), package.artifact_id(rel).alias("artifact_id"), error.alias("error_code"), _rel("text/", F.col("doc_id"), ".txt").alias("output_rel"), F.octet_length(F.coalesce(F.trim("text"), F.lit(""))).cast("long").alias("output_bytes"), F.sha2(F.coalesce(F.trim("text"), F.lit("")), 256).alias("output_sha256"))
+    return d.select(
+        stable_key(F.lit("task"), rel, F.lit("text")).alias("task_id"), rel.alias("source_rel"), package.artifact_id(rel).alias("artifact_id"),
+        error.alias("error_code"), _rel("text/", F.col("doc_id"), ".txt").alias("output_rel"),
+        F.octet_length(F.coalesce(F.trim("text"), F.lit(""))).cast("long").alias("output_bytes"),
+        F.sha2(F.coalesce(F.trim("text"), F.lit("")), 256).alias("output_sha256")
+    )
 
 
 def pkg_derived_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tasks(spark, sf_dir).filter("error_code IS NULL").select(stable_key(F.lit("derived"), F.col("task_id")).alias("derived_id"), "task_id", "artifact_id", "source_rel", "output_rel", "output_sha256", "output_bytes")
+    return _tasks(spark, sf_dir).filter("error_code IS NULL").select(
+        stable_key(F.lit("derived"), F.col("task_id")).alias("derived_id"), "task_id", "artifact_id", "source_rel", "output_rel", "output_sha256",
+        "output_bytes"
+    )
 
 
 def pkg_source_gap_task(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tasks(spark, sf_dir).filter("error_code IS NOT NULL").select("task_id", "artifact_id", node_id("source_gap", F.col("task_id")).alias("gap_node_id"), "source_rel", "error_code")
+    return _tasks(spark, sf_dir).filter("error_code IS NOT NULL").select(
+        "task_id", "artifact_id", node_id("source_gap", F.col("task_id")).alias("gap_node_id"), "source_rel", "error_code"
+    )
 
 
 def pkg_archive_member(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,13 +123,21 @@ def pkg_archive_member(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     index = F.row_number().over(Window.partitionBy("rel").orderBy("page_id")) - 1
     path = _rel("pages/", F.col("page_id"), ".html")
-    return p.select(stable_key(F.lit("member"), F.col("rel"), path).alias("member_id"), package.artifact_id(F.col("rel")).alias("artifact_id"), F.col("rel").alias("source_rel"), path.alias("member_path"), index.cast("int").alias("member_index"), F.octet_length(html).cast("long").alias("uncompressed_bytes"), F.lit(False).alias("encrypted"))
+    return p.select(
+        stable_key(F.lit("member"), F.col("rel"), path).alias("member_id"), package.artifact_id(F.col("rel")).alias("artifact_id"),
+        F.col("rel").alias("source_rel"), path.alias("member_path"), index.cast("int").alias("member_index"),
+        F.octet_length(html).cast("long").alias("uncompressed_bytes"), F.lit(False).alias("encrypted")
+    )
 
 
 def pkg_trade_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trade records stay unbound: no pointer ties a supplier to a customer."""
     s = table(spark, sf_dir, "supplier")
-    return s.select(node_id("company", F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string"))).alias("entity_node_id"), F.lit("company").alias("entity_type"), F.lit(True).alias("unbound_to_customer"), F.lit("UNBOUND").alias("binding_status"), _rel("/suppliers/", F.col("s_suppkey"), "").alias("json_pointer"), F.lit(None).cast("string").alias("binding_evidence_pointer"))
+    return s.select(
+        node_id("company", F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string"))).alias("entity_node_id"), F.lit("company").alias("entity_type"),
+        F.lit(True).alias("unbound_to_customer"), F.lit("UNBOUND").alias("binding_status"), _rel("/suppliers/", F.col("s_suppkey"), "").alias("json_pointer"),
+        F.lit(None).cast("string").alias("binding_evidence_pointer")
+    )
 
 
 def pkg_attachment_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +148,12 @@ def pkg_attachment_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = pkg_artifacts(spark, sf_dir).filter("source_scope = 'customer'").select(F.col("source_rel").alias("rel"), "artifact_id", "source_sha256")
     pointer = F.format_string("/mails/%d/related_resources/%d", F.col("mail") - 1, F.col("l_linenumber") - 1)
     found = held.join(files, "rel").withColumn("source_pointer", pointer)
-    return found.select(stable_key(F.lit("occurrence"), F.col("rel"), F.col("source_pointer")).alias("occurrence_id"), node_id("mail", F.col("l_orderkey")).alias("mail_node_id"), node_id("attachment", F.col("l_partkey")).alias("attachment_node_id"), "artifact_id", F.col("mail").cast("int").alias("source_mail_ordinal"), F.col("l_linenumber").cast("int").alias("source_resource_ordinal"), "source_pointer", F.col("rel").alias("artifact_source_rel"), F.col("source_sha256").alias("artifact_sha256"))
+    return found.select(
+        stable_key(F.lit("occurrence"), F.col("rel"), F.col("source_pointer")).alias("occurrence_id"),
+        node_id("mail", F.col("l_orderkey")).alias("mail_node_id"), node_id("attachment", F.col("l_partkey")).alias("attachment_node_id"), "artifact_id",
+        F.col("mail").cast("int").alias("source_mail_ordinal"), F.col("l_linenumber").cast("int").alias("source_resource_ordinal"), "source_pointer",
+        F.col("rel").alias("artifact_source_rel"), F.col("source_sha256").alias("artifact_sha256")
+    )
 
 
 def pkg_relation_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +187,10 @@ def pkg_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-TABLES = {f.__name__.removeprefix("pkg_"): f for f in (pkg_artifacts, pkg_source_manifest, pkg_nodes, pkg_record_occurrence, pkg_explicit_relation, pkg_timeline_event, pkg_relation_evidence, pkg_lineage, pkg_attachment_occurrence, pkg_derived_artifacts, pkg_source_gap_task, pkg_archive_member, pkg_trade_entity)}
+TABLES = {
+    f.__name__.removeprefix("pkg_"): f
+    for f in (pkg_artifacts, pkg_source_manifest, pkg_nodes, pkg_record_occurrence, pkg_explicit_relation, pkg_timeline_event, pkg_relation_evidence, pkg_lineage, pkg_attachment_occurrence, pkg_derived_artifacts, pkg_source_gap_task, pkg_archive_member, pkg_trade_entity)
+}
 
 
 def _package(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -174,11 +205,18 @@ def pkg_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pkg_gates_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rules over a package with faults in it: proofs lost, a file changed, records without their root, a gap that is called derived."""
     t = _package(spark, sf_dir)
-    t["relation_evidence"] = t["relation_evidence"].filter("substring(evidence_id, 1, 1) <> '0'").withColumn("json_pointer", F.when(F.col("evidence_id").startswith("1"), "/elsewhere").otherwise(F.col("json_pointer")))
-    t["artifacts"] = t["artifacts"].withColumn("source_sha256", F.when(F.col("artifact_id").startswith("a"), F.sha2("artifact_id", 256)).otherwise(F.col("source_sha256")))
+    t["relation_evidence"] = t["relation_evidence"].filter("substring(evidence_id, 1, 1) <> '0'").withColumn(
+        "json_pointer", F.when(F.col("evidence_id").startswith("1"), "/elsewhere").otherwise(F.col("json_pointer"))
+    )
+    t["artifacts"] = t["artifacts"].withColumn(
+        "source_sha256", F.when(F.col("artifact_id").startswith("a"), F.sha2("artifact_id", 256)).otherwise(F.col("source_sha256"))
+    )
     t["record_occurrence"] = t["record_occurrence"].filter("pointer_kind <> 'artifact' OR substring(record_id, 1, 1) <> '5'")
     t["timeline_event"] = t["timeline_event"].filter("substring(event_id, 1, 2) <> 'ff'")
-    t["derived_artifacts"] = t["derived_artifacts"].unionByName(t["source_gap_task"].filter("error_code = 'READER_FAILED'").select(F.lit("x").alias("derived_id"), "task_id", "artifact_id", "source_rel", F.lit("x").alias("output_rel"), F.lit("x").alias("output_sha256"), F.lit(0).cast("long").alias("output_bytes")))
+    t["derived_artifacts"] = t["derived_artifacts"].unionByName(t["source_gap_task"].filter("error_code = 'READER_FAILED'").select(
+        F.lit("x").alias("derived_id"), "task_id", "artifact_id", "source_rel", F.lit("x").alias("output_rel"), F.lit("x").alias("output_sha256"),
+        F.lit(0).cast("long").alias("output_bytes")
+    ))
     t["trade_entity"] = t["trade_entity"].withColumn("binding_status", F.when(F.col("json_pointer").endswith("7"), "BOUND").otherwise(F.col("binding_status")))
     t["nodes"] = t["nodes"].unionByName(t["nodes"].filter("node_type = 'company'")).unionByName(spark.createDataFrame([("company:none", "company")], "node_id string, node_type string"))
     return package.gates(t)
@@ -186,22 +224,34 @@ def pkg_gates_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by the scope of the file they came from."""
-    joined = pkg_timeline_event(spark, sf_dir).select("artifact_id", "axis", "sort_key").join(pkg_artifacts(spark, sf_dir).select("artifact_id", "source_scope", "category"), "artifact_id")
-    return joined.groupBy("axis", "source_scope", "category").agg(F.count("*").alias("events"), F.min("sort_key").alias("first_sort_key"), F.max("sort_key").alias("last_sort_key"))
+    joined = pkg_timeline_event(spark, sf_dir).select("artifact_id", "axis", "sort_key").join(
+        pkg_artifacts(spark, sf_dir).select("artifact_id", "source_scope", "category"), "artifact_id"
+    )
+    return joined.groupBy("axis", "source_scope", "category").agg(
+        F.count("*").alias("events"), F.min("sort_key").alias("first_sort_key"), F.max("sort_key").alias("last_sort_key")
+    )
 
 
 def attachment_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attachments with the bytes of the file that lists them, by attachment: mails, occurrences and bytes of distinct files."""
     joined = pkg_attachment_occurrence(spark, sf_dir).join(pkg_artifacts(spark, sf_dir).select("artifact_id", "source_bytes"), "artifact_id")
-    files = joined.groupBy("attachment_node_id", "artifact_id").agg(F.count("*").alias("n"), F.collect_set("mail_node_id").alias("mails"), F.first("source_bytes").alias("bytes"))
-    return files.groupBy("attachment_node_id").agg(F.sum("n").alias("occurrences"), F.sum(F.size("mails")).cast("long").alias("mails"), F.sum("bytes").alias("file_bytes"))
+    files = joined.groupBy("attachment_node_id", "artifact_id").agg(
+        F.count("*").alias("n"), F.collect_set("mail_node_id").alias("mails"), F.first("source_bytes").alias("bytes")
+    )
+    return files.groupBy("attachment_node_id").agg(
+        F.sum("n").alias("occurrences"), F.sum(F.size("mails")).cast("long").alias("mails"), F.sum("bytes").alias("file_bytes")
+    )
 
 
 def provenance_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proofs that disagree with the file or the record they name, after files and records whose key begins with 3 lost their place."""
-    proof = pkg_relation_evidence(spark, sf_dir).select("evidence_id", "artifact_id", "record_id", F.col("source_rel").alias("proof_rel"), F.col("json_pointer").alias("proof_pointer"))
+    proof = pkg_relation_evidence(spark, sf_dir).select(
+        "evidence_id", "artifact_id", "record_id", F.col("source_rel").alias("proof_rel"), F.col("json_pointer").alias("proof_pointer")
+    )
     files = pkg_artifacts(spark, sf_dir).select("artifact_id", F.when(~F.col("artifact_id").startswith("3"), F.col("source_rel")).alias("source_rel"))
-    records = pkg_record_occurrence(spark, sf_dir).select("record_id", F.when(~F.col("record_id").startswith("3"), F.col("json_pointer")).alias("json_pointer"), F.col("artifact_id").alias("of_artifact"))
+    records = pkg_record_occurrence(spark, sf_dir).select(
+        "record_id", F.when(~F.col("record_id").startswith("3"), F.col("json_pointer")).alias("json_pointer"), F.col("artifact_id").alias("of_artifact")
+    )
     joined = proof.join(files, "artifact_id").join(records, "record_id")
     wrong_file, wrong_record = ~F.col("proof_rel").eqNullSafe(F.col("source_rel")), ~(F.col("proof_pointer").eqNullSafe(F.col("json_pointer")) & (F.col("of_artifact") == F.col("artifact_id")))
     return joined.filter(wrong_file | wrong_record).select("evidence_id", wrong_file.alias("wrong_artifact"), wrong_record.alias("wrong_record"))
@@ -217,7 +267,10 @@ def manifest_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pkg_source_manifest(spark, sf_dir).join(pkg_artifacts(spark, sf_dir), ["source_rel", "source_sha256", "source_bytes"]).select("manifest_id", "artifact_id", "source_rel", "source_bytes")
 
 
-QUERIES = {f.__name__: f for f in (*TABLES.values(), pkg_gates, pkg_gates_broken, event_artifacts, attachment_artifacts, provenance_violations, gap_derived, manifest_artifacts)}
+QUERIES = {
+    f.__name__: f
+    for f in (*TABLES.values(), pkg_gates, pkg_gates_broken, event_artifacts, attachment_artifacts, provenance_violations, gap_derived, manifest_artifacts)
+}
 
 
 def _key(*parts: str) -> str:

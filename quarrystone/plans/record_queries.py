@@ -33,7 +33,9 @@ def first_known_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_text_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as pages: recognised text for every other one, blank for every fourth."""
     c = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-    seen = c.filter("turn % 2 = 0").withColumn("text", F.when(F.col("turn") % 4 == 0, F.lit(" ")).otherwise(F.concat(F.lit("seen "), F.col("turn").cast("string"))))
+    seen = c.filter("turn % 2 = 0").withColumn(
+        "text", F.when(F.col("turn") % 4 == 0, F.lit(" ")).otherwise(F.concat(F.lit("seen "), F.col("turn").cast("string")))
+    )
     merged = records.merged_pages(c.filter("turn % 3 <> 2"), seen, ["conv_id", "turn"])
     return merged.select("conv_id", "turn", F.sha2("text", 256).alias("text_sha256"), "origin")
 
@@ -53,21 +55,30 @@ def window_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def receipt_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipts of documents: some lack, some name another size or text."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
-    receipts = d.filter("doc_id % 7 <> 0").withColumn("bytes", F.when(F.col("doc_id") % 5 == 0, F.col("bytes") + 1).otherwise(F.col("bytes"))).withColumn("sha256", F.when(F.col("doc_id") % 4 == 0, F.lit("x")).otherwise(F.col("sha256")))
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256")
+    )
+    receipts = d.filter("doc_id % 7 <> 0").withColumn(
+        "bytes", F.when(F.col("doc_id") % 5 == 0, F.col("bytes") + 1).otherwise(F.col("bytes"))
+    ).withColumn("sha256", F.when(F.col("doc_id") % 4 == 0, F.lit("x")).otherwise(F.col("sha256")))
     return records.receipts_bound(receipts, d.filter("doc_id % 11 <> 0"), "doc_id", ["bytes", "sha256"])
 
 
 def next_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each source of documents needs next, by the state of its labels."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    status = d.groupBy("source").agg(F.count_if(F.col("toxic").isNull()).alias("open_docs"), F.count_if(F.col("toxic") == 1).alias("gaps"), F.count_if(F.col("quality") == 1).alias("done"))
+    status = d.groupBy("source").agg(
+        F.count_if(F.col("toxic").isNull()).alias("open_docs"), F.count_if(F.col("toxic") == 1).alias("gaps"), F.count_if(F.col("quality") == 1).alias("done")
+    )
     steps = [("resolve_gaps", F.col("gaps") > 3), ("finalise", F.col("open_docs") == 0), ("extract", F.col("done") > F.col("gaps") * 10)]
     return records.next_action(status, steps, "wait")
 
 
 def multi_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots = {"customer": table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")), "supplier": table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"))}
+    roots = {
+        "customer": table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")),
+        "supplier": table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"))
+    }
     return records.multi_root_union(roots)
 
 
@@ -80,7 +91,9 @@ def record_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("parts").cast("long").alias("parts"), F.max(F.length("body")).cast("long").alias("longest"), F.count_if(F.col("method") == "text").alias("cut_as_text"),
         F.min(frame).alias("frame"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", items.alias("items")))), lambda p: p["items"]), ",").alias("items"),
     )
-    return whole.select("source_rel", (F.col("longest") <= 300).alias("fits"), "cut_as_text", F.sha2(F.concat("frame", F.lit("["), "items", F.lit("]}")), 256).alias("sha256"))
+    return whole.select(
+        "source_rel", (F.col("longest") <= 300).alias("fits"), "cut_as_text", F.sha2(F.concat("frame", F.lit("["), "items", F.lit("]}")), 256).alias("sha256")
+    )
 
 
 def receipt_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +101,10 @@ def receipt_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = (F.col("l_partkey") % 100 + 1).cast("long").alias("bytes")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session"), size)
     told = lines.groupBy("session").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).filter("session % 11 <> 0")
-    receipts = told.select("session", (F.col("n") + (F.col("session") % 12 == 0).cast("int")).alias("announced"), (F.col("b") + (F.col("session") % 13 == 0).cast("int")).alias("announced_bytes"))
+    receipts = told.select(
+        "session", (F.col("n") + (F.col("session") % 12 == 0).cast("int")).alias("announced"),
+        (F.col("b") + (F.col("session") % 13 == 0).cast("int")).alias("announced_bytes")
+    )
     return records.receipt_totals(receipts, lines, "session")
 
 
@@ -103,7 +119,10 @@ def package_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-QUERIES = {f.__name__: f for f in (cooccurrence_pairs, most_common_source, first_known_user, page_text_merge, recognised_lines, window_anchors, receipt_binding, next_action, multi_root, record_parts, receipt_totals, package_profiles)}
+QUERIES = {
+    f.__name__: f
+    for f in (cooccurrence_pairs, most_common_source, first_known_user, page_text_merge, recognised_lines, window_anchors, receipt_binding, next_action, multi_root, record_parts, receipt_totals, package_profiles)
+}
 
 ORACLES = {
     "record_parts": f"""WITH {NESTED_SQL} SELECT rel AS source_rel, true AS fits, 0 AS cut_as_text, sha256('{{"order_id":"O' || o_orderkey || '","company_id":"C' || o_custkey || '","order_time":"' || t || '","products":' || products || '}}') AS sha256 FROM o""",

@@ -69,7 +69,9 @@ def source_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "csv")
     p = table(spark, sf_dir, "part")
     sinks.write_csv(p.select("p_partkey", F.concat("p_name", F.lit(' "x", '), "p_brand", F.lit("\n2")).alias("p_name"), "p_size"), folder)
-    return files.csv_required(spark, folder, ["p_partkey", "p_name"], "PARTS_HEADER").select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_name", F.col("p_size").cast("int").alias("p_size"))
+    return files.csv_required(spark, folder, ["p_partkey", "p_name"], "PARTS_HEADER").select(
+        F.col("p_partkey").cast("long").alias("p_partkey"), "p_name", F.col("p_size").cast("int").alias("p_size")
+    )
 
 
 def source_sqlite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +138,10 @@ def sink_v1_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight tables of the first package, cast to their column specs, written and read back: rows and columns of each."""
     artifacts, edges = package_queries.pkg_artifacts(spark, sf_dir), graph_queries.case_edges(spark, sf_dir)
     gaps, done = package_queries.pkg_source_gap_task(spark, sf_dir), package_queries.pkg_derived_artifacts(spark, sf_dir)
-    texts = table(spark, sf_dir, "documents").select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_rel"), F.length(F.coalesce("text", F.lit(""))).alias("text_chars"))
+    texts = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_rel"),
+        F.length(F.coalesce("text", F.lit(""))).alias("text_chars")
+    )
     built = {
         "nodes": graph_queries.case_nodes(spark, sf_dir), "relation_occurrence": edges, "relation_fact": graph.facts(edges), "files": artifacts,
         "tasks": gaps.select("task_id", "source_rel", "error_code").unionByName(done.select("task_id", "source_rel", F.lit(None).cast("string").alias("error_code"))),
@@ -153,14 +158,18 @@ def source_v1_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes and edges as one JSONL graph, read with a strict schema and split by the type of the record: edges with the types of their ends."""
     folder = _folder(spark, "graph")
     nodes = graph_queries.case_nodes(spark, sf_dir).select(F.lit("node").alias("record_type"), "node_id", F.col("node_type").alias("entity_type"), "value")
-    edges = graph_queries.case_edges(spark, sf_dir).select(F.lit("edge").alias("record_type"), F.col("from_id").alias("from"), F.col("to_id").alias("to"), "relation", "source_rel")
+    edges = graph_queries.case_edges(spark, sf_dir).select(
+        F.lit("edge").alias("record_type"), F.col("from_id").alias("from"), F.col("to_id").alias("to"), "relation", "source_rel"
+    )
     sinks.write_jsonl(nodes, f"{folder}/nodes")
     sinks.write_jsonl(edges, f"{folder}/edges")
     read = spark.read.option("recursiveFileLookup", True).option("mode", "FAILFAST").schema("record_type string, node_id string, entity_type string, value string, `from` string, `to` string, relation string, source_rel string").json(folder)
     ends = read.filter("record_type = 'node'").select("node_id", "entity_type")
     left, right = ends.toDF("from", "from_type"), ends.toDF("to", "to_type")
     joined = read.filter("record_type = 'edge'").select("from", "to", "relation").join(left, "from", "left").join(right, "to", "left")
-    return joined.groupBy("relation", "from_type", "to_type").agg(F.count("*").alias("edges"), F.countDistinct("from").alias("subjects"), F.countDistinct("to").alias("objects"))
+    return joined.groupBy("relation", "from_type", "to_type").agg(
+        F.count("*").alias("edges"), F.countDistinct("from").alias("subjects"), F.countDistinct("to").alias("objects")
+    )
 
 
 def sink_graphml(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,14 +178,18 @@ def sink_graphml(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks.write_graphml_parts(graph_queries.case_nodes(spark, sf_dir), graph_queries.case_edges(spark, sf_dir), folder)
     lines = spark.read.option("recursiveFileLookup", True).text(folder)
     element = F.regexp_extract("value", r"^<(node|edge) ", 1)
-    return lines.groupBy(element.alias("element")).agg(F.count("*").alias("elements"), F.count_if(F.rlike("value", F.lit(r"<data key=\"(value|relation)\">[^<]+</data>"))).alias("named"))
+    return lines.groupBy(element.alias("element")).agg(
+        F.count("*").alias("elements"), F.count_if(F.rlike("value", F.lit(r"<data key=\"(value|relation)\">[^<]+</data>"))).alias("named")
+    )
 
 
 def sink_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents through JSONL: every text comes back as it was."""
     folder = _folder(spark, "documents")
     sinks.write_jsonl(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), folder)
-    return files.ledger(spark, folder, "doc_id long, text string, source string", strict=True).select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return files.ledger(spark, folder, "doc_id long, text string, source string", strict=True).select(
+        "doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+    )
 
 
 def sink_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +198,10 @@ def sink_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     _one_file_each(n.select(F.col("n_nationkey").alias("n"), F.lit(0).alias("o"), F.col("n_name").alias("value")), "n", "o", folder)
     there = sinks.checksum_rows(spark, folder).withColumn("k", F.regexp_extract("rel", r"n=(\d+)/", 1).cast("int"))
-    listed = there.filter("k <> 4").select(F.when(F.col("k") == 7, F.concat(F.lit("../"), "rel")).when(F.col("k") == 9, F.concat("rel", F.lit(".gone"))).otherwise(F.col("rel")).alias("rel"), F.when(F.col("k") % 5 == 1, F.lit("0")).otherwise(F.col("sha256")).alias("sha256"), "k")
+    listed = there.filter("k <> 4").select(
+        F.when(F.col("k") == 7, F.concat(F.lit("../"), "rel")).when(F.col("k") == 9, F.concat("rel", F.lit(".gone"))).otherwise(F.col("rel")).alias("rel"),
+        F.when(F.col("k") % 5 == 1, F.lit("0")).otherwise(F.col("sha256")).alias("sha256"), "k"
+    )
     twice = listed.unionByName(listed.filter("k = 2")).drop("k")
     return sinks.checksum_faults(twice, there.drop("k")).select(F.regexp_extract("rel", r"n=(\d+)/", 1).cast("int").alias("n"), "fault")
 
@@ -218,7 +234,9 @@ def _stream(spark: SparkSession, sf_dir: str, label: str) -> tuple[DataFrame, st
     """Events as an append-only JSONL ledger, read as a stream of a few files at a time."""
     folder = _folder(spark, label)
     e = table(spark, sf_dir, "events")
-    sinks.write_jsonl(e.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), "user_id", "event_type").repartition(6), f"{folder}/in")
+    sinks.write_jsonl(
+        e.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), "user_id", "event_type").repartition(6), f"{folder}/in"
+    )
     return paths.ledger_stream(spark, f"{folder}/in", "event_id long, ts timestamp_ntz, user_id long, event_type string", files_per_batch=2), folder
 
 
@@ -233,7 +251,9 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest event of each user over all batches; of one instant, the highest id."""
     stream, folder = _stream(spark, sf_dir, "latest")
-    latest = paths.latest_by_key(stream.withColumn("at", F.struct("ts", "event_id")).select("user_id", "event_id", "event_type", "at"), "user_id", "at").drop("at")
+    latest = paths.latest_by_key(
+        stream.withColumn("at", F.struct("ts", "event_id")).select("user_id", "event_id", "event_type", "at"), "user_id", "at"
+    ).drop("at")
     write = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{folder}/out")
     _finished(latest.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
     return spark.read.parquet(f"{folder}/out")
@@ -245,14 +265,20 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = paths.business_windows(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", late="3650 days")
     write = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{folder}/out")
     _finished(windows.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
-    return spark.read.parquet(f"{folder}/out").select(F.unix_micros("window_start").alias("window_start"), "events", F.unix_micros("first_event").alias("first_event"), F.unix_micros("last_event").alias("last_event"))
+    return spark.read.parquet(f"{folder}/out").select(
+        F.unix_micros("window_start").alias("window_start"), "events", F.unix_micros("first_event").alias("first_event"),
+        F.unix_micros("last_event").alias("last_event")
+    )
 
 
 def stream_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as observed repair entries that come in several batches: the last snapshot of the queue."""
     folder = _folder(spark, "repairs")
     l = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("severity"), F.max("quality").alias("quality"))  # noqa: E741
-    rows = l.select(F.col("doc_id").alias("entry"), "severity", (F.col("doc_id") % 100).alias("recorded"), (F.col("doc_id") % 4).alias("attempts"), F.when(F.col("quality") == 1, F.col("doc_id") % 130).alias("resolved_at"))
+    rows = l.select(
+        F.col("doc_id").alias("entry"), "severity", (F.col("doc_id") % 100).alias("recorded"), (F.col("doc_id") % 4).alias("attempts"),
+        F.when(F.col("quality") == 1, F.col("doc_id") % 130).alias("resolved_at")
+    )
     sinks.write_jsonl(rows.repartition(4), f"{folder}/in")
     stream = paths.ledger_stream(spark, f"{folder}/in", "entry long, severity int, recorded long, attempts long, resolved_at long", files_per_batch=2)
     query = paths.repair_queue(stream, f"{folder}/queue", f"{folder}/state")

@@ -14,7 +14,9 @@ NEEDLE, PHRASE = "idiot", "of the"
 
 def normalise_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["mailID", "createTime", "order_no", "  A b-C ", "x", "HTMLText", "a__b", "é1"]
-    return spark.createDataFrame([(n,) for n in names], "name string").select("name", text.normalised_name(F.col("name")).alias("normalised"), text.pointer_part(F.concat("name", F.lit("/~"))).alias("pointer"))
+    return spark.createDataFrame([(n,) for n in names], "name string").select(
+        "name", text.normalised_name(F.col("name")).alias("normalised"), text.pointer_part(F.concat("name", F.lit("/~"))).alias("pointer")
+    )
 
 
 def html_chunks_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,13 +35,19 @@ def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page urls, every other one with secrets and signatures of several kinds added."""
     p = table(spark, sf_dir, "pages")
     bare, fragment = urls.without_fragment(F.col("url")), F.regexp_extract("url", "(#.*)$", 1)
-    more = F.concat(bare, F.when(bare.contains("?"), "&").otherwise("?"), F.lit("token=s"), F.col("page_id").cast("string"), F.lit("&Expires=9&b=2&X-Amz-Signature=5f&security-token=q&policy=&a=1"), fragment)
+    more = F.concat(
+        bare, F.when(bare.contains("?"), "&").otherwise("?"), F.lit("token=s"), F.col("page_id").cast("string"),
+        F.lit("&Expires=9&b=2&X-Amz-Signature=5f&security-token=q&policy=&a=1"), fragment
+    )
     return p.select("page_id", F.when(F.col("page_id") % 2 == 0, more).otherwise(F.col("url")).alias("url"))
 
 
 def url_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("url")
-    return _signed(spark, sf_dir).select("page_id", "url", urls.redacted(u).alias("redacted"), urls.canonical(u).alias("canonical"), urls.signed_variant(u).alias("signed_variant"), urls.identity(u).alias("identity"), urls.alias_key(u).alias("alias"))
+    return _signed(spark, sf_dir).select(
+        "page_id", "url", urls.redacted(u).alias("redacted"), urls.canonical(u).alias("canonical"), urls.signed_variant(u).alias("signed_variant"),
+        urls.identity(u).alias("identity"), urls.alias_key(u).alias("alias")
+    )
 
 
 def url_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +89,9 @@ def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.slice_of(F.col("text"), 100, 50).alias("chunk"), F.length("text").cast("long").alias("chars"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", text.slice_of(F.col("text"), 100, 50).alias("chunk"), F.length("text").cast("long").alias("chars")
+    )
 
 
 def preview_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +118,10 @@ def evidence_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.excerpt(F.col("text"), NEEDLE).alias("excerpt")).filter("excerpt IS NOT NULL")
 
 
-QUERIES = {f.__name__: f for f in (normalise_key, html_chunks_text, html_visible_text, html_block_text, url_identity, url_pages, latest_per_url, fts_phrase, fts_boolean, word_counts, like_any, search_page, document_slice, preview_flag, phrase_intersection, secret_scan, safe_cells, evidence_excerpt)}
+QUERIES = {
+    f.__name__: f
+    for f in (normalise_key, html_chunks_text, html_visible_text, html_block_text, url_identity, url_pages, latest_per_url, fts_phrase, fts_boolean, word_counts, like_any, search_page, document_slice, preview_flag, phrase_intersection, secret_scan, safe_cells, evidence_excerpt)
+}
 
 _ENT = "replace(replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
 _BARE = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\\b.*?</script>', '', 'g'), '(?is)<style\\b.*?</style>', '', 'g'), '(?is)<noscript\\b.*?</noscript>', '', 'g')"

@@ -13,8 +13,13 @@ from quarrystone.plans.tables import table
 
 def case_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    business = table(spark, sf_dir, "events").select(F.lit("business").alias("axis"), stable_key(F.lit("business"), F.col("event_id")).alias("event_id"), micros("ts").alias("sort_key"), F.lit(None).cast("string").alias("local_key"), F.col("user_id").alias("record"))
-    capture = table(spark, sf_dir, "orders").select(F.lit("capture"), stable_key(F.lit("capture"), F.col("o_orderkey")), micros("o_orderdate"), F.lit(None).cast("string"), F.col("o_custkey"))
+    business = table(spark, sf_dir, "events").select(
+        F.lit("business").alias("axis"), stable_key(F.lit("business"), F.col("event_id")).alias("event_id"), micros("ts").alias("sort_key"),
+        F.lit(None).cast("string").alias("local_key"), F.col("user_id").alias("record")
+    )
+    capture = table(spark, sf_dir, "orders").select(
+        F.lit("capture"), stable_key(F.lit("capture"), F.col("o_orderkey")), micros("o_orderdate"), F.lit(None).cast("string"), F.col("o_custkey")
+    )
     return timeline.with_order_key(business.union(capture))
 
 

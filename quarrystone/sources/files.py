@@ -48,7 +48,10 @@ def inventory(spark: SparkSession, *roots: str) -> DataFrame:
     for root in roots:
         read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
         rel = F.regexp_replace("path", r"^.*?\Q" + root.split("://")[-1].rstrip("/") + r"\E/", "")
-        frames.append(read.filter(~F.col("path").endswith(".part")).select("path", rel.alias("rel"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"), F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("extension"), "content"))
+        frames.append(read.filter(~F.col("path").endswith(".part")).select(
+            "path", rel.alias("rel"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"),
+            F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("extension"), "content"
+        ))
     return reduce(DataFrame.unionByName, frames)
 
 
@@ -90,7 +93,9 @@ def identified(files: DataFrame) -> DataFrame:
     magic = F.when(F.col("_zip").isNotNull(), F.col("_zip")).otherwise(spot(1, F.when(printable, sniffed).otherwise("binary")))
     by_name = F.when(image, "image").when(audio, "audio").when(video, "video").otherwise("other")
     category = F.when(F.col("_zip") == "zip", "archive").when(F.col("_zip") == "bad-zip", "other").when(F.col("_zip").isNotNull(), "office").otherwise(spot(2, F.when(printable, "text").otherwise(by_name)))
-    office = F.when(F.col("_zip") == "ooxml-word", "application/vnd.openxmlformats-officedocument.wordprocessingml.document").when(F.col("_zip") == "ooxml-excel", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet").when(F.col("_zip") == "ooxml-powerpoint", "application/vnd.openxmlformats-officedocument.presentationml.presentation")
+    office = F.when(F.col("_zip") == "ooxml-word", "application/vnd.openxmlformats-officedocument.wordprocessingml.document").when(F.col("_zip") == "ooxml-excel", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet").when(
+        F.col("_zip") == "ooxml-powerpoint", "application/vnd.openxmlformats-officedocument.presentationml.presentation"
+    )
     by_look = F.when(sniffed == "json-text", "application/json").when(sniffed == "markup-text", "text/markup").otherwise("text/plain")
     mime = F.when(F.col("_zip").isNotNull(), F.coalesce(office, F.lit("application/zip"))).otherwise(spot(3, F.when(printable, by_look).otherwise("application/octet-stream")))
     return typed.withColumn("magic", magic).withColumn("category", category).withColumn("mime", mime).drop("_zip")
@@ -100,7 +105,9 @@ def jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
     """source_rel, line, json, status: physical line numbers from 1; blank lines count but give no row.
 
     Whole files are read, as a line's number depends on all lines before it; JSONL artifacts are bounded pages.  Ledgers without end go through ledger()."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("source_rel"), F.regexp_replace("value", "^﻿", "").alias("value"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
+        F.input_file_name().alias("source_rel"), F.regexp_replace("value", "^﻿", "").alias("value")
+    )
     lines = files.select("source_rel", F.posexplode(F.split("value", "\r?\n")).alias("line", "json")).filter(F.trim("json") != "")
     parsed = F.try_parse_json("json")
     status = F.when(parsed.isNull(), "invalid_jsonl_line").when(F.rlike("json", F.lit(r"^\s*[\[{]")), "parsed").otherwise("parsed_json_scalar")
@@ -116,7 +123,9 @@ def ledger(spark: SparkSession, path: str, schema: str, strict: bool = False) ->
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
     """source_rel and json of files that hold one JSON document, told by their first character."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("source_rel"), F.regexp_replace("value", "^﻿", "").alias("json"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
+        F.input_file_name().alias("source_rel"), F.regexp_replace("value", "^﻿", "").alias("json")
+    )
     return files.filter(F.rlike("json", F.lit(r"^\s*[\[{]")))
 
 
@@ -206,7 +215,10 @@ def archive_members(files: DataFrame, with_content: bool = False) -> DataFrame:
                 for i, m in enumerate(archive.infolist()):
                     encrypted, link = bool(m.flag_bits & 1), stat.S_ISLNK(m.external_attr >> 16)
                     body = archive.read(m) if with_content and not (encrypted or link or m.is_dir() or m.file_size > MEMBER_BYTES) else None
-                    row = (path, i, m.filename, m.compress_size, m.file_size, m.CRC, encrypted, m.is_dir(), link, None if body is None else hashlib.sha256(body).hexdigest(), body)
+                    row = (
+                        path, i, m.filename, m.compress_size, m.file_size, m.CRC, encrypted, m.is_dir(), link,
+                        None if body is None else hashlib.sha256(body).hexdigest(), body
+                    )
                     yield pd.DataFrame([row], columns=[c.split()[0] for c in MEMBERS.split(", ")], dtype=object)
 
     return files.select("path", "content").mapInPandas(listed, MEMBERS)
@@ -240,9 +252,14 @@ def manifest_occurrences(manifests: DataFrame) -> DataFrame:
     """Mails and their related resources of manifests (manifest_id, mails array), with 1-based ordinals and their place."""
     mails = manifests.select("manifest_id", F.posexplode("mails").alias("m", "mail"))
     rows = mails.select("manifest_id", "m", F.col("mail.mail_id").alias("mail_id"), F.posexplode("mail.related_resources").alias("r", "resource"))
-    return rows.select("manifest_id", "mail_id", (F.col("m") + 1).alias("mail_ordinal"), (F.col("r") + 1).alias("resource_ordinal"), F.format_string("/mails/%d/related_resources/%d", "m", "r").alias("source_pointer"), "resource")
+    return rows.select(
+        "manifest_id", "mail_id", (F.col("m") + 1).alias("mail_ordinal"), (F.col("r") + 1).alias("resource_ordinal"),
+        F.format_string("/mails/%d/related_resources/%d", "m", "r").alias("source_pointer"), "resource"
+    )
 
 
 def newest_sessions(statuses: DataFrame, case: str = "case_id", modified: str = "modified") -> DataFrame:
     """The newest status of each case; ties go to the path that sorts last."""
-    return statuses.withColumn("_r", F.row_number().over(Window.partitionBy(case).orderBy(F.col(modified).desc(), F.col("path").desc()))).filter("_r = 1").drop("_r")
+    return statuses.withColumn(
+        "_r", F.row_number().over(Window.partitionBy(case).orderBy(F.col(modified).desc(), F.col("path").desc()))
+    ).filter("_r = 1").drop("_r")

@@ -52,8 +52,12 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 def write_graphml_parts(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
     """The same elements as text parts, for graphs that no driver should stream."""
     clean = lambda c: F.replace(F.replace(F.replace(F.regexp_replace(c, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", "�"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
-    n = nodes.select(F.format_string('<node id="%s"><data key="type">%s</data><data key="value">%s</data></node>', clean("node_id"), clean("node_type"), clean("value")).alias("value"))
-    e = edges.select(F.format_string('<edge source="%s" target="%s"><data key="relation">%s</data></edge>', clean("from_id"), clean("to_id"), clean("relation")).alias("value"))
+    n = nodes.select(F.format_string(
+        '<node id="%s"><data key="type">%s</data><data key="value">%s</data></node>', clean("node_id"), clean("node_type"), clean("value")
+    ).alias("value"))
+    e = edges.select(F.format_string(
+        '<edge source="%s" target="%s"><data key="relation">%s</data></edge>', clean("from_id"), clean("to_id"), clean("relation")
+    ).alias("value"))
     n.write.option("compression", "gzip").text(f"{folder}/nodes")
     e.write.option("compression", "gzip").text(f"{folder}/edges")
 
@@ -85,7 +89,10 @@ def tree_digest(path: Path) -> str:
 
 
 def write_checksums(folder: Path, name: str = "SHA256SUMS") -> None:
-    lines = [f"{file_digest(p)}  {p.relative_to(folder).as_posix()}" for p in sorted(folder.rglob("*")) if p.is_file() and p.name != name and not p.name.startswith(".")]
+    lines = [
+        f"{file_digest(p)}  {p.relative_to(folder).as_posix()}"
+        for p in sorted(folder.rglob("*")) if p.is_file() and p.name != name and not p.name.startswith(".")
+    ]
     (folder / name).write_text("".join(line + "\n" for line in lines))
 
 
@@ -122,7 +129,9 @@ def checksum_faults(listed: DataFrame, there: DataFrame) -> DataFrame:
     return joined.select("rel", fault.alias("fault")).filter("fault IS NOT NULL")
 
 
-def publish(spark: SparkSession, tables: dict[str, DataFrame], gates: list[DataFrame], target: str, graph: tuple[DataFrame, DataFrame] | None = None) -> dict[str, int]:
+def publish(
+    spark: SparkSession, tables: dict[str, DataFrame], gates: list[DataFrame], target: str, graph: tuple[DataFrame, DataFrame] | None = None
+) -> dict[str, int]:
     """A package at target: gates first, then tables in a staging folder beside it, their counts read back, checksums, one rename.
 
     Nothing stands at target unless all of it holds, and a package that is there is never overwritten."""

@@ -60,7 +60,10 @@ def test_walk_finds_records_relations_and_events(spark):
     rows = [("record.json", 1, json.dumps(RECORD)), ("bad.jsonl", 3, "{"), ("bad.jsonl", 4, "5"), ("empty", 1, None)]
     found = walk.findings(spark.createDataFrame(rows, "source_rel string, line long, json string")).cache()
     predicates = {r.predicate for r in walk.relations(found).collect()}
-    assert {"company_has_contact", "company_has_order", "order_has_product", "mail_has_sender", "mail_has_recipient", "mail_has_thread_root", "mail_replies_to", "mail_source_to_derived", "mail_in_folder", "mail_has_document", "mail_lists_attachment", "record_contains_record"} <= predicates
+    assert {
+        "company_has_contact", "company_has_order", "order_has_product", "mail_has_sender", "mail_has_recipient", "mail_has_thread_root", "mail_replies_to",
+        "mail_source_to_derived", "mail_in_folder", "mail_has_document", "mail_lists_attachment", "record_contains_record"
+    } <= predicates
     records = walk.records(found).collect()
     assert {r.status for r in records} == {"parsed_json_object", "parsed_json_array", "invalid_json", "parsed_json_scalar"}
     assert [r.record_type for r in records if r.pointer == "/orders/0/products/0"] == ["product"]
@@ -74,7 +77,9 @@ def test_walk_finds_records_relations_and_events(spark):
 def test_parents_and_cycles(spark):
     rows = [(1, "a", "c", "1"), (1, "b", "a", "1"), (1, "c", "b", "1"), (1, "d", "d", "1"), (1, "e", "gone", "1"), (2, "f", "g", "1"), (2, "g", None, "2")]
     checked = checked_parents(spark.createDataFrame(rows, "thread long, mail_id string, parent_id string, local_key string"))
-    assert {r.mail_id: r.parent_status for r in checked.collect()} == {"a": "valid", "b": "valid", "c": "valid", "d": "self", "e": "missing", "f": "later", "g": "none"}
+    assert {r.mail_id: r.parent_status for r in checked.collect()} == {
+        "a": "valid", "b": "valid", "c": "valid", "d": "self", "e": "missing", "f": "later", "g": "none"
+    }
     assert {r.mail_id for r in cycle_members(checked, 3).collect()} == {"a", "b", "c"}
     assert {r.mail_id for r in without_cycles(checked, "thread", 3).filter("broken").collect()} == {"c"}
 
@@ -117,7 +122,9 @@ def test_file_sources(spark, tmp_path):
         z.writestr("../up.txt", "2")
     (tmp_path / "a/w.docx").write_bytes(b"PK\x03\x04broken")
     found = files.identified(files.inventory(spark, str(tmp_path / "a")))
-    assert {r.rel: (r.magic, r.category) for r in found.collect()} == {"x.png": ("png", "image"), "y.txt": ("text", "text"), "b.zip": ("zip", "archive"), "w.docx": ("bad-zip", "other")}
+    assert {r.rel: (r.magic, r.category) for r in found.collect()} == {
+        "x.png": ("png", "image"), "y.txt": ("text", "text"), "b.zip": ("zip", "archive"), "w.docx": ("bad-zip", "other")
+    }
     members = files.archive_members(files.inventory(spark, str(tmp_path / "a")), with_content=True)
     judged = {r.member_path: (r.e, r.content) for r in members.withColumn("e", files.member_error()).collect()}
     assert judged["in/one.txt"] == (None, b"1") and judged["../up.txt"][0] == "ARCHIVE_MEMBER_UNSAFE_PATH"
@@ -176,7 +183,10 @@ def test_streams(spark, tmp_path):
     source.mkdir()
     (source / "1.json").write_text('{"k": "a", "n": 1, "ts": "2024-01-01T00:10:00Z"}\n{"k": "a", "n": 2, "ts": "2024-01-01T00:20:00Z"}\n{"k": "b", "n": 3, "ts": "2024-01-01T03:00:00Z"}\n')
     stream = lambda: paths.ledger_stream(spark, str(source), "k string, n long, ts timestamp")
-    for name, df, mode in (("seen", paths.first_seen(stream(), "k"), "append"), ("latest", paths.latest_by_key(stream(), "k", "n"), "complete"), ("windows", paths.business_windows(stream()), "append")):
+    for name, df, mode in (
+        ("seen", paths.first_seen(stream(), "k"), "append"), ("latest", paths.latest_by_key(stream(), "k", "n"), "complete"),
+        ("windows", paths.business_windows(stream()), "append")
+    ):
         df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination(120)
     assert spark.table("seen").count() == 2
     assert {(r.k, r.n) for r in spark.table("latest").collect()} == {("a", 2), ("b", 3)}

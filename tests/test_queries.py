@@ -45,7 +45,10 @@ def test_whole_frames_use_all_components(spark, tmp_path):
             frames.append((label * 1000 + k, label, [x * r.uniform(0.1, 2) for x in signs]))
     spark.createDataFrame(frames, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     bits = {i: int("".join("1" if x > 0 else "0" for x in v), 2) for i, _, v in frames}
-    want = {(a, b, (bits[a] ^ bits[b]).bit_count()) for a, la, _ in frames for b, lb, _ in frames if la == lb and a < b and (bits[a] ^ bits[b]).bit_count() <= 3}
+    want = {
+        (a, b, (bits[a] ^ bits[b]).bit_count())
+        for a, la, _ in frames for b, lb, _ in frames if la == lb and a < b and (bits[a] ^ bits[b]).bit_count() <= 3
+    }
     found = catalogue.QUERIES["frame_pairs"](spark, str(tmp_path)).collect()
     assert len(found) == len(want) > 0 and {tuple(x) for x in found} == want
     con = duckdb.connect()
