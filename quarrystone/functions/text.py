@@ -111,3 +111,24 @@ def human_bytes(size: Column) -> Column:
 def line_safe(json: Column) -> Column:
     """JSON whose line separators cannot be taken for line ends."""
     return reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), (("\u0085", "\\u0085"), (" ", "\\u2028"), (" ", "\\u2029")), json)
+
+
+def safe_relative(path: Column) -> Column:
+    """A path as it may stand in a package: slashes only, no drive, no root, no step up; null if it is none."""
+    plain = F.replace(path, F.lit("\\"), F.lit("/"))
+    parts = F.filter(F.split(plain, "/"), lambda p: ~p.isin("", "."))
+    unsafe = plain.startswith("/") | F.rlike(plain, F.lit("^[A-Za-z]:")) | F.exists(parts, lambda p: p == "..") | (F.size(parts) == 0) | plain.contains("\0")
+    return F.when(~unsafe, F.array_join(parts, "/"))
+
+
+def resolved_inside(root: str, path: Column) -> Column:
+    """The path below root that a relative or absolute path names; null if it leads out of it."""
+    plain = F.replace(path, F.lit("\\"), F.lit("/"))
+    base = root.rstrip("/") + "/"
+    relative = F.when(plain.startswith(base), F.substring(plain, len(base) + 1, 1 << 20)).otherwise(plain)
+    return F.concat(F.lit(base), safe_relative(relative))
+
+
+def denied_terms(line: Column, terms: tuple[str, ...]) -> Column:
+    """Terms that must not stand in a line, whatever their case, in the order given."""
+    return F.array_join(F.filter(F.array(*(F.lit(t) for t in terms)), lambda t: F.lower(line).contains(F.lower(t))), ",")

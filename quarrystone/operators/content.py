@@ -101,3 +101,18 @@ def last_writes(ledger: DataFrame, key: str, position: str) -> tuple[DataFrame,
 def run_status(open_tasks: Column, gaps: Column) -> Column:
     """A gap at the source is terminal but is no success."""
     return F.when(open_tasks > 0, "INCOMPLETE").when(gaps > 0, "INCOMPLETE_SOURCE_GAPS").otherwise("PASS")
+
+
+def active_rows(rows: DataFrame) -> DataFrame:
+    """Rows that are active; tables without that column have no others."""
+    return rows.filter("active = 1") if "active" in rows.columns else rows
+
+
+def reused_tasks(planned: DataFrame, prior: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Planned tasks (sha256, task_kind) with the prior result they take over: of results (sha256, task_kind, state, updated_at,
+    output_rel, result_sha256) the completed and latest first whose output (output_rel, sha256) is there and is what it was."""
+    there = outputs.select("output_rel", F.col("sha256").alias("_found"))
+    sound = prior.filter(F.col("state").isin(*TERMINAL)).join(there, "output_rel").filter("_found = result_sha256")
+    best = best_prior(sound, ["sha256", "task_kind"], [(F.col("state") == "completed").desc(), F.col("updated_at").desc(), F.col("output_rel")])
+    taken = best.select("sha256", "task_kind", F.col("state").alias("_state"), "output_rel")
+    return planned.join(taken, ["sha256", "task_kind"], "left").withColumn("state", F.coalesce("_state", F.lit("pending"))).drop("_state")

@@ -112,3 +112,15 @@ def capped(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
     """The first rows for presentation, each with the uncapped total."""
     total = rows.agg(F.count("*").alias("total_rows"))
     return rows.orderBy(*order).limit(most).join(F.broadcast(total))
+
+
+def set_relation(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """How two sets of keys stand to each other, with the sizes of their parts."""
+    a, b = left.select(key).distinct().withColumn("_a", F.lit(1)), right.select(key).distinct().withColumn("_b", F.lit(1))
+    counted = a.join(b, key, "full").agg(
+        F.count_if(F.expr("_b IS NULL")).alias("left_only"), F.count_if(F.expr("_a IS NULL")).alias("right_only"),
+        F.count_if(F.expr("_a = 1 AND _b = 1")).alias("both")
+    )
+    none = lambda c: F.col(c) == 0
+    how = F.when(none("left_only") & none("right_only"), "equal").when(none("left_only"), "subset").when(none("right_only"), "superset").when(none("both"), "disjoint").otherwise("overlap")
+    return counted.withColumn("relation", how)

@@ -248,6 +248,34 @@ def within_budget(members: DataFrame, most_bytes: int = BUDGET_BYTES, most_membe
     return placed.withColumn("budget_error", error).drop("_ib", "_in", "_ob", "_on")
 
 
+def archive_tree(files: DataFrame) -> DataFrame:
+    """Members of archives and of the archives inside them, to DEPTH levels, with their depth and why one is not opened.
+
+    A level is read from the contents of the level above; a nested archive's path is that of its member."""
+    found, level = [], files.select("path", "content")
+    for depth in range(1, DEPTH + 1):
+        members = archive_members(level, with_content=True).withColumn("error", member_error())
+        found.append(members.withColumn("depth", F.lit(depth)))
+        zipped = F.hex(F.substring("content", 1, 4)) == "504B0304"
+        level = members.filter(F.col("error").isNull() & zipped).select(F.concat_ws("!", "path", "member_path").alias("path"), "content")
+    every = reduce(DataFrame.unionByName, found)
+    deepest = (F.col("depth") == DEPTH) & (F.hex(F.substring("content", 1, 4)) == "504B0304")
+    return every.withColumn("error", F.coalesce("error", F.when(deepest, "ARCHIVE_DEPTH"))).drop("content")
+
+
+def manifest_faults(manifest: DataFrame, occurrences: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """What does not bind in manifests (manifest_id, mails, resources) of occurrences (manifest_id, mail_id, artifact_rel, sha256, bytes):
+    announced counts, and resources whose file is missing or is not what it was."""
+    counted = occurrences.groupBy("manifest_id").agg(F.countDistinct("mail_id").alias("m"), F.count("*").alias("r"))
+    joined = manifest.join(counted, "manifest_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("m", "r")})
+    wrong = F.when(F.col("mails") != F.col("m"), "MANIFEST_MAIL_COUNT").when(F.col("resources") != F.col("r"), "MANIFEST_RESOURCE_COUNT")
+    counts = joined.select("manifest_id", F.lit("").alias("artifact_rel"), wrong.alias("fault")).filter("fault IS NOT NULL")
+    there = artifacts.select("artifact_rel", F.col("sha256").alias("_sha"), F.col("bytes").alias("_bytes"))
+    bound = occurrences.join(there, "artifact_rel", "left")
+    fault = F.when(F.col("_sha").isNull(), "MANIFEST_ARTIFACT_MISSING").when(F.col("_sha") != F.col("sha256"), "MANIFEST_ARTIFACT_HASH").when(F.col("_bytes") != F.col("bytes"), "MANIFEST_ARTIFACT_BYTES")
+    return counts.unionByName(bound.select("manifest_id", "artifact_rel", fault.alias("fault")).filter("fault IS NOT NULL").distinct())
+
+
 def manifest_occurrences(manifests: DataFrame) -> DataFrame:
     """Mails and their related resources of manifests (manifest_id, mails array), with 1-based ordinals and their place."""
     mails = manifests.select("manifest_id", F.posexplode("mails").alias("m", "mail"))
