@@ -125,7 +125,7 @@ QUERIES = {
 }
 
 ORACLES = {
-    "record_parts": f"""WITH {NESTED_SQL} SELECT rel AS source_rel, true AS fits, 0 AS cut_as_text, sha256('{{"order_id":"O' || o_orderkey || '","company_id":"C' || o_custkey || '","order_time":"' || t || '","products":' || products || '}}') AS sha256 FROM o""",
+    "record_parts": f"""WITH {NESTED_SQL} SELECT rel AS source_rel, true AS fits, 0::bigint AS cut_as_text, sha256('{{"order_id":"O' || o_orderkey || '","company_id":"C' || o_custkey || '","order_time":"' || t || '","products":' || products || '}}') AS sha256 FROM o""",
     "receipt_totals": """WITH l AS (SELECT l_orderkey AS session, count(*) AS n, sum(l_partkey % 100 + 1)::bigint AS b FROM lineitem GROUP BY 1)
 SELECT session, CASE WHEN session % 11 <> 0 THEN n + (session % 12 = 0)::int END AS announced, CASE WHEN session % 11 <> 0 THEN b + (session % 13 = 0)::int END AS announced_bytes, n AS artifacts, b AS bytes,
   CASE WHEN session % 11 = 0 THEN 'no_receipt' WHEN session % 12 = 0 THEN 'count_differs' WHEN session % 13 = 0 THEN 'bytes_differ' ELSE 'closed' END AS coverage FROM l""",

@@ -101,17 +101,28 @@ def identified(files: DataFrame) -> DataFrame:
     return typed.withColumn("magic", magic).withColumn("category", category).withColumn("mime", mime).drop("_zip")
 
 
-def jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
-    """source_rel, line, json, status: physical line numbers from 1; blank lines count but give no row.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """source_rel, line, value: the lines of text files with their physical numbers from 1, blank ones too.
+
+    Files of any size are read in blocks: lines are numbered inside a block, and a block begins after the lines of those before it."""
+    read = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(path)
+    rows = read.select(F.col("_metadata.file_path").alias("source_rel"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), "value")
+    counts = rows.groupBy("source_rel", "_block").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("source_rel").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("source_rel", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("source_rel", "_block").orderBy("_row"))
+    line = (F.col("_before") + F.col("_inside")).cast("long")
+    bare = F.regexp_replace("value", "\r$", "")
+    numbered = rows.withColumn("_inside", inside).join(offsets, ["source_rel", "_block"])
+    return numbered.select("source_rel", line.alias("line"), F.when(line == 1, F.regexp_replace(bare, "^\ufeff", "")).otherwise(bare).alias("value"))
 
-    Whole files are read, as a line's number depends on all lines before it; JSONL artifacts are bounded pages.  Ledgers without end go through ledger()."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
-        F.input_file_name().alias("source_rel"), F.regexp_replace("value", "^﻿", "").alias("value")
-    )
-    lines = files.select("source_rel", F.posexplode(F.split("value", "\r?\n")).alias("line", "json")).filter(F.trim("json") != "")
+
+def jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
+    """source_rel, line, json, status: physical line numbers from 1; blank lines count but give no row."""
+    lines = numbered_lines(spark, path).filter(F.trim("value") != "").withColumnRenamed("value", "json")
     parsed = F.try_parse_json("json")
     status = F.when(parsed.isNull(), "invalid_jsonl_line").when(F.rlike("json", F.lit(r"^\s*[\[{]")), "parsed").otherwise("parsed_json_scalar")
-    return lines.select("source_rel", (F.col("line") + 1).cast("long").alias("line"), "json", status.alias("status"))
+    return lines.select("source_rel", "line", "json", status.alias("status"))
 
 
 def ledger(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:

@@ -248,3 +248,23 @@ def test_split_records_lose_nothing():
             assert first == len(found)
             found += at
         assert found == items
+
+
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    from quarrystone.sources import files
+
+    lines = ["﻿{\"k\": 0}", *('{"k": %d}' % i if i % 7 else "" for i in range(1, 3000)), "{bad", "12"]
+    for name in ("a.jsonl", "b.jsonl"):
+        (tmp_path / name).write_text("\r\n".join(lines) + "\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        found = files.jsonl_lines(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = sorted((n + 1, text.lstrip("﻿")) for n, text in enumerate(lines) if text)
+    for name in ("a.jsonl", "b.jsonl"):
+        assert sorted((r.line, r.json) for r in found if r.source_rel.endswith(name)) == want
+    assert {r.status for r in found if r.line == 3001} == {"invalid_jsonl_line"} and {r.status for r in found if r.line == 3002} == {"parsed_json_scalar"}
