@@ -4,7 +4,8 @@
 2. Anchors that repeat are joined with them, and each row gets the list of its own that repeat.
 3. Rows are cut: every run with a repeated anchor becomes a segment row.  Runs whose anchor is held by
    very many rows are cut into single windows instead, so that no group of different segments that
-   must meet in one place can grow with the corpus.
+   must meet in one place can grow with the corpus.  Their windows are counted by a hash first, and
+   only those that repeat become segments: what surrounds a common passage differs and stays behind.
 4. Equal segments become one (combined before the shuffle), and whole anchor groups meet in batches of
    bounded size, where an index over the batch (FM-index or radix sort) finds the repeated windows.
 5. What it finds goes back to the rows that hold the segments, and from there to the documents.
@@ -31,6 +32,8 @@ from quarrystone.llm.winnow import anchor_places, gram_hashes, runs
 PIECE_BYTES = 1 << 20
 #: An anchor in more rows than this has its runs cut into single windows.
 HOT_ROWS = 10_000
+#: Makes one number of a hash and a row.
+MIX = np.int64(0x2545F4914F6CDD1D)
 #: Bytes of segments that one index holds, but for the last anchor group.
 SHARD_BYTES = 1 << 20
 
@@ -85,21 +88,51 @@ def row_anchors(rows: DataFrame, cutter: Cutter) -> DataFrame:
             for owner, _, symbols, bounds, *_ in cutter.pieces(batch["text"]):
                 place, anchor = anchor_places(symbols, bounds, cutter.window, cutter.gram)
                 if len(place):
-                    row = owner[np.searchsorted(bounds, place, side="right") - 1]
-                    order = np.lexsort((anchor, row))
-                    row, anchor = row[order], anchor[order]
-                    fresh = np.ones(len(row), bool)
-                    fresh[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])
-                    at = np.flatnonzero(fresh)
-                    n = np.diff(np.append(at, len(row))).astype(np.int32)
-                    row, anchor = row[at], anchor[at]
-                    cut = np.flatnonzero(row[1:] != row[:-1]) + 1
-                    firsts = np.concatenate(([0], cut))
-                    yield pd.DataFrame({
-                        "key": key[row[firsts]], "anchors": pd.Series(np.split(anchor, cut), dtype=object), "places": pd.Series(np.split(n, cut), dtype=object)
-                    })
+                    yield listed(key, owner[np.searchsorted(bounds, place, side="right") - 1], anchor)
+
+    return written(rows.select("key", "text").mapInPandas(found, LISTED), "anchors")
+
+
+#: What listed() leaves of a piece: a row of the table for each row of documents.
+LISTED = "key long, anchors array<long>, places array<int>"
+
+
+def listed(key: np.ndarray, row: np.ndarray, anchor: np.ndarray) -> pd.DataFrame:
+    """The distinct anchors of each row and how often each is given."""
+    order = np.lexsort((anchor, row))
+    row, anchor = row[order], anchor[order]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])
+    at = np.flatnonzero(fresh)
+    n = np.diff(np.append(at, len(row))).astype(np.int32)
+    row, anchor = row[at], anchor[at]
+    cut = np.flatnonzero(row[1:] != row[:-1]) + 1
+    firsts = np.concatenate(([0], cut))
+    return pd.DataFrame({"key": key[row[firsts]], "anchors": pd.Series(np.split(anchor, cut), dtype=object), "places": pd.Series(np.split(n, cut), dtype=object)})
+
+
+def each_window(first: np.ndarray, length: np.ndarray, of_run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of runs one by one, and of_run of each."""
+    inside = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    return np.repeat(first, length) + inside, np.repeat(of_run, length)
+
+
+def crowded_windows(rows: DataFrame, cutter: Cutter) -> DataFrame:
+    """As row_anchors(), of rows (key, text, hot): hashes of whole windows whose anchor is hot."""
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            key = batch["key"].to_numpy()
+            crowded = np.unique(np.concatenate([np.asarray(h, np.int64) for h in batch["hot"]]))
+            for owner, _, symbols, bounds, *_ in cutter.pieces(batch["text"]):
+                first, length, anchor = runs(symbols, bounds, cutter.window, cutter.gram)
+                hot = among(crowded, anchor)
+                if hot.any():
+                    first, length = first[hot], length[hot]
+                    window, row = each_window(first, length, owner[np.searchsorted(bounds, first, side="right") - 1])
+                    yield listed(key, row, gram_hashes(symbols, cutter.window).view(np.int64)[window])
 
-    return written(rows.select("key", "text").mapInPandas(found, "key long, anchors array<long>, places array<int>"), "anchors")
+    return written(rows.mapInPandas(found, LISTED), "crowded-windows")
 
 
 def counted_anchors(anchors: DataFrame) -> DataFrame:
@@ -117,23 +150,23 @@ def segments(rows: DataFrame, cutter: Cutter, anchors: DataFrame, repeats: DataF
             wanted = np.concatenate([np.asarray(a, np.int64) for a in batch["anchors"]])
             crowded = np.unique(np.concatenate([np.asarray(h, np.int64) for h in batch["hot"]]))
             # (row, anchor) pairs are looked up as one number; a false match only adds a segment that repeats nothing
-            pairs = np.unique(wanted * np.int64(0x2545F4914F6CDD1D | 1) + np.repeat(np.arange(len(batch)), sizes))
+            pairs = np.unique(wanted * MIX + np.repeat(np.arange(len(batch)), sizes))
+            again = [np.zeros(0, np.int64) if w is None else np.asarray(w, np.int64) for w in batch["windows"]]
+            repeated = np.unique(np.concatenate(again) * MIX + np.repeat(np.arange(len(batch)), [len(w) for w in again]))
             for owner, base, symbols, bounds, buffer, begins, ends in cutter.pieces(batch["text"]):
                 first, length, anchor = runs(symbols, bounds, cutter.window, cutter.gram)
                 if not len(first):
                     continue
                 piece = np.searchsorted(bounds, first, side="right") - 1
-                keep = among(pairs, anchor * np.int64(0x2545F4914F6CDD1D | 1) + owner[piece])
+                keep = among(pairs, anchor * MIX + owner[piece])
                 first, length, anchor, piece = first[keep], length[keep], anchor[keep], piece[keep]
-                if len(crowded) and len(first):
-                    each = among(crowded, anchor)
-                    if each.any():
-                        n = np.where(each, length, 1)
-                        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                        first, piece, each = np.repeat(first, n) + inside, np.repeat(piece, n), np.repeat(each, n)
-                        length = np.where(each, 1, np.repeat(length, n))
-                        whole = gram_hashes(symbols, cutter.window).view(np.int64)
-                        anchor = np.where(each, whole[first], np.repeat(anchor, n))
+                each = among(crowded, anchor)
+                if each.any():
+                    window, of_piece = each_window(first[each], length[each], piece[each])
+                    whole = gram_hashes(symbols, cutter.window).view(np.int64)[window]
+                    keep = among(repeated, whole * MIX + owner[of_piece])
+                    first, piece, anchor = (np.concatenate((old[~each], new[keep])) for old, new in ((first, window), (piece, of_piece), (anchor, whole)))
+                    length = np.concatenate((length[~each], np.ones(keep.sum(), length.dtype)))
                 if len(first):
                     row = owner[piece]
                     seg = [buffer[a:b] for a, b in zip(begins[first].tolist(), ends[first + length + cutter.window - 2].tolist())]
@@ -145,7 +178,14 @@ def segments(rows: DataFrame, cutter: Cutter, anchors: DataFrame, repeats: DataF
 
     held = anchors.select("key", F.explode("anchors").alias("anchor")).join(repeats, "anchor")
     lists = held.groupBy("key").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
-    return rows.join(lists, "key").select("key", "tag", "text", "anchors", "hot").mapInPandas(
+    wanted = rows.join(lists, "key").select("key", "tag", "text", "anchors", "hot")
+    windows = F.lit(None).cast("array<long>")
+    if not repeats.filter("hot").isEmpty():
+        all_windows = crowded_windows(wanted.filter(F.size("hot") > 0).select("key", "text", "hot"), cutter)
+        again = counted_anchors(all_windows).filter("places > 1").select("anchor")
+        own = all_windows.select("key", F.explode("anchors").alias("anchor")).join(again, "anchor").groupBy("key").agg(F.collect_list("anchor").alias("windows"))
+        wanted, windows = wanted.join(own, "key", "left"), F.col("windows")
+    return wanted.select("key", "tag", "text", "anchors", "hot", windows.alias("windows")).mapInPandas(
         cut, "anchor long, skey long, size int, seg binary, key long, tag long, start int"
     )
 
