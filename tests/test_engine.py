@@ -3,6 +3,7 @@ import sqlite3
 import zipfile
 
 import pytest
+from tests.conftest import SMALL
 from pyspark.sql import functions as F
 
 from quarrystone.functions.classify import number
@@ -268,3 +269,58 @@ def test_lines_are_numbered_over_blocks(spark, tmp_path):
     for name in ("a.jsonl", "b.jsonl"):
         assert sorted((r.line, r.json) for r in found if r.source_rel.endswith(name)) == want
     assert {r.status for r in found if r.line == 3001} == {"invalid_jsonl_line"} and {r.status for r in found if r.line == 3002} == {"parsed_json_scalar"}
+
+
+def test_boolean_queries_against_sets(spark):
+    import random
+
+    import pytest
+
+    from quarrystone.operators import search
+    from quarrystone.operators.gates import GateError
+
+    r = random.Random(2)
+    words = ["été", "ÉTÉ", "roi", "king", "queen", "x1", "of", "the"]
+    texts = [(i, " ".join(r.choice(words) for _ in range(r.randrange(9)))) for i in range(60)] + [(60, None), (61, "")]
+    index = search.word_index(spark.createDataFrame(texts, "id long, text string"), "id", "text")
+    fold = {i: (t or "").lower().replace("é", "e").split() for i, t in texts}
+    has = lambda *p: {i for i, w in fold.items() if any(w[k : k + len(p)] == list(p) for k in range(len(w)))}
+    cases = {
+        "Ete": has("ete"), '"of the"': has("of", "the"), "king queen": has("king") & has("queen"), "king OR queen AND roi": has("king") | has("queen") & has("roi"),
+        "(king OR queen) AND roi": (has("king") | has("queen")) & has("roi"), "king NOT queen": has("king") - has("queen"), 'roi NOT ("the king" OR x1)': has("roi") - (has("the", "king") | has("x1")),
+        "nothing-here OR of": has("nothing", "here") | has("of"),
+    }
+    for query, want in cases.items():
+        assert {x.id for x in search.boolean_hits(index, "id", query).collect()} == want, query
+    for wrong in ("", "AND king", "king AND", "(king", "king)", "NOT", '""', "x" * 600):
+        with pytest.raises(GateError):
+            search.parsed_query(wrong)
+
+
+def test_every_planted_fault_breaks_its_gate(spark):
+    from quarrystone.plans.catalogue import QUERIES
+
+    whole = {x.gate_id: x.status for x in QUERIES["pkg_gates"](spark, SMALL).collect()}
+    assert set(whole.values()) == {"PASS"} and len(whole) >= 35
+    broken = {x.gate_id for x in QUERIES["pkg_gates_broken"](spark, SMALL).collect() if x.status == "FAIL"}
+    assert broken >= {
+        "RELATION_EVIDENCE_COUNT_MISMATCH", "PROVENANCE_RECORD_MISMATCH", "ATTACHMENT_OCCURRENCE_ARTIFACT_MISMATCH", "ARTIFACT_RECORD_COVERAGE_MISMATCH", "RECORD_PARENT_MISSING",
+        "EVIDENCE_EVENT_MISSING", "TIMELINE_SEQUENCE_NOT_CONTIGUOUS", "SOURCE_GAP_PRETENDED_DERIVED", "SOURCE_DERIVED_RELATION_MISMATCH", "TRADE_UNBOUND_FLAG_INVALID", "NODE_DUPLICATE", "UNREFERENCED_NODE_PRESENT",
+    }
+
+
+def test_natural_keys_and_safe_paths(spark):
+    from pyspark.sql import functions as F
+
+    from quarrystone.functions.text import resolved_inside, safe_relative
+    from quarrystone.operators.capture import natural_key
+
+    names = ["a2", "a10", "a010", "a1", "b", "", "10", "9", "9a", "a1b20", "a1b3"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [x.n for x in df.orderBy(natural_key(F.col("n")), "n").collect()] == ["", "9", "9a", "10", "a1", "a1b3", "a1b20", "a2", "a010", "a10", "b"]
+    paths = {"a/b": "a/b", "a\\b": "a/b", "../a": None, "a/../b": None, "/a": None, "c:/a": None, "./a//b/.": "a/b", "": None, ".": None, "a..b": "a..b"}
+    got = {x.p: x.s for x in spark.createDataFrame([(p,) for p in paths], "p string").select("p", safe_relative(F.col("p")).alias("s")).collect()}
+    assert got == paths
+    inside = {"/case/a": "/case/a", "a": "/case/a", "/cases/a": None, "/case/../a": None, "/case": None}
+    got = {x.p: x.s for x in spark.createDataFrame([(p,) for p in inside], "p string").select("p", resolved_inside("/case", F.col("p")).alias("s")).collect()}
+    assert got == inside
