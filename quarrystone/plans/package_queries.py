@@ -59,12 +59,18 @@ def pkg_source_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with their place in the order, from 1: numbers of lines repeat, places do not."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"))
+    return table(spark, sf_dir, "lineitem").withColumn("place", place)
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines with the file and the pointer of their order."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    return table(spark, sf_dir, "lineitem").join(orders, "l_orderkey").withColumn("rel", _customer_rel("o_custkey")).withColumn("order_pointer", _rel("/orders/", F.col("l_orderkey"), "")).withColumn(
-        "pointer", F.concat("order_pointer", F.lit("/products/"), F.col("l_linenumber").cast("string"))
-    )
+    pointer = F.concat("order_pointer", F.lit("/products/"), F.col("place").cast("string"))
+    named = _placed(spark, sf_dir).join(orders, "l_orderkey").withColumn("rel", _customer_rel("o_custkey"))
+    return named.withColumn("order_pointer", _rel("/orders/", F.col("l_orderkey"), "")).withColumn("pointer", pointer)
 
 
 def pkg_record_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,14 +150,14 @@ def pkg_attachment_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders are mails, their parts attachments, a customer's file the manifest: ordinals count from 1, pointers from 0."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     numbered = orders.withColumn("mail", F.row_number().over(Window.partitionBy("o_custkey").orderBy("l_orderkey")))
-    held = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").join(numbered, "l_orderkey").withColumn("rel", _customer_rel("o_custkey"))
+    held = _placed(spark, sf_dir).select("l_orderkey", "l_partkey", "place").join(numbered, "l_orderkey").withColumn("rel", _customer_rel("o_custkey"))
     files = pkg_artifacts(spark, sf_dir).filter("source_scope = 'customer'").select(F.col("source_rel").alias("rel"), "artifact_id", "source_sha256")
-    pointer = F.format_string("/mails/%d/related_resources/%d", F.col("mail") - 1, F.col("l_linenumber") - 1)
+    pointer = F.format_string("/mails/%d/related_resources/%d", F.col("mail") - 1, F.col("place") - 1)
     found = held.join(files, "rel").withColumn("source_pointer", pointer)
     return found.select(
         stable_key(F.lit("occurrence"), F.col("rel"), F.col("source_pointer")).alias("occurrence_id"),
         node_id("mail", F.col("l_orderkey")).alias("mail_node_id"), node_id("attachment", F.col("l_partkey")).alias("attachment_node_id"), "artifact_id",
-        F.col("mail").cast("int").alias("source_mail_ordinal"), F.col("l_linenumber").cast("int").alias("source_resource_ordinal"), "source_pointer",
+        F.col("mail").cast("int").alias("source_mail_ordinal"), F.col("place").cast("int").alias("source_resource_ordinal"), "source_pointer",
         F.col("rel").alias("artifact_source_rel"), F.col("source_sha256").alias("artifact_sha256")
     )
 
@@ -288,7 +294,8 @@ files AS (
   UNION ALL SELECT '{MANIFEST}', 'relation_provenance_manifest', '{{}}', 'json', 'application/json'),
 artifacts AS (SELECT {_key("'artifact'", "source_rel")} AS artifact_id, source_rel, source_scope, sha256(content) AS source_sha256, strlen(content) AS source_bytes, category, mime FROM files),
 source_manifest AS (SELECT {_key("'manifest'", "source_rel")} AS manifest_id, source_rel, source_sha256, source_bytes, 'BUILT' AS manifest_status FROM artifacts WHERE source_scope = 'relation_provenance_manifest'),
-lines AS (SELECT l.*, o_custkey, {_CUSTOMER} AS rel, '/orders/' || l_orderkey AS order_pointer, '/orders/' || l_orderkey || '/products/' || l_linenumber AS pointer FROM lineitem l JOIN orders ON o_orderkey = l_orderkey),
+placed AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity) AS place FROM lineitem),
+lines AS (SELECT l.*, o_custkey, {_CUSTOMER} AS rel, '/orders/' || l_orderkey AS order_pointer, '/orders/' || l_orderkey || '/products/' || place AS pointer FROM placed l JOIN orders ON o_orderkey = l_orderkey),
 places AS (
   SELECT source_rel, '' AS json_pointer, NULL::varchar AS parent_pointer, 0 AS depth, CASE WHEN source_scope = 'customer' THEN 'company' WHEN category = 'text' THEN 'document' ELSE 'record' END AS record_type, content FROM files
   UNION ALL SELECT {_CUSTOMER}, '/orders/' || o_orderkey, '', 2, 'order', o_orderkey || '|' || o_orderstatus FROM orders
@@ -312,9 +319,9 @@ members AS (SELECT 'archives/' || page_id // 100 || '.zip' AS source_rel, 'pages
 archive_member AS (SELECT {_key("'member'", "source_rel", "member_path")} AS member_id, {_key("'artifact'", "source_rel")} AS artifact_id, source_rel, member_path, (row_number() OVER (PARTITION BY source_rel ORDER BY page_id) - 1)::int AS member_index, strlen(html) AS uncompressed_bytes, false AS encrypted FROM members),
 trade_entity AS (SELECT 'company:' || sha256('supplier ' || s_suppkey) AS entity_node_id, 'company' AS entity_type, true AS unbound_to_customer, 'UNBOUND' AS binding_status, '/suppliers/' || s_suppkey AS json_pointer, NULL::varchar AS binding_evidence_pointer FROM supplier),
 numbered AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS mail FROM orders),
-held AS (SELECT {_CUSTOMER} AS rel, l_orderkey, l_partkey, l_linenumber, mail, '/mails/' || (mail - 1) || '/related_resources/' || (l_linenumber - 1) AS source_pointer FROM lineitem JOIN numbered ON o_orderkey = l_orderkey),
+held AS (SELECT {_CUSTOMER} AS rel, l_orderkey, l_partkey, place, mail, '/mails/' || (mail - 1) || '/related_resources/' || (place - 1) AS source_pointer FROM placed JOIN numbered ON o_orderkey = l_orderkey),
 attachment_occurrence AS (SELECT {_key("'occurrence'", "rel", "source_pointer")} AS occurrence_id, 'mail:' || sha256(l_orderkey::varchar) AS mail_node_id, 'attachment:' || sha256(l_partkey::varchar) AS attachment_node_id, artifact_id,
-  mail::int AS source_mail_ordinal, l_linenumber::int AS source_resource_ordinal, source_pointer, rel AS artifact_source_rel, source_sha256 AS artifact_sha256 FROM held JOIN artifacts ON source_rel = rel),
+  mail::int AS source_mail_ordinal, place::int AS source_resource_ordinal, source_pointer, rel AS artifact_source_rel, source_sha256 AS artifact_sha256 FROM held JOIN artifacts ON source_rel = rel),
 proofs AS (
   SELECT 'company:' || sha256(o_custkey::varchar) AS subject, 'company_has_order' AS predicate, 'order:' || sha256(o_orderkey::varchar) AS object, 'business' AS relation_kind, {_CUSTOMER} AS source_rel, '/orders/' || o_orderkey AS json_pointer, 'order_date' AS field_name FROM orders
   UNION ALL SELECT 'order:' || sha256(l_orderkey::varchar), 'order_has_product', 'product:' || sha256(l_partkey::varchar), 'business', rel, pointer, 'ship_date' FROM lines
