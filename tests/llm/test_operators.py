@@ -187,22 +187,6 @@ def test_long_texts_are_cut_without_loss(spark, monkeypatch):
         substring_dedup.PIECE_BYTES = old
 
 
-def test_hot_runs_leave_only_windows_that_repeat(spark, monkeypatch):
-    """A passage of 20 words in 30 rows of different words: eight windows of each row become segments, not those around the passage."""
-    small_batches(spark)
-    monkeypatch.setattr(segments, "HOT_ROWS", 1)
-    r = random.Random(17)
-    other = lambda: " ".join(f"w{r.randrange(10**9)}" for _ in range(60))
-    passage = " ".join(f"p{k}" for k in range(20))
-    docs = spark.createDataFrame([(i, f"{other()} {passage} {other()}") for i in range(30)], "doc_id long, text string")
-    rows, cutter = segments.keyed(docs, "doc_id", "text"), substring_dedup.WordCutter()
-    anchors = segments.row_anchors(rows, cutter)
-    cut = segments.segments(rows, cutter, anchors, segments.repeated_anchors(segments.counted_anchors(anchors), "rows > 1")).collect()
-    assert len(cut) == 30 * 8 and {x.start for x in cut} == set(range(60, 68)) and len({bytes(x.seg) for x in cut}) == 8
-    removed = {x.doc_id: x.n_removed for x in substring_dedup.substring_dedup(docs).collect()}
-    assert removed == {0: 0} | {i: 20 for i in range(1, 30)}
-
-
 def test_fm_index_against_search():
     r = np.random.default_rng(3)
     tokens = np.append(r.integers(1, 5, 400), 0)
