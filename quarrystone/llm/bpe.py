@@ -16,10 +16,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-from array import array
+import re
+import struct
+import unicodedata
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +29,10 @@ from pyspark.sql import functions as F
 #: The pre-token pattern of this kind of vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Pre-tokens that a worker remembers, and the longest one it does.
-REMEMBERED, REMEMBERED_CHARS = 200_000, 64
+#: Pre-tokens that a worker remembers, about 200 bytes each, and the longest one it does.
+REMEMBERED, REMEMBERED_CHARS = 500_000, 64
+#: Texts without a character from here on are cut by the same pattern in Python's own expressions, which have no \p{}.
+LATIN_END = 0x250
 
 
 def byte_letters() -> dict[str, int]:
@@ -38,15 +42,30 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def latin_pattern() -> str:
+    """PATTERN for texts of characters below LATIN_END, with the classes written out."""
+
+    def ranges(holds) -> str:
+        found = [c for c in range(LATIN_END) if holds(chr(c))]
+        starts = [c for c in found if c - 1 not in found]
+        ends = [c for c in found if c + 1 not in found]
+        return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends))
+
+    letters, numbers = (ranges(lambda c, k=k: unicodedata.category(c).startswith(k)) for k in "LN")
+    spaces = ranges(lambda c: c in "\t\n\x0b\x0c\r \x85\xa0")
+    return PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]").replace(r"\S", f"[^{spaces}]").replace(r"\s", f"[{spaces}]")
+
+
 class Remembered(dict):
-    """pre-token -> ids, worked out where it is missing."""
+    """pre-token -> ids as little-endian 32-bit integers, worked out where it is missing."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.encode(piece.encode())
+    def __missing__(self, piece: str) -> bytes:
+        found = self.encode(piece.encode())
+        ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -76,7 +95,8 @@ class PrefixBpe:
             self.automaton.add_word(raw.decode("latin-1"), (len(raw), i))
         self.automaton.make_automaton()
         self.fits: dict[tuple[int, int], bool] = {}
-        self.pieces = regex.compile(PATTERN).findall
+        self.any_pieces = regex.compile(PATTERN).findall
+        self.latin_pieces, self.beyond = re.compile(latin_pattern()).findall, re.compile(f"[^\\u0000-\\u{LATIN_END - 1:04x}]").search
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.known = Remembered(self.encode_piece)
 
@@ -102,36 +122,48 @@ class PrefixBpe:
 
     def encode_piece(self, raw: bytes) -> tuple[int, ...]:
         last: list[int | None] = [None] * (len(raw) + 1)
-        done = 0
+        size = [0] * (len(raw) + 1)
+        known, compatible, done = self.fits.get, self.compatible, 0
         for end, (length, token) in self.automaton.iter(raw.decode("latin-1")):
-            end += 1
-            if end == done:
+            if end < done:  # longer tokens come first, and one of them ends here
+                continue
+            left = last[end + 1 - length]
+            if left is None and end + 1 > length:
                 continue
-            start = end - length
-            if (start == 0 or last[start] is not None) and self.compatible(last[start], token):
-                last[end] = token
-                done = end
+            fits = known((left, token))
+            if compatible(left, token) if fits is None else fits:
+                done = end + 1
+                last[done], size[done] = token, length
         ids, at = [], len(raw)
         while at:
-            token = last[at]
-            ids.append(token)
-            at -= len(self.bytes_of[token])
-        return tuple(reversed(ids))
+            ids.append(last[at])
+            at -= size[at]
+        ids.reverse()
+        return tuple(ids)
 
-    def encode(self, text: str) -> array:
-        ids = array("I")
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokens of a text."""
+        return self.any_pieces(text) if self.beyond(text) else self.latin_pieces(text)
+
+    def encode_raw(self, text: str) -> bytes:
+        """The ids of a text as little-endian 32-bit integers."""
         known = self.known.__getitem__
-        for k, part in enumerate(self.split(text) if self.split else [text]):
-            if k % 2:
-                ids.append(self.special[part])
-            else:
-                ids.extend(chain.from_iterable(map(known, self.pieces(part))))
-        return ids
+        parts = self.split(text) if self.split else [text]
+        if len(parts) == 1:
+            return b"".join(map(known, self.pieces(text)))
+        return b"".join(struct.pack("<I", self.special[part]) if k % 2 else b"".join(map(known, self.pieces(part))) for k, part in enumerate(parts))
+
+    def encode(self, text: str) -> list[int]:
+        return numbers(self.encode_raw(text))
 
     def decode(self, ids) -> str:
         return b"".join(map(self.decoded.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
+def numbers(raw: bytes) -> list[int]:
+    return np.frombuffer(raw, "<u4").tolist()
+
+
 _coders: dict[str, PrefixBpe] = {}
 
 
@@ -150,11 +182,10 @@ def bpe_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_c
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
             for text in batch["text"]:
-                ids = bpe.encode(text)
-                raw = ids if ids.itemsize == 4 else array("L", ids)
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(raw.tobytes()).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+                raw = bpe.encode_raw(text)
+                n.append(len(raw) // 4)
+                ids_sha.append(hashlib.sha256(raw).hexdigest())
+                text_sha.append(hashlib.sha256(bpe.decode(numbers(raw)).encode()).hexdigest())
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -167,7 +198,7 @@ def bpe_ids(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col:
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = coder(vocab_path)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": [list(bpe.encode(t)) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": [bpe.encode(t) for t in batch["text"]]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInPandas(encoded, "doc_id long, ids array<int>")
