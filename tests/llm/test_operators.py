@@ -357,8 +357,10 @@ def test_bpe_on_odd_texts():
     library, own = Tokenizer.from_file(bpe.byte_bpe_path()), bpe.PrefixBpe(bpe.byte_bpe_path())
     r = random.Random(4)
     parts = [" ", "\n", "<|endoftext|>", "'s", "'LL", "é", "日本", "🙂", "aaaa", "ababab", "ing", "!!", "123", "\t", " ", "\x1c", "\x85"]
-    for _ in range(500):
-        t = "".join(r.choice(parts) for _ in range(r.randrange(40)))
+    latin = [chr(c) for c in range(bpe.LATIN_END)]
+    for n in range(1000):
+        t = "".join(r.choice(parts if n % 2 else latin + [" "] * 90 + list("'stremvld") * 5) for _ in range(r.randrange(40)))
+        assert own.pieces(t) == own.any_pieces(t)
         ids = library.encode(t, add_special_tokens=False).ids
         assert list(own.encode(t)) == ids
         assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
