@@ -539,7 +539,7 @@ def test_html_density_finds_the_article(monkeypatch):
 
 
 def test_html_density_values():
-    assert html_extract.composite_density(100, 4, 20, 1, 0.3) == pytest.approx(18.467, abs=1e-2)
+    assert html_extract.composite_density(100, 4, 20, 1, 0.3) == pytest.approx(53.492, abs=1e-2)  # 25 ln 20 / ln ln(25 + 30 + e)
     assert html_extract.composite_density(5, 1, 5, 1, 0.3) == 0 == html_extract.composite_density(0, 3, 0, 0, 0.3)
     assert html_extract.composite_density(80, 0, 0, 0, 0.0) > html_extract.composite_density(80, 4, 0, 0, 0.0) > html_extract.composite_density(80, 4, 60, 3, 0.5)
 
