@@ -11,13 +11,14 @@ from quarrystone.llm.simhash import op6_simhash
 from quarrystone.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 from quarrystone.llm.suffix_dedup import op9_suffix_dedup
 from quarrystone.llm.toxicity import op1_toxicity
+from quarrystone.llm.vector_codes import OP11_SQL, op11_vector_codes
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_substring_dedup, op3_mixing, op4_exact_dedup, op5_bpe, op6_simhash, op7_sharding, op8_html_extract, op9_suffix_dedup, op10_lattice_links,
-        op13_importance,
+        op11_vector_codes, op13_importance,
     )
 }
 
-ORACLES = {"op2_substring_dedup": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op13_importance": OP13_SQL}
+ORACLES = {"op2_substring_dedup": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op11_vector_codes": OP11_SQL, "op13_importance": OP13_SQL}
