@@ -4,6 +4,7 @@ from quarrystone.llm.bpe import op5_bpe
 from quarrystone.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from quarrystone.llm.html_extract import op8_html_extract
 from quarrystone.llm.importance import OP13_SQL, op13_importance
+from quarrystone.llm.language_id import op12_language
 from quarrystone.llm.lattice import op10_lattice_links
 from quarrystone.llm.mixing import op3_mixing
 from quarrystone.llm.sharding import op7_sharding
@@ -17,7 +18,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_substring_dedup, op3_mixing, op4_exact_dedup, op5_bpe, op6_simhash, op7_sharding, op8_html_extract, op9_suffix_dedup, op10_lattice_links,
-        op11_vector_codes, op13_importance,
+        op11_vector_codes, op12_language, op13_importance,
     )
 }
 

@@ -19,7 +19,7 @@ def test_queries_with_sql(spark, duck):
 
 
 def test_names_and_sizes(spark):
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
     assert queries.QUERIES["op7_sharding"](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
 
 
