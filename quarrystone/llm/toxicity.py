@@ -1,8 +1,8 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted one after another.  The linear model of each sees the text and the log-odds of all
-earlier categories.  While fitting, those come from out-of-fold predictions, so a later model
-never learns from scores that an earlier one fitted on the same row.
+earlier categories (a clipped monotone map of their probabilities).  While fitting, those come from out-of-fold predictions: models, and the choice of
+their features, rest on the other folds alone, so a later model never learns from scores that have seen the same row's labels.
 
 A text is described by which informative features it holds: whole words, word beginnings of four and five
 letters (so inflected and compounded words share evidence), and a few of its shape.  Presence, not frequency,
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import chain
 
 import numpy as np
@@ -140,6 +140,8 @@ class Chain:
     number: dict[int, int] = field(default_factory=dict)
     models: list[Linear] = field(default_factory=list)
     held_out: dict[str, float] = field(default_factory=dict)
+    #: Of the fitted texts, the log-odds from models that have not seen them.
+    out_of_fold: np.ndarray | None = None
     #: Names this chain and its copies, and no other.
     token: str = field(default_factory=lambda: uuid.uuid4().hex)
 
@@ -171,22 +173,47 @@ def words_of(chain: Chain) -> Known:
     return _words[1]
 
 
-def informative(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray) -> dict[int, int]:
-    """Features that set a category's rows apart most, by chi-square, for each category: bucket -> number."""
-    total, chosen = len(labels), {}
-    n = np.bincount(buckets, minlength=BUCKETS).astype(float)
+def informative(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
+    """The columns, of size, that set a category's rows apart most, by chi-square, for any category.  rows and columns: places of ones among the rows of labels."""
+    total, chosen = len(labels), []
+    n = np.bincount(columns, minlength=size).astype(float)
     often = np.flatnonzero(n >= LEAST_ROWS)
     n = n[often]
     for y in labels.T:
         ones = int(y.sum())
         if not 0 < ones < total:
             continue
-        a = np.bincount(buckets[y[rows] > 0], minlength=BUCKETS)[often]
+        a = np.bincount(columns[y[rows] > 0], minlength=size)[often]
         expected = n * ones / total
         chi = (a - expected) ** 2 / expected + (a - expected) ** 2 / np.maximum(n - expected, 1e-9)
-        for i in np.argsort(-chi, kind="stable")[: min(FEATURES, int((chi >= LEAST_CHI).sum()))]:
-            chosen.setdefault(int(often[i]), len(chosen))
-    return chosen
+        chosen.append(often[np.argsort(-chi, kind="stable")[: min(FEATURES, int((chi >= LEAST_CHI).sum()))]])
+    return np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
+
+
+@dataclass
+class Ones:
+    """Places of ones in a sparse matrix of texts and features."""
+
+    rows: np.ndarray
+    cols: np.ndarray
+    size: int
+
+    def only(self, columns: np.ndarray) -> Ones:
+        """The matrix of these columns."""
+        place = np.full(self.size, -1, np.int64)
+        place[columns] = np.arange(len(columns))
+        held = place[self.cols] >= 0
+        return Ones(self.rows[held], place[self.cols[held]], max(1, len(columns)))
+
+    def among(self, texts: np.ndarray, total: int) -> Ones:
+        """The matrix of these texts, of total."""
+        place = np.full(total, -1, np.int64)
+        place[texts] = np.arange(len(texts))
+        held = place[self.rows] >= 0
+        return Ones(place[self.rows[held]], self.cols[held], self.size)
+
+    def fit(self, dense: np.ndarray, y: np.ndarray) -> Linear:
+        return Linear.fit(self.rows, self.cols, self.size, dense, y)
 
 
 def features(texts) -> list[np.ndarray]:
@@ -196,33 +223,33 @@ def features(texts) -> list[np.ndarray]:
 
 
 def fit_chain(held: list[np.ndarray], labels: np.ndarray, names: list[str]) -> Chain:
-    """held: the features of each text; labels: 0 or 1 for each text and category."""
+    """held: the features of each text; labels: 0 or 1 for each text and category.
+
+    What a fold is scored by has seen none of its labels: its models are fitted, and their features chosen, on the other folds alone."""
     fitted = Chain(names)
     if not len(held):
         return fitted
-    texts = range(len(held))
-    rows, buckets = np.repeat(np.arange(len(held), dtype=np.int32), [len(h) for h in held]), np.concatenate(held)
-    fitted.number = number = informative(rows, buckets, labels)
-    place = np.full(BUCKETS, -1, np.int32)
-    place[list(number)] = list(number.values())
-    chosen = place[buckets] >= 0
-    rows, cols = rows[chosen], place[buckets[chosen]]
-    size, fold = max(1, len(number)), np.arange(len(texts)) % FOLDS
-    scores = np.zeros((len(texts), 0))
+    many = len(held)
+    buckets, cols = np.unique(np.concatenate(held), return_inverse=True)
+    ones = Ones(np.repeat(np.arange(many), [len(h) for h in held]), cols, max(1, len(buckets)))
+    chosen = informative(ones.rows, ones.cols, labels, ones.size)
+    fitted.number = {int(b): i for i, b in enumerate(buckets[chosen])}
+    whole, fold, folds = ones.only(chosen), np.arange(many) % FOLDS, []
+    for k in range(FOLDS):
+        seen, unseen = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if len(seen) and len(unseen):
+            mine = ones.among(seen, many)
+            best = informative(mine.rows, mine.cols, labels[seen], mine.size)
+            folds.append((seen, unseen, mine.only(best), ones.among(unseen, many).only(best)))
+    scores = np.zeros((many, 0))
     for name, y in zip(names, labels.T.astype(float)):
-        out_of_fold = np.zeros(len(texts))
-        for k in range(FOLDS):
-            train, test = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-            if not len(train) or not len(test):
-                continue
-            place = np.full(len(texts), -1)
-            place[train] = np.arange(len(train))
-            inside = place[rows] >= 0
-            model = Linear.fit(place[rows[inside]], cols[inside], size, scores[train], y[train])
-            out_of_fold[test] = model.score(rows, cols, scores)[test]
-        fitted.models.append(Linear.fit(rows, cols, size, scores, y))
+        out_of_fold = np.zeros(many)
+        for seen, unseen, mine, theirs in folds:
+            out_of_fold[unseen] = mine.fit(scores[seen], y[seen]).score(theirs.rows, theirs.cols, scores[unseen])
+        fitted.models.append(whole.fit(scores, y))
         fitted.held_out[name] = float(((out_of_fold >= 0) == (y > 0)).mean())
         scores = np.column_stack((scores, np.clip(out_of_fold, -30, 30)))
+    fitted.out_of_fold = scores
     return fitted
 
 
@@ -245,7 +272,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     flags = np.array([rows.column(f"c{i}").to_numpy() for i in range(len(categories))]).T.reshape(len(rows), len(categories))
     held = [x.values.to_numpy() for x in rows.column("held")]
     del rows
-    return fit_chain(held, flags, [name for name, _ in categories])
+    chain = fit_chain(held, flags, [name for name, _ in categories])
+    return replace(chain, out_of_fold=None)
 
 
 def probabilities(chain: Chain, text: Column) -> Column:

@@ -108,6 +108,28 @@ def test_toxicity_chains_keep_their_words_apart():
     assert copy.probabilities(["poison", "flower"])[:, 0].argmax() == 0
 
 
+def area_under_curve(scores, y):
+    order = np.argsort(np.argsort(scores, kind="stable"), kind="stable") + 1.0
+    ones = y.sum()
+    return (order[y > 0].sum() - ones * (ones + 1) / 2) / (ones * (len(y) - ones))
+
+
+def test_out_of_fold_scores_know_nothing_of_random_labels():
+    """Random features and random, rare labels: there is nothing to learn, so honest scores are no better than chance; real evidence is still found."""
+    r = np.random.default_rng(11)
+    held = [np.unique(r.integers(0, 60_000, 90)).astype(np.int32) for _ in range(4000)]
+    labels = (r.random((4000, 2)) < 0.02).astype(int)
+    labels = np.column_stack((labels, labels[:, 0] & (r.random(4000) < 0.7)))
+    chain = toxicity.fit_chain(held, labels[:, :2], ["a", "b"])
+    assert len(chain.number) > 50  # the selection on all rows has much to choose from
+    for scores, y in zip(chain.out_of_fold.T, labels.T):
+        assert 0.4 < area_under_curve(scores, y) < 0.6
+    chain = toxicity.fit_chain(held, labels[:, [0, 2]], ["a", "part of a"])
+    assert 0.4 < area_under_curve(chain.out_of_fold[:, 0], labels[:, 0]) < 0.6 and 0.35 < area_under_curve(chain.out_of_fold[:, 1], labels[:, 2]) < 0.65
+    marked = [np.append(h, 60_001).astype(np.int32) if y[0] else h for h, y in zip(held, labels)]
+    assert area_under_curve(toxicity.fit_chain(marked, labels[:, :1], ["a"]).out_of_fold[:, 0], labels[:, 0]) > 0.95
+
+
 def test_toxicity_of_odd_rows(spark):
     """Null, blank and very long texts, repeated rows and ids, and columns with the names the operator uses."""
     small_batches(spark)
@@ -655,7 +677,7 @@ def test_toxicity_chain(spark):
 def test_toxicity_fits_at_most_the_sample(spark, monkeypatch):
     assert toxicity.SAMPLE_ROWS == 12_000 and toxicity.BUCKETS == 1 << 22
     fitted = []
-    monkeypatch.setattr(toxicity, "fit_chain", lambda held, flags, names: fitted.extend(held))
+    monkeypatch.setattr(toxicity, "fit_chain", lambda held, flags, names: fitted.extend(held) or toxicity.Chain(names))
     texts = spark.createDataFrame([(i % 10, f"text {i}") for i in range(50)], "doc_id long, text string")
     labels = spark.createDataFrame([(i % 10, 1, i % 2) for i in range(30)], "doc_id long, quality int, toxic int")
     toxicity.train(texts, labels, sample_rows=7)
