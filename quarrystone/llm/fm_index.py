@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Positions of a streamed sequence that are matched in one go.
+PIECE = 24
+
 
 def depth_order(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions ordered by their first depth symbols (circular), and the rank of each position: equal for equal symbols."""
@@ -51,14 +54,19 @@ class WaveletMatrix:
 
 
 class FmIndex:
-    """Backward search for patterns of up to depth symbols.  Symbol 0 separates sequences and is in no pattern."""
+    """Backward search for patterns of up to depth symbols.  Symbol 0 separates sequences and is in no pattern.
+
+    lcp[i] is the number of symbols, up to depth, that the suffixes i - 1 and i of the order share; with it an interval
+    can let go of the last symbols of its pattern, so streamed texts are matched with one search step for each symbol."""
 
     def __init__(self, tokens: np.ndarray, sigma: int, depth: int):
-        self.depth = depth
-        self.order, self.rank = depth_order(tokens, depth)
+        self.depth, self.sigma = depth, sigma
+        self.order, rank = depth_order(tokens, depth)
         self.first = np.concatenate(([0], np.cumsum(np.bincount(tokens, minlength=sigma)))).astype(np.int32)
         self.matrix = WaveletMatrix(tokens[self.order - 1].astype(np.int32), max(1, int(sigma - 1).bit_length()))
         self.begin = self.matrix.rank(np.arange(sigma, dtype=np.int32), np.zeros(sigma, np.int32))
+        self.lcp = shared_symbols(tokens, self.order, rank, depth)
+        self._edges: dict[int, np.ndarray] = {}
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The suffix intervals after one more symbol to the left."""
@@ -67,35 +75,74 @@ class FmIndex:
         half = len(symbol)
         return base + both[:half], base + both[half:]
 
-    def search(self, tokens: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """The intervals of tokens[s : s + length] for each s in starts; empty (low == high) where there is no match."""
-        tokens = tokens.astype(np.int32)
-        last = tokens[starts + length - 1]
-        low, high = self.first[last].copy(), self.first[last + 1].copy()
-        live = np.arange(len(starts))
-        for back in range(length - 2, -1, -1):
-            if not len(live):
-                break
-            low[live], high[live] = self.step(tokens[starts[live] + back], low[live], high[live])
-            live = live[low[live] < high[live]]
-        return low, high
-
-    def matching_statistics(self, tokens: np.ndarray) -> np.ndarray:
-        """For each position the length, up to depth, of the longest match that ends there."""
-        n, tokens = len(tokens), tokens.astype(np.int32)
-        best = np.zeros(n, np.int64)
-        ends = np.flatnonzero(tokens > 0)
-        low, high = self.first[tokens[ends]].copy(), self.first[tokens[ends] + 1].copy()
-        reach = 1
-        while len(ends):
-            live = low < high
-            ends, low, high = ends[live], low[live], high[live]
-            best[ends] = reach
-            more = (ends >= reach) & (reach < self.depth)
-            ends, low, high = ends[more], low[more], high[more]
-            symbol = tokens[ends - reach]
-            ends, low, high, symbol = ends[symbol > 0], low[symbol > 0], high[symbol > 0], symbol[symbol > 0]
-            if len(ends):
-                low, high = self.step(symbol, low, high)
-            reach += 1
-        return best
+    def widen(self, low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of the first length symbols of the patterns of some intervals."""
+        edges = self._edges.get(length)
+        if edges is None:
+            edges = self._edges[length] = np.flatnonzero(self.lcp < length).astype(np.int32)
+        return edges[np.searchsorted(edges, low, side="right") - 1], edges[np.searchsorted(edges, high, side="left")]
+
+    def matching_statistics(self, tokens: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each position of the streamed sequences tokens[begins[k] : ends[k]] the length, up to depth, of the longest match that
+        starts there and stays in its sequence, and the interval of its occurrences (low, high).  Symbols that the index does not know match nothing.
+
+        Sequences are read from right to left, all at once, in pieces that overlap by what a match can reach."""
+        found = np.zeros(len(tokens), np.int32), np.zeros(len(tokens), np.int32), np.zeros(len(tokens), np.int32)
+        pieces = -(-(ends - begins) // PIECE)
+        start = np.repeat(begins, pieces) + PIECE * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        stop = np.minimum(start + PIECE + self.depth - 1, np.repeat(ends, pieces))
+        longest = np.argsort(start - stop, kind="stable")
+        start, stop = start[longest], stop[longest]
+        size = stop - start
+        low, high, length = np.zeros(len(start), np.int32), np.full(len(start), len(self.order), np.int32), np.zeros(len(start), np.int32)
+        for k in range(int(size.max(initial=0))):
+            live = int(np.searchsorted(-size, -k, side="left"))
+            place = stop[:live] - 1 - k
+            self._extend(tokens[place], low[:live], high[:live], length[:live])
+            own = place < start[:live] + PIECE
+            for all_of, now in zip(found, (length, low, high)):
+                all_of[place[own]] = now[:live][own]
+        return found
+
+    def _extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray, length: np.ndarray) -> None:
+        """One symbol more to the left of each match, in place; a match loses symbols on its right until the symbol fits."""
+        known = (symbol > 0) & (symbol < self.sigma)
+        symbol = np.where(known, symbol, 0).astype(np.int32)
+        a, b = self.step(symbol, low, high)
+        missed = np.flatnonzero(~known | (a >= b))
+        while len(missed):
+            shorter = np.maximum(0, np.maximum(self.lcp[low[missed]], self.lcp[high[missed]]))
+            gone = ~known[missed] | (length[missed] == 0)
+            none = missed[gone]
+            low[none] = a[none] = 0
+            high[none] = b[none] = len(self.order)
+            length[none] = -1
+            missed, shorter = missed[~gone], shorter[~gone]
+            for n in np.unique(shorter):
+                at = missed[shorter == n]
+                low[at], high[at] = self.widen(low[at], high[at], int(n))
+                length[at] = n
+            if len(missed):
+                a[missed], b[missed] = self.step(symbol[missed], low[missed], high[missed])
+                missed = missed[a[missed] >= b[missed]]
+        low[:], high[:] = a, b
+        length += 1
+        over = np.flatnonzero(length > self.depth)
+        if len(over):
+            low[over], high[over] = self.widen(low[over], high[over], self.depth)
+            length[over] = self.depth
+
+
+def shared_symbols(tokens: np.ndarray, order: np.ndarray, rank: np.ndarray, depth: int) -> np.ndarray:
+    """lcp of an order by depth symbols: of neighbours how many first symbols are equal; -1 before the first and after the last."""
+    n = len(order)
+    found = np.zeros(n + 1, np.int8)
+    found[1:n], found[0], found[n] = depth, -1, -1
+    differ = np.flatnonzero(rank[order[1:]] != rank[order[:-1]]) + 1
+    for k in range(depth):
+        same = tokens[(order[differ - 1] + k) % n] == tokens[(order[differ] + k) % n]
+        found[differ[~same]] = k
+        differ = differ[same]
+        if not len(differ):
+            break
+    return found

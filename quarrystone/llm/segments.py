@@ -77,11 +77,11 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def row_anchors(rows: DataFrame, cutter: Cutter) -> DataFrame:
-    """key, anchors, places: the distinct anchors of a row, or of a piece of it, and in how many places each stands; a written table."""
+    """key, tag, anchors, places: the distinct anchors of a row, or of a piece of it, and in how many places each stands; a written table."""
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            key = batch["key"].to_numpy()
+            key, tag = batch["key"].to_numpy(), batch["tag"].to_numpy()
             for owner, _, symbols, bounds, *_ in cutter.pieces(batch["text"]):
                 place, anchor = anchor_places(symbols, bounds, cutter.window, cutter.gram)
                 if len(place):
@@ -96,10 +96,10 @@ def row_anchors(rows: DataFrame, cutter: Cutter) -> DataFrame:
                     cut = np.flatnonzero(row[1:] != row[:-1]) + 1
                     firsts = np.concatenate(([0], cut))
                     yield pd.DataFrame({
-                        "key": key[row[firsts]], "anchors": pd.Series(np.split(anchor, cut), dtype=object), "places": pd.Series(np.split(n, cut), dtype=object)
+                        "key": key[row[firsts]], "tag": tag[row[firsts]], "anchors": pd.Series(np.split(anchor, cut), dtype=object), "places": pd.Series(np.split(n, cut), dtype=object)
                     })
 
-    return written(rows.select("key", "text").mapInPandas(found, "key long, anchors array<long>, places array<int>"), "anchors")
+    return written(rows.select("key", "tag", "text").mapInPandas(found, "key long, tag long, anchors array<long>, places array<int>"), "anchors")
 
 
 def counted_anchors(anchors: DataFrame) -> DataFrame:
@@ -143,9 +143,10 @@ def segments(rows: DataFrame, cutter: Cutter, anchors: DataFrame, repeats: DataF
                         "key": batch["key"].to_numpy()[row], "tag": batch["tag"].to_numpy()[row], "start": base[piece] + first - bounds[piece],
                     })
 
-    held = anchors.select("key", F.explode("anchors").alias("anchor")).join(repeats, "anchor")
-    lists = held.groupBy("key").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
-    return rows.join(lists, "key").select("key", "tag", "text", "anchors", "hot").mapInPandas(
+    held = anchors.select("key", "tag", F.explode("anchors").alias("anchor")).join(repeats, "anchor")
+    # sets: a row that repeats any number of times gathers its anchors once
+    lists = held.groupBy("key", "tag").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    return rows.join(lists, ["key", "tag"]).select("key", "tag", "text", "anchors", "hot").mapInPandas(
         cut, "anchor long, skey long, size int, seg binary, key long, tag long, start int"
     )
 

@@ -3,8 +3,8 @@
 A word is removed if a window of 13 words that covers it also starts in a document with a smaller id.
 Documents are cut into segments that meet, with all segments that could match them, in shards of bounded size
 (see ``segments``).  Each shard builds an FM-index over its distinct segments: backward search over a
-wavelet matrix takes every streamed window to the interval of its occurrences, and the least document
-id in the interval decides.  Words are compared as they are; hashes route, and name a segment when results go back to its rows.
+wavelet matrix computes the matching statistics of the streamed segments, and where a match reaches the length of a window, the least document
+id in the interval of its occurrences decides.  Words are compared as they are; hashes route, and name a segment when results go back to its rows.
 
 Defined cases: a null, empty or blank text has no words; a text shorter than the window loses nothing;
 rows with a null id keep all their words and remove none elsewhere; repeated rows of one id do not
@@ -78,7 +78,9 @@ class WordCutter(Cutter):
 
 
 def shard_minima(window: int):
-    """find() of by_shard(): for each segment, the least document id that holds each of its windows."""
+    """find() of by_shard(): for each segment, the least document id that holds each of its windows.
+
+    The index holds the distinct segments of the shard; those of the documents are streamed through it, equal ones once."""
 
     def find(segs: list[bytes], rows: pd.DataFrame) -> list[list[int]]:
         words = [s.split(b" ") for s in segs]
@@ -87,16 +89,16 @@ def shard_minima(window: int):
         lengths = np.array([len(w) for w in words])
         begins = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1]
         index = FmIndex(flat, len(number) + 1, window)
-        counts = lengths - window + 1
-        starts = np.repeat(begins, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        _, one, same = np.unique(index.rank[starts], return_index=True, return_inverse=True)  # equal windows are searched once
-        low, high = index.search(flat, starts[one], window)
-        holder = np.repeat(rows["least"].to_numpy(np.int64), lengths + 1)[index.order]
-        opened, which = np.unique(low, return_inverse=True)
+        matched, low, high = index.matching_statistics(flat, begins, begins + lengths)
+        repeats = np.flatnonzero(matched == window)  # every window of every segment, with the interval of its occurrences
+        # range minima over the suffix order: intervals of one length are equal or apart
+        opened, which = np.unique(low[repeats], return_inverse=True)
         closed = np.zeros(len(opened), np.int64)
-        closed[which] = high
+        closed[which] = high[repeats]
+        holder = np.repeat(rows["least"].to_numpy(np.int64), lengths + 1)[index.order]
         marks = np.stack((opened, closed), 1).ravel()
-        least = np.minimum.reduceat(np.append(holder, np.iinfo(np.int64).max), marks)[::2][which][same]
+        least = np.minimum.reduceat(np.append(holder, np.iinfo(np.int64).max), marks)[::2][which]
+        counts = np.add.reduceat(matched == window, begins)
         return np.split(least, np.cumsum(counts)[:-1])
 
     return find

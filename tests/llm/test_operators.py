@@ -8,6 +8,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -209,19 +210,42 @@ def test_long_texts_are_cut_without_loss(spark, monkeypatch):
         substring_dedup.PIECE_BYTES = old
 
 
-def test_fm_index_against_search():
-    r = np.random.default_rng(3)
-    tokens = np.append(r.integers(1, 5, 400), 0)
-    index = FmIndex(tokens, 5, 6)
-    starts = np.flatnonzero([(tokens[k : k + 6] > 0).all() and k + 6 <= 400 for k in range(401)])
-    low, high = index.search(tokens, starts, 6)
-    for s, a, b in zip(starts, low, high):
-        places = {k for k in range(395) if (tokens[k : k + 6] == tokens[s : s + 6]).all()}
-        assert set(index.order[a:b].tolist()) == places
-    query = r.integers(1, 5, 50)
-    for end, n in enumerate(index.matching_statistics(query)):
-        fits = [m for m in range(1, min(6, end + 1) + 1) if any((tokens[k : k + m] == query[end - m + 1 : end + 1]).all() for k in range(400 - m + 1))]
-        assert n == max(fits, default=0)
+@pytest.mark.parametrize(("sigma", "depth", "size"), [(5, 6, 400), (3, 13, 600), (40, 13, 2000), (2, 4, 50)])
+def test_matching_statistics_against_search(sigma, depth, size):
+    """Streamed sequences that are in the index, in parts of it, or not: lengths and places of all longest matches."""
+    r = np.random.default_rng(sigma)
+    tokens = np.append(r.integers(1, sigma, size), 0)
+    tokens[r.integers(0, size, size // 60)] = 0
+    index = FmIndex(tokens, sigma, depth)
+    copied = np.concatenate([tokens[a : a + 70] for a in r.integers(0, size - 20, 6)])
+    streamed = np.concatenate((tokens, copied, r.integers(1, sigma + 2, 200), [0]))
+    cuts = np.flatnonzero(streamed == 0)
+    begins, ends = np.concatenate(([0], cuts[:-1] + 1)), cuts
+    places: dict[tuple, set] = {}
+    for m in range(1, depth + 1):
+        for k in range(size - m + 1):
+            places.setdefault(tuple(tokens[k : k + m].tolist()), set()).add(k)
+    length, low, high = index.matching_statistics(streamed, begins, ends)
+    assert length.max() == depth and (length[cuts] == 0).all()
+    for begin, end in zip(begins, ends):
+        for i in range(begin, end):
+            fits = [m for m in range(1, min(depth, end - i) + 1) if tuple(streamed[i : i + m].tolist()) in places]
+            assert length[i] == max(fits, default=0)
+            if fits:
+                assert set(index.order[low[i] : high[i]].tolist()) == places[tuple(streamed[i : i + max(fits)].tolist())]
+
+
+def test_substring_dedup_rests_on_the_search(monkeypatch):
+    """Intervals that miss an occurrence, or matches that are too short, change what the operator removes."""
+    words = [f"w{i}" for i in range(20)]
+    segs = [" ".join(words).encode(), " ".join(["x", *words[1:], "y"]).encode()]
+    found = lambda: substring_dedup.shard_minima(13)(segs, pd.DataFrame({"least": [3, 8]}))
+    assert [x.tolist() for x in found()] == [[3] * 8, [8] + [3] * 7 + [8]]
+    right = FmIndex.matching_statistics
+    monkeypatch.setattr(FmIndex, "matching_statistics", lambda self, *a: (lambda n, low, high: (n, np.maximum(low, high - 1), high))(*right(self, *a)))
+    assert [x.tolist() for x in found()][1] != [8] + [3] * 7 + [8]
+    monkeypatch.setattr(FmIndex, "step", lambda self, symbol, low, high: (low, low))
+    assert all(len(x) == 0 for x in found())
 
 
 def brute_suffix(window):
