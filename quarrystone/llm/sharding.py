@@ -11,7 +11,7 @@ can only win rows for itself: rows move from every other subtree into it and now
 Rows' places depend on the id and the shard count alone (law ``key``).
 
 Slots inside a shard come without a sort of the whole shard: rows are numbered inside (shard,
-bucket), where the bucket is 12 bits of the id's hash, and buckets' offsets come from a table
+bucket), where the bucket is 12 bits of the hash of the id, or of the text where the id is null, and buckets' offsets come from a table
 of at most 4096 x shards counts, whose bound makes it safe to broadcast.
 
 Only DataFrame functions are used.  Defined cases: a null text has no bytes (size 8, CRC 0); a null
@@ -105,7 +105,7 @@ def shard_rows(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: st
         F.crc32(text.cast("binary")).alias("text_crc32"),
         shard_of(key, tree).cast("int").alias("shard"),
         (shard_of(key, grown) if grow else F.lit(None)).cast("int").alias("grown_shard"),
-        F.conv(F.substring(F.md5(F.concat(key, F.lit("|slot"))), 1, BUCKET_HEX), 16, 10).cast("int").alias("bucket"),
+        F.conv(F.substring(F.when(F.col(id_col).isNull(), F.md5(text)).otherwise(F.md5(F.concat(key, F.lit("|slot")))), 1, BUCKET_HEX), 16, 10).cast("int").alias("bucket"),
     )
     # rows that are alike in all columns are one row of the window and are told apart after it
     alike = rows.groupBy("doc_id", "size", "text_crc32", "shard", "grown_shard", "bucket").agg(F.count("*").alias("rows"))

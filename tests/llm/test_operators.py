@@ -462,6 +462,13 @@ def test_growing_moves_rows_into_the_new_shard_only(spark):
         before = sharding.Tree(before.shards + 1)
 
 
+def test_rows_without_id_are_numbered_in_many_buckets(spark):
+    df = spark.createDataFrame([(None, f"text {i % 150}") for i in range(300)], "doc_id long, text string")
+    found = sharding.shard_rows(df, sharding.Tree(24))
+    assert sorted(x.slot for x in found.collect()) == list(range(300)) and found.select("shard").distinct().count() == 1
+    assert "md5(cast(coalesce(text" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_shard_weights(spark):
     ids = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     tree = sharding.Tree(24, weights=((3, 5.0),))
