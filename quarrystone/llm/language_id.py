@@ -29,11 +29,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrystone.llm.common import read_table, small_batches
+from quarrystone.llm.common import read_table, small_batches, written
 
 #: Labelled rows of each language that a model is fitted on at most.
 SAMPLE_ROWS = 2_000
 ORDERS, BUCKETS = 5, 1 << 16
+#: Sampled ids that are sent to all executors; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: What a switch of languages costs, in units of word scores, and the share of letters in a script that ties a language to it.
 SWITCH, SCRIPT_SHARE = 12.0, 0.005
 UNKNOWN = "und"
@@ -252,7 +254,9 @@ def sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_r
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
     near = ids.join(sizes, "lang").filter(place < F.lit(2.0 * sample_rows + 100) / F.col("n"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = near.withColumn("first", first).filter(F.col("first") <= sample_rows).select("id", "lang")
+    chosen = written(near.withColumn("first", first).filter(F.col("first") <= sample_rows).select("id", "lang"), "language-sample")
+    if chosen.count() <= BROADCAST_ROWS:  # as many as languages times sample_rows at most
+        chosen = F.broadcast(chosen)
     return rows.join(chosen, ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
 
