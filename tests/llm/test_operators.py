@@ -512,6 +512,63 @@ def test_mixing_of_more_than_a_thousand_sources(spark):
     assert got["source"][:1500].nunique() == 1500
 
 
+def in_order(left, shares):
+    """The source of each slot of a plan, with its stretches run, and by phase the slot of the last seam."""
+    blocks, seams = [], {}
+    for part in mixing.laid_out(left, shares):
+        if isinstance(part, mixing.Stretch):
+            seams[part.start] = part.start + part.high
+            blocks += part.blocks()
+        else:
+            blocks.append(part)
+    assert sorted(b[:2] for b in blocks) == sorted((s, k) for s, n in left.items() for k in range(n))
+    assert [b[2] for b in sorted(blocks, key=lambda b: b[2])] == list(range(sum(left.values())))
+    return [b[0] for b in sorted(blocks, key=lambda b: b[2])], seams
+
+
+def check_phases(left, shares):
+    """In every phase each source stays within a block of its exact target after every slot; a phase ends when a source has run out, at its last seam at the earliest."""
+    order, seams = in_order(left, shares)
+    at, phases = 0, 0
+    while left:
+        total, placed = sum(shares[s] for s in left), dict.fromkeys(left, 0)
+        for slot, s in enumerate(order[at:], 1):
+            placed[s] += 1
+            assert all(abs(placed[x] * total - shares[x] * slot) < total for x in left)
+            if at + slot >= seams.get(at, 0) and any(placed[x] == n for x, n in left.items()):
+                break
+        at, phases = at + slot, phases + 1
+        left = {s: n - placed[s] for s, n in left.items() if n > placed[s]}
+    assert at == len(order) and not seams.keys() - set(range(at))
+    return len(seams)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_no_source_is_a_block_off_across_seams(monkeypatch, seed):
+    """Stretches of a few slots, planned apart."""
+    r = random.Random(seed)
+    many = r.choice([2, 3, 5, 9, 14])
+    monkeypatch.setattr(mixing, "STRETCH", r.choice([7, 40, 111]))
+    monkeypatch.setattr(mixing, "SHORT", r.choice([1, 60]))
+    weights = {f"s{k:02}": r.choice([r.random(), 1 / r.randrange(1, 200), 1.0]) for k in range(many)}
+    assert check_phases({s: r.randrange(100, 1500) for s in weights}, mixing.exact_shares(weights)) > 0
+
+
+def test_mixing_in_tasks_and_named_like_null(spark, monkeypatch):
+    """Stretches planned by tasks, pieces that lie across seams, and a source whose name might be taken for no source."""
+    monkeypatch.setattr(mixing, "STRETCH", 300)
+    monkeypatch.setattr(mixing, "SHORT", 100)
+    ids = spark.range(6000).select("id", F.expr("element_at(array('\\0', null, '', 'a'), cast(id % 7 % 4 + 1 as int))").alias("source"))
+    got = mixing.mix(ids, {"a": 0.2, "": 0.2, None: 0.35, "\0": 0.25}, "id", block_rows=2, period=64).select("id", "source", F.col("_mix.source").alias("of"), "_mix.slot", "_mix.block").collect()
+    assert sorted(x.id for x in got) == list(range(6000)) and all(x.source == x.of for x in got)
+    slots = {}
+    for x in got:
+        slots.setdefault(x.slot, set()).add((x.source, x.block))
+    assert sorted(slots) == list(range(len(slots))) and all(len(v) == 1 for v in slots.values())
+    order = [next(iter(slots[k]))[0] for k in range(len(slots))]
+    assert [k for k in slots if k < 400] and abs(order[:400].count(None) - 140) < 1 and abs(order[:400].count("\0") - 100) < 1
+
+
 def test_mixing_of_weight_nought(spark):
     ids = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(40)], "id long, source string")
     got = mixing.mix(ids, {"a": 1, "b": 0}, "id", block_rows=1).select("source", "_mix.slot").toPandas().sort_values("slot")
