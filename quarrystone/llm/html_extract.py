@@ -13,6 +13,11 @@ link lists do not.  The least density on the path is the threshold: any other bl
 sum, and own text of path blocks that reaches it stays too.  An article or main element around the lead ends the path there instead of
 at the body; it chooses nothing.
 
+What has been taken is judged once more, block by block, against the subtree it stands in.  Names are evidence there, no verdict: a block whose
+class or id holds a word of side matter among others (user-comments, ad-box, share-buttons) counts NAME_SHIFT of its density, in the search for the lead as well, and goes
+if that is below CLIMB of the densest plain block; a block made of links goes if its density is below CLIMB of the subtree's.  Blocks around the lead are not judged,
+so what such a block holds stays where it is the article.
+
 Text leaves in blocks: white space inside a block becomes one space, blocks are joined by newlines.
 
 Defined cases: a null or empty page, or one without text, gives the empty text; markup that is cut off or badly nested is
@@ -67,6 +72,8 @@ _MARKUP = re.compile(
 )
 #: Share of the lead's density that a block around it must keep to join.
 CLIMB = 0.5
+#: What the density of a block counts that is named after side matter among other words, and prefixes that deny such a name.
+NAME_SHIFT, DENIALS = 0.1, ("no-", "has-", "with-", "without-", "hide-", "is-")
 #: What sets an element aside: nothing, its name, its name as that of reader comments, or itself.
 NOT_ASIDE, NAMED, COMMENTS, ASIDE = range(4)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -78,6 +85,7 @@ class Page:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.aside, self.named = ["#root"], [-1], [False], [NOT_ASIDE]
+        self.hinted: dict[int, bool] = {}  # elements with a word of side matter in their names; whether it is one of reader comments
         self.texts: list[tuple[int, int, str]] = []  # node, block, text
         self._stack, self._block, self._open = [0], 0, Counter()
         at = 0
@@ -168,7 +176,7 @@ class Page:
             return ASIDE
         if not attributes or name in KEPT_TAGS:
             return NOT_ASIDE
-        found = NOT_ASIDE
+        found, hint = NOT_ASIDE, set()
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), unescape((m[2] or "").strip("\"'"))
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
@@ -180,6 +188,8 @@ class Page:
             if key in ("class", "id"):
                 for part in value.split():
                     words = {w.lower() for w in _WORDS.findall(part)}
+                    if not part.lower().startswith(DENIALS):
+                        hint |= words & ASIDE_WORDS
                     if name == "article":
                         if part.lower() in COMMENT_NAMES:
                             found = COMMENTS
@@ -187,6 +197,8 @@ class Page:
                         found = max(found, COMMENTS if words & COMMENT_WORDS else NAMED)
                     if not inside and part.lower() in ASIDE_NAMES:
                         found = max(found, NAMED)
+        if hint:
+            self.hinted[len(self.tag) - 1] = not hint.isdisjoint(COMMENT_WORDS)
         return found
 
     def _set_aside_by_name(self) -> None:
@@ -256,9 +268,14 @@ class Page:
         for i in range(n):
             if not aside[i] and block[i] == i:
                 density[i], alone[i] = whole[i].density(ratio), own[i].density(ratio)
-        total, best = alone.copy(), list(range(n))
+        # what holds most of the text, or all of it if its name is one of comments, is not side matter
+        hinted = {i for i, comments in self.hinted.items() if whole[i].chars * (1 if comments else 2) <= whole[0].chars - comments}
+        weigh = [1.0] * n
+        for i in range(1, n) if hinted else ():
+            weigh[i] = NAME_SHIFT if i in hinted else weigh[parent[i]]
+        total, best = [a * w for a, w in zip(alone, weigh)], list(range(n))
         for i in range(n - 1, 0, -1):
-            total[above[i]] += density[i]
+            total[above[i]] += density[i] * weigh[i]
         for i in range(n - 1, 0, -1):
             if block[i] == i and not aside[i] and total[best[i]] > total[best[above[i]]]:
                 best[above[i]] = best[i]
@@ -279,9 +296,21 @@ class Page:
             inside[i] = i == top or i > 0 and inside[parent[i]]
             if inside[i] and i not in along and density[i] >= threshold and whole[i].chars:
                 taken[best[i]] = True
-        chosen = [False] * n
+        around_lead = {0, *self._ancestors(lead)}
+        plain = [True] * n  # whether no name below the path speaks against a block
+        for i in range(1, n) if hinted else ():
+            plain[i] = i in around_lead or plain[parent[i]] and i not in hinted
+        densest = max((density[i] for i in range(n) if plain[i] and inside[i] and i not in along), default=0.0)
+        densest, usual = CLIMB * max(densest, density[path[joined]]), CLIMB * density[path[joined]]
+        chosen, gone = [False] * n, [False] * n
         for i in range(n):
-            taken[i] = not aside[i] and (taken[i] or i > 0 and taken[parent[i]])
+            gone[i] = i > 0 and gone[parent[i]]
+            if block[i] == i and i not in around_lead and whole[i].chars and not gone[i]:
+                if i in hinted:
+                    gone[i] = NAME_SHIFT * density[i] < densest
+                else:
+                    gone[i] = whole[i].link_tags > 1 and 2 * whole[i].links > whole[i].chars and density[i] < usual
+            taken[i] = not aside[i] and not gone[i] and (taken[i] or i > 0 and taken[parent[i]])
             chosen[i] = not aside[i] and (taken[i] or lines[block[i]])
         return chosen
 

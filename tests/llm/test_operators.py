@@ -648,6 +648,40 @@ def test_html_density_finds_the_article(monkeypatch):
     assert sum(html_extract.main_text(page) != text for page, text in pages) > 150
 
 
+SIDE_NAMES = ["user-comments", "post-comments", "readerReplies", "ad-box", "content_ad", "promo-block", "share-buttons", "newsletter-signup-form", "related-posts", "site-cookie-bar"]
+
+
+def labelled_article(r):
+    """A labelled page inside an article or main element, with prose of readers and advertisers and rows of links inside the same element, none named by one word alone."""
+    page, text = labelled_page(r)
+    page = page[len("<html><body>") : -len("</body></html>")]
+    prose = lambda: " ".join("".join(r.choice("qrstuvwxyz") for _ in range(r.randrange(2, 9))) for _ in range(r.randrange(20, 120)))
+    row = "".join(f'<a href="/{k}">link {k}</a> ' for k in range(r.randrange(3, 9)))
+    sides = [f'<{tag} {r.choice(("class", "id"))}="{r.choice(SIDE_NAMES)}"><p>{prose()}</p><p>{prose()}</p></{tag}>' for tag in ("div", "section")] + [f"<div>{row}</div>"]
+    r.shuffle(sides)
+    tag = r.choice(("article", "main"))
+    before, after = (sides[:1], sides[1:]) if r.random() < 0.3 else ([], sides)
+    return f'<html><body><ul><li><a href="/">home</a><li><a href="/x">x</a></ul><{tag}>{"".join(before)}{page}{"".join(after)}</{tag}></body></html>', text
+
+
+def test_html_density_inside_the_article(monkeypatch):
+    pages = [labelled_article(random.Random(k)) for k in range(200)]
+    wrong = [k for k, (page, text) in enumerate(pages) if html_extract.main_text(page) != text]
+    assert wrong == []
+    monkeypatch.setattr(html_extract, "composite_density", lambda *amounts: 1.0)
+    assert sum(html_extract.main_text(page) != text for page, text in pages) > 150
+
+
+def test_html_names_are_evidence_only():
+    text, other = "<p>" + "Long prose of the article here. " * 12 + "</p><p>" + "More prose in it. " * 12 + "</p>", "<p>" + "I think that this is prose, too. " * 9 + "</p>"
+    want = html_extract.main_text(f"<main>{text}</main>")
+    for name in SIDE_NAMES:
+        for tag, around in itertools.product(("div", "section", "ul"), ("article", "main", "div")):
+            assert html_extract.main_text(f'<body><{around}>{text}<{tag} class="x {name}">{other}</{tag}></{around}></body>') == want
+        assert html_extract.main_text(f'<body><div id="{name}">{text}</div></body>') == want  # the lead itself stays, whatever its name
+        assert html_extract.main_text(f'<body><main class="{name}">{text}</main><div>{other.replace("<p>", "<p><a>").replace("</p>", "</a></p>")}</div></body>') == want
+
+
 def test_html_density_values():
     assert html_extract.composite_density(100, 4, 20, 1, 0.3) == pytest.approx(53.492, abs=1e-2)  # 25 ln 20 / ln ln(25 + 30 + e)
     assert html_extract.composite_density(5, 1, 5, 1, 0.3) == 0 == html_extract.composite_density(0, 3, 0, 0, 0.3)
