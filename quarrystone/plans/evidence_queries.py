@@ -13,7 +13,8 @@ from quarrystone.functions import text, urls
 from quarrystone.operators import content, reconcile, tables
 from quarrystone.plans.content_queries import tasks
 from quarrystone.plans.tables import table
-from quarrystone.sources import files
+from quarrystone.sources import archives, files
+from quarrystone.sources.scratch import kept
 
 DENIED = ("idiot", "Password", "the of")
 
@@ -72,7 +73,7 @@ def archive_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame({"path": [f"region-{key[0]}.zip"], "content": [raw]})
 
     made = table(spark, sf_dir, "nation").groupBy("n_regionkey").applyInPandas(nested, "path string, content binary")
-    return files.archive_tree(made).select(
+    return archives.tree(kept(made, "archives")).select(
         "path", "depth", "member_index", "member_path", F.when(F.col("member_path").endswith(".txt"), F.col("sha256")).alias("text_sha256"), "error"
     )
 

@@ -14,8 +14,8 @@ from quarrystone.functions import urls
 from quarrystone.operators import graph
 from quarrystone.plans import graph_queries, package_queries
 from quarrystone.plans.tables import table
-from quarrystone.sources import files, sinks
-from quarrystone.sources.scratch import scratch_folder
+from quarrystone.sources import archives, files, sinks
+from quarrystone.sources.scratch import kept, scratch_folder
 from quarrystone.streaming import paths
 
 #: Lines of one file that is read whole, because its lines are numbered.
@@ -86,28 +86,68 @@ def source_sqlite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.sqlite_table(spark, path, "places", parts=3)
 
 
+#: Of the archives of pages: every eleventh is cut off, in every seventh the last member is damaged, every fifth holds a member that announces far too much.
+_CUT, _DAMAGED, _BOMB = 11, 7, 5
+
+
 def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages in ZIP files of a hundred; every seventeenth has a name that leads out of the archive."""
+    """Pages in ZIP files of twenty; every seventeenth page has a name that leads out of the archive.  Some archives and members are damaged."""
 
     def zipped(key, rows: pd.DataFrame) -> pd.DataFrame:
         import io
+        import struct
         import zipfile
 
-        out = io.BytesIO()
+        out, n = io.BytesIO(), int(key[0])
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             for i, html in rows.sort_values("page_id")[["page_id", "html"]].itertuples(index=False):
                 z.writestr(zipfile.ZipInfo(f"../{i:09d}.html" if i % 17 == 0 else f"pages/{i:09d}.html"), html)
-        return pd.DataFrame({"path": [f"archive-{key[0]:09d}"], "content": [out.getvalue()]})
-
-    p = table(spark, sf_dir, "pages").select((F.floor(F.col("page_id") / 100)).alias("archive"), "page_id", F.coalesce("html", F.lit("")).alias("html"))
+            if n % _BOMB == 4:
+                z.writestr(zipfile.ZipInfo("pages/bomb"), b"")
+            last = z.infolist()[-1]
+        raw = bytearray(out.getvalue())
+        if n % _BOMB == 4:  # its entry in the directory, which is the last, says three gigabytes
+            at = raw.rfind(b"PK\x01\x02")
+            raw[at + 24 : at + 28] = struct.pack("<I", 3 << 30)
+        elif n % _DAMAGED == 3:
+            raw[last.header_offset + 30 + len(last.filename)] ^= 0xFF
+            raw[last.header_offset + 14] ^= 0xFF
+        if n % _CUT == 2:
+            raw = raw[: len(raw) // 2]
+        return pd.DataFrame({"path": [f"archive-{n:09d}.zip"], "content": [bytes(raw)]})
+
+    p = table(spark, sf_dir, "pages").select((F.floor(F.col("page_id") / 20)).alias("archive"), "page_id", F.coalesce("html", F.lit("")).alias("html"))
     return p.groupBy("archive").applyInPandas(zipped, "path string, content binary")
 
 
 def source_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of archives, why one must not be expanded, and what falls outside a budget that all archives share."""
-    members = files.archive_members(_archives(spark, sf_dir), with_content=True)
-    budget = files.within_budget(members, most_bytes=400_000, most_members=10_000)
-    return budget.select("path", "member_index", "member_path", "uncompressed_bytes", "sha256", files.member_error().alias("member_error"), "budget_error")
+    """Members of archives, why one must not be or could not be expanded, and what falls outside a budget that all archives share."""
+    made = kept(_archives(spark, sf_dir), "archives")
+    members = kept(archives.judged(archives.listed(made), 1 << 60, 1 << 60), "archive-members")
+    return archives.expanded(members, made).select("path", "member_index", "member_path", "uncompressed_bytes", "sha256", "error")
+
+
+def source_archive_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same archives under a budget that ends within them: what lies beyond is not read."""
+    made = kept(_archives(spark, sf_dir), "archives")
+    members = kept(archives.judged(archives.listed(made).filter("uncompressed_bytes < 3000000000"), 400_000, 1 << 60), "archive-members")
+    return archives.expanded(members, made).select("path", "member_index", "sha256", "error")
+
+
+def source_archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same archives as files, read through the data source: directories first, then ranges of members."""
+    folder = _folder(spark, "zips")
+
+    def stored(batches):
+        for batch in batches:
+            for path, raw in zip(batch["path"], batch["content"]):
+                archives.store(f"{folder}/{path}", raw)
+            yield batch[["path"]]
+
+    kept(_archives(spark, sf_dir).mapInPandas(stored, "path string"), "archive-names")
+    members = kept(archives.judged(archives.zip_files(spark, folder), 1 << 60, 1 << 60), "archive-members")
+    name = F.regexp_extract("path", r"([^/]+)$", 1).alias("path")
+    return archives.expanded(members).select(name, "member_index", "member_path", "uncompressed_bytes", "sha256", "error")
 
 
 def source_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,7 +333,7 @@ def url_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    source_jsonl, source_ledger, source_json, source_csv, source_sqlite, source_archive, source_inventory, source_v1_graph, sink_tables, sink_v1_tables, sink_graphml, sink_jsonl, sink_checksums, corpus_records,
+    source_jsonl, source_ledger, source_json, source_csv, source_sqlite, source_archive, source_archive_budget, source_archive_files, source_inventory, source_v1_graph, sink_tables, sink_v1_tables, sink_graphml, sink_jsonl, sink_checksums, corpus_records,
     stream_first_seen, stream_latest, stream_windows, stream_repairs, url_map,
 )}
 
@@ -305,16 +345,25 @@ _V1_ROWS = {
 }
 _PACKAGE = package_queries.PACKAGE_SQL
 
+_ARCHIVE_MEMBERS = f"""a AS (SELECT page_id // 20 AS n, page_id, coalesce(html, '') AS html, row_number() OVER (PARTITION BY page_id // 20 ORDER BY page_id) - 1 AS k, count(*) OVER (PARTITION BY page_id // 20) AS members FROM pages),
+f AS (SELECT n, k, CASE WHEN page_id % 17 = 0 THEN '../' ELSE 'pages/' END || lpad(page_id::varchar, 9, '0') || '.html' AS member_path, strlen(html) AS size, sha256(html) AS sha,
+    CASE WHEN page_id % 17 = 0 THEN 'ARCHIVE_MEMBER_UNSAFE_PATH' WHEN n % {_DAMAGED} = 3 AND n % {_BOMB} <> 4 AND k = members - 1 THEN 'ARCHIVE_MEMBER_DAMAGED' END AS error FROM a
+  UNION ALL SELECT DISTINCT n, members, 'pages/bomb', 3221225472, NULL, 'ARCHIVE_MEMBER_TOO_LARGE' FROM a WHERE n % {_BOMB} = 4),
+m AS (SELECT 'archive-' || lpad(n::varchar, 9, '0') || '.zip' AS path, k::int AS member_index, member_path, size, sha, error FROM f WHERE n % {_CUT} <> 2)"""
+_ARCHIVE_SQL = f"""WITH {_ARCHIVE_MEMBERS} SELECT path, member_index, member_path, size AS uncompressed_bytes, CASE WHEN error IS NULL THEN sha END AS sha256, error FROM m
+UNION ALL SELECT DISTINCT 'archive-' || lpad(n::varchar, 9, '0') || '.zip', NULL, NULL, NULL, NULL, 'ARCHIVE_DAMAGED' FROM f WHERE n % {_CUT} = 2"""
+
 ORACLES = {
     "source_jsonl": f"""WITH {_LINES} SELECT page, line, CASE n WHEN 13 THEN '{{broken' WHEN 21 THEN '42' ELSE props END AS json, CASE n WHEN 13 THEN 'invalid_jsonl_line' WHEN 21 THEN 'parsed_json_scalar' ELSE 'parsed' END AS status FROM l WHERE n <> 7""",
     "source_ledger": f"""WITH {_LINES} SELECT (props->>'$.k')::bigint AS k, count(*) AS lines FROM l WHERE n NOT IN (7, 13, 21) AND props->>'$.k' IS NOT NULL GROUP BY 1""",
     "source_json": "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 4 <> 3",
     "source_csv": """SELECT p_partkey, p_name || ' "x", ' || p_brand || chr(10) || '2' AS p_name, p_size FROM part""",
     "source_sqlite": "SELECT n_nationkey::bigint AS n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
-    "source_archive": """WITH m AS (SELECT 'archive-' || lpad((page_id // 100)::varchar, 9, '0') AS path, page_id, CASE WHEN page_id % 17 = 0 THEN '../' ELSE 'pages/' END || lpad(page_id::varchar, 9, '0') || '.html' AS member_path, coalesce(html, '') AS html FROM pages),
-b AS (SELECT *, sum(strlen(html)) OVER (ORDER BY path, member_path) AS used FROM m)
-SELECT path, (row_number() OVER (PARTITION BY path ORDER BY page_id) - 1)::int AS member_index, member_path, strlen(html) AS uncompressed_bytes, sha256(html) AS sha256,
-  CASE WHEN page_id % 17 = 0 THEN 'ARCHIVE_MEMBER_UNSAFE_PATH' END AS member_error, CASE WHEN used > 400000 THEN 'ARCHIVE_BUDGET_BYTES' END AS budget_error FROM b""",
+    "source_archive": _ARCHIVE_SQL,
+    "source_archive_budget": f"""WITH {_ARCHIVE_MEMBERS}, b AS (SELECT *, sum(size) OVER (ORDER BY path, lower(member_path), member_index) AS used FROM m WHERE size < 3000000000)
+SELECT path, member_index, CASE WHEN error IS NULL AND used <= 400000 THEN sha END AS sha256,
+  CASE WHEN error = 'ARCHIVE_MEMBER_UNSAFE_PATH' THEN error WHEN used > 400000 THEN 'ARCHIVE_BUDGET_BYTES' ELSE error END AS error FROM b""",
+    "source_archive_files": _ARCHIVE_SQL,
     "source_inventory": """SELECT n_nationkey AS n, strlen(n_name) + 1 AS bytes, sha256(n_name || chr(10)) AS sha256, 'text' AS magic, 'text' AS category, 'text/plain' AS mime FROM nation
 UNION ALL SELECT r_regionkey, strlen(r_name) + 14, sha256('{"r_name":"' || r_name || '"}' || chr(10)), 'text', 'text', 'text/plain' FROM region""",
     "source_v1_graph": f"""WITH {_E}, {graph_queries.NODES_SQL} SELECT relation, s.node_type AS from_type, o.node_type AS to_type, count(*) AS edges, count(DISTINCT from_id) AS subjects, count(DISTINCT to_id) AS objects

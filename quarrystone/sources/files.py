@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import os
 import sqlite3
-import stat
+import struct
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
@@ -18,6 +18,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from pyspark.sql.window import Window
 
 from quarrystone.operators.gates import require_columns
+from quarrystone.operators.ordered import running_totals
 
 #: Limits of archive expansion.
 MEMBER_BYTES, RATIO, RATIO_FROM, DEPTH, BUDGET_BYTES, BUDGET_MEMBERS = 2 << 30, 10_000, 100 << 20, 4, 4 << 30, 10_000
@@ -68,7 +69,7 @@ def identified(files: DataFrame) -> DataFrame:
         def kind(raw: bytes) -> str:
             try:
                 names = zipfile.ZipFile(io.BytesIO(raw)).namelist()
-            except zipfile.BadZipFile:
+            except (zipfile.BadZipFile, OSError, ValueError, NotImplementedError, struct.error, OverflowError):
                 return "bad-zip"
             return next((k for prefix, k in OOXML if any(n.startswith(prefix) for n in names)), "zip")
 
@@ -209,32 +210,6 @@ def make_local_folder(path: str) -> None:
     os.makedirs(os.path.dirname(path), exist_ok=True)
 
 
-MEMBERS = "path string, member_index int, member_path string, compressed_bytes long, uncompressed_bytes long, crc32 long, encrypted boolean, is_directory boolean, is_link boolean, sha256 string, content binary"
-
-
-def archive_members(files: DataFrame, with_content: bool = False) -> DataFrame:
-    """Members of ZIP files (path, content), in their order; with their bytes where they are safe and asked for."""
-    import hashlib
-
-    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, raw in zip(batch["path"], batch["content"]):
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(raw))
-                except zipfile.BadZipFile:
-                    continue
-                for i, m in enumerate(archive.infolist()):
-                    encrypted, link = bool(m.flag_bits & 1), stat.S_ISLNK(m.external_attr >> 16)
-                    body = archive.read(m) if with_content and not (encrypted or link or m.is_dir() or m.file_size > MEMBER_BYTES) else None
-                    row = (
-                        path, i, m.filename, m.compress_size, m.file_size, m.CRC, encrypted, m.is_dir(), link,
-                        None if body is None else hashlib.sha256(body).hexdigest(), body
-                    )
-                    yield pd.DataFrame([row], columns=[c.split()[0] for c in MEMBERS.split(", ")], dtype=object)
-
-    return files.select("path", "content").mapInPandas(listed, MEMBERS)
-
-
 def member_error(depth: Column | None = None) -> Column:
     """Why a member must not be expanded, by the first rule that holds; null if it may be."""
     path = F.replace(F.col("member_path"), F.lit("\\"), F.lit("/"))
@@ -246,32 +221,14 @@ def member_error(depth: Column | None = None) -> Column:
 
 
 def within_budget(members: DataFrame, most_bytes: int = BUDGET_BYTES, most_members: int = BUDGET_MEMBERS) -> DataFrame:
-    """budget_error of members under a budget shared by all containers in order of path and member; what crosses it becomes a gap.
-
-    Sums inside a container come first and containers are added up in order, so no task sees all members."""
+    """budget_error of members under a budget shared by all containers in order of path and member; what crosses it becomes a gap."""
     order = [F.lower("member_path"), "member_index"]
     inside = Window.partitionBy("path").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    totals = members.groupBy("path").agg(F.sum("uncompressed_bytes").alias("_b"), F.count("*").alias("_n"))
-    offsets = totals.select("path", F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_ob"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_on"))
-    placed = members.withColumn("_ib", F.sum("uncompressed_bytes").over(inside)).withColumn("_in", F.count("*").over(inside)).join(offsets, "path")
+    totals = members.groupBy(F.col("path").alias("_path")).agg(F.sum("uncompressed_bytes").alias("_b"), F.count("*").alias("_n"))
+    offsets = running_totals(totals, ["_path"], {"_ob": "_b", "_on": "_n"}).select("_path", "_ob", "_on")
+    placed = members.withColumn("_ib", F.sum("uncompressed_bytes").over(inside)).withColumn("_in", F.count("*").over(inside)).join(offsets, F.col("path") == F.col("_path"))
     error = F.when(F.col("_ob") + F.col("_ib") > most_bytes, "ARCHIVE_BUDGET_BYTES").when(F.col("_on") + F.col("_in") > most_members, "ARCHIVE_BUDGET_MEMBERS")
-    return placed.withColumn("budget_error", error).drop("_ib", "_in", "_ob", "_on")
-
-
-def archive_tree(files: DataFrame) -> DataFrame:
-    """Members of archives and of the archives inside them, to DEPTH levels, with their depth and why one is not opened.
-
-    A level is read from the contents of the level above; a nested archive's path is that of its member."""
-    found, level = [], files.select("path", "content")
-    for depth in range(1, DEPTH + 1):
-        members = archive_members(level, with_content=True).withColumn("error", member_error())
-        found.append(members.withColumn("depth", F.lit(depth)))
-        zipped = F.hex(F.substring("content", 1, 4)) == "504B0304"
-        level = members.filter(F.col("error").isNull() & zipped).select(F.concat_ws("!", "path", "member_path").alias("path"), "content")
-    every = reduce(DataFrame.unionByName, found)
-    deepest = (F.col("depth") == DEPTH) & (F.hex(F.substring("content", 1, 4)) == "504B0304")
-    return every.withColumn("error", F.coalesce("error", F.when(deepest, "ARCHIVE_DEPTH"))).drop("content")
+    return placed.withColumn("budget_error", error).drop("_ib", "_in", "_ob", "_on", "_path")
 
 
 def manifest_faults(manifest: DataFrame, occurrences: DataFrame, artifacts: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from quarrystone.operators import walk
 from quarrystone.operators.gates import GateError, enforce, expected_counts, gate, report
 from quarrystone.operators.mail import checked_parents, cycle_members, without_cycles
 from quarrystone.operators.search import page
-from quarrystone.sources import files, sinks
+from quarrystone.sources import archives, files, sinks
 from tests.conftest import SMALL
 from quarrystone.streaming import paths
 
@@ -126,10 +126,11 @@ def test_file_sources(spark, tmp_path):
     assert {r.rel: (r.magic, r.category) for r in found.collect()} == {
         "x.png": ("png", "image"), "y.txt": ("text", "text"), "b.zip": ("zip", "archive"), "w.docx": ("bad-zip", "other")
     }
-    members = files.archive_members(files.inventory(spark, str(tmp_path / "a")), with_content=True)
-    judged = {r.member_path: (r.e, r.content) for r in members.withColumn("e", files.member_error()).collect()}
-    assert judged["in/one.txt"] == (None, b"1") and judged["../up.txt"][0] == "ARCHIVE_MEMBER_UNSAFE_PATH"
-    cut = files.within_budget(members, most_bytes=1)
+    zips = files.inventory(spark, str(tmp_path / "a")).filter("extension = '.zip'")
+    members = archives.expanded(archives.judged(archives.listed(zips)), zips, with_content=True)
+    judged = {r.member_path: (r.error, r.content) for r in members.collect()}
+    assert judged == {"in/one.txt": (None, b"1"), "../up.txt": ("ARCHIVE_MEMBER_UNSAFE_PATH", None)}
+    cut = files.within_budget(archives.listed(zips), most_bytes=1)
     assert sorted(r.budget_error or "" for r in cut.collect()) == ["", "ARCHIVE_BUDGET_BYTES"]
 
 
