@@ -15,31 +15,6 @@ SHARD_CHARS, CHUNK_CHARS = 24_000, 60_000
 ALL_BITS = (1 << 64) - 1
 
 
-def packed(records: DataFrame, group: str, order: str, size: str, capacity: int = SHARD_CHARS) -> DataFrame:
-    """shard of each record: records of a group in order fill a shard until the next would overflow it.
-
-    Which shard a record falls into depends on all before it, so each group is folded in order, in batches: a task holds one
-    running sum, not the group."""
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, shard, used = None, 0, 0
-        for batch in batches:
-            shards = []
-            for g, n in zip(batch["g"], batch["n"]):
-                if g != now:
-                    now, shard, used = g, 0, 0
-                if used and used + n > capacity:
-                    shard, used = shard + 1, 0
-                used += n
-                shards.append(shard)
-            yield pd.DataFrame({"g": batch["g"], "o": batch["o"], "shard": shards})
-
-    rows = records.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(size).cast("long").alias("n"))
-    kinds = dict(rows.dtypes)
-    dealt = rows.repartition("g").sortWithinPartitions("g", "o")
-    return dealt.mapInPandas(fold, f"g {kinds['g']}, o {kinds['o']}, shard long").toDF(group, order, "shard")
-
-
 def fragments(records: DataFrame, key: str, text: str, width: int = CHUNK_CHARS) -> DataFrame:
     """Fixed-width pieces of long texts, in order; a short or empty text is one piece."""
     n = F.greatest(F.lit(1), F.ceil(F.length(text) / width).cast("int"))

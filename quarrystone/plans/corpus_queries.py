@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.functions import classify, text, urls
-from quarrystone.operators import corpus, reconcile
+from quarrystone.operators import corpus, packing, reconcile
 from quarrystone.plans.tables import table
 
 
@@ -64,7 +64,14 @@ def field_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def greedy_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.packed(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars").withColumnRenamed("doc_id", "position")
+    return packing.packed(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars", corpus.SHARD_CHARS).withColumnRenamed("doc_id", "position")
+
+
+def pack_as_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as a single group, small shards: the records, characters and first document of each."""
+    d = table(spark, sf_dir, "documents").select(F.lit(1).alias("all"), "doc_id", "n_chars")
+    shards = packing.packed(d, "all", "doc_id", "n_chars", 3000).join(d.select("doc_id", "n_chars"), "doc_id")
+    return shards.groupBy("shard").agg(F.count("*").alias("records"), F.sum("n_chars").cast("long").alias("chars"), F.min("doc_id").alias("first_doc"))
 
 
 def record_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +200,7 @@ def size_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (invoice_classify, money_parse, id_infer, field_route, greedy_pack, record_fragments, exact_union, union_balance, pagination_summary, multiset_fingerprint, summed_fingerprint, page_stability, bijection, path_difference, resource_resolution, failure_coverage, repair_merge, metric_diff, capped_payload, frame_pairs, frames_kept, size_labels)
+    for f in (invoice_classify, money_parse, id_infer, field_route, greedy_pack, pack_as_one, record_fragments, exact_union, union_balance, pagination_summary, multiset_fingerprint, summed_fingerprint, page_stability, bijection, path_difference, resource_resolution, failure_coverage, repair_merge, metric_diff, capped_payload, frame_pairs, frames_kept, size_labels)
 }
 
 _SIGNS = "v AS (SELECT vec_id, label, list_reduce(list_prepend(0::hugeint, list_transform(embedding, lambda x: (x > 0)::hugeint)), lambda a, x: a * 2 + x) AS b FROM embeddings)"
@@ -216,6 +223,11 @@ f AS (SELECT source, doc_id, k, 0::bigint AS shard, n_chars AS used FROM o WHERE
   UNION ALL SELECT o.source, o.doc_id, o.k, CASE WHEN f.used > 0 AND f.used + o.n_chars > 24000 THEN f.shard + 1 ELSE f.shard END, CASE WHEN f.used > 0 AND f.used + o.n_chars > 24000 THEN o.n_chars ELSE f.used + o.n_chars END
   FROM f JOIN o ON o.source = f.source AND o.k = f.k + 1)
 SELECT source, doc_id AS position, shard FROM f""",
+    "pack_as_one": """WITH RECURSIVE o AS MATERIALIZED (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
+f AS (SELECT doc_id, k, 0::bigint AS shard, n_chars AS used, n_chars FROM o WHERE k = 1
+  UNION ALL SELECT o.doc_id, o.k, CASE WHEN f.used > 0 AND f.used + o.n_chars > 3000 THEN f.shard + 1 ELSE f.shard END, CASE WHEN f.used > 0 AND f.used + o.n_chars > 3000 THEN o.n_chars ELSE f.used + o.n_chars END, o.n_chars
+  FROM f JOIN o ON o.k = f.k + 1)
+SELECT shard, count(*) AS records, sum(n_chars)::bigint AS chars, min(doc_id) AS first_doc FROM f GROUP BY 1""",
     "record_fragments": """WITH n AS (SELECT doc_id, text, greatest(1, ceil(length(text) / 1000))::bigint AS n FROM documents), p AS (SELECT doc_id, text, unnest(range(n)) AS piece FROM n)
 SELECT doc_id, piece, sha256(substr(text, piece * 1000 + 1, 1000)) AS sha256 FROM p""",
     "exact_union": "SELECT lang, sha256(coalesce(text, '')) AS value_sha256, min(doc_id) AS first_position, count(*) AS records, count(DISTINCT source) AS sources FROM documents GROUP BY 1, 2",
