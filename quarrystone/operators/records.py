@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrystone.functions.classify import rules
+from quarrystone.sources.scratch import kept
 
 
 def pairs_within(rows: DataFrame, record: str, position: str, ident: str) -> DataFrame:
@@ -62,6 +63,30 @@ def window_anchors(ids: DataFrame, ident: str, step: int, buckets: int = 256) ->
     return ranked.filter((F.col("position") % step == 0) | (F.col(ident) == F.col("_high"))).select(ident, "position")
 
 
+def window_cover(ids: DataFrame, windows: DataFrame, anchors: DataFrame, ident: str) -> DataFrame:
+    """The anchors whose windows cover all ids, with the round that added them (0 for the given ones).
+
+    windows (anchor, covered) says which ids each id's window holds; windows may have holes.  Of the ids that the given anchors leave uncovered, the first
+    becomes an anchor, and so on with those that its window leaves.  A round takes at once every uncovered id that no earlier uncovered one can cover,
+    which are the same ids in fewer rounds: as many as there are ids in the longest chain of windows that reach into each other.  State is a table for
+    each round."""
+    pairs = windows.select(F.col("anchor").alias("_a"), F.col("covered").alias("_c"))
+    wanted = ids.select(F.col(ident).alias("_id")).distinct()
+    chosen = kept(anchors.select(F.col(ident).alias("_id")).distinct().withColumn("round", F.lit(0)), "cover-anchors")
+    picked, left, rounds, done = chosen, wanted, [chosen], 0
+    while True:
+        # when the first uncovered id is taken, all before it are covered: windows of added anchors matter forwards only
+        seen = (pairs.filter("_c > _a") if done else pairs).join(picked, F.col("_a") == F.col("_id"), "left_semi").select(F.col("_c").alias("_id")).unionByName(picked.select("_id")).distinct()
+        left = kept(left.join(seen, "_id", "left_anti"), "cover-left")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, rounds).select(F.col("_id").alias(ident), "round")
+        done += 1
+        inside = pairs.filter("_c > _a").join(left, F.col("_a") == F.col("_id"), "left_semi")
+        later = inside.select(F.col("_c").alias("_id")).distinct()
+        picked = kept(left.join(later, "_id", "left_anti").withColumn("round", F.lit(done)), "cover-anchors")
+        rounds.append(picked)
+
+
 def receipts_bound(receipts: DataFrame, artifacts: DataFrame, key: str, checks: list[str]) -> DataFrame:
     """Whether each receipt agrees with its artifact in every check column; a receipt or artifact alone is unbound."""
     a = artifacts.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in checks))

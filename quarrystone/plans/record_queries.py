@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.operators import corpus, records
+from quarrystone.operators import corpus, ordered, records
 from quarrystone.plans import package_queries
 from quarrystone.plans.tables import table
 from quarrystone.plans.walk_queries import NESTED_SQL, nested_orders
+from quarrystone.sources.scratch import kept
 
 
 def cooccurrence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +54,16 @@ def window_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.window_anchors(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 100)
 
 
+def window_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in order of their keys; a window holds six to either side, with holes.  Every twelfth is an anchor first."""
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    placed = kept(ordered.running_totals(c, ["c_custkey"], {"p": "1"}), "cover-places")
+    reach = placed.select(F.col("c_custkey").alias("anchor"), F.col("p").alias("from"), F.explode(F.sequence(F.lit(-6), F.lit(6))).alias("q"))
+    whole = reach.filter("(from * 7 + q * 3 + 60) % 5 > 1").select("anchor", (F.col("from") + F.col("q")).alias("p"))
+    windows = whole.join(placed, "p").select("anchor", F.col("c_custkey").alias("covered"))
+    return records.window_cover(c, windows, placed.filter("p % 12 = 0").select("c_custkey"), "c_custkey").select("c_custkey", (F.col("round") > 0).alias("added"))
+
+
 def receipt_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipts of documents: some lack, some name another size or text."""
     d = table(spark, sf_dir, "documents").select(
@@ -121,7 +132,7 @@ def package_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (cooccurrence_pairs, most_common_source, first_known_user, page_text_merge, recognised_lines, window_anchors, receipt_binding, next_action, multi_root, record_parts, receipt_totals, package_profiles)
+    for f in (cooccurrence_pairs, most_common_source, first_known_user, page_text_merge, recognised_lines, window_anchors, window_cover, receipt_binding, next_action, multi_root, record_parts, receipt_totals, package_profiles)
 }
 
 ORACLES = {
@@ -144,6 +155,12 @@ SELECT conv_id, turn, sha256(coalesce(st, nt, '')) AS text_sha256, CASE WHEN st
   round(avg(CASE WHEN l_partkey % 5 <> 0 THEN round(l_discount * 100) END), 6) AS mean_confidence, count(*) AS words FROM lineitem GROUP BY 1""",
     "window_anchors": """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders)
 SELECT o_orderkey, position FROM r WHERE position % 100 = 0 OR o_orderkey = (SELECT max(o_orderkey) FROM orders)""",
+    "window_cover": """WITH RECURSIVE c AS MATERIALIZED (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS p FROM customer),
+b AS MATERIALIZED (SELECT c.p, bool_or(c.p % 12 = 0 OR (a.p * 7 + (c.p - a.p) * 3 + 60) % 5 > 1 AND a.p IS NOT NULL) AS seen FROM c LEFT JOIN c a ON a.p % 12 = 0 AND a.p BETWEEN c.p - 6 AND c.p + 6 GROUP BY 1),
+w AS (SELECT p, seen, list_sum(list_transform(range(1, 7), lambda q: CASE WHEN (p * 7 + q * 3 + 60) % 5 > 1 THEN 1 << q::int ELSE 0 END))::int AS ahead FROM b),
+f AS (SELECT p, NOT seen AS added, CASE WHEN seen THEN 0 ELSE ahead END AS mask FROM w WHERE p = 0
+  UNION ALL SELECT w.p, NOT w.seen AND (mask >> 1) % 2 = 0, (mask >> 1) | CASE WHEN NOT w.seen AND (mask >> 1) % 2 = 0 THEN ahead ELSE 0 END FROM f JOIN w ON w.p = f.p + 1)
+SELECT c_custkey, added FROM f JOIN c USING (p) WHERE added OR p % 12 = 0""",
     "receipt_binding": """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'no_receipt' WHEN doc_id % 11 = 0 THEN 'no_artifact' WHEN doc_id % 5 = 0 AND doc_id % 4 = 0 THEN 'differs:bytes,sha256'
   WHEN doc_id % 5 = 0 THEN 'differs:bytes' WHEN doc_id % 4 = 0 THEN 'differs:sha256' ELSE 'bound' END AS binding FROM documents WHERE NOT (doc_id % 7 = 0 AND doc_id % 11 = 0)""",
     "next_action": """WITH s AS (SELECT source, count(*) FILTER (WHERE toxic IS NULL) AS open_docs, count(*) FILTER (WHERE toxic = 1) AS gaps, count(*) FILTER (WHERE quality = 1) AS done FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1)
