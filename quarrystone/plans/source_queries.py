@@ -16,7 +16,7 @@ from quarrystone.plans import graph_queries, package_queries
 from quarrystone.plans.tables import table
 from quarrystone.sources import archives, files, sinks
 from quarrystone.sources.scratch import kept, scratch_folder
-from quarrystone.streaming import paths
+from quarrystone.streaming import paths, state
 
 #: Lines of one file that is read whole, because its lines are numbered.
 FILE_LINES = 1000
@@ -326,6 +326,40 @@ def stream_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/queue/version={query.lastProgress.batchId if query.lastProgress else 0}").select("entry", "severity", "attempts", "status")
 
 
+def stream_repair_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repair queue as keyed state: half of the ledger, a restart, and the other half, in several batches each."""
+    folder = _folder(spark, "repair-states")
+    l = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("severity"), F.max("quality").alias("quality"))  # noqa: E741
+    twice = l.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = twice.select(
+        F.col("doc_id").alias("entry"), (F.col("severity") - F.col("again")).alias("severity"), (F.col("doc_id") % 100 + 40 * F.col("again")).alias("recorded"),
+        (F.col("doc_id") % 4 + F.col("again")).alias("attempts"), F.when(F.col("quality") == 1, F.col("doc_id") % 130).alias("resolved_at"), "again"
+    ).select("entry", F.greatest("severity", F.lit(0)).alias("severity"), "recorded", "attempts", "resolved_at", "again")
+    for again in (0, 1):  # the second part comes after the query was stopped and started anew
+        sinks.write_jsonl(rows.filter(F.col("again") == again).drop("again").repartition(4), f"{folder}/in/part={again}")
+        stream = paths.ledger_stream(spark, f"{folder}/in", "entry long, severity int, recorded long, attempts long, resolved_at long", files_per_batch=2)
+        _finished(state.append_updates(state.repair_states(stream, timed=False), f"{folder}/updates", f"{folder}/state"))
+    return state.present(spark, f"{folder}/updates").select("entry", "severity", "attempts", "first_recorded", "last_recorded", "status")
+
+
+def stream_repair_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timers of open entries: what is not heard of for an hour of business time is due, and given up when it has had its attempts."""
+    folder = _folder(spark, "repair-timers")
+    n = table(spark, sf_dir, "customer").select("c_custkey")
+    hour = 3_600_000
+    first = n.select(
+        F.col("c_custkey").alias("entry"), F.lit(1).alias("severity"), (F.col("c_custkey") % 50 + hour).cast("long").alias("recorded"), (F.col("c_custkey") % 6).alias("attempts"),
+        F.when(F.col("c_custkey") % 4 == 0, F.lit(3 * hour).cast("long")).alias("resolved_at")
+    )
+    news = n.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("entry"), F.lit(1).alias("severity"), F.lit(2 * hour).cast("long").alias("recorded"), F.lit(0).cast("long").alias("attempts"), F.lit(None).cast("long").alias("resolved_at"))
+    clock = spark.range(1).select((-F.lit(1)).cast("long").alias("entry"), F.lit(0).alias("severity"), F.lit(2 * hour + hour // 2).cast("long").alias("recorded"), F.lit(0).cast("long").alias("attempts"), F.lit(None).cast("long").alias("resolved_at"))
+    for k, part in enumerate((first, news, clock)):  # parts follow each other; the last one only moves the clock
+        sinks.write_jsonl(part.coalesce(1), f"{folder}/in/part={k}")
+        stream = paths.ledger_stream(spark, f"{folder}/in", "entry long, severity int, recorded long, attempts long, resolved_at long")
+        _finished(state.append_updates(state.repair_states(stream), f"{folder}/updates", f"{folder}/state"))
+    return state.present(spark, f"{folder}/updates").filter("entry >= 0").select("entry", "attempts", "status")
+
+
 def url_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest capture of each canonical url, with its fragment and parameters put in order."""
     p = table(spark, sf_dir, "pages").select(urls.canonical(F.col("url")).alias("canonical"), "page_id", F.sha2("html", 256).alias("sha256"))
@@ -334,7 +368,7 @@ def url_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     source_jsonl, source_ledger, source_json, source_csv, source_sqlite, source_archive, source_archive_budget, source_archive_files, source_inventory, source_v1_graph, sink_tables, sink_v1_tables, sink_graphml, sink_jsonl, sink_checksums, corpus_records,
-    stream_first_seen, stream_latest, stream_windows, stream_repairs, url_map,
+    stream_first_seen, stream_latest, stream_windows, stream_repairs, stream_repair_states, stream_repair_timers, url_map,
 )}
 
 _LINES = """l AS (SELECT event_id, event_id // 1000 AS page, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) AS line, event_id % 50 AS n, coalesce(props, '{}') AS props FROM events)"""
@@ -384,6 +418,10 @@ UNION ALL SELECT 'payload', sha, n, 'observed' FROM f UNION ALL SELECT 'customs'
     "stream_latest": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1",
     "stream_windows": "SELECT epoch_us(date_trunc('hour', ts)) AS window_start, count(*) AS events, min(epoch_us(ts)) AS first_event, max(epoch_us(ts)) AS last_event FROM events GROUP BY 1",
     "stream_repairs": """SELECT doc_id AS entry, max(toxic)::int AS severity, doc_id % 4 AS attempts, CASE WHEN max(quality) = 1 AND doc_id % 130 >= doc_id % 100 THEN 'resolved' ELSE 'open' END AS status FROM labels GROUP BY doc_id""",
+    "stream_repair_states": """SELECT doc_id AS entry, max(toxic)::int AS severity, doc_id % 4 + 1 AS attempts, doc_id % 100 AS first_recorded, doc_id % 100 + 40 AS last_recorded,
+  CASE WHEN max(quality) = 1 AND doc_id % 130 >= doc_id % 100 + 40 THEN 'resolved' ELSE 'open' END AS status FROM labels GROUP BY doc_id""",
+    "stream_repair_timers": """SELECT c_custkey AS entry, c_custkey % 6 + (c_custkey % 3 <> 0 AND c_custkey % 4 <> 0 AND c_custkey % 6 < 5)::int AS attempts,
+  CASE WHEN c_custkey % 4 = 0 THEN 'resolved' WHEN c_custkey % 3 = 0 THEN 'open' WHEN c_custkey % 6 = 5 THEN 'given_up' ELSE 'due' END AS status FROM customer""",
     "url_map": """WITH q AS (SELECT page_id, html, regexp_replace(url, '[?#].*$', '') AS base, list_sort(list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\\?(.*)$', 1), '&'), lambda p: p <> '')) AS pairs FROM pages)
 SELECT CASE WHEN len(pairs) > 0 THEN base || '?' || array_to_string(pairs, '&') ELSE base END AS canonical, sha256(arg_max(html, page_id)) AS sha256, count(*) AS captures FROM q GROUP BY 1""",
 }
