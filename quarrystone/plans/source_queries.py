@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.functions import urls
-from quarrystone.operators import graph
+from quarrystone.operators import gates, graph
 from quarrystone.plans import graph_queries, package_queries
 from quarrystone.plans.tables import table
-from quarrystone.sources import archives, files, sinks
+from quarrystone.sources import archives, files, packages, sinks
 from quarrystone.sources.scratch import kept, scratch_folder
 from quarrystone.streaming import paths, state
 
@@ -223,6 +223,38 @@ def sink_graphml(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sink_graphml_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph as one GraphML file, line by line in its order."""
+    path = f"{_folder(spark, 'graphml')}/graph.graphml.gz"
+    packages.write_graphml(graph_queries.case_nodes(spark, sf_dir), graph_queries.case_edges(spark, sf_dir), path)
+    # a compressed file is read by one task, so rows come in the order of its lines
+    return spark.read.text(path).select((F.monotonically_increasing_id() + 1).alias("line"), F.sha2("value", 256).alias("sha256"))
+
+
+def package_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package is published and verified, then one file is changed, one is added, and the seal is taken away: the gates that fail."""
+    target = _folder(spark, "published") + "/package"
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    orphans = gates.gate("ORDER_WITHOUT_CUSTOMER", o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left_anti"))
+    tables = {"customers": c.select("c_custkey", "c_name").coalesce(2), "orders": o.select("o_orderkey", "o_custkey").coalesce(2)}
+    counts = packages.publish(spark, tables, [orphans], target)
+    store = packages.Store(spark, target)
+    rows = [("published", name, n) for name, n in counts.items()]
+    rows += [("read", name, df.count()) for name, df in packages.read_package(spark, target).items()]
+
+    def faults(stage: str) -> None:
+        rows.extend((stage, r.gate, r.n) for r in packages.package_faults(spark, target).groupBy("gate").agg(F.count("*").alias("n")).collect())
+
+    faults("whole")
+    store.write(store.names(f"{target}/tables/orders")[0], iter([b"changed"]), overwrite=True)
+    faults("changed")
+    store.write(f"{target}/tables/more", iter([b"more"]))
+    faults("added")
+    store.delete(f"{target}/{packages.SEAL}")
+    faults("unsealed")
+    return spark.createDataFrame(rows, "stage string, gate string, n long")
+
+
 def sink_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents through JSONL: every text comes back as it was."""
     folder = _folder(spark, "documents")
@@ -367,7 +399,7 @@ def url_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    source_jsonl, source_ledger, source_json, source_csv, source_sqlite, source_archive, source_archive_budget, source_archive_files, source_inventory, source_v1_graph, sink_tables, sink_v1_tables, sink_graphml, sink_jsonl, sink_checksums, corpus_records,
+    source_jsonl, source_ledger, source_json, source_csv, source_sqlite, source_archive, source_archive_budget, source_archive_files, source_inventory, source_v1_graph, sink_tables, sink_v1_tables, sink_graphml, sink_graphml_file, package_published, sink_jsonl, sink_checksums, corpus_records,
     stream_first_seen, stream_latest, stream_windows, stream_repairs, stream_repair_states, stream_repair_timers, url_map,
 )}
 
@@ -379,6 +411,7 @@ _V1_ROWS = {
 }
 _PACKAGE = package_queries.PACKAGE_SQL
 
+_XML = "replace(replace(replace(replace(coalesce({}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;')"
 _ARCHIVE_MEMBERS = f"""a AS (SELECT page_id // 20 AS n, page_id, coalesce(html, '') AS html, row_number() OVER (PARTITION BY page_id // 20 ORDER BY page_id) - 1 AS k, count(*) OVER (PARTITION BY page_id // 20) AS members FROM pages),
 f AS (SELECT n, k, CASE WHEN page_id % 17 = 0 THEN '../' ELSE 'pages/' END || lpad(page_id::varchar, 9, '0') || '.html' AS member_path, strlen(html) AS size, sha256(html) AS sha,
     CASE WHEN page_id % 17 = 0 THEN 'ARCHIVE_MEMBER_UNSAFE_PATH' WHEN n % {_DAMAGED} = 3 AND n % {_BOMB} <> 4 AND k = members - 1 THEN 'ARCHIVE_MEMBER_DAMAGED' END AS error FROM a
@@ -406,6 +439,14 @@ FROM edges LEFT JOIN nodes s ON s.node_id = from_id LEFT JOIN nodes o ON o.node_
     "sink_v1_tables": f"WITH {_PACKAGE.replace('nodes AS (', 'package_nodes AS (')}, {_E}, {graph_queries.FACTS_SQL}, {graph_queries.NODES_SQL} "
     + " UNION ALL ".join(f"SELECT '{name}' AS table_name, ({sql}) AS row_count, '{V1_SPECS[name]}' AS columns" for name, sql in _V1_ROWS.items()),
     "sink_graphml": f"WITH {_E}, {graph_queries.NODES_SQL} SELECT 'node' AS element, count(*) AS elements, count(*) AS named FROM nodes UNION ALL SELECT 'edge', count(*), count(*) FROM edges",
+    "sink_graphml_file": f"""WITH {_E}, {graph_queries.NODES_SQL},
+e AS (SELECT 1 AS part, row_number() OVER (ORDER BY node_id) AS k, '<node id="' || {_XML.format('node_id')} || '"><data key="type">' || {_XML.format('node_type')} || '</data><data key="value">' || {_XML.format('value')} || '</data></node>' AS value FROM nodes
+  UNION ALL SELECT 2, row_number() OVER (ORDER BY from_id, relation, to_id), '<edge source="' || {_XML.format('from_id')} || '" target="' || {_XML.format('to_id')} || '"><data key="relation">' || {_XML.format('relation')} || '</data></edge>' FROM edges
+  UNION ALL SELECT 0, k, x FROM (SELECT unnest({sinks.GRAPHML_HEAD.splitlines()!r}) AS x, unnest(range({len(sinks.GRAPHML_HEAD.splitlines())})) AS k)
+  UNION ALL SELECT 3, k, x FROM (SELECT unnest({sinks.GRAPHML_FOOT.splitlines()!r}) AS x, unnest(range({len(sinks.GRAPHML_FOOT.splitlines())})) AS k))
+SELECT row_number() OVER (ORDER BY part, k) AS line, sha256(value) AS sha256 FROM e""",
+    "package_published": """SELECT stage, gate, n FROM (VALUES ('published'), ('read')) s(stage), (SELECT 'customers' AS gate, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders)
+UNION ALL SELECT * FROM (VALUES ('changed', 'CHECKSUM_MISMATCH', 1), ('added', 'CHECKSUM_MISMATCH', 1), ('added', 'CHECKSUM_COVERAGE', 1), ('unsealed', 'SEAL_MISSING', 1)) v(stage, gate, n)""",
     "sink_jsonl": "SELECT doc_id, source, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
     "sink_checksums": """WITH n AS (SELECT n_nationkey AS n FROM nation)
 SELECT n, CASE n WHEN 4 THEN 'CHECKSUM_COVERAGE' WHEN 7 THEN 'CHECKSUM_PATH_ESCAPES' WHEN 9 THEN 'CHECKSUM_MISSING' WHEN 2 THEN 'CHECKSUM_DUPLICATE' ELSE 'CHECKSUM_MISMATCH' END AS fault FROM n WHERE n IN (2, 4, 7, 9) OR n % 5 = 1

@@ -7,10 +7,10 @@ import hashlib
 import os
 import re
 from collections.abc import Iterable
+from functools import reduce
 from pathlib import Path
-from xml.sax.saxutils import quoteattr
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.operators.gates import GateError, enforce, report
@@ -31,15 +31,48 @@ def write_tables(tables: dict[str, DataFrame], folder: str) -> dict[str, int]:
     return counts
 
 
+GRAPHML_HEAD = '''<?xml version="1.0" encoding="UTF-8"?>
+<graphml xmlns="http://graphml.graphdrawing.org/xmlns">
+<key id="type" for="node" attr.name="type" attr.type="string"/>
+<key id="value" for="node" attr.name="value" attr.type="string"/>
+<key id="relation" for="edge" attr.name="relation" attr.type="string"/>
+<graph edgedefault="directed">
+'''
+GRAPHML_FOOT = "</graph>\n</graphml>\n"
+#: What stands for characters that XML reserves or attributes would lose, the ampersand first.
+_REFERENCES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\t", "&#9;"), ("\n", "&#10;"), ("\r", "&#13;"))
+
+
+def xml_safe(text: str | None) -> str:
+    return reduce(lambda t, r: t.replace(*r), _REFERENCES, clean_xml(text or ""))
+
+
+def xml_column(text: Column) -> Column:
+    """xml_safe() as an expression."""
+    clean = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\t\n\r\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]", "\ufffd")
+    return reduce(lambda t, r: F.replace(t, F.lit(r[0]), F.lit(r[1])), _REFERENCES, clean)
+
+
+def node_elements(nodes: DataFrame) -> DataFrame:
+    """One <node> element a row, in value, with its id."""
+    parts = '<node id="', xml_column(F.col("node_id")), '"><data key="type">', xml_column(F.col("node_type")), '</data><data key="value">', xml_column(F.col("value")), "</data></node>"
+    return nodes.select("node_id", F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("value"))
+
+
+def edge_elements(edges: DataFrame) -> DataFrame:
+    """One <edge> element a row, in value, with its ends and relation."""
+    parts = '<edge source="', xml_column(F.col("from_id")), '" target="', xml_column(F.col("to_id")), '"><data key="relation">', xml_column(F.col("relation")), "</data></edge>"
+    return edges.select("from_id", "relation", "to_id", F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("value"))
+
+
 def graphml_lines(nodes: DataFrame, edges: DataFrame) -> Iterable[str]:
     """The graph as GraphML, nodes then edges by id.  Rows stream through the driver one partition at a time."""
-    yield '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n<key id="type" for="node" attr.name="type" attr.type="string"/>\n<key id="value" for="node" attr.name="value" attr.type="string"/>\n<key id="relation" for="edge" attr.name="relation" attr.type="string"/>\n<graph edgedefault="directed">\n'
-    escape = lambda s: quoteattr(clean_xml(s or ""))[1:-1]
+    yield GRAPHML_HEAD
     for n in nodes.select("node_id", "node_type", "value").orderBy("node_id").toLocalIterator():
-        yield f'<node id="{escape(n.node_id)}"><data key="type">{escape(n.node_type)}</data><data key="value">{escape(n.value)}</data></node>\n'
+        yield f'<node id="{xml_safe(n.node_id)}"><data key="type">{xml_safe(n.node_type)}</data><data key="value">{xml_safe(n.value)}</data></node>\n'
     for e in edges.select("from_id", "relation", "to_id").orderBy("from_id", "relation", "to_id").toLocalIterator():
-        yield f'<edge source="{escape(e.from_id)}" target="{escape(e.to_id)}"><data key="relation">{escape(e.relation)}</data></edge>\n'
-    yield "</graph>\n</graphml>\n"
+        yield f'<edge source="{xml_safe(e.from_id)}" target="{xml_safe(e.to_id)}"><data key="relation">{xml_safe(e.relation)}</data></edge>\n'
+    yield GRAPHML_FOOT
 
 
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
@@ -51,13 +84,7 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 def write_graphml_parts(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
     """The same elements as text parts, for graphs that no driver should stream."""
-    clean = lambda c: F.replace(F.replace(F.replace(F.regexp_replace(c, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", "�"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
-    n = nodes.select(F.format_string(
-        '<node id="%s"><data key="type">%s</data><data key="value">%s</data></node>', clean("node_id"), clean("node_type"), clean("value")
-    ).alias("value"))
-    e = edges.select(F.format_string(
-        '<edge source="%s" target="%s"><data key="relation">%s</data></edge>', clean("from_id"), clean("to_id"), clean("relation")
-    ).alias("value"))
+    n, e = node_elements(nodes).select("value"), edge_elements(edges).select("value")
     n.write.option("compression", "gzip").text(f"{folder}/nodes")
     e.write.option("compression", "gzip").text(f"{folder}/edges")
 
