@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.functions import classify, text, urls
@@ -10,19 +10,18 @@ from quarrystone.operators import corpus, packing, reconcile
 from quarrystone.plans.tables import table
 
 
+def _ascii(column: str) -> Column:
+    """Other letters as x, so that words end at the same places for every reader of patterns."""
+    return F.regexp_replace(F.coalesce(column, F.lit("")), r"[^\x00-\x7F]", "x")
+
+
 def invoice_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts made of line items: how many groups of signs they show, and what follows."""
-    l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    n = F.col("l_orderkey") % 5
-    words = F.concat_ws(
-        " ", F.when(n >= 1, F.lit("Seller: us")), F.when(n >= 2, F.lit("Invoice No. 5")), F.when(n >= 3, F.lit("Quantity 4")),
-        F.when(n >= 4, F.lit("Total USD 12")), F.lit("word")
-    )
-    rows = l.select("l_orderkey", "l_linenumber", words.alias("text"))
-    return rows.select(
-        "l_orderkey", "l_linenumber", classify.invoice_groups(F.col("text")).alias("groups"),
-        classify.invoice_status(F.col("text"), F.col("l_linenumber") % 2 == 1).alias("status")
-    )
+    """Documents with signs of invoices put between their words: how many groups of signs each text shows, and what follows."""
+    signs = F.array(*(F.lit(x) for x in ("", " SELLER ", " Invoice  No. 5, unit price ", " date: qty 4 TOTAL ", " bill to: signed, exw $ ", "item amount incoterms\nstamp ", " p / i # cny Deposit authorized buyer model ")))
+    t = _ascii("text")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.get(signs, (F.col("doc_id") % 7).cast("int")), t, F.get(signs, (F.floor(F.col("doc_id") / 7) % 7).cast("int"))).alias("text"))
+    hit = F.contains("text", F.lit(" the "))
+    return rows.select("doc_id", classify.invoice_groups(F.col("text")).alias("groups"), classify.invoice_status(F.col("text"), hit).alias("status"))
 
 
 def money_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,27 +38,33 @@ def money_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _first_word() -> Column:
+    return F.regexp_extract(F.lower(_ascii("text")), "([a-z]+)", 1)
+
+
 def id_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = [
-        "mail_id", "root_mail_id", "buyer_company_id", "email_message_id", "sku_id", "id", "orderid", "reply_to", "trade_doc_id", "valid", "xyz_id",
-        "customs_shipment_id"
-    ]
-    paths = ["orders_0_products_1", "mails_3", "nothing_here"]
-    rows = spark.createDataFrame([(k, p) for k in keys for p in paths], "key string, path string")
+    """Names of fields that begin with a word of the document, in places of its path."""
+    keys = F.array(*(F.lit(k) for k in ("mail_id", "root_mail_id", "buyer_company_id", "email_message_id", "sku_id", "id", "orderid", "reply_to", "trade_doc_id", "valid", "xyz_id", "customs_shipment_id")))
+    paths = F.array(F.lit("orders_"), F.lit("mails_"), F.lit("nothing_here_"))
+    key = F.get(keys, (F.col("doc_id") % 12).cast("int"))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.when((F.col("doc_id") % 2 == 1) & (key != "id"), F.concat(F.lit("x"), _first_word(), F.lit("_"), key)).otherwise(key).alias("key"),
+        F.concat(F.get(paths, (F.floor(F.col("doc_id") / 12) % 3).cast("int")), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 5 == 0, F.lit("_products_1")).otherwise("")).alias("path")
+    )
     context = classify.context_type(F.col("path"))
-    return rows.select("key", "path", context.alias("context"), classify.id_type(F.col("key"), context).alias("id_type"))
+    return rows.select("doc_id", "key", "path", context.alias("context"), classify.id_type(F.col("key"), context).alias("id_type"))
 
 
 def field_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections named after what a document's number makes of it."""
+    """Sections named after the beginning of a document and what its number makes of it."""
     names = F.array(*(
         F.lit(n)
         for n in ("missing_paths", "product_list", "procurement_habits", "pain_points", "timeline", "stakeholders", "order_history", "profile")
     ))
     kinds = F.array(*(F.lit(k) for k in ("mail", "mail", "mail", "vlm", "customs")))
-    d = table(spark, sf_dir, "documents").select(
-        "doc_id", F.get(names, (F.col("doc_id") % 8).cast("int")).alias("section"), F.get(kinds, (F.floor(F.col("doc_id") / 8) % 5).cast("int")).alias("kind")
-    )
+    name = F.get(names, (F.col("doc_id") % 8).cast("int"))
+    section = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace(F.lower(F.substring(_ascii("text"), 1, 60)), "[^a-z]+", "_")).otherwise(F.concat(_first_word(), F.lit("_"), name))
+    d = table(spark, sf_dir, "documents").select("doc_id", section.alias("section"), F.get(kinds, (F.floor(F.col("doc_id") / 8) % 5).cast("int")).alias("kind"))
     return d.select("doc_id", "section", "kind", classify.field_route(F.col("section"), F.col("kind")).alias("route"))
 
 
@@ -181,7 +186,11 @@ def capped_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("label", "vec_id", corpus.sign_bits(F.col("embedding")).alias("bits"))
+    """The signs of vectors, and of every tenth a later copy in which up to four of them are turned round."""
+    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", corpus.sign_bits(F.col("embedding")).alias("bits"))
+    turned = F.when(F.col("vec_id") % 50 == 0, 0).when(F.col("vec_id") % 50 == 10, 1).when(F.col("vec_id") % 50 == 20, 1 + (1 << 20)).when(F.col("vec_id") % 50 == 30, 2 + (1 << 40) + (1 << 62)).otherwise(1 + 4 + (1 << 33) + (1 << 50))
+    copies = e.filter("vec_id % 10 = 0").select("label", (F.col("vec_id") + 10_000_000).alias("vec_id"), F.col("bits").bitwiseXOR(turned.cast("long")).alias("bits"))
+    return e.unionByName(copies)
 
 
 def frame_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,21 +212,28 @@ QUERIES = {
     for f in (invoice_classify, money_parse, id_infer, field_route, greedy_pack, pack_as_one, record_fragments, exact_union, union_balance, pagination_summary, multiset_fingerprint, summed_fingerprint, page_stability, bijection, path_difference, resource_resolution, failure_coverage, repair_merge, metric_diff, capped_payload, frame_pairs, frames_kept, size_labels)
 }
 
-_SIGNS = "v AS (SELECT vec_id, label, list_reduce(list_prepend(0::hugeint, list_transform(embedding, lambda x: (x > 0)::hugeint)), lambda a, x: a * 2 + x) AS b FROM embeddings)"
+_SIGNS = "e AS (SELECT vec_id, label, list_reduce(list_prepend(0::hugeint, list_transform(embedding, lambda x: (x > 0)::hugeint)), lambda a, x: a * 2 + x) AS b FROM embeddings), v AS (SELECT * FROM e UNION ALL SELECT vec_id + 10000000, label, xor(b, CASE vec_id % 50 WHEN 0 THEN 0 WHEN 10 THEN 1 WHEN 20 THEN 1048577 WHEN 30 THEN 4611687117939015682 ELSE 1125908496777221 END::hugeint) FROM e WHERE vec_id % 10 = 0)"
 _CANON = r"""
 q AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS base, list_sort(list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\?(.*)$', 1), '&'), lambda p: p <> '')) AS pairs, url FROM pages),
 k AS (SELECT page_id, url, CASE WHEN len(pairs) > 0 THEN base || '?' || array_to_string(pairs, '&') ELSE base END AS canonical, regexp_extract(base, '^[a-z]+://[^/]*(.*)$', 1) AS alias FROM q)"""
 
 ORACLES = {
-    "invoice_classify": """SELECT l_orderkey, l_linenumber, (l_orderkey % 5)::int AS groups, CASE WHEN l_linenumber % 2 = 1 AND l_orderkey % 5 >= 3 THEN 'CONFIRMED' ELSE 'SUSPECTED' END AS status FROM lineitem""",
+    "invoice_classify": r"""WITH s AS (SELECT ['', ' SELLER ', ' Invoice  No. 5, unit price ', ' date: qty 4 TOTAL ', ' bill to: signed, exw $ ', 'item amount incoterms' || chr(10) || 'stamp ', ' p / i # cny Deposit authorized buyer model '] AS s),
+d AS (SELECT doc_id, s[doc_id % 7 + 1] || regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', 'x', 'g') || s[doc_id // 7 % 7 + 1] AS t FROM documents, s),
+g AS (SELECT doc_id, t, """ + " + ".join(f"regexp_matches(t, '(?i){p}')::int" for p in classify.INVOICE_GROUPS.values()) + """ AS groups FROM d)
+SELECT doc_id, groups, CASE WHEN contains(t, ' the ') AND groups >= 3 THEN 'CONFIRMED' ELSE 'SUSPECTED' END AS status FROM g""",
     "money_parse": """SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN -round(l_extendedprice * 100)::bigint WHEN 3 THEN NULL ELSE round(l_extendedprice * 100)::bigint END AS cents,
 CASE l_linenumber % 4 WHEN 1 THEN 'USD' WHEN 2 THEN 'EUR' ELSE '' END AS currency FROM lineitem""",
-    "id_infer": """WITH k(key, t) AS (VALUES ('mail_id', 'mail'), ('root_mail_id', 'mail'), ('buyer_company_id', 'company'), ('email_message_id', 'mail'), ('sku_id', 'product'), ('id', '*'), ('orderid', 'order'), ('reply_to', NULL),
-  ('trade_doc_id', 'trade_record'), ('valid', NULL), ('xyz_id', NULL), ('customs_shipment_id', 'trade_record')), p(path, context) AS (VALUES ('orders_0_products_1', 'product'), ('mails_3', 'mail'), ('nothing_here', NULL))
-SELECT key, path, context, CASE WHEN t = '*' THEN context ELSE t END AS id_type FROM k, p""",
-    "field_route": """WITH d AS (SELECT doc_id, ['missing_paths', 'product_list', 'procurement_habits', 'pain_points', 'timeline', 'stakeholders', 'order_history', 'profile'][doc_id % 8 + 1] AS section, ['mail', 'mail', 'mail', 'vlm', 'customs'][doc_id // 8 % 5 + 1] AS kind, doc_id % 8 AS s FROM documents)
-SELECT doc_id, section, kind, CASE WHEN kind = 'vlm' THEN 'visual_and_ocr' WHEN kind = 'customs' THEN 'customs_identity' ELSE
- ['conflicts_missing_paths', 'products_specifications', 'habits_preferences_objections', 'needs_pain_focus', 'buying_stage_timeline', 'customer_type_roles', 'transactions_operations', 'identity_general_facts'][s + 1] END AS route FROM d""",
+    "id_infer": r"""WITH k AS (SELECT ['mail_id', 'root_mail_id', 'buyer_company_id', 'email_message_id', 'sku_id', 'id', 'orderid', 'reply_to', 'trade_doc_id', 'valid', 'xyz_id', 'customs_shipment_id'] AS keys,
+  ['mail', 'mail', 'company', 'mail', 'product', '*', 'order', NULL, 'trade_record', NULL, NULL, 'trade_record'] AS types, ['orders_', 'mails_', 'nothing_here_'] AS paths, ['order', 'mail', NULL] AS contexts),
+d AS (SELECT doc_id, keys[doc_id % 12 + 1] AS k, types[doc_id % 12 + 1] AS t, paths[doc_id // 12 % 3 + 1] || doc_id || CASE WHEN doc_id % 5 = 0 THEN '_products_1' ELSE '' END AS path,
+  CASE WHEN doc_id % 5 = 0 THEN 'product' ELSE contexts[doc_id // 12 % 3 + 1] END AS context, regexp_extract(lower(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', 'x', 'g')), '([a-z]+)', 1) AS w FROM documents, k)
+SELECT doc_id, CASE WHEN doc_id % 2 = 1 AND k <> 'id' THEN 'x' || w || '_' || k ELSE k END AS key, path, context, CASE WHEN t = '*' THEN context ELSE t END AS id_type FROM d""",
+    "field_route": r"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', 'x', 'g') AS t, ['missing_paths', 'product_list', 'procurement_habits', 'pain_points', 'timeline', 'stakeholders', 'order_history', 'profile'][doc_id % 8 + 1] AS name,
+  ['mail', 'mail', 'mail', 'vlm', 'customs'][doc_id // 8 % 5 + 1] AS kind FROM documents),
+s AS (SELECT doc_id, kind, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(lower(substr(t, 1, 60)), '[^a-z]+', '_', 'g') ELSE regexp_extract(lower(t), '([a-z]+)', 1) || '_' || name END AS section FROM d)
+SELECT doc_id, section, kind, CASE WHEN kind = 'vlm' THEN 'visual_and_ocr' WHEN kind = 'customs' THEN 'customs_identity' """
+    + " ".join("WHEN " + " OR ".join(f"contains(section, '{w}')" for w in words) + f" THEN '{route}'" for route, words in classify.FIELD_ROUTES) + " ELSE 'identity_general_facts' END AS route FROM s",
     "greedy_pack": """WITH RECURSIVE o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
 f AS (SELECT source, doc_id, k, 0::bigint AS shard, n_chars AS used FROM o WHERE k = 1
   UNION ALL SELECT o.source, o.doc_id, o.k, CASE WHEN f.used > 0 AND f.used + o.n_chars > 24000 THEN f.shard + 1 ELSE f.shard END, CASE WHEN f.used > 0 AND f.used + o.n_chars > 24000 THEN o.n_chars ELSE f.used + o.n_chars END

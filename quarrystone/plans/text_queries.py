@@ -13,10 +13,10 @@ NEEDLE, PHRASE = "idiot", "of the"
 
 
 def normalise_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["mailID", "createTime", "order_no", "  A b-C ", "x", "HTMLText", "a__b", "é1"]
-    return spark.createDataFrame([(n,) for n in names], "name string").select(
-        "name", text.normalised_name(F.col("name")).alias("normalised"), text.pointer_part(F.concat("name", F.lit("/~"))).alias("pointer")
-    )
+    """Beginnings of texts as names of fields, with capitals, marks and line ends as they come, some joined in camel case."""
+    name = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace(F.substring("text", 1, 40), " ", "")).otherwise(F.substring("text", 1, 40))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(name, F.lit("ID/~")).alias("name"))
+    return d.select("doc_id", text.normalised_name(F.col("name")).alias("normalised"), text.pointer_part(F.col("name")).alias("pointer"))
 
 
 def html_chunks_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,9 +140,8 @@ u AS (SELECT page_id, url, CASE WHEN len(hidden) > 0 THEN base || '?' || array_t
   CASE WHEN signed THEN CASE WHEN len(unsigned) > 0 THEN base || '?' || array_to_string(unsigned, '&') ELSE base END END AS signed_variant, regexp_extract(base, '^[a-z]+://[^/]*(.*)$', 1) AS alias FROM r)"""
 
 ORACLES = {
-    "normalise_key": r"""
-SELECT name, trim(regexp_replace(lower(regexp_replace(name, '([A-Z])', '_\1', 'g')), '[^a-z0-9]+', '_', 'g'), '_') AS normalised, replace(replace(name || '/~', '~', '~0'), '/', '~1') AS pointer
-FROM (SELECT unnest(['mailID', 'createTime', 'order_no', '  A b-C ', 'x', 'HTMLText', 'a__b', 'é1']) AS name)""",
+    "normalise_key": r"""WITH n AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(substr(text, 1, 40), ' ', '') ELSE substr(text, 1, 40) END || 'ID/~' AS name FROM documents)
+SELECT doc_id, trim(regexp_replace(lower(regexp_replace(name, '([A-Z])', '_\1', 'g')), '[^a-z0-9]+', '_', 'g'), '_') AS normalised, replace(replace(name, '~', '~0'), '/', '~1') AS pointer FROM n""",
     "html_chunks_text": f"""SELECT page_id, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(html, '(?s)<!--.*?-->', '<>', 'g'), '<[^>]*>'), lambda p: trim(regexp_replace({_ENT.format('p')}, '\\s+', ' ', 'g'))), lambda p: p <> ''), chr(10)) AS text FROM pages""",
     "html_visible_text": f"SELECT page_id, trim(regexp_replace({_ENT.format(f'''regexp_replace({_BARE}, '<[^>]*>', ' ', 'g')''')}, '\\s+', ' ', 'g')) AS text FROM pages",
     "html_block_text": f"""WITH l AS (SELECT page_id, string_split({_ENT.format(f'''regexp_replace(regexp_replace({_BARE}, '(?i)</?(p|div|li|ul|ol|tr|table|h[1-6]|article|nav|footer|header|section|br|title)\\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')''')}, chr(10)) AS x FROM pages)
