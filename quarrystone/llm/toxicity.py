@@ -200,14 +200,14 @@ class Ones:
 
     def only(self, columns: np.ndarray) -> Ones:
         """The matrix of these columns."""
-        place = np.full(self.size, -1, np.int64)
+        place = np.full(self.size, -1, np.int32)
         place[columns] = np.arange(len(columns))
         held = place[self.cols] >= 0
         return Ones(self.rows[held], place[self.cols[held]], max(1, len(columns)))
 
     def among(self, texts: np.ndarray, total: int) -> Ones:
         """The matrix of these texts, of total."""
-        place = np.full(total, -1, np.int64)
+        place = np.full(total, -1, np.int32)
         place[texts] = np.arange(len(texts))
         held = place[self.rows] >= 0
         return Ones(place[self.rows[held]], self.cols[held], self.size)
@@ -230,8 +230,21 @@ def fit_chain(held: list[np.ndarray], labels: np.ndarray, names: list[str]) -> C
     if not len(held):
         return fitted
     many = len(held)
-    buckets, cols = np.unique(np.concatenate(held), return_inverse=True)
-    ones = Ones(np.repeat(np.arange(many), [len(h) for h in held]), cols, max(1, len(buckets)))
+    # what fewer than LEAST_ROWS texts hold is informative in no fold: it goes before anything is laid out
+    groups = [range(low, min(low + 1000, many)) for low in range(0, many, 1000)]
+    often = np.zeros(BUCKETS, np.int32)
+    for group in groups:
+        often += np.bincount(np.concatenate([held[i] for i in group]), minlength=BUCKETS).astype(np.int32)
+    buckets = np.flatnonzero(often >= LEAST_ROWS)
+    number = np.full(BUCKETS, -1, np.int32)
+    number[buckets] = np.arange(len(buckets))
+    rows, cols = [], []
+    for group in groups:
+        found = number[np.concatenate([held[i] for i in group])]
+        rows.append(np.repeat(np.array(group, np.int32), [len(held[i]) for i in group])[found >= 0])
+        cols.append(found[found >= 0])
+    ones = Ones(np.concatenate(rows), np.concatenate(cols), max(1, len(buckets)))
+    del rows, cols, often, number
     chosen = informative(ones.rows, ones.cols, labels, ones.size)
     fitted.number = {int(b): i for i, b in enumerate(buckets[chosen])}
     whole, fold, folds = ones.only(chosen), np.arange(many) % FOLDS, []
@@ -240,7 +253,9 @@ def fit_chain(held: list[np.ndarray], labels: np.ndarray, names: list[str]) -> C
         if len(seen) and len(unseen):
             mine = ones.among(seen, many)
             best = informative(mine.rows, mine.cols, labels[seen], mine.size)
-            folds.append((seen, unseen, mine.only(best), ones.among(unseen, many).only(best)))
+            mine = mine.only(best)
+            folds.append((seen, unseen, mine, ones.among(unseen, many).only(best)))
+    del ones, held
     scores = np.zeros((many, 0))
     for name, y in zip(names, labels.T.astype(float)):
         out_of_fold = np.zeros(many)
