@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.operators import content
+from quarrystone.operators.snapshot_store import SnapshotStore
 from quarrystone.plans.tables import table
+from quarrystone.sources.scratch import scratch_folder
 
 KINDS = ["extract_text", "ocr_image", "extract_office_xml", "classify_binary"]
 
@@ -74,6 +78,16 @@ def upsert_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.synced(old, f.filter("doc_id % 5 <> 0"), "doc_id", ["sha256", "bytes"])
 
 
+def snapshot_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same snapshots through a store that writes changed buckets only: its rows after both syncs, and what the second one changed."""
+    f = files(spark, sf_dir).select("doc_id", "sha256", "bytes")
+    old = f.filter("doc_id % 4 <> 0").withColumn("bytes", F.when(F.col("doc_id") % 3 == 0, F.col("bytes") + 1).otherwise(F.col("bytes")))
+    store = SnapshotStore(spark, f"{scratch_folder(spark)}/snapshot-{uuid.uuid4().hex}", "doc_id", "long", {"sha256": "string", "bytes": dict(f.dtypes)["bytes"]}, buckets=16)
+    store.sync(old)
+    changes = store.sync(f.filter("doc_id % 5 <> 0")).select("doc_id", "change")
+    return store.rows().join(changes, "doc_id", "left").withColumn("change", F.coalesce("change", F.lit("unchanged")))
+
+
 def prior_result_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each text, the document whose result is reused: completed before others, then the latest."""
     f = files(spark, sf_dir).select("doc_id", "sha256")
@@ -96,7 +110,7 @@ def superseded_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (content_objects, content_occurrences, task_plan, task_pivot, task_state_counts, run_status, coverage_report, upsert_sync, prior_result_choice, last_write_wins, superseded_writes)
+    for f in (content_objects, content_occurrences, task_plan, task_pivot, task_state_counts, run_status, coverage_report, upsert_sync, snapshot_sync, prior_result_choice, last_write_wins, superseded_writes)
 }
 
 FILES_SQL = """
@@ -109,6 +123,12 @@ tasks AS (SELECT sha256('v2' || chr(0) || sha256 || chr(0) || task_kind) AS task
   CASE WHEN quality IS NULL THEN 'pending' WHEN toxic = 1 THEN 'source_gap' WHEN quality = 1 THEN 'completed' ELSE 'failed' END AS state
   FROM (SELECT *, CASE category WHEN 'text' THEN 'extract_text' WHEN 'image' THEN 'ocr_image' WHEN 'office' THEN 'extract_office_xml' ELSE 'classify_binary' END AS task_kind FROM objects) LEFT JOIN lab USING (doc_id))"""
 
+_SYNC_SQL = f"""WITH {FILES_SQL},
+o AS (SELECT doc_id, sha256, CASE WHEN doc_id % 3 = 0 THEN bytes + 1 ELSE bytes END AS bytes FROM files WHERE doc_id % 4 <> 0), n AS (SELECT doc_id, sha256, bytes FROM files WHERE doc_id % 5 <> 0)
+SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.sha256, o.sha256) AS sha256, coalesce(n.bytes, o.bytes) AS bytes, (n.doc_id IS NOT NULL)::int AS active,
+  CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'deactivated' WHEN o.sha256 = n.sha256 AND o.bytes = n.bytes THEN 'unchanged' ELSE 'updated' END AS change
+FROM o FULL JOIN n ON o.doc_id = n.doc_id"""
+
 ORACLES = {
     "content_objects": f"""WITH {FILES_SQL} SELECT sha256, min(bytes) AS bytes, arg_min(rel, (lower(rel), rel)) AS representative_rel, count(*) AS occurrences, count(DISTINCT bytes) > 1 AS size_conflict FROM files GROUP BY sha256""",
     "content_occurrences": f"""WITH {FILES_SQL} SELECT sha256('session' || chr(0) || rel || chr(0) || sha256) AS occurrence_id, 'session' AS source_scope, rel AS source_rel, sha256 AS content_sha256 FROM files""",
@@ -122,11 +142,8 @@ SELECT 'files' AS scope, source AS name, count(*) AS total, count(*) AS complete
 UNION ALL SELECT 'content', 'sha256', count(*), count(*), sum(bytes)::bigint FROM (SELECT sha256, min(bytes) AS bytes FROM files GROUP BY 1)
 UNION ALL SELECT 'category', category, count(*), count(*), sum(bytes)::bigint FROM files GROUP BY ALL
 UNION ALL SELECT 'tasks', task_kind, count(*), count(*) FILTER (WHERE state IN ('completed', 'source_gap')), 0::bigint FROM tasks GROUP BY ALL""",
-    "upsert_sync": f"""WITH {FILES_SQL},
-o AS (SELECT doc_id, sha256, CASE WHEN doc_id % 3 = 0 THEN bytes + 1 ELSE bytes END AS bytes FROM files WHERE doc_id % 4 <> 0), n AS (SELECT doc_id, sha256, bytes FROM files WHERE doc_id % 5 <> 0)
-SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.sha256, o.sha256) AS sha256, coalesce(n.bytes, o.bytes) AS bytes, (n.doc_id IS NOT NULL)::int AS active,
-  CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'deactivated' WHEN o.sha256 = n.sha256 AND o.bytes = n.bytes THEN 'unchanged' ELSE 'updated' END AS change
-FROM o FULL JOIN n ON o.doc_id = n.doc_id""",
+    "upsert_sync": _SYNC_SQL,
+    "snapshot_sync": _SYNC_SQL,
     "prior_result_choice": f"""WITH {FILES_SQL}, r AS (SELECT sha256, doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS completed FROM files)
 SELECT sha256, doc_id, completed FROM r QUALIFY row_number() OVER (PARTITION BY sha256 ORDER BY completed DESC, doc_id DESC) = 1""",
     "last_write_wins": "SELECT substr(text, 1, 12) AS object_key, doc_id AS position, source FROM documents QUALIFY row_number() OVER (PARTITION BY substr(text, 1, 12) ORDER BY doc_id DESC) = 1",

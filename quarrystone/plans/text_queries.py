@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.functions import text, urls
-from quarrystone.operators import search
+from quarrystone.operators import search, sentences
 from quarrystone.plans.tables import table
 
 NEEDLE, PHRASE = "idiot", "of the"
@@ -109,6 +109,13 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", (F.col("line") + 1).cast("long").alias("line"), rules.alias("r")).filter("r.hit").select("doc_id", "line", "r.rule")
 
 
+def representative_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence that stands for each document; some texts are cut into Chinese sentences first."""
+    d = table(spark, sf_dir, "documents")
+    mixed = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("我们的价格。价格和交货是价格的问题！"), F.translate("text", ".", "。"))).otherwise(F.col("text"))
+    return sentences.representative(d.select("doc_id", mixed.alias("text")), "doc_id", "text")
+
+
 def safe_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("="), "c_name")).when(F.col("c_custkey") % 3 == 1, F.lpad(F.col("c_custkey").cast("string"), 6, "0")).otherwise(F.col("c_name"))
     return table(spark, sf_dir, "customer").select("c_custkey", text.safe_cell(raw, 12).alias("cell"))
@@ -120,7 +127,7 @@ def evidence_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (normalise_key, html_chunks_text, html_visible_text, html_block_text, url_identity, url_pages, latest_per_url, fts_phrase, fts_boolean, word_counts, like_any, search_page, document_slice, preview_flag, phrase_intersection, secret_scan, safe_cells, evidence_excerpt)
+    for f in (normalise_key, html_chunks_text, html_visible_text, html_block_text, url_identity, url_pages, latest_per_url, fts_phrase, fts_boolean, word_counts, like_any, search_page, document_slice, preview_flag, phrase_intersection, secret_scan, representative_sentences, safe_cells, evidence_excerpt)
 }
 
 _ENT = "replace(replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
@@ -165,6 +172,14 @@ dr AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambd
 br AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS run FROM b WHERE len(w) >= 5)
 SELECT doc_id, item_id, count(*) AS shared_runs FROM dr JOIN br USING (run) GROUP BY ALL""",
     "secret_scan": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents)\n" + "\nUNION ALL ".join(f"SELECT doc_id, line, '{n}' AS rule FROM l WHERE regexp_matches(body, '{p}')" for n, p in text.SECRET_RULES),
+    "representative_sentences": rf"""WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(CASE WHEN doc_id % 9 = 0 THEN '我们的价格。价格和交货是价格的问题！' || translate(text, '.', '。') ELSE text END, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '[\t\n\r ]+', ' ', 'g')) AS line FROM documents),
+p AS (SELECT doc_id, list_transform(list_filter(string_split_regex(line, '{sentences.SENTENCE_END}'), lambda x: length(trim(x)) >= 6), lambda x: trim(x, ' ，,;；:' || chr(9))) AS ss FROM d),
+s AS (SELECT doc_id, unnest(ss) AS s, unnest(range(len(ss))) AS k FROM p),
+t AS (SELECT doc_id, k, unnest(regexp_extract_all(lower(s), '{sentences.TOKEN}')) AS t FROM s),
+w AS (SELECT doc_id, t, CASE WHEN t IN ({", ".join(f"'{w}'" for w in sentences.STOP_WORDS)}) THEN 0 ELSE count(*) END AS w FROM t GROUP BY 1, 2),
+m AS (SELECT doc_id, k, sum(w)::bigint / count(*) AS score FROM t JOIN w USING (doc_id, t) GROUP BY 1, 2),
+b AS (SELECT doc_id, s, coalesce(score, 0.0)::double AS weight FROM s LEFT JOIN m USING (doc_id, k) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(score, 0.0)::double DESC, least(length(s), 180) DESC, k) = 1)
+SELECT doc_id, coalesce(substr(s, 1, 180), substr(line, 1, 160)) AS sentence, weight FROM d LEFT JOIN b USING (doc_id)""",
     "safe_cells": r"""WITH c AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '=' || c_name WHEN 1 THEN lpad(c_custkey::varchar, 6, '0') ELSE c_name END AS raw FROM customer)
 SELECT c_custkey, substr(CASE WHEN regexp_matches(raw, '^[=+\-@\t\r]') OR regexp_matches(raw, '^0\d+$|^\d{16,}$') THEN '''' || raw ELSE raw END, 1, 12) AS cell FROM c""",
     "evidence_excerpt": r"""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM documents), a AS (SELECT *, strpos(lower(x), 'idiot') AS pos FROM f)
