@@ -3,6 +3,7 @@ members of archives of a hundred, events are capture ledgers, suppliers are trad
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,8 +52,8 @@ def pkg_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return package.artifacts(_files(spark, sf_dir))
 
 
-def pkg_source_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pkg_artifacts(spark, sf_dir).filter("source_scope = 'relation_provenance_manifest'")
+def pkg_source_manifest(spark: SparkSession, sf_dir: str, artifacts: DataFrame | None = None) -> DataFrame:
+    found = (artifacts or pkg_artifacts(spark, sf_dir)).filter("source_scope = 'relation_provenance_manifest'")
     return found.select(
         stable_key(F.lit("manifest"), F.col("source_rel")).alias("manifest_id"), "source_rel", "source_sha256", "source_bytes",
         F.lit("BUILT").alias("manifest_status")
@@ -146,12 +147,12 @@ def pkg_trade_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pkg_attachment_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pkg_attachment_occurrence(spark: SparkSession, sf_dir: str, artifacts: DataFrame | None = None) -> DataFrame:
     """Orders are mails, their parts attachments, a customer's file the manifest: ordinals count from 1, pointers from 0."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     numbered = orders.withColumn("mail", F.row_number().over(Window.partitionBy("o_custkey").orderBy("l_orderkey")))
     held = _placed(spark, sf_dir).select("l_orderkey", "l_partkey", "place").join(numbered, "l_orderkey").withColumn("rel", _customer_rel("o_custkey"))
-    files = pkg_artifacts(spark, sf_dir).filter("source_scope = 'customer'").select(F.col("source_rel").alias("rel"), "artifact_id", "source_sha256")
+    files = (artifacts or pkg_artifacts(spark, sf_dir)).filter("source_scope = 'customer'").select(F.col("source_rel").alias("rel"), "artifact_id", "source_sha256")
     pointer = F.format_string("/mails/%d/related_resources/%d", F.col("mail") - 1, F.col("place") - 1)
     found = held.join(files, "rel").withColumn("source_pointer", pointer)
     return found.select(
@@ -162,34 +163,37 @@ def pkg_attachment_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pkg_relation_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pkg_relation_evidence(
+    spark: SparkSession, sf_dir: str, derived: DataFrame | None = None, gaps: DataFrame | None = None, members: DataFrame | None = None
+) -> DataFrame:
     proof = lambda df, subject, predicate, obj, kind, rel, pointer, field: df.select(subject.alias("subject"), F.lit(predicate).alias("predicate"), obj.alias("object"), F.lit(kind).alias("relation_kind"), rel.alias("source_rel"), pointer.alias("json_pointer"), F.lit(field).cast("string").alias("field_name"))
     artifact = lambda rel: node_id("source_artifact", rel)
     orders, lines, root = table(spark, sf_dir, "orders"), _lines(spark, sf_dir), F.lit("")
     return package.evidence(reduce(DataFrame.unionByName, [
         proof(orders, node_id("company", F.col("o_custkey")), "company_has_order", node_id("order", F.col("o_orderkey")), "business", _customer_rel("o_custkey"), _rel("/orders/", F.col("o_orderkey"), ""), "order_date"),
         proof(lines, node_id("order", F.col("l_orderkey")), "order_has_product", node_id("product", F.col("l_partkey")), "business", F.col("rel"), F.col("pointer"), "ship_date"),
-        proof(pkg_derived_artifacts(spark, sf_dir), artifact(F.col("source_rel")), "source_artifact_derived_to_output", node_id("derived", F.col("derived_id")), "structural", F.col("source_rel"), root, None),
-        proof(pkg_source_gap_task(spark, sf_dir), artifact(F.col("source_rel")), "source_artifact_has_source_gap", F.col("gap_node_id"), "structural", F.col("source_rel"), root, None),
-        proof(pkg_archive_member(spark, sf_dir), artifact(F.col("source_rel")), "archive_contains_member", node_id("archive_member", F.col("member_id")), "structural", F.col("source_rel"), root, None),
+        proof(derived or pkg_derived_artifacts(spark, sf_dir), artifact(F.col("source_rel")), "source_artifact_derived_to_output", node_id("derived", F.col("derived_id")), "structural", F.col("source_rel"), root, None),
+        proof(gaps or pkg_source_gap_task(spark, sf_dir), artifact(F.col("source_rel")), "source_artifact_has_source_gap", F.col("gap_node_id"), "structural", F.col("source_rel"), root, None),
+        proof(members or pkg_archive_member(spark, sf_dir), artifact(F.col("source_rel")), "archive_contains_member", node_id("archive_member", F.col("member_id")), "structural", F.col("source_rel"), root, None),
     ]))
 
 
-def pkg_explicit_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return package.relations(pkg_relation_evidence(spark, sf_dir), pkg_timeline_event(spark, sf_dir))
+def pkg_explicit_relation(spark: SparkSession, sf_dir: str, evidence: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
+    return package.relations(evidence or pkg_relation_evidence(spark, sf_dir), events or pkg_timeline_event(spark, sf_dir))
 
 
-def pkg_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pkg_nodes(spark: SparkSession, sf_dir: str, evidence: DataFrame | None = None) -> DataFrame:
     """Nodes that a relation names; the type is what stands before the colon."""
-    relation = pkg_relation_evidence(spark, sf_dir)
+    relation = evidence or pkg_relation_evidence(spark, sf_dir)
     ends = relation.select(F.col("subject").alias("node_id")).union(relation.select("object")).distinct()
     return ends.select("node_id", F.substring_index("node_id", ":", 1).alias("node_type"))
 
 
-def pkg_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pkg_lineage(spark: SparkSession, sf_dir: str, t: dict[str, DataFrame] | None = None) -> DataFrame:
+    of = lambda f: (t or {}).get(f.__name__.removeprefix("pkg_")) or f(spark, sf_dir)
     return package.lineage({
-        "record_occurrence": (pkg_record_occurrence(spark, sf_dir), "record_id"), "derived_artifacts": (pkg_derived_artifacts(spark, sf_dir), "derived_id"),
-        "source_gap_task": (pkg_source_gap_task(spark, sf_dir), "task_id"), "archive_member": (pkg_archive_member(spark, sf_dir), "member_id"),
+        "record_occurrence": (of(pkg_record_occurrence), "record_id"), "derived_artifacts": (of(pkg_derived_artifacts), "derived_id"),
+        "source_gap_task": (of(pkg_source_gap_task), "task_id"), "archive_member": (of(pkg_archive_member), "member_id"),
     })
 
 
@@ -199,9 +203,29 @@ TABLES = {
 }
 
 
+def built(spark: SparkSession, sf_dir: str, write: Callable[[str, DataFrame], DataFrame]) -> dict[str, DataFrame]:
+    """All tables in the order in which they rest on each other.  write stores a table under its name and gives what stands there, from
+    which the later ones are made, so nothing is worked out twice."""
+    t: dict[str, DataFrame] = {}
+
+    def add(f: Callable, *given: DataFrame) -> None:
+        name = f.__name__.removeprefix("pkg_")
+        t[name] = write(name, f(spark, sf_dir, *given))
+
+    for f in (pkg_artifacts, pkg_record_occurrence, pkg_timeline_event, pkg_derived_artifacts, pkg_source_gap_task, pkg_archive_member, pkg_trade_entity):
+        add(f)
+    add(pkg_source_manifest, t["artifacts"])
+    add(pkg_attachment_occurrence, t["artifacts"])
+    add(pkg_relation_evidence, t["derived_artifacts"], t["source_gap_task"], t["archive_member"])
+    add(pkg_explicit_relation, t["relation_evidence"], t["timeline_event"])
+    add(pkg_nodes, t["relation_evidence"])
+    add(pkg_lineage, t)
+    return {name: t[name] for name in TABLES}
+
+
 def _package(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All tables, each written once: some thirty rules read them."""
-    return {name: kept(f(spark, sf_dir), f"package-{name}") for name, f in TABLES.items()}
+    return built(spark, sf_dir, lambda name, df: kept(df, f"package-{name}"))
 
 
 def pkg_gates(spark: SparkSession, sf_dir: str) -> DataFrame:

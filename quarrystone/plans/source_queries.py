@@ -162,7 +162,13 @@ def source_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sink_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables of a relation package as Parquet, and the rows that reading back finds."""
-    counts = sinks.write_tables({name: f(spark, sf_dir) for name, f in package_queries.TABLES.items()}, _folder(spark, "package"))
+    folder = _folder(spark, "package")
+
+    def write(name: str, df: DataFrame) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    counts = {name: df.count() for name, df in package_queries.built(spark, sf_dir, write).items()}
     return spark.createDataFrame(list(counts.items()), "table_name string, row_count long")
 
 
@@ -176,8 +182,8 @@ V1_SPECS = {
 
 def sink_v1_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight tables of the first package, cast to their column specs, written and read back: rows and columns of each."""
-    artifacts, edges = package_queries.pkg_artifacts(spark, sf_dir), graph_queries.case_edges(spark, sf_dir)
-    gaps, done = package_queries.pkg_source_gap_task(spark, sf_dir), package_queries.pkg_derived_artifacts(spark, sf_dir)
+    artifacts, edges = kept(package_queries.pkg_artifacts(spark, sf_dir), "v1-files"), kept(graph_queries.case_edges(spark, sf_dir), "v1-edges")
+    gaps, done = kept(package_queries.pkg_source_gap_task(spark, sf_dir), "v1-gaps"), kept(package_queries.pkg_derived_artifacts(spark, sf_dir), "v1-derived")
     texts = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_rel"),
         F.length(F.coalesce("text", F.lit(""))).alias("text_chars")
@@ -185,7 +191,7 @@ def sink_v1_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = {
         "nodes": graph_queries.case_nodes(spark, sf_dir), "relation_occurrence": edges, "relation_fact": graph.facts(edges), "files": artifacts,
         "tasks": gaps.select("task_id", "source_rel", "error_code").unionByName(done.select("task_id", "source_rel", F.lit(None).cast("string").alias("error_code"))),
-        "coverage": artifacts.groupBy("source_scope").agg(F.count("*").alias("files"), F.sum("source_bytes").alias("bytes")), "lineage": package_queries.pkg_lineage(spark, sf_dir), "text_documents": done.join(texts, "source_rel"),
+        "coverage": artifacts.groupBy("source_scope").agg(F.count("*").alias("files"), F.sum("source_bytes").alias("bytes")), "lineage": package_queries.pkg_lineage(spark, sf_dir, {"source_gap_task": gaps, "derived_artifacts": done}), "text_documents": done.join(texts, "source_rel"),
     }
     typed = {name: built[name].select(*(F.col(part.split()[0]).cast(part.split()[1]) for part in spec.split(", "))) for name, spec in V1_SPECS.items()}
     folder = _folder(spark, "v1")
