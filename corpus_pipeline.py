@@ -30,6 +30,7 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the rows that the chain finds toxic; a null text holds no words and stays."""
     small_batches(spark)
     return without_toxic(docs, train(docs, read_table(spark, sf_dir, "labels")))
 
@@ -40,6 +41,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row of least id of each group of equal texts, white space aside; a null text is an empty one, of repeated rows one stays."""
     kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
     marked = packed(docs).withColumn("digest", sha256(normalised(F.col("row.text"))))
     firsts = marked.join(kept, F.col("row.doc_id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")), "left_semi")
@@ -48,6 +50,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row of least id of each component of near texts; texts without words are near each other."""
     small_batches(spark)
     keyed = written(packed(docs).withColumn("key", F.monotonically_increasing_id()), "near-rows")
     found = simhash_components(keyed, "key", "row.text").select(F.col("doc_id").alias("key"), F.coalesce("component_id", "doc_id").alias("component"))
@@ -58,11 +61,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows in the order of the mixture; rows without a source are a source of their own."""
     rows = packed(docs).select("row", "row.doc_id", "row.source")
     return in_mixed_order(mix(rows)).select("row.*")
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids, tokens and decoded text of every row as digests; a null text is an empty one."""
     small_batches(spark)
     return bpe_digests(docs, byte_bpe_path())
 
