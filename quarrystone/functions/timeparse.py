@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Epoch bands (seconds 2000-01-01 to 2100-01-01 and the same in finer units).
@@ -50,30 +50,33 @@ def _local_micros(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit(ISO)), cast(iso)).when(F.rlike(text, F.lit(SLASHED)), cast(slashed))
 
 
-def normalised_time(raw: Column, zone_hint: Column | None = None) -> Column:
-    """struct(sort_key, local_key, status, basis, precision) of a raw string.
-
-    A number of 10 to 19 digits counts as an epoch if it lies in one of the bands; a time with an offset is absolute, as is
-    a local one with an offset beside it; any other local time stays local and is never taken for UTC.
-    """
-    text = F.trim(raw)
+def _parsed(text: Column, zone_hint: Column | None) -> Column:
+    """What a trimmed text can be read as, in microseconds: struct(key, unit) of an epoch, zoned, hinted, local."""
     number = F.when(F.rlike(text, F.lit(r"^-?\d{10,19}(\.\d+)?$")), text.cast("decimal(38,9)"))
     size = F.abs(number)
-    epoch = key = F.lit(None)
-    for unit, scale, micros in reversed(EPOCH_UNITS):
+    unit = key = F.lit(None)
+    for name, scale, micros in reversed(EPOCH_UNITS):
         inside = (size >= F.lit(EPOCH_LOW * scale).cast("decimal(38,9)")) & (size <= F.lit(EPOCH_HIGH * scale).cast("decimal(38,9)"))
-        epoch = F.when(inside, F.lit(unit)).otherwise(epoch)
+        unit = F.when(inside, F.lit(name)).otherwise(unit)
         value = F.floor(number / 1000) if micros is None else F.floor(number * micros)
         key = F.when(inside, value.cast("long")).otherwise(key)
-    zoned_local = _local_micros(F.regexp_extract(text, ISO_ZONED, 1))
-    zoned = zoned_local - offset_minutes(F.regexp_extract(text, ISO_ZONED, 2)) * F.lit(60_000_000).cast("long")
+    minute = F.lit(60_000_000).cast("long")
+    zoned = _local_micros(F.regexp_extract(text, ISO_ZONED, 1)) - offset_minutes(F.regexp_extract(text, ISO_ZONED, 2)) * minute
     local = _local_micros(text)
     beside = offset_minutes(zone_hint) if zone_hint is not None else F.lit(None).cast("int")
-    hinted = local - beside * F.lit(60_000_000).cast("long")
-    sort_key = F.coalesce(key.cast("long"), zoned, hinted)
-    basis = F.when(key.isNotNull(), F.concat(F.lit("epoch_"), epoch, F.lit("s"))).when(zoned.isNotNull(), "iso_with_offset").when(hinted.isNotNull(), "local_with_sibling_offset").when(local.isNotNull(), "local_datetime").otherwise("unknown")
+    return F.struct(key.cast("long").alias("key"), unit.cast("string").alias("unit"), zoned.alias("zoned"), local.alias("local"), (beside * minute).alias("beside"))
+
+
+def _decided(text: Column, p: Column) -> Column:
+    """struct(sort_key, local_key, status, basis, precision) of what _parsed() has found."""
+    key, local, hinted = p["key"], p["local"], p["local"] - p["beside"]
+    sort_key = F.coalesce(key, p["zoned"], hinted)
+    basis = (
+        F.when(key.isNotNull(), F.concat(F.lit("epoch_"), p["unit"], F.lit("s"))).when(p["zoned"].isNotNull(), "iso_with_offset")
+        .when(hinted.isNotNull(), "local_with_sibling_offset").when(local.isNotNull(), "local_datetime").otherwise("unknown")
+    )
     precision = (
-        F.when(key.isNotNull(), epoch)
+        F.when(key.isNotNull(), p["unit"])
         .when(F.rlike(text, F.lit(r"(?i)[.,]\d+(Z|[+-]\d\d:?\d\d)?$")), "fractional_second")
         .when(F.rlike(text, F.lit(r"\d{1,2}:\d{2}:\d{2}")), "second")
         .when(F.rlike(text, F.lit(r"\d{1,2}:\d{2}")), "minute")
@@ -85,6 +88,23 @@ def normalised_time(raw: Column, zone_hint: Column | None = None) -> Column:
     return F.struct(sort_key.alias("sort_key"), local_key.alias("local_key"), status.alias("status"), basis.alias("basis"), precision.alias("precision"))
 
 
+def normalised_time(raw: Column, zone_hint: Column | None = None) -> Column:
+    """with_time() as one expression, for a value or two; what is said about a text parses it anew each time."""
+    text = F.trim(raw)
+    return _decided(text, _parsed(text, zone_hint))
+
+
+def with_time(rows: DataFrame, name: str, raw: str, zone: str | None = None) -> DataFrame:
+    """rows with struct(sort_key, local_key, status, basis, precision) of a raw string, as name.
+
+    A number of 10 to 19 digits counts as an epoch if it lies in one of the bands; a time with an offset is absolute, as is
+    a local one with an offset beside it; any other local time stays local and is never taken for UTC.  Each text is parsed in one projection and
+    judged in the next, so nothing is parsed again for each thing that is said about it."""
+    text = rows.withColumn("_text", F.trim(F.col(raw)))
+    parsed = text.withColumn("_parsed", _parsed(F.col("_text"), F.col(zone) if zone else None))
+    return parsed.withColumn(name, _decided(F.col("_text"), F.col("_parsed"))).drop("_text", "_parsed")
+
+
 def utc_text(sort_key: Column) -> Column:
     return F.date_format(F.timestamp_micros(sort_key), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.functions.keys import stable_key
-from quarrystone.functions.timeparse import is_time_field, normalised_time, utc_text
+from quarrystone.functions.timeparse import is_time_field, utc_text, with_time
 from quarrystone.operators import timeline
 from quarrystone.plans.tables import table
 
@@ -57,7 +57,7 @@ def raw_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timestamp_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = raw_times(spark, sf_dir).withColumn("t", normalised_time(F.col("raw"), F.col("zone")))
+    parsed = with_time(raw_times(spark, sf_dir), "t", "raw", "zone")
     return parsed.select("event_id", "raw", "t.sort_key", utc_text(F.col("t.sort_key")).alias("utc"), "t.local_key", "t.status", "t.basis", "t.precision")
 
 
