@@ -12,11 +12,10 @@ from quarrystone.functions.classify import rules
 ENCODINGS, DELETED = ("utf-8-sig", "utf-16", "gb18030", "latin-1"), 1219
 
 
-@F.pandas_udf("text string, encoding string")
-def decoded(content: pd.Series) -> pd.DataFrame:
-    """Bytes as text by the first encoding that fits, and which one that was; null bytes stay null."""
+def decoded(content: Column) -> Column:
+    """struct(text, encoding) of bytes: as text by the first encoding that fits, and which one that was; null bytes stay null."""
 
-    def read(raw: bytes | None) -> tuple[str | None, str | None]:
+    def first(raw: bytes | None) -> tuple[str | None, str | None]:
         for encoding in ENCODINGS if raw is not None else ():
             try:
                 return raw.decode(encoding), encoding
@@ -24,7 +23,11 @@ def decoded(content: pd.Series) -> pd.DataFrame:
                 continue
         return None, None
 
-    return pd.DataFrame([read(x) for x in content], columns=["text", "encoding"], dtype=object)
+    @F.pandas_udf("text string, encoding string")
+    def read(batch: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([first(x) for x in batch], columns=["text", "encoding"], dtype=object)
+
+    return read(content)
 
 
 def body_role(method: Column, url: Column, origin: str, contracts: list[tuple[str, str]]) -> Column:
