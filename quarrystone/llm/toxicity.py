@@ -27,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -247,21 +248,26 @@ def fit_chain(held: list[np.ndarray], labels: np.ndarray, names: list[str]) -> C
     del rows, cols, often, number
     chosen = informative(ones.rows, ones.cols, labels, ones.size)
     fitted.number = {int(b): i for i, b in enumerate(buckets[chosen])}
-    whole, fold, folds = ones.only(chosen), np.arange(many) % FOLDS, []
+    fold, folds = np.arange(many) % FOLDS, []
     for k in range(FOLDS):
         seen, unseen = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         if len(seen) and len(unseen):
             mine = ones.among(seen, many)
-            best = informative(mine.rows, mine.cols, labels[seen], mine.size)
-            mine = mine.only(best)
-            folds.append((seen, unseen, mine, ones.among(unseen, many).only(best)))
-    del ones, held
+            folds.append((seen, unseen, informative(mine.rows, mine.cols, labels[seen], mine.size)))
+            del mine
+    # from here on only columns that some model uses; the matrices of a fold are made when they are used
+    used = np.unique(np.concatenate([chosen, *(best for *_, best in folds)]))
+    ones, chosen = ones.only(used), np.searchsorted(used, chosen)
+    folds = [(seen, unseen, np.searchsorted(used, best)) for seen, unseen, best in folds]
+    del held
     scores = np.zeros((many, 0))
     for name, y in zip(names, labels.T.astype(float)):
         out_of_fold = np.zeros(many)
-        for seen, unseen, mine, theirs in folds:
-            out_of_fold[unseen] = mine.fit(scores[seen], y[seen]).score(theirs.rows, theirs.cols, scores[unseen])
-        fitted.models.append(whole.fit(scores, y))
+        for seen, unseen, best in folds:
+            model = ones.among(seen, many).only(best).fit(scores[seen], y[seen])
+            theirs = ones.among(unseen, many).only(best)
+            out_of_fold[unseen] = model.score(theirs.rows, theirs.cols, scores[unseen])
+        fitted.models.append(ones.only(chosen).fit(scores, y))
         fitted.held_out[name] = float(((out_of_fold >= 0) == (y > 0)).mean())
         scores = np.column_stack((scores, np.clip(out_of_fold, -30, 30)))
     fitted.out_of_fold = scores
@@ -288,6 +294,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     held = [x.values.to_numpy() for x in rows.column("held")]
     del rows
     chain = fit_chain(held, flags, [name for name, _ in categories])
+    del held, flags
+    pa.default_memory_pool().release_unused()  # the sample leaves the driver
     return replace(chain, out_of_fold=None)
 
 
