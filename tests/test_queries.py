@@ -45,6 +45,11 @@ def test_whole_frames_use_all_components(spark, tmp_path):
             frames.append((label * 1000 + k, label, [x * r.uniform(0.1, 2) for x in signs]))
     spark.createDataFrame(frames, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     bits = {i: int("".join("1" if x > 0 else "0" for x in v), 2) for i, _, v in frames}
+    # the later copies of every tenth frame, which the queries add
+    turned = {0: 0, 10: 1, 20: 1 + (1 << 20), 30: 2 + (1 << 40) + (1 << 62), 40: 1 + 4 + (1 << 33) + (1 << 50)}
+    copies = [(i + 10_000_000, label, None) for i, label, _ in frames if i % 10 == 0]
+    bits |= {i: bits[i - 10_000_000] ^ turned[i % 50] for i, *_ in copies}
+    frames += copies
     want = {
         (a, b, (bits[a] ^ bits[b]).bit_count())
         for a, la, _ in frames for b, lb, _ in frames if la == lb and a < b and (bits[a] ^ bits[b]).bit_count() <= 3
