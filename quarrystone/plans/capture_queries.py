@@ -128,7 +128,7 @@ def frozen_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as baseline files; what is expected lacks some, names pages that are not there, and some changed since."""
     files = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("baseline/"), F.col("doc_id").cast("string")).alias("rel"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"),
-        (F.octet_length(F.coalesce("text", F.lit(""))) * 50_000).cast("long").alias("bytes"), "doc_id"
+        (F.octet_length(F.coalesce("text", F.lit(""))).cast("long") * 50_000).alias("bytes"), "doc_id"
     )
     told = files.select(
         "rel", F.when(F.col("doc_id") % 6 == 0, F.lit("0")).otherwise(F.col("sha256")).alias("sha256"), "doc_id"
