@@ -10,16 +10,74 @@ from pyspark.sql import functions as F
 from quarrystone.functions.keys import fact_id, node_id
 
 
-def nodes(*typed: tuple[str, DataFrame, Column, Column]) -> DataFrame:
+#: (type, rows, value column, source column) of nodes, and the arguments of occurrences() and facts_of().
+Typed = tuple[str, DataFrame, Column, Column]
+Relation = tuple[DataFrame, tuple[str, Column], str, tuple[str, Column], Column]
+
+
+def nodes(*typed: Typed) -> DataFrame:
     """Distinct nodes of (type, rows, value column, source column); of a repeated node the entry
-    with the least source stays.  Combines before the shuffle."""
-    rows = [
-        df.select(node_id(kind, value).alias("node_id"), F.lit(kind).alias("node_type"), value.cast("string").alias("value"), source.alias("source_rel"))
-        for kind, df, value, source in typed
+    with the least source stays.  Combines by plain values, which are hashed afterwards."""
+    found = [
+        rows.groupBy("_value").agg(F.min("_source").alias("source_rel")).select(
+            node_id(kind, F.col("_value")).alias("node_id"), F.lit(kind).alias("node_type"), F.col("_value").cast("string").alias("value"), "source_rel"
+        )
+        for kind, rows in _values(typed).items()
     ]
-    return reduce(DataFrame.unionByName, rows).groupBy("node_id").agg(
-        F.min("node_type").alias("node_type"), F.min("value").alias("value"), F.min("source_rel").alias("source_rel")
-    )
+    return reduce(DataFrame.unionByName, found)
+
+
+def _values(typed: tuple[Typed, ...]) -> dict[str, DataFrame]:
+    """By type, _value and _source of its rows; values of several tables meet as text."""
+    kinds = list(dict.fromkeys(kind for kind, *_ in typed))
+    several = {k for k in kinds if sum(kind == k for kind, *_ in typed) > 1}
+    return {
+        k: reduce(DataFrame.unionByName, [df.select((value.cast("string") if k in several else value).alias("_value"), source.alias("_source")) for kind, df, value, source in typed if kind == k])
+        for k in kinds
+    }
+
+
+def _same_type(left: DataFrame, right: DataFrame, column: str, other: str) -> tuple[DataFrame, DataFrame]:
+    """Values are nodes by their text: columns of two types are compared as text."""
+    if left.schema[column].dataType == right.schema[other].dataType:
+        return left, right
+    return left.withColumn(column, F.col(column).cast("string")), right.withColumn(other, F.col(other).cast("string"))
+
+
+def ends_of(df: DataFrame, left: tuple[str, Column], relation: str, right: tuple[str, Column], source: Column) -> DataFrame:
+    """_left and _right of occurrences() as plain values."""
+    rows = df.select(left[1].alias("_left"), right[1].alias("_right")).filter("_left IS NOT NULL AND _right IS NOT NULL")
+    return rows.filter(F.col("_left").cast("string") != F.col("_right").cast("string")) if left[0] == right[0] else rows
+
+
+def orphans_of(relations: list[Relation], typed: list[Typed]) -> DataFrame:
+    """relation and to (its value as text) of the occurrences of orphans(), matched by plain values."""
+    known, found = _values(tuple(typed)), []
+    for relation in relations:
+        rows = ends_of(*relation)
+        for side, (kind, _) in (("_left", relation[1]), ("_right", relation[3])):
+            flag = f"_known{side}"
+            if kind not in known:
+                rows = rows.withColumn(flag, F.lit(None).cast("boolean"))
+                continue
+            rows, there = _same_type(rows, known[kind].select(F.col("_value").alias(side)), side, side)
+            rows = rows.join(there.filter(F.col(side).isNotNull()).distinct().withColumn(flag, F.lit(True)), side, "left")
+        found.append(rows.filter("_known_left IS NULL OR _known_right IS NULL").select(F.lit(relation[2]).alias("relation"), F.col("_right").cast("string").alias("to"), F.lit(relation[3][0]).alias("to_type")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def unreferenced_of(relations: list[Relation], typed: list[Typed], *kinds: str) -> DataFrame:
+    """unreferenced() of all nodes or those of some types, matched by plain values."""
+    found = []
+    for kind in kinds or dict.fromkeys(k for k, *_ in typed):
+        rows = _values(tuple(t for t in typed if t[0] == kind))[kind].groupBy("_value").agg(F.min("_source").alias("source_rel"))
+        for relation in relations:
+            for side, (of, _) in (("_left", relation[1]), ("_right", relation[3])):
+                if of == kind:
+                    rows, ends = _same_type(rows, ends_of(*relation).select(F.col(side).alias("_value")), "_value", "_value")
+                    rows = rows.join(ends.distinct(), "_value", "left_anti")
+        found.append(rows.select(node_id(kind, F.col("_value")).alias("node_id"), F.lit(kind).alias("node_type"), F.col("_value").cast("string").alias("value"), "source_rel"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def occurrences(df: DataFrame, left: tuple[str, Column], relation: str, right: tuple[str, Column], source: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.functions.classify import invoice_groups, rules
-from quarrystone.operators import content, graph, mail, package
+from quarrystone.operators import content, mail, package
 from quarrystone.plans import capture_queries, content_queries, graph_queries, mail_queries
 from quarrystone.plans.tables import table
 from quarrystone.sources.scratch import kept
@@ -52,12 +52,11 @@ def extraction_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v1_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first package: facts add up to occurrences, ends are nodes, ids are unique and all tables hold what they should."""
-    edges, nodes = kept(graph_queries.case_edges(spark, sf_dir), "gate-edges"), kept(graph_queries.case_nodes(spark, sf_dir), "gate-nodes")
-    facts = kept(graph.facts(edges), "gate-facts")
+    edges, nodes, facts = (f(spark, sf_dir) for f in (graph_queries.case_edges, graph_queries.case_nodes, graph_queries.relation_fact))
     expected = table(spark, sf_dir, "orders").select(F.lit(1)).unionAll(table(spark, sf_dir, "lineitem").select(F.lit(1)))
     return _status(_union(
         _two("RELATION_FACT_EVIDENCE_COUNT_MISMATCH", facts.agg(F.sum("evidence_count").alias("n")), _count(edges)),
-        package.rows_of("RELATION_ENDPOINT_MISSING", graph.orphans(edges, nodes)), package.repeated("NODE_DUPLICATE", nodes, "node_id"), package.repeated("FACT_DUPLICATE", facts, "from_id", "relation", "to_id"),
+        package.rows_of("RELATION_ENDPOINT_MISSING", graph_queries.case_orphans(spark, sf_dir)), package.repeated("NODE_DUPLICATE", nodes, "node_id"), package.repeated("FACT_DUPLICATE", facts, "from_id", "relation", "to_id"),
         _two("OUTPUT_RELATION_OCCURRENCE_COUNT_MISMATCH", _count(edges), _count(expected)), package.rules(nodes, NODE_VALUE_EMPTY="coalesce(value, '') = ''", NODE_TYPE_UNKNOWN="node_type NOT IN ('company', 'order', 'product')"),
         package.rules(facts, FACT_SOURCE_MISSING="first_source IS NULL OR last_source < first_source", FACT_SELF_LOOP="from_id = to_id"),
     ))

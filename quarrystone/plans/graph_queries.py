@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrystone.functions.keys import short_key
 from quarrystone.operators import graph
 from quarrystone.operators.gates import gate, report
 from quarrystone.plans.tables import table
@@ -25,12 +26,21 @@ def case_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [graph.occurrences(*r) for r in _relations(spark, sf_dir)])
 
 
-def case_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.nodes(
+def _typed(spark: SparkSession, sf_dir: str, parts: str = "true") -> list[tuple]:
+    """Arguments of graph.nodes() for the nodes of the case, with those parts only that meet a condition."""
+    return [
         ("company", table(spark, sf_dir, "customer"), F.col("c_custkey"), F.lit("customer")),
         ("order", table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.lit("orders")),
-        ("product", table(spark, sf_dir, "part"), F.col("p_partkey"), F.lit("part")),
-    )
+        ("product", table(spark, sf_dir, "part").filter(parts), F.col("p_partkey"), F.lit("part")),
+    ]
+
+
+def case_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.nodes(*_typed(spark, sf_dir))
+
+
+def case_orphans(spark: SparkSession, sf_dir: str, parts: str = "true") -> DataFrame:
+    return graph.orphans_of(_relations(spark, sf_dir), _typed(spark, sf_dir, parts))
 
 
 def relation_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,17 +57,12 @@ def node_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orphan_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges whose product is not registered: the registry holds parts up to size 40 only."""
-    parts = table(spark, sf_dir, "part").filter("p_size <= 40")
-    known = graph.nodes(
-        ("company", table(spark, sf_dir, "customer"), F.col("c_custkey"), F.lit("customer")),
-        ("order", table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.lit("orders")),
-        ("product", parts, F.col("p_partkey"), F.lit("part")),
-    )
-    return graph.orphans(case_edges(spark, sf_dir), known).groupBy("relation").agg(F.count("*").alias("orphans"), F.countDistinct("to_id").alias("missing_nodes"))
+    found = case_orphans(spark, sf_dir, "p_size <= 40")
+    return found.groupBy("relation", "to_type", "to").agg(F.count("*").alias("n")).groupBy("relation").agg(F.sum("n").alias("orphans"), F.count("*").alias("missing_nodes"))
 
 
 def unreferenced_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.unreferenced(case_edges(spark, sf_dir), case_nodes(spark, sf_dir)).select("node_id", "node_type", "value")
+    return graph.unreferenced_of(_relations(spark, sf_dir), _typed(spark, sf_dir)).select("node_id", "node_type", "value")
 
 
 def relation_time_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,14 +108,14 @@ def node_evidence_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def node_pairs_by_company(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products seen with a company, through two joins on the node dimension."""
-    edges = case_edges(spark, sf_dir)
-    owned = edges.filter("relation = 'company_has_order'").select(F.col("from_id").alias("company_id"), F.col("to_id").alias("order_id"))
-    held = edges.filter("relation = 'order_has_product'").select(F.col("from_id").alias("order_id"), F.col("to_id").alias("product_id"))
-    names = case_nodes(spark, sf_dir).select("node_id", "value")
-    pairs = owned.join(held, "order_id").groupBy("company_id", "product_id").agg(F.countDistinct("order_id").alias("orders"))
-    left, right = names.toDF("company_id", "company"), names.toDF("product_id", "product")
-    return pairs.join(left, "company_id").join(right, "product_id").select("company", "product", "orders")
+    """Products seen with a company, through two joins on the node dimension; all keys are plain values, which stand for their nodes."""
+    owned, held = (graph.ends_of(*r) for r in _relations(spark, sf_dir))
+    names = {kind: df.select(value.alias(kind)).filter(F.col(kind).isNotNull()).distinct() for kind, df, value, _ in _typed(spark, sf_dir) if kind != "order"}
+    orders = owned.select(F.col("_left").alias("company"), F.col("_right").alias("order")).distinct()
+    lines = held.select(F.col("_left").alias("order"), F.col("_right").alias("product")).distinct()
+    pairs = lines.join(orders, "order").groupBy("company", "product").agg(F.count("*").alias("orders"))
+    found = pairs.join(names["company"], "company").join(names["product"], "product")
+    return found.select(F.col("company").cast("string").alias("company"), F.col("product").cast("string").alias("product"), "orders")
 
 
 def graph_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,11 +123,11 @@ def graph_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, nodes, facts = case_edges(spark, sf_dir), case_nodes(spark, sf_dir), relation_fact(spark, sf_dir)
     evidence = facts.agg(F.sum("evidence_count").alias("n")).select(F.col("n"))
     return report(
-        gate("ORPHAN_ENDPOINTS", graph.orphans(edges, nodes)),
-        gate("UNREFERENCED_ORDERS", graph.unreferenced(edges, nodes).filter("node_type = 'order'")),
+        gate("ORPHAN_ENDPOINTS", case_orphans(spark, sf_dir)),
+        gate("UNREFERENCED_ORDERS", graph.unreferenced_of(_relations(spark, sf_dir), _typed(spark, sf_dir), "order")),
         gate("EVIDENCE_SUM", evidence.join(edges.agg(F.count("*").alias("m")), F.col("n") != F.col("m"))),
         gate("SELF_LOOPS", edges.filter("from_id = to_id")),
-        gate("DUPLICATE_NODES", nodes.groupBy("node_id").count().filter("count > 1")),
+        gate("DUPLICATE_NODES", nodes.groupBy(short_key(F.col("node_id")).alias("k")).count().filter("count > 1")),
     )
 
 

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.functions import urls
-from quarrystone.operators import gates, graph
+from quarrystone.functions.keys import short_key
+from quarrystone.operators import gates
 from quarrystone.plans import graph_queries, package_queries
 from quarrystone.plans.tables import table
 from quarrystone.sources import archives, files, packages, sinks
-from quarrystone.sources.scratch import kept, scratch_folder
+from quarrystone.sources.scratch import kept, scratch_folder, stored
 from quarrystone.streaming import paths, state
 
 #: Lines of one file that is read whole, because its lines are numbered.
@@ -165,8 +166,7 @@ def sink_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "package")
 
     def write(name: str, df: DataFrame) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+        return stored(df, f"{folder}/{name}")
 
     counts = {name: df.count() for name, df in package_queries.built(spark, sf_dir, write).items()}
     return spark.createDataFrame(list(counts.items()), "table_name string, row_count long")
@@ -182,14 +182,16 @@ V1_SPECS = {
 
 def sink_v1_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight tables of the first package, cast to their column specs, written and read back: rows and columns of each."""
-    artifacts, edges = kept(package_queries.pkg_artifacts(spark, sf_dir), "v1-files"), kept(graph_queries.case_edges(spark, sf_dir), "v1-edges")
+    artifacts, edges = kept(package_queries.pkg_artifacts(spark, sf_dir), "v1-files"), graph_queries.case_edges(spark, sf_dir)
+    # facts are told by their subject one after another, so that its hash is stored once
+    facts = graph_queries.relation_fact(spark, sf_dir).sortWithinPartitions("from_id")
     gaps, done = kept(package_queries.pkg_source_gap_task(spark, sf_dir), "v1-gaps"), kept(package_queries.pkg_derived_artifacts(spark, sf_dir), "v1-derived")
     texts = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_rel"),
         F.length(F.coalesce("text", F.lit(""))).alias("text_chars")
     )
     built = {
-        "nodes": graph_queries.case_nodes(spark, sf_dir), "relation_occurrence": edges, "relation_fact": graph.facts(edges), "files": artifacts,
+        "nodes": graph_queries.case_nodes(spark, sf_dir), "relation_occurrence": edges, "relation_fact": facts, "files": artifacts,
         "tasks": gaps.select("task_id", "source_rel", "error_code").unionByName(done.select("task_id", "source_rel", F.lit(None).cast("string").alias("error_code"))),
         "coverage": artifacts.groupBy("source_scope").agg(F.count("*").alias("files"), F.sum("source_bytes").alias("bytes")), "lineage": package_queries.pkg_lineage(spark, sf_dir, {"source_gap_task": gaps, "derived_artifacts": done}), "text_documents": done.join(texts, "source_rel"),
     }
@@ -207,15 +209,19 @@ def source_v1_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = graph_queries.case_edges(spark, sf_dir).select(
         F.lit("edge").alias("record_type"), F.col("from_id").alias("from"), F.col("to_id").alias("to"), "relation", "source_rel"
     )
-    sinks.write_jsonl(nodes, f"{folder}/nodes")
-    sinks.write_jsonl(edges, f"{folder}/edges")
+    sinks.write_jsonl(nodes, f"{folder}/nodes", "gzip")
+    sinks.write_jsonl(edges, f"{folder}/edges", "gzip")
     read = spark.read.option("recursiveFileLookup", True).option("mode", "FAILFAST").schema("record_type string, node_id string, entity_type string, value string, `from` string, `to` string, relation string, source_rel string").json(folder)
-    ends = read.filter("record_type = 'node'").select("node_id", "entity_type")
+    ends = read.filter("record_type = 'node'").select(short_key(F.col("node_id")).alias("from"), "entity_type")
     left, right = ends.toDF("from", "from_type"), ends.toDF("to", "to_type")
-    joined = read.filter("record_type = 'edge'").select("from", "to", "relation").join(left, "from", "left").join(right, "to", "left")
-    return joined.groupBy("relation", "from_type", "to_type").agg(
-        F.count("*").alias("edges"), F.countDistinct("from").alias("subjects"), F.countDistinct("to").alias("objects")
-    )
+    edge = read.filter("record_type = 'edge'").select(short_key(F.col("from")).alias("from"), short_key(F.col("to")).alias("to"), "relation")
+    joined = edge.join(left, "from", "left").join(right, "to", "left")
+    kind = ["relation", "from_type", "to_type"]
+    # rows lie by their object when they are joined, so only subjects are dealt once more
+    objects = joined.groupBy(*kind, "to").agg(F.count("*").alias("n")).groupBy(*kind).agg(F.sum("n").alias("edges"), F.count("to").alias("objects"))
+    subjects = joined.select(*kind, "from").distinct().groupBy(*kind).agg(F.count("from").alias("subjects"))
+    same = reduce(lambda a, b: a & b, (objects[k].eqNullSafe(subjects[k]) for k in kind))
+    return objects.join(subjects, same).select(*(objects[k] for k in kind), "edges", "subjects", "objects")
 
 
 def sink_graphml(spark: SparkSession, sf_dir: str) -> DataFrame:
