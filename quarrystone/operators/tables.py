@@ -20,7 +20,7 @@ AMOUNT_LABELS = {
     "subtotal": r"sub\s*total", "discount": "discount", "freight": r"(?:freight|shipping)", "tax": r"(?:tax|vat)",
     "total": r"(?:grand\s+total|total\s+amount|invoice\s+total|total)"
 }
-HEADER_ROWS = 8
+HEADER_ROWS, COUNTED = 8, ("qty", "unit_price", "amount")
 
 
 def tidy(cell: Column) -> Column:
@@ -37,14 +37,18 @@ def column_of(cells: Column, role: str) -> Column:
 def line_items(rows: DataFrame, table: str, order: str, cells: str) -> DataFrame:
     """Items of tables (rows in order, cells as an array): below the first of the leading rows that names two columns, one of them a
     quantity, price or amount.  source_row counts rows that are not empty from 1; sums and terms are no items."""
-    tidied = rows.select(table, order, F.transform(cells, tidy).alias("cells")).filter(F.exists("cells", lambda c: c != ""))
-    placed = tidied.withColumn("source_row", F.row_number().over(Window.partitionBy(table).orderBy(order)))
+    filled = rows.filter(F.col(table).isNotNull() & F.exists(cells, lambda c: F.rlike(c, F.lit(r"\S"))))
+    in_order = Window.partitionBy(table).orderBy(order)
+    placed = filled.select(table, F.transform(cells, tidy).alias("cells"), F.row_number().over(in_order).alias("source_row"), order)
+    # one look at the joined cells tells the rows that name nothing counted; the cells of the others are looked at one by one
+    named = (F.col("source_row") <= HEADER_ROWS) & F.rlike(F.lower(F.array_join("cells", "\n")), F.lit("|".join(HEADERS[role] for role in COUNTED)))
     roles = F.struct(*(column_of(F.col("cells"), role).alias(role) for role in HEADERS))
     known = reduce(Column.__add__, [F.col(f"roles.{role}").isNotNull().cast("int") for role in HEADERS])
-    counted = F.coalesce("roles.qty", "roles.unit_price", "roles.amount").isNotNull()
-    heads = placed.filter(F.col("source_row") <= HEADER_ROWS).withColumn("roles", roles).filter((known >= 2) & counted)
-    head = heads.groupBy(table).agg(F.min(F.struct("source_row", "roles")).alias("head"))
-    below = placed.join(head, table).filter((F.col("source_row") > F.col("head.source_row")) & ~F.rlike(F.array_join("cells", " "), F.lit(NO_ITEM)))
+    counted = F.coalesce(*(f"roles.{role}" for role in COUNTED)).isNotNull()
+    heads = placed.withColumn("roles", F.when(named, roles)).withColumn("head", F.when((known >= 2) & counted, F.struct("source_row", "roles")))
+    # rows stand in the order of their table, so a head is carried down without a join
+    headed = heads.withColumn("head", F.first("head", True).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    below = headed.filter((F.col("source_row") > F.col("head.source_row")) & ~F.rlike(F.array_join("cells", " "), F.lit(NO_ITEM)))
     cell = lambda role: F.coalesce(F.get("cells", (F.col(f"head.roles.{role}") - 1).cast("int")), F.lit(""))
     found = below.select(
         table, "source_row", cell("sku").alias("sku"), cell("description").alias("description"), cell("spec").alias("spec"), number(cell("qty")).alias("quantity"), cell("unit").alias("unit"),
