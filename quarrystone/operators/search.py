@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +44,13 @@ def without_marks(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, "".join(c for c, _ in plain), "".join(d for _, d in plain)), r"\p{M}", "")
 
 
+def _folded(text: Column) -> Column:
+    return F.regexp_replace(without_marks(F.lower(F.coalesce(text, F.lit("")))), r"[^\p{L}\p{N}]+", " ")
+
+
 def words_of(text: Column) -> Column:
     """Lower-case words without diacritics: runs of letters and digits."""
-    folded = F.regexp_replace(without_marks(F.lower(F.coalesce(text, F.lit("")))), r"[^\p{L}\p{N}]+", " ")
-    return F.filter(F.split(folded, " "), lambda w: w != "")
+    return F.filter(F.split(_folded(text), " "), lambda w: w != "")
 
 
 def word_index(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -54,6 +59,40 @@ def word_index(docs: DataFrame, key: str, text: str) -> DataFrame:
     return words.groupBy("word", key).agg(F.sort_array(F.collect_list("place")).alias("places"))
 
 
+#: Places that a task gathers before it hands them on.
+MOST_PLACES = 200_000
+
+
+def row_postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(word, key, places) of each row of docs, gathered where the row lies; rows of one key are not put together."""
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, words, rows, places = batch.column(0), [], [], []
+            offsets = [0]
+            for row, body in enumerate(batch.column(1).to_pylist()):
+                at: dict[str, list[int]] = {}
+                for place, word in enumerate(filter(None, body.split(" "))):
+                    at.setdefault(word, []).append(place)
+                words += at
+                rows += [row] * len(at)
+                for found in at.values():
+                    places += found
+                    offsets.append(len(places))
+                if len(places) >= MOST_PLACES:
+                    yield table(words, keys, rows, offsets, places)
+                    words, rows, places, offsets = [], [], [], [0]
+            if words:
+                yield table(words, keys, rows, offsets, places)
+
+    def table(words: list, keys: pa.Array, rows: list, offsets: list, places: list) -> pa.RecordBatch:
+        listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(places, pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), keys.take(pa.array(rows, pa.int32())), listed], names=["word", key, "places"])
+
+    rows = docs.select(key, _folded(F.col(text)).alias("text"))
+    return rows.mapInArrow(gathered, f"word string, {key} {rows.schema[key].dataType.simpleString()}, places array<int>")
+
+
 def parsed_query(query: str) -> list[tuple[str, list[str]]]:
     """A boolean query in postfix form: words and "phrases" as ("phrase", words), joined by AND (also unsaid), OR and NOT, which binds
     AND and leaves the documents that the left side has and the right side lacks; parentheses group."""

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.operators.gates import GateError
-from quarrystone.operators.search import boolean_hits, parsed_query, word_index, words_of
+from quarrystone.operators.search import boolean_hits, parsed_query, row_postings, words_of
 
 #: Folders of words, files that one bucket's postings are spread over, bytes of a row group.
 BUCKETS, SPREAD, ROW_GROUP = 64, 8, 1 << 20
@@ -87,11 +87,14 @@ class WordStore:
     def _bucket(self, word: Column) -> Column:
         return F.pmod(F.xxhash64(word), F.lit(self.buckets)).cast("int")
 
-    def _written(self, postings: DataFrame, number: int) -> Segment:
+    def _written(self, postings: DataFrame, number: int, repeated: bool = False) -> Segment:
+        """repeated: a word may stand more than once with a key; its places are put together where they meet."""
         path = f"{self.folder}/segments/{number:09d}-{uuid.uuid4().hex}"
-        bucketed = postings.withColumn("bucket", self._bucket(F.col("word")))
-        dealt = bucketed.repartition(self.buckets * self.spread, "bucket", F.pmod(F.xxhash64("key"), F.lit(self.spread)))
-        writer = dealt.sortWithinPartitions("bucket", "word", "key").write.partitionBy("bucket").option("compression", "zstd")
+        bucketed = postings.withColumn("bucket", self._bucket(F.col("word"))).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(self.spread)))
+        dealt = bucketed.repartition(self.buckets * self.spread, "bucket", "part")
+        if repeated:
+            dealt = dealt.groupBy("bucket", "part", "word", "key").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+        writer = dealt.select("word", "key", "places", "bucket").sortWithinPartitions("bucket", "word", "key").write.partitionBy("bucket").option("compression", "zstd")
         # version 2 pages code whole numbers by their differences, where no dictionary is asked for
         writer = writer.option("parquet.writer.version", "v2").option("parquet.enable.dictionary#places.list.element", "false")
         writer.option("parquet.bloom.filter.enabled#word", "true").option("parquet.block.size", str(ROW_GROUP)).parquet(path)
@@ -107,7 +110,8 @@ class WordStore:
         self.refresh()
         number = self.number + 1
         rows = docs.select(F.col(self.key).cast(self.key_type).alias("key"), F.col(text).alias("text")).filter("key IS NOT NULL")
-        segment = self._written(word_index(rows, "key", "text"), number)
+        repeated = not rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+        segment = self._written(row_postings(rows, "key", "text"), number, repeated)
         notes = [self._noted(docs, number)] if self.segments else []
         self._publish([*self.segments, segment], [*self.notes, *notes])
 
