@@ -397,8 +397,8 @@ def stream_repair_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     news = n.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("entry"), F.lit(1).alias("severity"), F.lit(2 * hour).cast("long").alias("recorded"), F.lit(0).cast("long").alias("attempts"), F.lit(None).cast("long").alias("resolved_at"))
     clock = spark.range(1).select((-F.lit(1)).cast("long").alias("entry"), F.lit(0).alias("severity"), F.lit(2 * hour + hour // 2).cast("long").alias("recorded"), F.lit(0).cast("long").alias("attempts"), F.lit(None).cast("long").alias("resolved_at"))
-    for k, part in enumerate((first, news, clock)):  # parts follow each other; the last one only moves the clock
-        sinks.write_jsonl(part.coalesce(1), f"{folder}/in/part={k}")
+    for k, part in enumerate((first, news, clock)):  # parts follow each other, each in as many files as one batch takes; the last one only moves the clock
+        sinks.write_jsonl(part.coalesce(paths.FILES_PER_BATCH), f"{folder}/in/part={k}")
         stream = paths.ledger_stream(spark, f"{folder}/in", "entry long, severity int, recorded long, attempts long, resolved_at long")
         _finished(state.append_updates(state.repair_states(stream), f"{folder}/updates", f"{folder}/state"))
     return state.present(spark, f"{folder}/updates").filter("entry >= 0").select("entry", "attempts", "status")

@@ -8,8 +8,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quarrystone.operators.reconcile import merged_repairs
 
+#: Files of a ledger that are in flight at once.
+FILES_PER_BATCH = 16
 
-def ledger_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 16) -> DataFrame:
+
+def ledger_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     """An append-only JSONL ledger; a bounded number of files is in flight."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
 
