@@ -238,9 +238,9 @@ def sink_graphml(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sink_graphml_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph as one GraphML file, line by line in its order."""
     path = f"{_folder(spark, 'graphml')}/graph.graphml.gz"
-    packages.write_graphml(graph_queries.case_nodes(spark, sf_dir), graph_queries.case_edges(spark, sf_dir), path)
-    # a compressed file is read by one task, so rows come in the order of its lines
-    return spark.read.text(path).select((F.monotonically_increasing_id() + 1).alias("line"), F.sha2("value", 256).alias("sha256"))
+    members = packages.write_graphml(graph_queries.case_nodes(spark, sf_dir), graph_queries.case_edges(spark, sf_dir), path)
+    # by the bytes of its members a compressed file is read by many tasks
+    return packages.member_lines(spark, path, members).select("line", F.sha2("value", 256).alias("sha256"))
 
 
 def package_published(spark: SparkSession, sf_dir: str) -> DataFrame:

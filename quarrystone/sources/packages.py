@@ -12,14 +12,18 @@ import gzip
 import hashlib
 import json
 import uuid
+import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.operators.gates import GateError, enforce, report
 from quarrystone.sources.sinks import GRAPHML_FOOT, GRAPHML_HEAD, checksum_faults, checksum_rows, edge_elements, node_elements, write_tables
 
+#: Compressed bytes that are read at once.
+PIECE_BYTES = 1 << 20
 SUMS, SEAL = "SHA256SUMS", "SEAL.json"
 
 
@@ -64,6 +68,9 @@ class Store:
         found = [f.getPath().toString() for f in self.fs.listStatus(self._path(folder))]
         return sorted(f for f in found if not f.rsplit("/", 1)[1].startswith(("_", ".")))
 
+    def size(self, path: str) -> int:
+        return self.fs.getFileStatus(self._path(path)).getLen()
+
     def move(self, source: str, target: str) -> None:
         if self.exists(target) or not self.fs.rename(self._path(source), self._path(target)):
             raise GateError(f"TARGET_EXISTS: {target}")
@@ -77,8 +84,9 @@ def member(text: str) -> bytes:
     return gzip.compress(text.encode(), mtime=0)
 
 
-def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """The whole graph as one gzip file, nodes and edges in order.  Tasks write sorted ranges, each a member of the file; members are joined as they are."""
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> list[int]:
+    """The whole graph as one gzip file, nodes and edges in order.  Tasks write sorted ranges, each a member of the file; members are joined as they are.
+    Returns the bytes of each member, by which member_lines() reads them apart."""
     spark = nodes.sparkSession
     store, staging = Store(spark, path), f"{path}.staging-{uuid.uuid4().hex}"
     try:
@@ -86,12 +94,72 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
             sorted_lines = lines.repartitionByRange(*order).sortWithinPartitions(*order).select("value")
             sorted_lines.write.option("compression", "gzip").option("lineSep", "\n").text(f"{staging}/{name}")
         parts = [*store.names(f"{staging}/nodes"), *store.names(f"{staging}/edges")]
-        store.write(f"{staging}/whole", iter([member(GRAPHML_HEAD), *parts, member(GRAPHML_FOOT)]))
+        whole = [member(GRAPHML_HEAD), *parts, member(GRAPHML_FOOT)]
+        store.write(f"{staging}/whole", iter(whole))
         store.move(f"{staging}/whole", path)
+        return [len(part) if isinstance(part, bytes) else store.size(part) for part in whole]
     finally:
         store.delete(staging)
 
 
+def member_lines(spark: SparkSession, path: str, sizes: list[int]) -> DataFrame:
+    """line (from 1) and value of one gzip file whose members end with a line each; a task reads a member, or some short ones, piece by piece.
+
+    Lines are numbered inside a member, and a member begins after the lines of those before it: members are counted first and read then.  A store that Arrow does
+    not know is read by one task, in the order of its lines."""
+    from pyarrow import fs
+
+    try:
+        fs.FileSystem.from_uri(path)
+    except (ValueError, OSError, NotImplementedError):
+        return spark.read.option("lineSep", "\n").text(path).select((F.monotonically_increasing_id() + 1).alias("line"), "value")
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, bytes]]:
+        """Member, and its whole lines, some megabytes at a time."""
+        store, at = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for k, offset, size in batch[["member", "offset", "size"]].itertuples(index=False):
+                unpack, rest = zlib.decompressobj(31), b""
+                with store.open_input_file(at) as source:
+                    source.seek(offset)
+                    while size:
+                        piece = source.read(min(size, PIECE_BYTES))
+                        if not piece:
+                            raise EOFError(f"{path} ends inside a member")
+                        size -= len(piece)
+                        text = [rest]
+                        while piece:
+                            unpack = zlib.decompressobj(31) if unpack.eof else unpack
+                            text.append(unpack.decompress(piece))
+                            piece = unpack.unused_data
+                        whole, end, rest = b"".join(text).rpartition(b"\n")
+                        if end:
+                            yield k, whole
+                if rest or not unpack.eof:
+                    raise EOFError(f"a member of {path} ends inside a line")
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for k, whole in lines(batches):
+            yield pd.DataFrame({"member": [k], "n": [whole.count(b"\n") + 1]})
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, at = None, 0
+        for k, whole in lines(batches):
+            at = at if k == last else 0
+            values = whole.decode().split("\n")
+            yield pd.DataFrame({"member": k, "at": range(at + 1, at + len(values) + 1), "value": values})
+            last, at = k, at + len(values)
+
+    begins = [sum(sizes[:k]) for k in range(len(sizes))]
+    # as many tasks as members: dealt by number, each to a partition of its own
+    members = spark.createDataFrame(spark.sparkContext.parallelize(list(zip(range(len(sizes)), begins, sizes)), len(sizes)), "member long, offset long, size long")
+    found = members.mapInPandas(counted, "member long, n long").groupBy("member").agg(F.sum("n").alias("n")).collect()
+    n = {r.member: r.n for r in found}
+    before = spark.createDataFrame([(k, sum(n.get(j, 0) for j in range(k))) for k in range(len(sizes))], "member long, before long")
+    numbered = members.mapInPandas(read, "member long, at long, value string").join(F.broadcast(before), "member")
+    return numbered.select((F.col("before") + F.col("at")).alias("line"), "value")
+
+
 def publish(
     spark: SparkSession, tables: dict[str, DataFrame], gates: list[DataFrame], target: str, graph: tuple[DataFrame, DataFrame] | None = None
 ) -> dict[str, int]:
