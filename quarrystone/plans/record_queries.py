@@ -121,10 +121,11 @@ def receipt_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def package_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by type of node, predicate, kind of relation, axis and record type of a relation package."""
-    profile = lambda name, df, column: df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).select(F.lit(name).alias("profile"), "value", "n")
-    relation = package_queries.pkg_explicit_relation(spark, sf_dir)
+    profile = lambda name, df, column, n=F.count("*"): df.groupBy(F.col(column).alias("value")).agg(n.alias("n")).select(F.lit(name).alias("profile"), "value", "n")
+    # both profiles of relations start from the few pairs of predicate and kind, whose shuffle they share: relations are made once
+    relation = package_queries.pkg_explicit_relation(spark, sf_dir).groupBy("predicate", "relation_kind").agg(F.count("*").alias("n"))
     found = [
-        profile("node_type", package_queries.pkg_nodes(spark, sf_dir), "node_type"), profile("predicate", relation, "predicate"), profile("relation_kind", relation, "relation_kind"),
+        profile("node_type", package_queries.pkg_nodes(spark, sf_dir), "node_type"), profile("predicate", relation, "predicate", F.sum("n")), profile("relation_kind", relation, "relation_kind", F.sum("n")),
         profile("axis", package_queries.pkg_timeline_event(spark, sf_dir), "axis"), profile("record_type", package_queries.pkg_record_occurrence(spark, sf_dir), "record_type"),
     ]
     return reduce(DataFrame.unionByName, found)
